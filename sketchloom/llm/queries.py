@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import decontam, licenses, matroska, secrets, tokenfile
+from sketchloom.llm import decontam, licenses, matroska, secrets, simhash, tokenfile
 
 #: Folder of the public tokenizer files; None: as the installed package names it.
 TOKENIZERS: str | None = None
@@ -78,6 +78,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(joined(F.filter("found", lambda s: s["kind"] != "literal")), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfile.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
     return tokenfile.read_tokens(spark, path)
@@ -89,6 +93,7 @@ def queries() -> dict:
         "op2_decontamination": op2_decontamination,
         "op5_matroska": op5_matroska,
         "op6_secret_scan": op6_secret_scan,
+        "op7_simhash_dedup": op7_simhash_dedup,
         "op9_token_output": op9_token_output,
     }
 
