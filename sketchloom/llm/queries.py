@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import decontam, licenses, matroska, secrets, simhash, tokenfile
+from sketchloom.llm import decontam, langid, licenses, matroska, quality, secrets, simhash, tokenfile
 
 #: Folder of the public tokenizer files; None: as the installed package names it.
 TOKENIZERS: str | None = None
@@ -67,6 +67,23 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _remainder(doc_id: str, by: int):
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(by))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(_remainder("doc_id", 3) != 1))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels").filter(_remainder("doc_id", 5) != 0))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.store_payloads(_table(spark, sf_dir, "documents"), keep_media=False)
 
@@ -91,6 +108,8 @@ def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_decontamination": op2_decontamination,
+        "op3_language_id": op3_language_id,
+        "op4_quality": op4_quality,
         "op5_matroska": op5_matroska,
         "op6_secret_scan": op6_secret_scan,
         "op7_simhash_dedup": op7_simhash_dedup,
