@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import decontam, langid, licenses, matroska, quality, secrets, simhash, tokenfile
+from sketchloom.llm import decontam, langid, licenses, linededup, matroska, quality, secrets, simhash, tokenfile
 
 #: Folder of the public tokenizer files; None: as the installed package names it.
 TOKENIZERS: str | None = None
@@ -99,6 +99,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfile.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
     return tokenfile.read_tokens(spark, path)
@@ -113,6 +117,7 @@ def queries() -> dict:
         "op5_matroska": op5_matroska,
         "op6_secret_scan": op6_secret_scan,
         "op7_simhash_dedup": op7_simhash_dedup,
+        "op8_line_dedup": op8_line_dedup,
         "op9_token_output": op9_token_output,
     }
 

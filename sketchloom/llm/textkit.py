@@ -121,6 +121,20 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     return Words(start, end, row, mix(np.add.reduceat(letters * _POW[at], first) ^ (length.astype(np.uint64) * _P)))
 
 
+_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+
+
+def rolling(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each position on, at a cost that doesn't grow with k."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words) - 1, _P, np.uint64)]))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _P_INVERSE, np.uint64)]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * power)])
+    return mix((sums[k:] - sums[:-k]) * back)
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All positions of the ranges [start, start + length), range after range."""
     total = int(lengths.sum())
