@@ -19,6 +19,7 @@ import gc
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,10 +74,24 @@ def unit_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+#: Letters that every pre-tokenizer here keeps together, and single in NFC.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(f"[{_LATIN}]+")
+_SPACED = re.compile(f" ?[{_LATIN}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level BPE writes the bytes of a space and of Latin letters: printable bytes as themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {code: "".join(shown[b] for b in chr(code).encode()) for code in [32, *range(192, 256)]}
+
+
 class Encoder:
     """Ids of texts by a tokenizer file; ``most`` bounds the units that are kept."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,6 +99,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.kind = _kind(json.load(f))
         self.most = most
+        self.table = _byte_letters()
         self._clear()
 
     def _clear(self) -> None:
@@ -100,12 +116,35 @@ class Encoder:
         finally:
             gc.enable()
 
+    def _codes(self, units: list[str]) -> list[list[int]]:
+        """Ids of each unit; plain words skip the library's normalizers and go to its model at once."""
+        tokenize, table, out, rest = self.tokenizer.model.tokenize, self.table, [], []
+        if self.kind == "between":
+            for i, unit in enumerate(units):
+                word = unit.lstrip(" ")
+                if _WORD.fullmatch(word):
+                    word = word.lower()
+                    out.append([t.id for t in tokenize(word if word.isascii() else word.translate(table))])
+                else:
+                    out.append(unit)
+                    rest.append(i)
+        else:
+            for i, unit in enumerate(units):
+                if _SPACED.fullmatch(unit):
+                    out.append([t.id for t in tokenize(unit.translate(table))])
+                else:
+                    out.append(unit)
+                    rest.append(i)
+        for i, code in zip(rest, self.tokenizer.encode_batch([out[i] for i in rest], add_special_tokens=False) if rest else ()):
+            out[i] = code.ids
+        return out
+
     def _add(self, units: list[str]) -> None:
         for at in range(0, len(units), 20_000):
             part = units[at : at + 20_000]
-            ids = [code.ids for code in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            ids = self._codes(part)
             length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
             k = len(self.index)
             while k + len(part) > len(self.start):
                 self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
@@ -134,11 +173,13 @@ class Encoder:
                 data = np.where((data >= 65) & (data < 91), data + 32, data).astype(np.uint8)
         units = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         known = units.dictionary.to_pylist()
-        at = [self.index.get(u, -1) for u in known]
-        if new := [u for u, i in zip(known, at) if i < 0]:
-            self._learn(new)
-            at = [self.index[u] for u in known]
-        at = np.array(at, np.int64)[units.indices.to_numpy()]
+        get = self.index.get
+        at = np.array([get(u, -1) for u in known], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.index), len(self.index) + len(new))
+            self._learn([known[i] for i in new.tolist()])
+        at = at[units.indices.to_numpy()]
         length = self.length[at]
         first = np.concatenate([[0], np.cumsum(length)])
         flat = self.ids[np.repeat(self.start[at] - first[:-1], length) + np.arange(first[-1])]
