@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import PIECE_BYTES, chunks, cut_lineage, pick, raw, split_words, text_of, word_table, words_of
+from sketchloom.llm.textkit import PIECE_BYTES, Carried, chunks, cut_lineage, pick, raw, split_words, text_of, word_table, words_of
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 5
@@ -198,6 +198,7 @@ def _scan(index, piece: int, keep_text: bool):
         for batch in chunks(batches):
             data, offsets = raw(batch.column("text"))
             rows = batch.num_rows
+            more = [c for c in batch.schema.names if c.startswith("__c")]
             if rows == 1 and len(data) > piece:
                 n, found = _pieces(data, lengths, piece)
                 count = np.array([n])
@@ -219,30 +220,41 @@ def _scan(index, piece: int, keep_text: bool):
                     pa.array(count, pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in _union(x)] for x in spans], _HITS),
                     pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                    *(batch.column(c) for c in more),
                 ],
-                ["doc_id", "text", "n_words", "hits", "items"],
+                ["doc_id", "text", "n_words", "hits", "items", *more],
             )
 
     return scan
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES, keep_text: bool = False) -> DataFrame:
-    """Per document row: doc_id, n_words, hits (maximal runs of hit words), items (ids, sorted), n_hit, n_items[, text]."""
-    spark = docs.sparkSession
-    docs = pick(docs, doc_id=doc_id, text=text)
+def _run(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int, piece_bytes: int, ddl: str = "") -> DataFrame:
+    """rows: doc_id, text and carried columns, whose types are ``ddl``."""
+    spark = rows.sparkSession
     items = pick(benchmark, item=item_id, text=item_text).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("size")).first()["size"]
     blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)
-    out = docs
+    out = rows
     for block in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         index = spark.sparkContext.broadcast(build_index([(r["item"], text_of(r["text"])) for r in part.collect()]))
         last = block == blocks - 1
-        out = out.mapInArrow(_scan(index, piece_bytes, keep_text or not last), _SCHEMA)
+        out = out.mapInArrow(_scan(index, piece_bytes, not last), _SCHEMA + ddl)
         if not last:
             out = cut_lineage(out)
-    out = out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("bigint"), lambda total, x: total + x["end"] - x["start"])).withColumn("n_items", F.size("items").cast("bigint"))
-    return out if keep_text else out.drop("text")
+    return out.drop("text").withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("bigint"), lambda total, x: total + x["end"] - x["start"])).withColumn("n_items", F.size("items").cast("bigint"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Per document row: doc_id, n_words, hits (maximal runs of hit words), items (ids, sorted), n_hit, n_items."""
+    return _run(pick(docs, doc_id=doc_id, text=text), benchmark, item_id, item_text, block_bytes, piece_bytes)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """The rows of ``docs``, unchanged, that are not contaminated."""
+    carried = Carried(docs)
+    rows = docs.select(F.lit(0).cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), *carried.columns)
+    return carried.back(_run(rows, benchmark, item_id, item_text, block_bytes, piece_bytes, carried.ddl).filter(~is_contaminated()))
 
 
 def is_contaminated() -> F.Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import CHUNK_BYTES, chunks, pick, raw
+from sketchloom.llm.textkit import CHUNK_BYTES, Carried, chunks, pick, raw
 
 BINS = 1 << 16
 #: Added to each count.
@@ -200,8 +200,18 @@ def _predict(model):
     return run
 
 
+_SCHEMA = "lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
+
+
 def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score, mixture (the selected languages and their proportions)."""
-    spark = docs.sparkSession
-    schema = "doc_id bigint, lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
-    return pick(docs, doc_id=doc_id, text=text).mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return pick(docs, doc_id=doc_id, text=text).mapInArrow(_predict(shared), "doc_id bigint, " + _SCHEMA)
+
+
+def keep_known(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has a language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried = Carried(docs)
+    rows = docs.select(F.lit(0).cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), *carried.columns)
+    return carried.back(rows.mapInArrow(_predict(shared), "doc_id bigint" + carried.ddl + ", " + _SCHEMA).filter(F.col("lang_pred") != UNKNOWN))

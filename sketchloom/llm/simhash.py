@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.tables import components, drop, written
-from sketchloom.llm.textkit import chunks, pick, text_of
+from sketchloom.llm.textkit import Words, chunks, mix, pick, raw, rolling, text_of, words_of
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 LEAF, FAN = 16, 8
@@ -227,3 +227,119 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     heads = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.select("fp", "root").join(heads, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicate texts: at five words and a similarity of 0.8, fingerprints of 64 bits differ in about ten, which no
+# division into bands can search without pairing nearly everything. So the links above are joined by candidates from
+# minima of shingle hashes, and every candidate of either kind is compared in full.
+
+SIMILARITY, TEXT_SHINGLE = 0.8, 5
+#: Of 16 bands of 5 minima one is equal with a probability of 0.998 at a similarity of 0.8.
+MINIMA_BANDS, MINIMA_ROWS = 16, 5
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91] += 32
+_PLAIN[9:14] = _PLAIN[32] = 0
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-word shingles and their rows, in row order; fewer words, or none, are one shingle."""
+    w: Words = words_of(data, offsets, _PLAIN)
+    rows = len(offsets) - 1
+    count = np.bincount(w.row, minlength=rows)
+    h = rolling(w.hash, k)
+    keep = w.row[: len(h)] == w.row[k - 1 :]
+    h, row = h[keep], w.row[: len(h)][keep]
+    short = np.flatnonzero(count < k)
+    if len(short):
+        first = np.cumsum(count) - count
+        whole = np.zeros(len(short), np.uint64)
+        for i, (at, n) in enumerate(zip(first[short].tolist(), count[short].tolist())):
+            whole[i] = int.from_bytes(xxhash.xxh64_digest(w.hash[at : at + n].tobytes(), SEED), "big")
+        h, row = np.concatenate([h, whole]), np.concatenate([row, short])
+        order = np.argsort(row, kind="stable")
+        h, row = h[order], row[order]
+    return h, row
+
+
+def minima(h: np.ndarray, row: np.ndarray, rows: int, bins: int) -> np.ndarray:
+    """One-permutation minima (rows x bins); an empty bin takes the next filled one's, marked by the distance."""
+    at = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+    order = np.lexsort((h, row))
+    key = (row * bins + at.astype(np.int64))[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    out = np.full(rows * bins, _EMPTY)
+    out[key[first]] = h[order][first]
+    out = out.reshape(rows, bins)
+    for step in range(1, bins):
+        gaps = out == _EMPTY
+        if not gaps.any():
+            break
+        if step == 1:
+            filled = out.copy()
+        moved = np.roll(filled, -step, axis=1)
+        out = np.where(gaps & (moved != _EMPTY), mix(moved + np.uint64(step)), out)
+    return out
+
+
+def _band_keys(shingle: int, bands: int, per: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            h, row = shingles(*raw(batch.column("text")), shingle)
+            low = minima(h, row, batch.num_rows, bands * per).reshape(batch.num_rows, bands, per)
+            keys = np.zeros((batch.num_rows, bands), np.uint64)
+            for i in range(per):
+                keys = mix(keys + low[:, :, i] + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+            flat = pa.array(keys.ravel().view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)], ["node", "keys"])
+
+    return run
+
+
+def _similar(shingle: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks([batch], "text_a"):
+                sets = []
+                for side in ("text_a", "text_b"):
+                    h, row = shingles(*raw(part.column(side)), shingle)
+                    ends = np.searchsorted(row, np.arange(part.num_rows + 1))
+                    sets.append([np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:])])
+                keep = []
+                for x, y in zip(*sets):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(common >= least * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """Groups of near-duplicate texts: (node, root), node the xxhash64 of a text, for each text but those that stand alone."""
+    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    keys, _ = written(texts.mapInArrow(_band_keys(shingle, MINIMA_BANDS, MINIMA_ROWS), "node bigint, keys array<bigint>").dropDuplicates(["node"]), "minima")
+    prints, _ = written(texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(_prints(shingle, SEED), "doc_id bigint, fp bigint").withColumnRenamed("doc_id", "node").distinct(), "prints")
+    spread = keys.select("node", F.explode("keys").alias("key"))
+    ends = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    near = spread.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
+    heads = prints.groupBy("fp").agg(F.min("node").alias("low"))
+    by_code = links(heads.select("fp"), radius)
+    linked = by_code.join(heads.select(F.col("fp").alias("a"), F.col("low").alias("node")), "a").join(heads.select(F.col("fp").alias("b"), F.col("low").alias("other")), "b").select("node", "other")
+    equal = prints.join(heads, "fp").select("node", F.col("low").alias("other"))
+    pairs = near.union(linked).union(equal).filter("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    pairs, _ = written(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found, _ = written(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    stars, _ = components(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a bigint, b bigint"))
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the one with the smallest id (nulls first, ties by hash of the text) stays."""
+    groups = near_texts(docs, text=text, shingle=shingle, similarity=similarity, radius=radius)
+    rows = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    ids = rows.select("__node", F.col(f"`{doc_id}`").alias("__id")).join(groups.select(F.col("node").alias("__node"), F.col("root").alias("__root")), "__node", "left")
+    heads = ids.groupBy(F.coalesce("__root", "__node").alias("__root")).agg(F.min(F.struct("__id", "__node")).alias("head")).select("head.*")
+    kept = rows.join(heads.select("__node", F.col("__id").alias("__head")), "__node").filter(F.col(f"`{doc_id}`").eqNullSafe(F.col("__head")))
+    return kept.dropDuplicates(["__node"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,6 +29,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+class Carried:
+    """All columns of a DataFrame under names of our own, beside picked ones, and back again."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.columns = [F.col(f"`{n}`").alias(f"__c{i}") for i, n in enumerate(df.columns)]
+        self.ddl = "".join(f", __c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
+
+    def back(self, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"__c{i}").alias(n) for i, n in enumerate(self.names)])
+
+
 def word_table() -> np.ndarray:
     """Bytes of words (digits, letters with A-Z lowered, all of 128 and over), 0 for separators."""
     keep = np.zeros(256, bool)
