@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +49,18 @@ def murmur_sketch(k: int = KSIZE, most: int = MAX_HASH, seed: int = SEED):
     return sketch
 
 
+#: Characters of a text from which k-mers are cut at a time: a position in a string is found by walking there.
+_PIECE = 256
+
+
+def pieces(text: Column, k: int) -> Column:
+    """Overlapping pieces of a text that hold each substring of length k once."""
+    count = F.length(text) - (k - 1)
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.floor((count - 1) / _PIECE).cast("int")), lambda i: F.substring(text, i * _PIECE + 1, F.lit(_PIECE + k - 1)))).otherwise(F.array().cast("array<string>"))
+
+
 def windows(text: Column, k: int) -> Column:
-    """All substrings of length k, in order."""
+    """All substrings of length k, in order; for texts of moderate length, else of each of their pieces."""
     return F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
@@ -67,8 +76,7 @@ def md5_60(text: Column) -> Column:
 
 def md5_sketch(df: DataFrame, key: str, text: str, k: int = KSIZE, most: int = (1 << 60) // 100) -> DataFrame:
     """(key, hash) of each k-mer whose md5 hash is under ``most``; repeats kept."""
-    return df.select(key, F.explode(windows(F.col(text), k)).alias("kmer")).select(key, md5_60(F.col("kmer")).alias("hash")).filter(F.col("hash") < most)
-
-
-def to_array(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+    parts = df.select(key, F.explode(pieces(F.col(text), k)).alias("piece"))
+    digits = parts.select(key, F.explode(F.transform(windows(F.col("piece"), k), lambda x: F.substring(F.md5(x.cast("binary")), 1, 15))).alias("digits"))
+    # hex digits of one length compare as the numbers do: few are left to be converted
+    return digits.filter(F.col("digits") < f"{most:015x}").select(key, F.conv("digits", 16, 10).cast("bigint").alias("hash"))
