@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -84,16 +84,17 @@ def signed(data: bytes, at: int) -> tuple[int, int]:
     return ((1 << 7 * width) - 1 if value is None else value) - bias, to
 
 
-def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int | None]]:
-    """Ids with the start and end of their bodies; end None: unknown. Send the true end for those."""
+def elements(data: bytes, at: int, end: int, unknown: Callable[[int, int], int] | None = None) -> Iterator[tuple[int, int, int]]:
+    """Ids with the start and end of their bodies; ``unknown`` finds the end of one without a size. The end is negative for a body that is cut short, which is the last one."""
     while at < end:
         key, to = vint(data, at, True)
         size, to = vint(data, to)
         if size is None:
-            at = (yield key, to, None) or end
-            continue
+            if unknown is None:
+                raise Broken
+            size = unknown(key, to) - to
         if to + size > end:
-            yield key, to, -end  # cut short
+            yield key, to, -end
             raise Broken
         yield key, to, to + size
         at = to + size
@@ -215,7 +216,7 @@ def parse(data: bytes) -> File:
     return out
 
 
-def _children(data: bytes, at: int, end: int, stop: set[int]) -> tuple[int, Iterator]:
+def _next_of(data: bytes, at: int, end: int, stop: set[int]) -> int:
     """Where an element of unknown size ends: before the first of the ids in ``stop``, or at ``end``."""
     while at < end:
         key, to = vint(data, at, True)
@@ -229,29 +230,23 @@ def _children(data: bytes, at: int, end: int, stop: set[int]) -> tuple[int, Iter
 
 
 def _file(out: File, data: bytes) -> None:
-    walk = elements(data, 0, len(data))
-    item = next(walk, None)
-    if item is None or item[0] != EBML:
-        raise Broken
-    while item is not None:
-        key, at, end = item
+    first = True
+    for key, at, end in elements(data, 0, len(data), lambda key, at: len(data)):
+        if first and key != EBML:
+            raise Broken
+        first = False
         if key == EBML:
-            for inner, a, b in elements(data, at, end):
+            for inner, a, b in elements(data, at, abs(end)):
                 if inner == DOC_TYPE:
                     out.doc_type = data[a:b].decode("ascii", "replace")
         elif key == SEGMENT:
-            _segment(out, data, at, len(data) if end is None else abs(end))
-        item = next(walk, None)
+            _segment(out, data, at, abs(end))
+    if first:
+        raise Broken
 
 
 def _segment(out: File, data: bytes, start: int, end: int) -> None:
-    walk = elements(data, start, end)
-    item = next(walk, None)
-    while item is not None:
-        key, at, to = item
-        known = to
-        if to is None:
-            to = _children(data, at, end, _LEVEL1) if key == CLUSTER else end
+    for key, at, to in elements(data, start, end, lambda key, at: _next_of(data, at, end, _LEVEL1) if key == CLUSTER else end):
         to = abs(to)
         if key == INFO:
             for inner, a, b in elements(data, at, to):
@@ -266,14 +261,13 @@ def _segment(out: File, data: bytes, start: int, end: int) -> None:
             _cluster(out, data, at, to)
         elif key == CUES:
             _cues(out, data, at, to)
-        item = walk.send(to) if known is None else next(walk, None)
 
 
 def _cluster(out: File, data: bytes, at: int, end: int) -> None:
     base, number_ = 0, len(out.clusters)
     out.clusters.append(at)
     for key, a, b in elements(data, at, end):
-        if b is None or b < 0:
+        if b < 0:
             raise Broken
         if key == TIMESTAMP:
             base = _value(data, a, b)

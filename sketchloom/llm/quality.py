@@ -64,7 +64,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, ra
     """Weights of the bins (for the average) and the bias, from (bins, their shares, label) of each document."""
     labels = np.array([y for *_, y in rows])
     if not len(rows) or labels.min() == labels.max():
-        share = (labels.sum() + 0.5) / (len(rows) + 1) if len(rows) else 0.5
+        share = (labels.sum() + 0.5) / (len(rows) + 1)
         return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (1 << BITS, DIMENSION)).astype(np.float32)
@@ -113,6 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     rows = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(marked), "doc_id").select("rank", F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     # repeated ids of documents could make the join larger than the sample: the limit holds for both
     row = rows.orderBy("rank").limit(most).coalesce(1).mapInArrow(_train, "weights binary, bias double").first()
+    if row is None:
+        return fit([])
     return np.frombuffer(row["weights"], np.float32), row["bias"]
 
 
