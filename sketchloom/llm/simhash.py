@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.tables import components, drop, written
-from sketchloom.llm.textkit import Words, chunks, mix, pick, raw, rolling, text_of, words_of
+from sketchloom.llm.textkit import Carried, Words, chunks, limit_batches, mix, pick, raw, rolling, text_of, words_of
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 LEAF, FAN = 16, 8
@@ -316,6 +316,7 @@ def _similar(shingle: int, least: float):
 
 def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Groups of near-duplicate texts: (node, root), node the xxhash64 of a text, for each text but those that stand alone."""
+    limit_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     keys, _ = written(texts.mapInArrow(_band_keys(shingle, MINIMA_BANDS, MINIMA_ROWS), "node bigint, keys array<bigint>").dropDuplicates(["node"]), "minima")
     prints, _ = written(texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(_prints(shingle, SEED), "doc_id bigint, fp bigint").withColumnRenamed("doc_id", "node").distinct(), "prints")
@@ -338,8 +339,9 @@ def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHING
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the one with the smallest id (nulls first, ties by hash of the text) stays."""
     groups = near_texts(docs, text=text, shingle=shingle, similarity=similarity, radius=radius)
-    rows = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    ids = rows.select("__node", F.col(f"`{doc_id}`").alias("__id")).join(groups.select(F.col("node").alias("__node"), F.col("root").alias("__root")), "__node", "left")
-    heads = ids.groupBy(F.coalesce("__root", "__node").alias("__root")).agg(F.min(F.struct("__id", "__node")).alias("head")).select("head.*")
-    kept = rows.join(heads.select("__node", F.col("__id").alias("__head")), "__node").filter(F.col(f"`{doc_id}`").eqNullSafe(F.col("__head")))
-    return kept.dropDuplicates(["__node"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    carried = Carried(docs)
+    rows = docs.select(*carried.columns, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"), F.col(f"`{doc_id}`").alias("id"))
+    ids = rows.select("node", "id").join(groups, "node", "left")
+    heads = ids.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "node")).alias("head")).select("head.*")
+    kept = rows.join(heads.withColumnRenamed("id", "head"), "node").filter(F.col("id").eqNullSafe(F.col("head")))
+    return carried.back(kept.dropDuplicates(["node"]))

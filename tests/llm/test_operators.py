@@ -128,6 +128,8 @@ def test_decontamination(spark, vocabulary, blocks, piece):
     docs = frame(spark, texts)
     kept = decontam.drop_contaminated(docs, bench, block_bytes=blocks)
     assert kept.columns == docs.columns
+    clash = docs.withColumns({c: F.lit("x") for c in ("hits", "items", "__c1", "n_hit", "a.b")})
+    assert decontam.drop_contaminated(clash, bench, block_bytes=blocks).columns == clash.columns
     expected = {i for i, t in enumerate(texts) if not ((h := brute_hits(t, [*items, ("", "only here " * 7)]))[1] and 20 * h[1] >= h[0])}
     assert {r["doc_id"] for r in kept.collect()} == expected
 
@@ -402,6 +404,8 @@ def test_keep_one(spark):
     label = classes(len(texts), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+    clash = docs.withColumns({c: F.lit("x") for c in ("node", "root", "id", "head", "__c0", "fp", "a.b")})
+    assert sorted(r["doc_id"] for r in simhash.keep_one(clash).collect()) == sorted(set(label)) and simhash.keep_one(clash).columns == clash.columns
     repeated = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "q"), (None, "q")], "doc_id bigint, text string")
     assert sorted((r["doc_id"] is None, r["text"]) for r in simhash.keep_one(repeated).collect()) == [(False, "a b c d e f"), (True, "q")]
 
@@ -441,8 +445,10 @@ def test_line_dedup_of_odd_rows(spark):
     got = sorted(((r["doc_id"] or 0), r["n_removed"]) for r in linededup.dedup_lines(rows).collect())
     assert got == [(0, 0), (1, 0), (2, 0), (2, 0), (3, 80)]
     assert linededup.dedup_lines(rows.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        linededup.dedup_lines(rows.withColumn("removed", F.lit(1)))
+    clash = rows.withColumns({c: F.lit("x") for c in ("removed", "doc", "words", "__doc", "__kind", "c0", "owner", "line", "a b.c")})
+    out = linededup.dedup_lines(clash)
+    assert out.columns == [c for c in clash.columns if c != "removed"] + ["removed", "n_removed"]
+    assert sorted(((r["doc_id"] or 0), r["n_removed"], r["__doc"], r["a b.c"]) for r in out.collect()) == [(*x, "x", "x") for x in got]
 
 
 def test_long_texts_have_the_same_lines():
