@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session has no value of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def limit_batches(spark) -> None:
+    """Bound Arrow batches by bytes, as a number of rows bounds nothing when texts are long."""
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Narrow ``df`` to the named columns: pick(df, doc_id="id", text="body")."""
+    limit_batches(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
@@ -33,6 +46,7 @@ class Carried:
     """All columns of a DataFrame under names of our own, beside picked ones, and back again."""
 
     def __init__(self, df: DataFrame):
+        limit_batches(df.sparkSession)
         self.names = df.columns
         self.columns = [F.col(f"`{n}`").alias(f"__c{i}") for i, n in enumerate(df.columns)]
         self.ddl = "".join(f", __c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
@@ -98,7 +112,9 @@ class Words:
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_POW = np.cumprod(np.full(1 << 12, _P, np.uint64))
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Words longer than this are hashed one by one.
+_LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -112,25 +128,40 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     """Spans and 64-bit hashes of the words of each row; ``table`` maps separators to 0."""
-    folded = table[data]
+    folded = np.frombuffer(data.tobytes().translate(table.tobytes()), np.uint8)
     n = len(folded)
-    inside = folded != 0
-    cut = np.zeros(n + 1, bool)
-    cut[offsets] = True
-    before = np.zeros(n, bool)
-    before[1:] = inside[:-1]
-    after = np.zeros(n, bool)
-    after[:-1] = inside[1:]
-    start = np.flatnonzero(inside & (~before | cut[:n]))
-    end = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    row = np.searchsorted(offsets, start, "right") - 1
+    inside = np.zeros(n + 1, np.int8)
+    inside[:n] = folded != 0
+    change = np.empty(n + 1, np.int8)
+    change[0], change[1:] = inside[0], inside[1:] - inside[:-1]
+    # a text that begins inside of a word ends the one before it
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    both = inner[(inside[inner] != 0) & (inside[inner - 1] != 0)] if len(inner) else inner
+    start, end = np.flatnonzero(change > 0), np.flatnonzero(change < 0)
+    if len(both):
+        both = np.unique(both)
+        start, end = np.sort(np.concatenate([start, both])), np.sort(np.concatenate([end, both]))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
     if not len(start):
         return Words(start, end, row, np.zeros(0, np.uint64))
     length = end - start
-    first = np.cumsum(length) - length
-    letters = folded[inside].astype(np.uint64)
-    at = (np.arange(len(letters)) - np.repeat(first, length)) & 0xFFF
-    return Words(start, end, row, mix(np.add.reduceat(letters * _POW[at], first) ^ (length.astype(np.uint64) * _P)))
+    # eight bytes of each word at a time, read at any offset
+    eights = np.ndarray((n,), "<u8", np.concatenate([folded, np.zeros(8, np.uint8)]), strides=(1,))
+    h = length.astype(np.uint64) * _P
+    h = _round(h, eights[start] & _MASK[np.minimum(length, 8)])
+    at, most = np.flatnonzero(length > 8), 8
+    while len(at) and most < _LONG:
+        h[at] = _round(h[at], eights[start[at] + most] & _MASK[np.minimum(length[at] - most, 8)])
+        most += 8
+        at = at[length[at] > most]
+    for i in at.tolist():
+        h[i] = xxhash.xxh64_intdigest(folded[start[i] : end[i]].tobytes())
+    return Words(start, end, row, mix(h))
+
+
+def _round(h: np.ndarray, eight: np.ndarray) -> np.ndarray:
+    h = (h ^ eight) * _P
+    return h ^ (h >> np.uint64(29))
 
 
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
