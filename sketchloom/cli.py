@@ -38,6 +38,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--compress-json", action="store_true")
     p.add_argument("--coalesce-json", type=int, default=1)
     p.add_argument("--run-tag")
+    p.add_argument("--keep-success", action="store_true", help="keep marker files beside renamed JSON")
+    p.add_argument("--no-cleanup", action="store_true", help="leave JSON parts as they were written")
     p.add_argument("--skip-distinct-pairs-in-ids", action="store_true")
 
     p = command("left-minus-rights", "hashes of one set that no other has", "manifest", "out-dir")
@@ -132,7 +134,7 @@ def run(spark, a: argparse.Namespace):
     c = a.command
     if c == "top-minhashes":
         stages = ("counts", "topn", "ids") if a.stage == "all" else (a.stage,)
-        return jobs.top_minhashes(spark, a.input, a.out, stages=stages, n=a.topN, buckets=a.num_buckets, ksize=a.ksize, fraction=a.sample_fraction, file_limit=a.file_limit, seed=a.seed, compress=a.compress_json, json_parts=a.coalesce_json, tag=a.run_tag, skip_distinct=a.skip_distinct_pairs_in_ids, overwrite=a.overwrite)
+        return jobs.top_minhashes(spark, a.input, a.out, stages=stages, n=a.topN, buckets=a.num_buckets, ksize=a.ksize, fraction=a.sample_fraction, file_limit=a.file_limit, seed=a.seed, compress=a.compress_json, json_parts=a.coalesce_json, tag=a.run_tag, skip_distinct=a.skip_distinct_pairs_in_ids, rename=not a.no_cleanup, keep_markers=a.keep_success, overwrite=a.overwrite)
     if c == "left-minus-rights":
         return jobs.left_minus_rights(spark, a.manifest, a.out_dir, ksize=a.ksize, filter_left=a.filter_left, distinct_left=a.distinct_left, fraction=a.sample_fraction, buckets=a.buckets, single_file=a.single_file, overwrite=a.overwrite)
     if c == "alias-vs-others":

@@ -157,7 +157,7 @@ def histogram_job(spark: SparkSession, path: str, out: str, *, column: str = "sa
 
 def top_minhashes(
     spark: SparkSession, source: str, out: str, *, stages: tuple[str, ...] = ("counts", "topn", "ids"), n: int = 100, buckets: int = 512, ksize: int | None = None, fraction: float | None = None, file_limit: int | None = None,
-    seed: int = 1337, compress: bool = False, json_parts: int = 1, tag: str | None = None, skip_distinct: bool = False, overwrite: bool = False,
+    seed: int = 1337, compress: bool = False, json_parts: int = 1, tag: str | None = None, skip_distinct: bool = False, rename: bool = True, keep_markers: bool = False, overwrite: bool = False,
 ) -> dict[str, str]:
     """Counts by hash, the top N, and the samples of those, each stage from what the one before wrote.
 
@@ -181,12 +181,12 @@ def top_minhashes(
         guard(spark, made["topn"], overwrite)
         best.write.parquet(made["topn"])
         ordered = spark.read.parquet(made["topn"]).orderBy(F.desc("n_samples"), "min_hash")
-        made["topn_json"] = sinks.write_json_lines(ordered, f"{out}/topn_json/topN={n}/run={run}", overwrite=overwrite, compress=compress, name=f"top{n}")
+        made["topn_json"] = sinks.write_json_lines(ordered, f"{out}/topn_json/topN={n}/run={run}", overwrite=overwrite, compress=compress, name=f"top{n}" if rename else None, keep_markers=keep_markers)
     if "ids" in stages:
         chosen = made.get("topn") or (f"{top_root}/run={tag}" if tag else latest_run(spark, top_root))
         best = spark.read.parquet(chosen)
         lists = counts.sample_lists_of(raw(), best, distinct=not skip_distinct, n_keys=best.count())
-        made["ids"] = sinks.write_json_lines(lists, f"{out}/topn_ids_json/topN={n}/run={run}", overwrite=overwrite, compress=compress, parts=json_parts, name=f"top{n}_ids" if json_parts == 1 else None)
+        made["ids"] = sinks.write_json_lines(lists, f"{out}/topn_ids_json/topN={n}/run={run}", overwrite=overwrite, compress=compress, parts=json_parts, name=f"top{n}_ids" if rename and json_parts == 1 else None, keep_markers=keep_markers)
     return made
 
 

@@ -52,13 +52,13 @@ def write_table(df: DataFrame, name: str, *keys: str, overwrite: bool = False) -
     return name
 
 
-def write_json_lines(df: DataFrame, path: str, *, overwrite: bool = False, compress: bool = False, parts: int = 1, name: str | None = None) -> str:
+def write_json_lines(df: DataFrame, path: str, *, overwrite: bool = False, compress: bool = False, parts: int = 1, name: str | None = None, keep_markers: bool = False) -> str:
     """NDJSON; a single part can be given a name."""
     guard(df.sparkSession, path, overwrite)
     writer = df.coalesce(parts).write
     (writer.option("compression", "gzip") if compress else writer).json(path)
     if name and parts == 1:
-        return single_part(df.sparkSession, path, name)
+        return single_part(df.sparkSession, path, name, keep_markers)
     return path
 
 

@@ -86,6 +86,8 @@ def test_top_minhashes(spark, at, signatures):
     assert again["topn_json"].endswith(".json.gz")
     with pytest.raises(ValueError):
         jobs.top_minhashes(spark, signatures, f"{at}/top", n=1, ksize=21, stages=("topn",))
+    plain = jobs.top_minhashes(spark, signatures, f"{at}/top", n=1, ksize=31, tag="c", stages=("topn",), rename=False)
+    assert plain["topn_json"].endswith("run=c") and any(p.endswith("_SUCCESS") for p in files.children(spark, plain["topn_json"]))
     later = jobs.top_minhashes(spark, signatures, f"{at}/top", n=1, ksize=31, stages=("ids",), json_parts=2)
     assert spark.read.json(later["ids"]).count() == 1
 
