@@ -5,7 +5,7 @@ distinct unit is encoded by the library, and the ids are put together with
 numpy. Two pre-tokenizers allow this:
 
 * byte-level BPE with the usual pattern and no normalizer, where a token never
-  goes from a non-space to a space, nor from a letter to a stop or comma;
+  goes from a non-space to a space, nor from a letter to other visible ASCII;
 * NFC, white space and lower case normalizers with a pattern that drops white
   space and has the same two properties.
 
@@ -47,7 +47,6 @@ def _flags(members: str) -> np.ndarray:
 
 
 _SPACE = _flags("\t\n\v\f\r ")
-_STOP = _flags(".,")
 _LETTER = _flags("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _SOLID = ~_SPACE
 _SOLID[0x1C:0x20] = False
@@ -58,16 +57,23 @@ _LEAD2[0xC2] = True
 _LEAD3[0xE1:0xE4] = True
 
 
-def unit_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+#: ASCII punctuation and digits: a token of letters ends before these.
+_STOPS = _flags("!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~")
+
+
+def unit_offsets(data: np.ndarray, offsets: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Where units begin in the bytes of texts, with the total as the last."""
-    if len(data) < 2:
+    if len(data) < 3:
         return np.unique(np.concatenate([offsets, [0, len(data)]]))
     now, last = data[1:], data[:-1]
-    high = last >= 0x80
     before2 = np.concatenate([[0], data[:-2]]).astype(np.uint8)
-    before3 = np.concatenate([[0, 0], data[:-3]]).astype(np.uint8)[: len(last)]
+    before3 = np.concatenate([[0, 0], data[:-3]]).astype(np.uint8)
+    high = last >= 0x80
     solid = _SOLID[last] | (high & ~_LEAD2[before2] & ~_LEAD3[before3])
-    cut = (_SPACE[now] & solid) | (_STOP[now] & _LETTER[last])
+    letter = _LETTER[last] | (high & (before2 == 0xC3) & (last != 0x97) & (last != 0xB7))
+    cut = (_SPACE[now] & solid) | (stops[now] & letter)
+    # a line feed between two visible letters or stops is a token of its own, or none
+    cut[1:] |= (last[1:] == 10) & solid[:-1] & _LETTER[now[1:]]
     mark = np.zeros(len(data) + 1, bool)
     mark[1:-1] = cut
     mark[offsets] = mark[0] = mark[-1] = True
@@ -91,13 +97,18 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of texts by a tokenizer file; ``most`` bounds the units that are kept."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.kind = _kind(json.load(f))
+            spec = json.load(f)
+        self.kind = _kind(spec)
+        # special tokens are found before anything is cut: none may be cut in two
+        self.stops = _STOPS.copy()
+        for added in spec.get("added_tokens") or ():
+            self.stops[[ord(b) for a, b in zip(added["content"], added["content"][1:]) if a.isalpha() and ord(b) < 256]] = False
         self.most = most
         self.table = _byte_letters()
         self._clear()
@@ -166,7 +177,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         if len(self.index) > self.most:
             self._clear()
-        bounds = unit_offsets(data, offsets)
+        bounds = unit_offsets(data, offsets, self.stops)
         if self.kind == "between":
             data = np.where(_SPACE[data], np.uint8(32), data)
             if b"<" not in data.tobytes():  # special tokens are found before letters are lowered
