@@ -236,6 +236,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 SIMILARITY, TEXT_SHINGLE = 0.8, 5
 #: Of 16 bands of 5 minima one is equal with a probability of 0.998 at a similarity of 0.8.
 MINIMA_BANDS, MINIMA_ROWS = 16, 5
+#: Members of a bucket, and shingles of theirs, that one salt holds; a block has two salts.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -291,20 +293,30 @@ def _band_keys(shingle: int, bands: int, per: int):
             for i in range(per):
                 keys = mix(keys + low[:, :, i] + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
             flat = pa.array(keys.ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)], ["node", "keys"])
+            sets = _sets(h, row, batch.num_rows)
+            same = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(same.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), lists], ["node", "same", "size", "keys"])
 
     return run
 
 
+def _sets(h: np.ndarray, row: np.ndarray, rows: int) -> list[np.ndarray]:
+    """The distinct shingles of each row, in order."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, row = h[keep], row[keep]
+    ends = np.searchsorted(row, np.arange(rows + 1))
+    return [h[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def _similar(shingle: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks([batch], "text_a"):
-                sets = []
-                for side in ("text_a", "text_b"):
-                    h, row = shingles(*raw(part.column(side)), shingle)
-                    ends = np.searchsorted(row, np.arange(part.num_rows + 1))
-                    sets.append([np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:])])
+                sets = [_sets(*shingles(*raw(part.column(side)), shingle), part.num_rows) for side in ("text_a", "text_b")]
                 keep = []
                 for x, y in zip(*sets):
                     common = len(np.intersect1d(x, y, assume_unique=True))
@@ -314,25 +326,95 @@ def _similar(shingle: int, least: float):
     return run
 
 
-def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """Groups of near-duplicate texts: (node, root), node the xxhash64 of a text, for each text but those that stand alone."""
+def block_pairs(sets: list[np.ndarray], labels: np.ndarray, salts: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join what ``labels`` keeps apart, as all pairs would; between the salts if there are two."""
+    size = np.array([len(x) for x in sets], np.int64)
+    first = np.append(0, np.cumsum(size))
+    owner = np.repeat(np.arange(len(sets)), size)
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    mine, labels, cross, out = np.zeros(len(values), bool), labels.copy(), salts.min() != salts.max(), []
+    for i in range(len(sets) - 1):
+        open_ = labels[i + 1 :] != labels[i]
+        if cross:
+            open_ &= salts[i + 1 :] != salts[i]
+        if not open_.any():
+            continue
+        mine[at[first[i] : first[i + 1]]] = True
+        rest = slice(first[i + 1], None)
+        common = np.bincount(owner[rest][mine[at[rest]]] - i - 1, minlength=len(open_))
+        mine[at[first[i] : first[i + 1]]] = False
+        for j in (i + 1 + np.flatnonzero(open_ & (common >= least * (size[i] + size[i + 1 :] - common)))).tolist():
+            if labels[j] != labels[i]:
+                out.append((i, j))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def _compared(shingle: int, least: float):
+    """Rows come by block; a block's shingle sets are held together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, sets = None, [], []
+
+        def out() -> pa.RecordBatch:
+            node, label, salt = (np.array(x, np.int64) for x in zip(*held))
+            found = np.array(block_pairs(sets, label, salt, least), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
+
+        for batch in chunks(batches):
+            some = _sets(*shingles(*raw(batch.column("text")), shingle), batch.num_rows)
+            block, *rest = (batch.column(c).to_pylist() for c in ("block", "node", "label", "salt"))
+            for key, item, shingles_ in zip(block, zip(*rest), some):
+                if key != current and held:
+                    yield out()
+                    held, sets = [], []
+                current = key
+                held.append(item)
+                sets.append(shingles_)
+        if held:
+            yield out()
+
+    return run
+
+
+def _labelled(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Groups of near-duplicate texts: (node, root), node the xxhash64 of a text, for each text but those that stand alone.
+
+    Texts of equal shingle sets are one. Each bucket's members are first compared with its smallest and largest; where that
+    leaves other members in more than one component, all of these are compared with each other, in blocks of pairs of salts.
+    """
     limit_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    keys, _ = written(texts.mapInArrow(_band_keys(shingle, MINIMA_BANDS, MINIMA_ROWS), "node bigint, keys array<bigint>").dropDuplicates(["node"]), "minima")
+    keys, _ = written(texts.mapInArrow(_band_keys(shingle, MINIMA_BANDS, MINIMA_ROWS), "node bigint, same bigint, size bigint, keys array<bigint>").dropDuplicates(["node"]), "minima")
     prints, _ = written(texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(_prints(shingle, SEED), "doc_id bigint, fp bigint").withColumnRenamed("doc_id", "node").distinct(), "prints")
-    spread = keys.select("node", F.explode("keys").alias("key"))
-    ends = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    near = spread.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
+    firsts = keys.groupBy("same").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    equal, _ = written(keys.select("node", "same").join(firsts, "same").filter("node <> first").select("node", "first"), "equal")
+    buckets = keys.join(equal, "node", "left_anti").select("node", F.explode("keys").alias("bucket"))
+    ends, _ = written(buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high"), "ends")
+    near = buckets.join(ends, "bucket").select("node", F.explode(F.array("low", "high")).alias("other"))
     heads = prints.groupBy("fp").agg(F.min("node").alias("low"))
     by_code = links(heads.select("fp"), radius)
     linked = by_code.join(heads.select(F.col("fp").alias("a"), F.col("low").alias("node")), "a").join(heads.select(F.col("fp").alias("b"), F.col("low").alias("other")), "b").select("node", "other")
-    equal = prints.join(heads, "fp").select("node", F.col("low").alias("other"))
-    pairs = near.union(linked).union(equal).filter("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    copies = prints.join(heads, "fp").select("node", F.col("low").alias("other"))
+    pairs = near.union(linked).union(copies).filter("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
     pairs, _ = written(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     found, _ = written(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    stars, _ = components(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a bigint, b bigint"))
+    stars, _ = components(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a bigint, b bigint").union(equal))
+    # What only an end of a bucket was compared with so far, and isn't linked: all of it is compared.
+    inner = _labelled(buckets.join(ends.filter("n > 3"), "bucket").filter("node <> low AND node <> high").select("bucket", "node"), stars)
+    open_ = inner.join(keys.select("node", "size"), "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("size")).filter("low < high")
+    open_ = open_.select("bucket", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("bigint").alias("salts"))
+    dealt = inner.join(open_, "bucket").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("salts")))
+    blocks = F.expr("transform(sequence(0L, salts - 1), q -> least(salt, q) * salts + greatest(salt, q))")
+    members, _ = written(dealt.select("node", "label", "salt", "bucket", F.explode(blocks).alias("block")).select("node", "label", "salt", F.xxhash64("bucket", "block").alias("block")), "members")
+    rest = members.join(found, "node").repartition("block").sortWithinPartitions("block")
+    stars, _ = components(stars.select("a", "b").union(rest.mapInArrow(_compared(shingle, similarity), "a bigint, b bigint")))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

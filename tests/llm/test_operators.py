@@ -410,6 +410,25 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] is None, r["text"]) for r in simhash.keep_one(repeated).collect()) == [(False, "a b c d e f"), (True, "q")]
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 40])
+def test_near_texts_of_a_hub(spark, block):
+    rng = np.random.default_rng(16)
+    base = prose(rng, 304, 1 << 40).split()
+    copies = []
+    for _ in range(400):  # 0.85 from the base, 0.71 from each other
+        v = list(base)
+        for k in rng.permutation(50)[:5]:
+            v[6 * int(k) + 5] = f"x{int(rng.integers(1 << 40))}"
+        copies.append(" ".join(v))
+    texts = [*copies[:200], " ".join(base), *copies[200:], " ".join(base).upper(), prose(rng, 60, 1 << 40)]
+    sets = [shingle_set(t) for t in texts]
+    label = classes(len(texts), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    assert len(set(label)) == 2
+    nodes = [(xxhash.xxh64_intdigest(text_of(t), 42) + (1 << 63)) % (1 << 64) - (1 << 63) for t in texts]
+    groups = {r["node"]: r["root"] for r in simhash.near_texts(frame(spark, texts), block=block).collect()}
+    assert classes(len(texts), lambda i, j: groups.get(nodes[i], i) == groups.get(nodes[j], j)) == label
+
+
 # line dedup
 
 
