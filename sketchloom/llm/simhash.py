@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 # Near-duplicate texts: at five words and a similarity of 0.8, fingerprints of 64 bits differ in about ten, which no
 # division into bands can search without pairing nearly everything. So the links above are joined by candidates from
-# minima of shingle hashes, and every candidate of either kind is compared in full.
+# minima of shingle hashes, and every candidate of either kind is compared in full, unless both texts are in one
+# component already.
 
 SIMILARITY, TEXT_SHINGLE = 0.8, 5
 #: Of 16 bands of 5 minima one is equal with a probability of 0.998 at a similarity of 0.8.
@@ -393,14 +394,17 @@ def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHING
     prints, _ = written(texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(_prints(shingle, SEED), "doc_id bigint, fp bigint").withColumnRenamed("doc_id", "node").distinct(), "prints")
     firsts = keys.groupBy("same").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
     equal, _ = written(keys.select("node", "same").join(firsts, "same").filter("node <> first").select("node", "first"), "equal")
-    buckets = keys.join(equal, "node", "left_anti").select("node", F.explode("keys").alias("bucket"))
+    by_minima = keys.join(equal, "node", "left_anti").select("node", F.explode("keys").alias("bucket"))
+    # Two codes within the radius are in one component of a band bucket, whose root so names a bucket that holds both.
+    codes = prints.join(equal, "node", "left").select(F.coalesce("first", "node").alias("node"), "fp").distinct()
+    heads = codes.groupBy("fp").agg(F.count("*").alias("n"))
+    forest, _ = written(links(heads.select("fp"), radius), "links")
+    grouped = forest.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(forest.select(F.col("b").alias("fp"), F.col("b").alias("root"))).union(heads.filter("n > 1").select("fp", F.col("fp").alias("root"))).distinct()
+    by_code = codes.join(grouped, "fp").select("node", F.xxhash64(F.lit("code"), "root").alias("bucket"))
+    buckets, _ = written(by_minima.union(by_code), "buckets")
     ends, _ = written(buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high"), "ends")
     near = buckets.join(ends, "bucket").select("node", F.explode(F.array("low", "high")).alias("other"))
-    heads = prints.groupBy("fp").agg(F.min("node").alias("low"))
-    by_code = links(heads.select("fp"), radius)
-    linked = by_code.join(heads.select(F.col("fp").alias("a"), F.col("low").alias("node")), "a").join(heads.select(F.col("fp").alias("b"), F.col("low").alias("other")), "b").select("node", "other")
-    copies = prints.join(heads, "fp").select("node", F.col("low").alias("other"))
-    pairs = near.union(linked).union(copies).filter("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    pairs = near.filter("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
     pairs, _ = written(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     found, _ = written(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")

@@ -410,8 +410,11 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] is None, r["text"]) for r in simhash.keep_one(repeated).collect()) == [(False, "a b c d e f"), (True, "q")]
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 40])
-def test_near_texts_of_a_hub(spark, block):
+@pytest.mark.parametrize("block, radius", [(simhash.BLOCK, 3), (40, 3), (40, 20)])
+def test_near_texts_of_a_hub(spark, monkeypatch, block, radius):
+    if radius > 3:  # by fingerprints alone: minima of which all must be equal find nothing
+        monkeypatch.setattr(simhash, "MINIMA_BANDS", 1)
+        monkeypatch.setattr(simhash, "MINIMA_ROWS", 200)
     rng = np.random.default_rng(16)
     base = prose(rng, 304, 1 << 40).split()
     copies = []
@@ -425,7 +428,7 @@ def test_near_texts_of_a_hub(spark, block):
     label = classes(len(texts), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
     assert len(set(label)) == 2
     nodes = [(xxhash.xxh64_intdigest(text_of(t), 42) + (1 << 63)) % (1 << 64) - (1 << 63) for t in texts]
-    groups = {r["node"]: r["root"] for r in simhash.near_texts(frame(spark, texts), block=block).collect()}
+    groups = {r["node"]: r["root"] for r in simhash.near_texts(frame(spark, texts), radius=radius, block=block).collect()}
     assert classes(len(texts), lambda i, j: groups.get(nodes[i], i) == groups.get(nodes[j], j)) == label
 
 
