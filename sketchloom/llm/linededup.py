@@ -168,11 +168,13 @@ def align(later: Text, earlier: Text, least: int = SPAN) -> list[tuple[int, int]
     shared = [(p, h) for p, h in later.lines if h in earlier.by]
     found: list[tuple[int, int]] = []
     covered = np.zeros(len(a) + 1, bool)
+    grown: dict[int, int] = {}
 
     def grow(i: int, j: int) -> None:
-        if covered[i]:
+        if i < grown.get(j - i, 0):  # pairs of a distance come in order: this one is in the block of the one before
             return
         lo, hi = _same(a, i, b, j, -1), _same(a, i, b, j, 1)
+        grown[j - i] = i + hi
         if lo + hi >= least:
             found.append((i - lo, i + hi))
             covered[i - lo : i + hi] = True
@@ -181,9 +183,12 @@ def align(later: Text, earlier: Text, least: int = SPAN) -> list[tuple[int, int]
     chain = _chain(once)
     for i, j in chain:
         grow(i, j)
-    for i, j in once:  # what was moved: pairs off the chain grow blocks of their own
-        grow(i, j)
-    if any(not covered[p] and (len(later.by[h]) > 1 or len(earlier.by[h]) > 1) for p, h in shared):
+    grown.clear()
+    on = set(chain)
+    for i, j in once:  # what was moved: pairs off the chain grow blocks of their own, which may overlap those found
+        if (i, j) not in on:
+            grow(i, j)
+    if not covered[: len(a)].all() and any(len(later.by[h]) > 1 or len(earlier.by[h]) > 1 for _, h in shared):
         # repeated lines have no one partner: all spans of the least length are looked up at once
         spans = rolling(mix(a.astype(np.uint64)), least)
         hit = np.flatnonzero(np.isin(spans, rolling(mix(b.astype(np.uint64)), least)))

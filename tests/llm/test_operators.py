@@ -461,6 +461,17 @@ def test_line_dedup(spark):
         seen.update(windows)
 
 
+def test_blocks_that_overlap_in_the_later_text():
+    rng = np.random.default_rng(17)
+    made = lambda words: linededup.Text(words, *linededup.line_hashes(words))
+    for _ in range(300):
+        a, b, c, x, y = (rng.integers(0, 1 << 31, n).astype(np.uint32) for n in (40, 30, 25, 60, 20))
+        later, earlier = np.concatenate([y, a, b, c, y + 1]), np.concatenate([a, b, x, b, c])
+        windows = {earlier[k : k + 50].tobytes() for k in range(len(earlier) - 49)}
+        repeated = {k + n for k in range(len(later) - 49) if later[k : k + 50].tobytes() in windows for n in range(50)}
+        assert {k for i, j in linededup.align(made(later), made(earlier)) for k in range(i, j)} == repeated
+
+
 def test_line_dedup_of_odd_rows(spark):
     t = " ".join(f"u{i}" for i in range(80))
     rows = spark.createDataFrame([(None, t), (2, t), (2, t), (3, t + " tail"), (1, None)], "doc_id bigint, text string")
