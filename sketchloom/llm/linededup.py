@@ -8,9 +8,11 @@ two documents that share so long a span share a line, wherever it stands.
 
 Every line hash has an owner, the first document (by id) that has the line, and
 a document is paired, for each of its lines, with the owner and with the holder
-just before it. A rare line so pairs the documents that share it; a frequent one
-makes two pairs for each document, never all pairs, and none is left out. (The
-holder before is the one more likely to share the line's surroundings too.) Each
+just before it. That is every earlier holder of a line that has three at most.
+Around a line of more holders all spans of ``SPAN`` words are counted by hash,
+and a document is paired with the first document that has the span too, so
+every repeated span has a partner without all pairs of a frequent line; a copy
+of an earlier text is paired with the first one instead. Each
 pair is aligned by patience diff: lines
 that occur once in either are matched along the longest chain that keeps their
 order and grown word by word into blocks, then those that were moved; where
@@ -216,6 +218,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row[keep])), pa.array(hashes[keep].view(np.int64))], ["doc", "line"])
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct spans of the least length that hold one of a text's frequent lines."""
+    for batch in batches:
+        for part in chunks([batch]):
+            frequent, at = part.column("frequent").flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(part.column("frequent")).to_numpy()))
+            out = []
+            for i, (_, words, places, hashes) in enumerate(parsed(part.column("text"))):
+                n = max(0, len(words) - SPAN + 1)
+                p = places[np.isin(hashes.view(np.int64), frequent[at[i] : at[i + 1]])]
+                inside = np.zeros(n + 1, np.int64)
+                np.add.at(inside, np.minimum(np.maximum(p - (SPAN - HEAD), 0), n), 1)
+                np.add.at(inside, np.minimum(p + 1, n), -1)
+                out.append(np.unique(rolling(mix(words.astype(np.uint64)), SPAN)[np.cumsum(inside[:n]) > 0]))
+            row = pa.array(np.repeat(np.arange(len(out)), [len(x) for x in out]))
+            yield pa.RecordBatch.from_arrays([part.column("doc").take(row), part.column("own").take(row), pa.array(np.concatenate(out).view(np.int64))], ["doc", "own", "span"])
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks([batch]):
@@ -360,11 +379,21 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     base = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
     lines, _ = written(base.mapInArrow(_lines, "doc bigint, line bigint"), "lines")
     owners = lines.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("owner < last")
-    owners = owners.select("line", "owner", F.ceil(F.col("n") / HOLDERS).cast("bigint").alias("salts"))
+    owners = owners.select("line", "owner", F.ceil(F.col("n") / HOLDERS).cast("bigint").alias("salts"), F.expr("n > 3").alias("many"))
     holders = lines.join(owners, "line").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")))
     last = F.lag("doc").over(Window.partitionBy("line", "salt").orderBy("doc"))
-    pairs = holders.withColumn("last", last).select("doc", F.explode(F.array("owner", "last")).alias("owner")).filter("owner < doc").distinct()
-    pairs, _ = written(pairs, "pairs")
+    pairs = holders.withColumn("last", last).select("doc", F.explode(F.array("owner", "last")).alias("owner")).filter("owner < doc")
+    # Texts that aren't copies of earlier ones, and whether they stand for their id; copies meet the first one.
+    texts = base.select("doc", F.xxhash64("text").alias("rank")).distinct()
+    shown, _ = written(texts.groupBy("doc").agg(F.min("rank").alias("rank")), "shown")
+    firsts = shown.groupBy("rank").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("rank", "first")
+    copies, _ = written(texts.join(firsts, "rank").filter("first < doc").select("doc", "rank", F.col("first").alias("owner")), "copies")
+    frequent = lines.join(owners.filter("many").select("line"), "line").groupBy("doc").agg(F.collect_list("line").alias("frequent"))
+    ranked = base.withColumn("rank", F.xxhash64("text")).join(copies, ["doc", "rank"], "left_anti").join(shown.withColumnRenamed("rank", "shown"), "doc")
+    spans, _ = written(ranked.select("doc", "text", F.expr("rank = shown").alias("own")).join(frequent, "doc").mapInArrow(_spans, "doc bigint, own boolean, span bigint"), "spans")
+    first = spans.groupBy("span").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("span", "owner")
+    exact = spans.join(first, "span").filter("owner < doc").select("doc", "owner")
+    pairs, _ = written(pairs.union(copies.select("doc", "owner")).union(exact).distinct(), "pairs")
     owners = pairs.select(F.col("owner").alias("doc")).distinct()
     texts = base.join(F.broadcast(owners), "doc", "left_semi") if owners.count() <= BROADCAST_OWNERS else base
     words = texts.withColumn("rank", F.xxhash64("text")).mapInArrow(_words, "doc bigint, rank bigint, words binary")
