@@ -1,9 +1,9 @@
 """Packing by lexical retrieval: a sharded BM25 index fills windows with neighbours.
 
 Documents are dealt to shards by a hash of id and text; a shard's inverted index
-maps hashed words to postings with BM25 weights, whose document frequencies and
+maps words to postings with BM25 weights, whose document frequencies and
 mean length are those of all documents. A seed document starts a window; the
-rest of the window is filled with the unused documents that its rarest words
+rest of the window is filled with the unused documents that all of its words
 rank highest, or the next unused ones where none shares a word. What doesn't fit
 is cut, and the remainder starts the next window as its seed. Only the last
 window of a shard is not full.
@@ -34,21 +34,29 @@ from sketchloom.llm.tokens import encoder
 
 WINDOW = 1024
 TERMS = 1 << 18
-QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 SHARD_BYTES = 6 << 20
+#: Words that at least one in so many documents of a block has are scored by whole rows instead of postings.
+DENSE = 8
 
 _TABLE = word_table()
 
 
+def _bin(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(46)).astype(np.int64)
+
+
+def _counted(row: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key = row.astype(np.int64) * terms + term
+    key.sort()
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[at] // terms, key[at] % terms, np.diff(np.append(at, len(key)))
+
+
 def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows, terms (each once a row, by row) and counts; words of each row."""
     w = words_of(data, offsets, _TABLE)
-    key = w.row.astype(np.int64) * TERMS + (w.hash >> np.uint64(46)).astype(np.int64)
-    key.sort()
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    tf = np.diff(np.append(at, len(key)))
-    return key[at] // TERMS, key[at] % TERMS, tf, np.bincount(w.row, minlength=len(offsets) - 1)
+    return *_counted(w.row, _bin(w.hash), TERMS), np.bincount(w.row, minlength=len(offsets) - 1)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +87,11 @@ class Shard:
     """A BM25 inverted index over the texts of a block; ``neighbours`` ranks unused documents."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, mean: float):
-        row, term, tf, length = terms_of(data, offsets)
+        w = words_of(data, offsets, _TABLE)
         self.n = n = len(offsets) - 1
+        real, word = np.unique(w.hash, return_inverse=True)
+        length, idf = np.bincount(w.row, minlength=n), idf[_bin(real)]
+        row, term, tf = _counted(w.row, word, max(1, len(real)))
         weight = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))).astype(np.float32) * idf[term]
         order = np.sort(term << 32 | np.arange(len(term))) & 0xFFFFFFFF  # by term, then by row
         self.doc, self.weight = row[order], weight[order]
@@ -92,18 +103,23 @@ class Shard:
         slot[order] = np.cumsum(new) - 1
         shared = size[slot] > 1  # words of one document alone lead nowhere
         self.row_first = np.searchsorted(row[shared], np.arange(n + 1))
-        self.slot, self.at, self.size, self.rarity = slot[shared], at, size, idf[ordered[at]]
+        self.slot, self.at, self.size = slot[shared], at, size
+        wide = np.flatnonzero((size > 1) & (size * DENSE >= n))
+        self.dense, self.whole = np.full(len(at), -1), np.zeros((len(wide), n), np.float32)
+        self.dense[wide] = np.arange(len(wide))
+        places = spread(at[wide], size[wide])
+        self.whole[np.repeat(np.arange(len(wide)), size[wide]), self.doc[places]] = self.weight[places]
         self.used = np.zeros(n, bool)
         self.free = 0
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents by score, then the others in order; each is marked as used when it is given."""
         slots = self.slot[self.row_first[seed] : self.row_first[seed + 1]]
-        if len(slots) > QUERY_TERMS:
-            slots = slots[np.argpartition(-self.rarity[slots], QUERY_TERMS)[:QUERY_TERMS]]
         if len(slots):
-            at = spread(self.at[slots], self.size[slots])
-            score = np.bincount(self.doc[at], self.weight[at], self.n)
+            dense = self.dense[slots]
+            few = slots[dense < 0]
+            at = spread(self.at[few], self.size[few])
+            score = np.bincount(self.doc[at], self.weight[at], self.n) + self.whole[dense[dense >= 0]].sum(axis=0)
             score[self.used] = 0
             while score[best := int(score.argmax())] > 0:  # the first of equal ones
                 score[best] = 0

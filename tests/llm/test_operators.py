@@ -618,6 +618,18 @@ def test_neighbours_share_words():
     assert order == [0, 2, 1, 3, 4]
 
 
+def test_all_words_of_a_seed_count():
+    rare, plain = [f"rare{i}" for i in range(20)], [f"plain{i}" for i in range(10)]
+    texts = [" ".join(rare + plain), "none", " ".join(plain), " ".join(rare)]
+    idf = np.ones(packing.TERMS, np.float32)
+    idf[packing.terms_of(*raw(pa.array([" ".join(rare)])))[1]] = 5
+    for more in ([], ["other"] * 40):  # words of whole rows, and of postings
+        shard = packing.Shard(*raw(pa.array([*texts, *more])), idf, 20.0)
+        shard.used[0] = True
+        near = shard.neighbours(0)
+        assert [next(near) for _ in range(3)] == [3, 2, 1]
+
+
 def test_repeated_rows_are_packed_each(spark):
     rows = spark.createDataFrame([(1, "same text")] * 50 + [(None, "other")], "doc_id bigint, text string")
     got = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.json"), shard_bytes=64).collect()
