@@ -389,8 +389,10 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     firsts = shown.groupBy("rank").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("rank", "first")
     copies, _ = written(texts.join(firsts, "rank").filter("first < doc").select("doc", "rank", F.col("first").alias("owner")), "copies")
     frequent = lines.join(owners.filter("many").select("line"), "line").groupBy("doc").agg(F.collect_list("line").alias("frequent"))
-    ranked = base.withColumn("rank", F.xxhash64("text")).join(copies, ["doc", "rank"], "left_anti").join(shown.withColumnRenamed("rank", "shown"), "doc")
-    spans, _ = written(ranked.select("doc", "text", F.expr("rank = shown").alias("own")).join(frequent, "doc").mapInArrow(_spans, "doc bigint, own boolean, span bigint"), "spans")
+    gone = copies.groupBy("doc").agg(F.collect_set("rank").alias("gone"))
+    about = frequent.join(shown.withColumnRenamed("rank", "shown"), "doc").join(gone, "doc", "left")
+    ranked = base.withColumn("rank", F.xxhash64("text")).join(about, "doc").filter("gone IS NULL OR NOT array_contains(gone, rank)")
+    spans, _ = written(ranked.select("doc", "text", F.expr("rank = shown").alias("own"), "frequent").mapInArrow(_spans, "doc bigint, own boolean, span bigint"), "spans")
     first = spans.groupBy("span").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("span", "owner")
     exact = spans.join(first, "span").filter("owner < doc").select("doc", "owner")
     pairs, _ = written(pairs.union(copies.select("doc", "owner")).union(exact).distinct(), "pairs")
