@@ -104,7 +104,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenfile.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
+    path = tokenfile.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return tokenfile.read_tokens(spark, path)
 
 

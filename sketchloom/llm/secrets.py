@@ -8,11 +8,16 @@ literal that reaches a target is scored: the sensitivity of the target's name
 times the strength of the whole value. Literals of at least ``THRESHOLD`` become
 spans of kind ``literal``.
 
-Scale: one pass, no shuffle, a text at a time. Spans are code points, end
-exclusive.
-
-Defined cases: null and empty texts have no spans; repeated rows give equal
-results each; equal spans of a kind count once.
+Scale: one pass, no shuffle, a text at a time, and time that grows with a text
+as its length does: a name is only tried where a run of name characters begins,
+and a bound value is kept as counts of its characters and references to what it
+was put together from, never as a copy. Spans are code points, end exclusive.
+
+Defined cases: null and empty texts have no spans; texts of any length are read
+whole; a value of any length and of any number of literals is bound, and a name
+stands for its latest value; repeated rows give equal results each; equal spans
+of a kind count once; further columns are left out; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -36,7 +41,8 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 _WORDS = ("passw", "secret", "token", "api")
 
 _TERM = r""""[^"\n]*"|'[^'\n]*'|`[^`\n]*`|[^\s"'`+#;,(){}\[\]]+"""
-_PAIR = re.compile(rf"""([A-Za-z_][A-Za-z0-9_.\-]*)["']?[ \t]*(?::=|=>|=(?![=~])|:)[ \t]*((?:{_TERM})(?:[ \t]*\+[ \t]*(?:{_TERM}))*)""")
+#: A name is what is left of a run of name characters after those that can't begin one.
+_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(?::=|=>|=(?![=~])|:)[ \t]*+((?:{_TERM})(?:[ \t]*\+[ \t]*(?:{_TERM}))*)""")
 _PART = re.compile(_TERM)
 _NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?")
 
@@ -51,13 +57,38 @@ def sensitivity(name: str) -> float:
     return max((w for part, w in SENSITIVE.items() if part in plain), default=0.0)
 
 
-def strength(value: str) -> float:
-    """0 to 1: by length and by the entropy of the characters."""
-    n = len(value)
-    if n < 6 or any(c.isspace() for c in value):
-        return 0.0
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    return min(1.0, n / 16) * min(1.0, entropy / 3)
+#: Character counts are scaled down beyond this, as values that double themselves again and again would grow without end.
+_MANY = 1e12
+
+
+class Value:
+    """What a name is bound to: how often it has each character, whether one is white space, and where its literals are."""
+
+    def __init__(self) -> None:
+        self.counts: Counter = Counter()
+        self.blank = False
+        self.spans: list[tuple[int, int]] = []
+        self.parts: list[Value] = []
+
+    def literal(self, text: str, start: int) -> None:
+        self.counts.update(text)
+        self.blank |= any(c.isspace() for c in text)
+        self.spans.append((start, start + len(text)))
+
+    def constant(self, other: Value) -> None:
+        self.counts.update(other.counts)
+        self.blank |= other.blank
+        self.parts.append(other)
+        if (n := self.counts.total()) > _MANY:
+            self.counts = Counter({c: k * _MANY / n for c, k in self.counts.items()})
+
+    def strength(self) -> float:
+        """0 to 1: by length and by the entropy of the characters."""
+        n = self.counts.total()
+        if n < 6 or self.blank:
+            return 0.0
+        entropy = -sum(k / n * math.log2(k / n) for k in self.counts.values() if k)
+        return min(1.0, n / 16) * min(1.0, entropy / 3)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,37 +103,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans of the literals in it) of each assignment, constants put in."""
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of each assignment, constants put in."""
+    known: dict[str, Value] = {}
     if "=" not in text and ":" not in text:
         return
     for m in _PAIR.finditer(text):
-        value, spans = "", []
+        value = Value()
         for part in _PART.finditer(text, m.start(2), m.end(2)):
             shown, name = part[0], _NAME.fullmatch(part[0])
             if shown[0] in "\"'`":
-                value += shown[1:-1]
-                spans.append((part.start() + 1, part.end() - 1))
+                value.literal(shown[1:-1], part.start() + 1)
             elif name and name[1] in known:
-                value += known[name[1]][0]
-                spans += known[name[1]][1]
+                value.constant(known[name[1]])
             else:
-                value += shown
-                spans.append(part.span())
-        # what one text can bind is bounded: a value that doubles itself again and again is kept as it was
-        if len(value) <= 10_000 and len(spans) <= 100:
-            known[m[1]] = (value, tuple(spans))
-        yield m[1], value, spans
+                value.literal(shown, part.start())
+        known[m[1]] = value
+        yield m[1], value
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """Spans of the literals that reach sensitive names."""
-    out = set()
-    for name, value, spans in pairs(text):
+    out: set[tuple[int, int, int]] = set()
+    told: set[int] = set()  # values whose spans are in ``out``; ``kept`` holds them, so that no other gets their number
+    kept = []
+    for name, value in pairs(text):
         weight = sensitivity(name)
-        if weight and weight * strength(value) >= threshold:
-            out.update((3, a, b) for a, b in spans if b > a)
+        if weight and weight * value.strength() >= threshold:
+            kept.append(value)
+            left = [value]
+            while left:
+                one = left.pop()
+                if id(one) not in told:
+                    told.add(id(one))
+                    out.update((3, a, b) for a, b in one.spans if b > a)
+                    left += one.parts
     return sorted(out)
 
 

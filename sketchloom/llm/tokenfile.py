@@ -25,8 +25,10 @@ position of a document is its place in the container, plus ``start`` within the
 partition, plus the ids of all earlier partitions. Only those totals, one number
 a partition, and the dictionary reach the driver.
 
-Defined cases: null text is empty; null ids come first; repeated rows are
-written each; an empty table gives an empty dataset.
+Defined cases: null text is empty; texts of any length are one frame; null ids
+come first; repeated rows, and rows of one id, are written each; an id that the
+width can't hold is an error, not another id; further columns are left out; an
+empty table gives an empty dataset.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ from sketchloom.llm.textkit import chunks, pick, shared_dir
 from sketchloom.llm.tokens import encoder
 
 MAGIC, END = b"LOOMIDS1", b"LOOMEND1"
-#: The dictionary is trained on this many documents at most, of this many characters at most, the first by a hash of id and text.
+#: The dictionary is trained on this many documents at most, the first by a hash of id and text, of each on this many characters at most.
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 1000, 20_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
@@ -134,6 +136,8 @@ def _writer(tokenizer: str, end_id: int | None, width: int, dictionary):
         held = 0
         for batch in chunks(batches, most=4 << 20):
             flat, length = coder.encode(batch.column("text"))
+            if len(flat) and int(flat.max()) >> 8 * width:
+                raise ValueError(f"id {flat.max()} doesn't fit into {width} bytes")
             data = flat.astype(f"<u{width}").tobytes()
             at = 0
             for key, n in zip(batch.column("doc_id").to_pylist(), length.tolist()):
@@ -154,18 +158,19 @@ def _writer(tokenizer: str, end_id: int | None, width: int, dictionary):
 _ROWS = "part bigint, seq bigint, first_id bigint, documents bigint, tokens bigint, start bigint, container binary"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *, doc_id: str = "doc_id", text: str = "text", end_id: int | None = None, vocabulary: int = 1 << 16) -> str:
-    """Encode and write all documents in ascending id order; returns the dataset's path."""
+def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *, doc_id: str = "doc_id", text: str = "text", end_id: int | None = None) -> str:
+    """Encode and write all documents in ascending id order; returns the dataset's path. The tokenizer's largest id decides how wide ids are."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    width = 2 if vocabulary <= 1 << 16 else 4
+    coder = encoder(tokenizer)
+    width = 2 if max(coder.largest_id(), end_id or 0) < 1 << 16 else 4
     order = F.xxhash64("doc_id", "text")
-    # the hashes alone are ranked; texts reach the driver only for those below the last of them
-    short = docs.filter(F.length("text") <= SAMPLE_CHARACTERS).withColumn("rank", order)
-    ranks = [r["rank"] for r in short.select("rank").orderBy("rank").limit(SAMPLE_DOCUMENTS).collect()]
-    sample = [r["text"] for r in short.filter(F.col("rank") <= ranks[-1]).select("text").limit(SAMPLE_DOCUMENTS).collect()] if ranks else []
-    flat, length = encoder(tokenizer).encode(sample)
+    # the hashes alone are ranked; texts reach the driver only for those up to the last of them
+    ranked = docs.withColumn("rank", order)
+    ranks = [r["rank"] for r in ranked.select("rank").orderBy("rank").limit(SAMPLE_DOCUMENTS).collect()]
+    sample = [r["text"] for r in ranked.filter(F.col("rank") <= ranks[-1]).select(F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).limit(SAMPLE_DOCUMENTS).collect()] if ranks else []
+    flat, length = coder.encode(sample)
     ends = np.cumsum(length)
     plain = train([flat[b - n : b].astype(f"<u{width}").tobytes() for b, n in zip(ends, length) if n])
     spark.createDataFrame([(hashlib.sha256(plain).hexdigest(), bytearray(plain))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")

@@ -15,10 +15,12 @@ bytes that surely are no white space; where in doubt a unit is longer.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import json
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -94,6 +96,18 @@ def _byte_letters() -> dict[int, str]:
     return {code: "".join(shown[b] for b in chr(code).encode()) for code in [32, *range(192, 256)]}
 
 
+@contextlib.contextmanager
+def collector_off() -> Iterator[None]:
+    """Without the garbage collector, which is then as it was before."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Encoder:
     """Ids of texts by a tokenizer file; ``most`` bounds the units that are kept."""
 
@@ -120,12 +134,12 @@ class Encoder:
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
 
+    def largest_id(self) -> int:
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+
     def _learn(self, units: list[str]) -> None:
-        gc.disable()  # the many short lists hold no cycles
-        try:
+        with collector_off():  # the many short lists hold no cycles
             self._add(units)
-        finally:
-            gc.enable()
 
     def _codes(self, units: list[str]) -> list[list[int]]:
         """Ids of each unit; plain words skip the library's normalizers and go to its model at once."""
