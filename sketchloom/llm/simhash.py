@@ -1,31 +1,38 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 Fingerprints: the majority of each of the 64 bits over the XXH64 of all word
-shingles. Two fingerprints with at most r differing bits agree in one of r + 1
-bands at least, so every distinct fingerprint goes to its r + 1 band buckets,
-which are dealt out to the tasks, and no link is lost. Inside a bucket the codes
-are sorted by Gray rank, groups of neighbours become leaves, groups of leaves
-upper nodes, and each node factors out the bits that all of its codes share (a
-mask and a pattern). Pairs of nodes are walked from the top: bits that both
-share and in which they differ accumulate, groups with more than r of them are
-pruned whole; pairs whose codes must all be within r are linked whole; pairs
-that are one component already are skipped. A bucket returns a spanning forest
-instead of pairs, so a dense group of g codes costs g - 1 links. The links'
-components come from alternating stars in DataFrame joins.
+shingles. The distinct fingerprints are dealt out to buckets of about ``BUCKET``
+codes, and each bucket is a hierarchical index: its codes are sorted by Gray
+rank, groups of neighbours become leaves, groups of leaves upper nodes, and each
+node factors out the bits that all of its codes share (a mask and a pattern).
+Pairs of nodes are walked from the top: bits that both share and in which they
+differ accumulate, groups with more than r of them are pruned whole; pairs whose
+codes must all be within r are linked whole; pairs that are one component
+already are skipped. A bucket returns a spanning forest instead of pairs, so a
+dense group of g codes costs g - 1 links. The links' components come from
+alternating stars in DataFrame joins.
+
+Buckets: two fingerprints with at most r differing bits agree in c of r + c
+bands at least. A bucket is a choice of c bands and the top bits of each, as many
+as bring the buckets down to their size, so no link is lost; the number of
+codes, which is counted first, decides the bits and whether c is 1, 2 or 3. Few
+codes are one bucket.
 
 Skew: equal fingerprints are one node, so groups of copies cost one row. A
 bucket of more than ``split`` codes is salted, and each pair of salts is a block
 of its own.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like
-any other; a null id is a document, but never names a component unless all ids
-of it are null; repeated rows give equal results each; an empty table gives no
-rows.
+any other; texts of any length are hashed whole, some shingles at a time; a null
+id is a document, but never names a component unless all ids of it are null;
+repeated rows give equal results each; further columns are left out; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +45,12 @@ from sketchloom.llm.textkit import Carried, Words, chunks, limit_batches, mix, p
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 LEAF, FAN = 16, 8
+#: Codes of a bucket on average, where bands have bits enough for so many buckets.
+BUCKET = 512
 #: Codes of a bucket that one task handles; larger buckets are dealt out in blocks.
 SPLIT = 1 << 17
+#: With more codes a bucket than this on average, one more band has to agree.
+FULL = 1 << 14
 _STEP = 1 << 15
 
 
@@ -154,11 +165,7 @@ def bucket_links(bucket: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     size = np.diff(np.append(first, len(bucket)))
     labels = np.arange(len(codes))
-    small = np.repeat(size <= 4 * LEAF, size)
-    for d in range(1, int(size[size <= 4 * LEAF].max(initial=1))):  # leaves of their own: compared in full, all at once
-        near = np.flatnonzero(small[d:] & (bucket[d:] == bucket[:-d]) & (np.bitwise_count(codes[d:] ^ codes[:-d]) <= radius))
-        labels = merge(labels, near, near + d)
-    for at, n in zip(first[size > 4 * LEAF].tolist(), size[size > 4 * LEAF].tolist()):
+    for at, n in zip(first.tolist(), size.tolist()):
         labels[at : at + n] = at + Index(codes[at : at + n]).groups(radius)
     linked = labels != np.arange(len(labels))
     return codes[linked], codes[labels[linked]]
@@ -191,11 +198,11 @@ def _links(radius: int):
     return run
 
 
-def _prints(shingle: int, seed: int):
+def _prints(shingle: int, seed: int, key: str = "doc_id"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             got = np.array([fingerprint(text_of(t), shingle, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(got.view(np.int64))], [key, "fp"])
 
     return run
 
@@ -205,12 +212,26 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return pick(docs, doc_id=doc_id, text=text).mapInArrow(_prints(shingle, seed), "doc_id bigint, fp bigint")
 
 
-def links(codes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """Links (a, b) that connect the distinct codes ``fp`` as all pairs within ``radius`` would."""
-    bands = radius + 1
-    edge = [64 * i // bands for i in range(bands + 1)]
-    keys = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) * F.lit(bands) + F.lit(i) for i, (lo, hi) in enumerate(zip(edge, edge[1:]))]
-    spread = codes.select("fp", F.explode(F.array(*keys)).alias("band"))
+def bands(count: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
+    """For ``count`` codes: choices of bit ranges (from, to), in one of which any two codes within the radius agree."""
+    if count <= BUCKET:
+        return [[]]
+    for agree in (1, 2, 3):
+        edge = [64 * i // (radius + agree) for i in range(radius + agree + 1)]
+        width = min(b - a for a, b in zip(edge, edge[1:]))
+        if count <= FULL << agree * width or agree == 3:
+            bits = min(width, max(1, -(-(-(-count // BUCKET) - 1).bit_length() // agree)))
+            return [[(hi - bits, hi) for hi in chosen] for chosen in combinations(edge[1:], agree)]
+    raise AssertionError
+
+
+def links(codes: DataFrame, count: int, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """Links (a, b) that connect the ``count`` distinct codes ``fp`` as all pairs within ``radius`` would."""
+    keys = []
+    for i, ranges in enumerate(choices := bands(count, radius)):
+        bits = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in ranges]
+        keys.append(F.xxhash64(F.lit(i), *bits))
+    spread = codes.select("fp", F.explode(F.array(*keys)).alias("band")) if len(choices) > 1 else codes.select("fp", keys[0].alias("band"))
     hot = spread.groupBy("band").count().filter(F.col("count") > split).select("band", F.ceil(F.col("count") / split).cast("bigint").alias("salts"))
     dealt = spread.join(hot, "band", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))))
     others = F.expr("CASE WHEN salts IS NULL THEN array(0L) ELSE transform(sequence(0L, salts - 1), q -> least(salt, q) * salts + greatest(salt, q)) END")
@@ -221,8 +242,8 @@ def links(codes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFra
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
     prints, _ = written(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, seed=seed), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    stars, _ = components(links(nodes.select("fp"), radius, split))
+    nodes, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
+    stars, _ = components(links(nodes.select("fp"), nodes.count(), radius, split))
     grouped = nodes.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.select("fp", "root").join(heads, "root").select("fp", "component_id")
@@ -295,9 +316,9 @@ def _band_keys(shingle: int, bands: int, per: int):
                 keys = mix(keys + low[:, :, i] + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
             flat = pa.array(keys.ravel().view(np.int64))
             sets = _sets(h, row, batch.num_rows)
-            same = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+            same = pa.array([xxhash.xxh128_digest(x.tobytes(), SEED) for x in sets], pa.binary())
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(same.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), lists], ["node", "same", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), same, pa.array([len(x) for x in sets], pa.int64()), lists], ["node", "same", "size", "keys"])
 
     return run
 
@@ -358,9 +379,10 @@ def _compared(shingle: int, least: float):
         current, held, sets = None, [], []
 
         def out() -> pa.RecordBatch:
-            node, label, salt = (np.array(x, np.int64) for x in zip(*held))
-            found = np.array(block_pairs(sets, label, salt, least), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
+            node, label, salt = zip(*held)
+            numbers = {x: i for i, x in enumerate(dict.fromkeys(label))}
+            found = block_pairs(sets, np.array([numbers[x] for x in label]), np.array(salt), least)
+            return pa.RecordBatch.from_arrays([pa.array([node[x[side]] for x in found], pa.binary()) for side in (0, 1)], ["a", "b"])
 
         for batch in chunks(batches):
             some = _sets(*shingles(*raw(batch.column("text")), shingle), batch.num_rows)
@@ -382,52 +404,65 @@ def _labelled(nodes: DataFrame, stars: DataFrame) -> DataFrame:
     return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _node(text: str) -> F.Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+
+
 def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Groups of near-duplicate texts: (node, root), node the xxhash64 of a text, for each text but those that stand alone.
+    """Groups of near-duplicate texts: (node, root), node the md5 of a text, for each text but those that stand alone.
 
-    Texts of equal shingle sets are one. Each bucket's members are first compared with its smallest and largest; where that
-    leaves other members in more than one component, all of these are compared with each other, in blocks of pairs of salts.
+    Copies are put together first, before any exchange; then texts of equal shingle sets are one. Each bucket's members are
+    first compared with its smallest and largest; where that leaves other members in more than one component, all of these
+    are compared with each other, in blocks of pairs of salts.
     """
     limit_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    keys, _ = written(texts.mapInArrow(_band_keys(shingle, MINIMA_BANDS, MINIMA_ROWS), "node bigint, same bigint, size bigint, keys array<bigint>").dropDuplicates(["node"]), "minima")
-    prints, _ = written(texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(_prints(shingle, SEED), "doc_id bigint, fp bigint").withColumnRenamed("doc_id", "node").distinct(), "prints")
+    texts, texts_at = written(docs.select(_node(text).alias("node"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).dropDuplicates(["node"]), "texts")
+    keys, keys_at = written(texts.mapInArrow(_band_keys(shingle, MINIMA_BANDS, MINIMA_ROWS), "node binary, same binary, size bigint, keys array<bigint>"), "minima")
+    prints = texts.mapInArrow(_prints(shingle, SEED, "node"), "node binary, fp bigint")
     firsts = keys.groupBy("same").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    equal, _ = written(keys.select("node", "same").join(firsts, "same").filter("node <> first").select("node", "first"), "equal")
+    equal, equal_at = written(keys.select("node", "same").join(firsts, "same").filter("node <> first").select("node", "first"), "equal")
     by_minima = keys.join(equal, "node", "left_anti").select("node", F.explode("keys").alias("bucket"))
     # Two codes within the radius are in one component of a band bucket, whose root so names a bucket that holds both.
-    codes = prints.join(equal, "node", "left").select(F.coalesce("first", "node").alias("node"), "fp").distinct()
-    heads = codes.groupBy("fp").agg(F.count("*").alias("n"))
-    forest, _ = written(links(heads.select("fp"), radius), "links")
+    codes, codes_at = written(prints.join(equal, "node", "left").select(F.coalesce("first", "node").alias("node"), "fp").distinct(), "prints")
+    heads, heads_at = written(codes.groupBy("fp").agg(F.count("*").alias("n")), "codes")
+    forest, forest_at = written(links(heads.select("fp"), heads.count(), radius), "links")
     grouped = forest.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(forest.select(F.col("b").alias("fp"), F.col("b").alias("root"))).union(heads.filter("n > 1").select("fp", F.col("fp").alias("root"))).distinct()
     by_code = codes.join(grouped, "fp").select("node", F.xxhash64(F.lit("code"), "root").alias("bucket"))
-    buckets, _ = written(by_minima.union(by_code), "buckets")
-    ends, _ = written(buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high"), "ends")
+    buckets, buckets_at = written(by_minima.union(by_code), "buckets")
+    ends, ends_at = written(buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high"), "ends")
     near = buckets.join(ends, "bucket").select("node", F.explode(F.array("low", "high")).alias("other"))
     pairs = near.filter("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    pairs, _ = written(pairs, "pairs")
+    pairs, pairs_at = written(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found, _ = written(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    found, found_at = written(texts.join(wanted, "node", "left_semi"), "texts")
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    stars, _ = components(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a bigint, b bigint").union(equal))
+    stars, stars_at = components(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a binary, b binary").union(equal))
     # What only an end of a bucket was compared with so far, and isn't linked: all of it is compared.
     inner = _labelled(buckets.join(ends.filter("n > 3"), "bucket").filter("node <> low AND node <> high").select("bucket", "node"), stars)
     open_ = inner.join(keys.select("node", "size"), "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("size")).filter("low < high")
     open_ = open_.select("bucket", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("bigint").alias("salts"))
     dealt = inner.join(open_, "bucket").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("salts")))
     blocks = F.expr("transform(sequence(0L, salts - 1), q -> least(salt, q) * salts + greatest(salt, q))")
-    members, _ = written(dealt.select("node", "label", "salt", "bucket", F.explode(blocks).alias("block")).select("node", "label", "salt", F.xxhash64("bucket", "block").alias("block")), "members")
+    members, members_at = written(dealt.select("node", "label", "salt", "bucket", F.explode(blocks).alias("block")).select("node", "label", "salt", F.xxhash64("bucket", "block").alias("block")), "members")
     rest = members.join(found, "node").repartition("block").sortWithinPartitions("block")
-    stars, _ = components(stars.select("a", "b").union(rest.mapInArrow(_compared(shingle, similarity), "a bigint, b bigint")))
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    last, _ = components(stars.select("a", "b").union(rest.mapInArrow(_compared(shingle, similarity), "a binary, b binary")))
+    for path in (texts_at, keys_at, equal_at, codes_at, heads_at, forest_at, buckets_at, ends_at, pairs_at, found_at, stars_at, members_at):
+        drop(docs.sparkSession, path)
+    return last.select(F.col("a").alias("node"), F.col("b").alias("root")).union(last.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the one with the smallest id (nulls first, ties by hash of the text) stays."""
+    """The rows of ``docs`` without near duplicates: of each group the one with the smallest id (nulls first, ties by md5 of the text) stays.
+
+    A text of any length is shingled whole; null and empty texts are copies of each other; of repeated rows one stays;
+    all columns are kept, whatever their names; an empty table gives no rows.
+    """
     groups = near_texts(docs, text=text, shingle=shingle, similarity=similarity, radius=radius)
     carried = Carried(docs)
-    rows = docs.select(*carried.columns, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"), F.col(f"`{doc_id}`").alias("id"))
-    ids = rows.select("node", "id").join(groups, "node", "left")
-    heads = ids.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "node")).alias("head")).select("head.*")
-    kept = rows.join(heads.withColumnRenamed("id", "head"), "node").filter(F.col("id").eqNullSafe(F.col("head")))
+    rows = docs.select(*carried.columns, _node(text).alias("node"), F.col(f"`{doc_id}`").alias("id"))
+    firsts = rows.groupBy("node").agg(F.min(F.struct("id")).alias("first")).join(groups, "node", "left")
+    heads = firsts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first.id", "node")).alias("head"))
+    heads = heads.select(F.col("head.id").alias("head"), F.col("head.node").alias("of"))
+    kept = rows.join(heads, (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("head")), "left_semi")
     return carried.back(kept.dropDuplicates(["node"]))
