@@ -6,29 +6,33 @@ window, and the line's hash is that of its head. Where lines begin depends on
 the words around alone, and any span of ``SPAN`` words holds a whole head, so
 two documents that share so long a span share a line, wherever it stands.
 
-Every line hash has an owner, the first document (by id) that has the line, and
-a document is paired, for each of its lines, with the owner and with the holder
-just before it. That is every earlier holder of a line that has three at most.
-Around a line of more holders all spans of ``SPAN`` words are counted by hash,
-and a document is paired with the first document that has the span too, so
-every repeated span has a partner without all pairs of a frequent line; a copy
-of an earlier text is paired with the first one instead. Each
-pair is aligned by patience diff: lines
-that occur once in either are matched along the longest chain that keeps their
-order and grown word by word into blocks, then those that were moved; where
-repeated lines are left, all spans of the least length are looked up. Blocks of ``SPAN`` words or more are deleted from the later
-document.
-
-Scale: lines are counted with partial aggregation and joined with their owners
-by hash (adaptive execution splits a frequent line's rows); pairs carry 4 bytes
-a word of the earlier document; documents and what they are aligned with meet
-once, in id order, one document and one partner in memory at a time.
+A line that at most three documents have is rare, and its documents are paired
+with each other, the later with the earlier. A line of more documents is
+frequent; around it all spans of ``SPAN`` words are counted by hash, and a
+document is paired with the first document that has the span too. So every
+repeated span has a partner, without all pairs of a frequent line. A copy of an
+earlier text has nothing to be aligned and goes whole. Each pair is aligned by
+patience diff: lines that occur once in either are matched along the longest
+chain that keeps their order and grown word by word into blocks, then those that
+were moved; where repeated lines are left, all spans of the least length are
+looked up. Blocks of ``SPAN`` words or more are deleted from the later document.
+
+Scale: rare lines become pairs in one aggregation, from sums alone; frequent
+lines and spans are counted with partial aggregation. Pairs carry 4 bytes a word
+of the earlier document, and a document that many others are paired with is
+salted, so no task joins more than about ``SALT`` of its pairs. Which texts are
+hashed for that is decided by a bit map of ``FILTER_BITS`` bits over hashes of
+their ids, the same at any size, which may let more texts pass but loses none.
+Documents and what they are aligned with meet once, in id order, one document
+and one partner in memory at a time.
 
 Defined cases: words are those of lower-cased letters and digits, so case and
 punctuation don't hide a repeat; null text stays null; shorter texts and rows
-with a null id are left alone; rows of one id are one document in the order, of
-which the text with the smallest hash stands for it towards later ones; an
-empty table gives no rows.
+with a null id are left alone; texts of any length are read whole, in pieces;
+rows of one id are one document in the order, of which the text with the
+smallest hash stands for it towards later ones; columns named removed and
+n_removed are replaced, all others kept, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from sketchloom.llm.decontam import winnow
-from sketchloom.llm.tables import written
+from sketchloom.llm.tables import drop, written
 from sketchloom.llm.textkit import PIECE_BYTES, chunks, limit_batches, mix, raw, rolling, text_of, word_table, words_of
 
 SPAN = 50
@@ -268,13 +272,21 @@ class _Document:
     def __init__(self) -> None:
         self.texts: dict[bytes, list] = {}
 
-    def add(self, value: str | None, found: tuple) -> None:
-        self.texts.setdefault(text_of(value), [found[0], Text(*found[1:]), [], False])
+    def add(self, value: str | None, rank: bytes, found: tuple) -> None:
+        self.texts.setdefault(text_of(value), [found[0], Text(*found[1:]), [], False, rank])
 
     def meet(self, partner: bytes) -> None:
+        """``partner``: an earlier document as packed words, or the hash of a text of this one that is a copy of an earlier one."""
+        if len(partner) == _RANK:
+            for item in self.texts.values():
+                words = item[1].words
+                if item[4] == partner and len(words) >= SPAN:
+                    item[2].append((0, len(words)))
+                    item[3] = True
+            return
         other = None
         for item in self.texts.values():
-            start, mine, ranges, whole = item
+            _, mine, ranges, whole, _ = item
             if whole:
                 continue
             other = other or Text.packed(partner)
@@ -282,7 +294,7 @@ class _Document:
             item[3] = (0, len(mine.words)) in ranges
 
     def cut(self, value: str | None) -> tuple[str | None, list[tuple[int, int]]]:
-        start, _, ranges, _ = self.texts.get(text_of(value)) or (None, None, [], False)
+        start, _, ranges, _, _ = self.texts.get(text_of(value)) or (None, None, [], False, b"")
         ranges = _union(ranges)
         return (cut(text_of(value), ranges, start).decode("utf-8", "surrogatepass") if ranges else value), ranges
 
@@ -306,14 +318,18 @@ def _delete(names: list[str], text: str):
         return pa.RecordBatch.from_arrays([*(column if c == text else rows.column(c) for c in names), gone, pa.array(count)], [*names, "removed", "n_removed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, document = None, None, _Document()
+        current, held, document = None, [], _Document()  # a document that may go on in the next batch
 
         def finish() -> Iterator[pa.RecordBatch]:
             nonlocal held, document
-            if held is not None:
-                values = held.column(text).to_pylist()
-                yield out(held, {i: document.cut(v) for i, v in enumerate(values)} if document.texts else {})
-            held, document = None, _Document()
+            for part in held:
+                values = part.column(text).to_pylist()
+                yield out(part, {i: document.cut(v) for i, v in enumerate(values)} if document.texts else {})
+            held, document = [], _Document()
+
+        def read(into: _Document, rows: pa.RecordBatch) -> None:
+            for value, rank, found in zip(rows.column(text).to_pylist(), rows.column("__words").to_pylist(), parsed(rows.column(text).cast(pa.string()))):
+                into.add(value, rank, found)
 
         for batch in batches:
             if not batch.num_rows:
@@ -325,40 +341,39 @@ def _delete(names: list[str], text: str):
             bounds = np.append(np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (null[1:] != null[:-1])])), len(keys)).tolist()
             done, changed = [], {}
             ends = list(zip(bounds[:-1], bounds[1:]))
-            some = np.concatenate([np.arange(a, b)[kinds[a:b] == 0] for a, b in ends if b - a > 1 and kinds[a] == 0] or [np.zeros(0, np.int64)])
+            some = np.concatenate([np.arange(a, b)[kinds[a:b] == 0] for a, b in ends if b - a > 1 and kinds[a] == 0 and kinds[b - 1]] or [np.zeros(0, np.int64)])
             ready = dict(zip(some.tolist(), parsed(texts.take(pa.array(some)).cast(pa.string())) if len(some) else ()))
             for at, end in ends:
                 key = None if null[at] else int(keys[at])
-                mine = (at + np.flatnonzero(kinds[at:end] == 0)).tolist() if end - at > 1 else [] if kinds[at] else [at]
-                partners = [i for i in range(at, end) if kinds[i]] if len(mine) < end - at else []
-                if held is not None and key == current:
-                    if mine:  # texts come before partners: more of them means that none has been met
-                        held = pa.Table.from_batches([held, batch.slice(mine[0], len(mine)).select(names)]).combine_chunks().to_batches()[0]
-                    if partners and not document.texts:
-                        for value, found in zip(held.column(text).to_pylist(), parsed(held.column(text).cast(pa.string()))):
-                            document.add(value, found)
-                    for i in partners:
+                split = at + int(np.searchsorted(kinds[at:end], 1))
+                if held and key == current:
+                    if split > at:  # texts come before partners: more of them means that none has been met
+                        held.append(batch.slice(at, split - at))
+                    if split < end and not document.texts:
+                        for part in held:
+                            read(document, part)
+                    for i in range(split, end):
                         document.meet(words[i].as_py())
                     continue
-                if end == len(keys) and key is not None and mine:
+                if end == len(keys) and key is not None and split > at:
                     yield from finish()
-                    current, held = key, batch.slice(mine[0], len(mine)).select(names)
-                    for i in mine if partners else ():
-                        document.add(texts[i].as_py(), ready[i])
-                    for i in partners:
+                    current, held = key, [batch.slice(at, split - at)]
+                    if split < end:
+                        read(document, held[0])
+                    for i in range(split, end):
                         document.meet(words[i].as_py())
                     continue
-                if partners and mine:
+                if at < split < end:
                     here = _Document()
-                    for i in mine:
-                        here.add(texts[i].as_py(), ready[i])
-                    for i in partners:
+                    for i in range(at, split):
+                        here.add(texts[i].as_py(), words[i].as_py(), ready[i])
+                    for i in range(split, end):
                         here.meet(words[i].as_py())
-                    for i in mine:
+                    for i in range(at, split):
                         changed[len(done)] = here.cut(texts[i].as_py())
                         done.append(i)
                 else:
-                    done += mine
+                    done += range(at, split)
             if done:
                 yield out(batch.select(names).take(pa.array(done)), changed)
         yield from finish()
@@ -366,47 +381,74 @@ def _delete(names: list[str], text: str):
     return run
 
 
-#: A line of more documents than this is dealt out in parts of about this size before each looks for the one before it.
-HOLDERS = 4096
-#: Owners up to this many (about 20 MB as a broadcast) are sent to every task, to pick their texts before these are
-#: hashed; beyond it all texts are hashed and the join with the pairs picks.
-BROADCAST_OWNERS = 200_000
+#: A document with more pairs than this is dealt out, with its words, in parts of about this size.
+SALT = 256
+#: Bits of the map that says which texts may be partners; it is broadcast as at most a 64th as many rows.
+FILTER_BITS = 1 << 27
+#: Bytes of a text's hash.
+_RANK = 16
+
+
+def _rank(text: str) -> F.Column:
+    """128 bits that stand for a text; the same bits for equal texts alone."""
+    return F.unhex(F.md5(text))
+
+
+def _marked(ids: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` may be among the distinct ``ids`` (one column, doc): by a bit map over hashes, whose size is bounded."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    at = ids.select(place("doc").alias("at"))
+    bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    placed = rows.withColumn("at", place(column)).withColumn("word", F.shiftright("at", 6))
+    return placed.join(F.broadcast(bits), "word").filter(F.expr("shiftright(bits, cast(at & 63 as int)) & 1 = 1")).select(*rows.columns)
+
+
+def find_pairs(base: DataFrame) -> tuple[DataFrame, str, DataFrame, str]:
+    """Of rows (doc, text, rank): pairs (doc, owner), and texts (doc, rank) that are copies of earlier ones; each with its path."""
+    spark = base.sparkSession
+    lines, lines_at = written(base.select("doc", "text").mapInArrow(_lines, "doc bigint, line bigint"), "lines")
+    counted = lines.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.bit_xor("doc").alias("odd"), F.count("*").alias("n")).filter("first < last")
+    # of two or three documents, the one in the middle is what is left of the sum without carries
+    rare = counted.filter("n <= 3").withColumn("middle", F.expr("odd ^ first ^ last")).withColumn("middle", F.expr("if(n = 3, middle, first)"))
+    rare = rare.select(F.explode(F.expr("array(struct(last AS doc, first AS owner), struct(last AS doc, middle AS owner), struct(middle AS doc, first AS owner))")).alias("pair")).select("pair.*").filter("owner < doc")
+    texts = base.select("doc", "rank").distinct()
+    shown, shown_at = written(texts.groupBy("doc").agg(F.min("rank").alias("shown"), F.count("*").alias("texts")), "shown")
+    firsts = shown.groupBy("shown").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("shown").alias("rank"), "first")
+    copies, copies_at = written(texts.join(firsts, "rank").filter("first < doc").select("doc", "rank"), "copies")
+    settled = copies.groupBy("doc").agg(F.count("*").alias("texts")).join(shown, ["doc", "texts"]).select("doc")  # nothing of these is left to be aligned
+    frequent = lines.join(counted.filter("n > 3").select("line"), "line").groupBy("doc").agg(F.collect_list("line").alias("frequent"))
+    gone = copies.groupBy("doc").agg(F.collect_set("rank").alias("gone"))
+    about, about_at = written(frequent.join(settled, "doc", "left_anti").join(shown.select("doc", "shown"), "doc").join(gone, "doc", "left"), "frequent")
+    ranked = _marked(about.select("doc"), base, "doc").join(about, "doc").filter("gone IS NULL OR NOT array_contains(gone, rank)")
+    spans, spans_at = written(ranked.select("doc", "text", F.expr("rank = shown").alias("own"), "frequent").mapInArrow(_spans, "doc bigint, own boolean, span bigint"), "spans")
+    first = spans.groupBy("span").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("span", "owner")
+    exact = spans.join(first, "span").filter("owner < doc").select("doc", "owner")
+    pairs, pairs_at = written(rare.join(settled, "doc", "left_anti").union(exact).distinct(), "pairs")
+    for path in (lines_at, shown_at, about_at, spans_at):
+        drop(spark, path)
+    return pairs, pairs_at, copies, copies_at
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``text`` cut, and removed (word ranges), n_removed (words), which take the place of columns of those names."""
     limit_batches(docs.sparkSession)
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
-    lines, _ = written(base.mapInArrow(_lines, "doc bigint, line bigint"), "lines")
-    owners = lines.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("owner < last")
-    owners = owners.select("line", "owner", F.ceil(F.col("n") / HOLDERS).cast("bigint").alias("salts"), F.expr("n > 3").alias("many"))
-    holders = lines.join(owners, "line").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")))
-    last = F.lag("doc").over(Window.partitionBy("line", "salt").orderBy("doc"))
-    pairs = holders.withColumn("last", last).select("doc", F.explode(F.array("owner", "last")).alias("owner")).filter("owner < doc")
-    # Texts that aren't copies of earlier ones, and whether they stand for their id; copies meet the first one.
-    texts = base.select("doc", F.xxhash64("text").alias("rank")).distinct()
-    shown, _ = written(texts.groupBy("doc").agg(F.min("rank").alias("rank")), "shown")
-    firsts = shown.groupBy("rank").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("rank", "first")
-    copies, _ = written(texts.join(firsts, "rank").filter("first < doc").select("doc", "rank", F.col("first").alias("owner")), "copies")
-    frequent = lines.join(owners.filter("many").select("line"), "line").groupBy("doc").agg(F.collect_list("line").alias("frequent"))
-    gone = copies.groupBy("doc").agg(F.collect_set("rank").alias("gone"))
-    about = frequent.join(shown.withColumnRenamed("rank", "shown"), "doc").join(gone, "doc", "left")
-    ranked = base.withColumn("rank", F.xxhash64("text")).join(about, "doc").filter("gone IS NULL OR NOT array_contains(gone, rank)")
-    spans, _ = written(ranked.select("doc", "text", F.expr("rank = shown").alias("own"), "frequent").mapInArrow(_spans, "doc bigint, own boolean, span bigint"), "spans")
-    first = spans.groupBy("span").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("span", "owner")
-    exact = spans.join(first, "span").filter("owner < doc").select("doc", "owner")
-    pairs, _ = written(pairs.union(copies.select("doc", "owner")).union(exact).distinct(), "pairs")
-    owners = pairs.select(F.col("owner").alias("doc")).distinct()
-    texts = base.join(F.broadcast(owners), "doc", "left_semi") if owners.count() <= BROADCAST_OWNERS else base
-    words = texts.withColumn("rank", F.xxhash64("text")).mapInArrow(_words, "doc bigint, rank bigint, words binary")
-    partners = pairs.join(words.groupBy("doc").agg(F.min_by("words", "rank").alias("words")).withColumnRenamed("doc", "owner"), "owner").select("doc", "words")
+    base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL").withColumn("rank", _rank("text"))
+    pairs, _, copies, _ = find_pairs(base)
+    salts = pairs.groupBy("owner").agg(F.ceil(F.count("*") / SALT).cast("bigint").alias("salts"))
+    hot = salts.filter("salts > 1")
+    words = _marked(salts.select(F.col("owner").alias("doc")), base, "doc").mapInArrow(_words, "doc bigint, rank binary, words binary")
+    words = words.groupBy("doc").agg(F.min_by("words", "rank").alias("words")).withColumnRenamed("doc", "owner")
+    words = words.join(hot, "owner", "left").select("owner", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts") - 1, F.lit(0)))).alias("salt"))
+    dealt = pairs.join(hot, "owner", "left").select("owner", "doc", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).alias("salt"))
+    partners = dealt.join(words, ["owner", "salt"]).select("doc", "words").union(copies.select("doc", F.col("rank").alias("words")))
     kept = [f for f in docs.schema.fields if f.name.lower() not in ("removed", "n_removed")]
     names = [f"c{i}" for i in range(len(kept))]
-    rows = docs.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names)], F.col(f"`{doc_id}`").cast("bigint").alias("__doc"), F.lit(0).alias("__kind"), F.lit(None).cast("binary").alias("__words"))
+    rows = docs.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names)], F.col(f"`{doc_id}`").cast("bigint").alias("__doc"), F.lit(0).alias("__kind"), _rank(f"`{text}`").alias("__words"))
     met = partners.select(*[F.lit(None).cast(f.dataType).alias(n) for f, n in zip(kept, names)], F.col("doc").alias("__doc"), F.lit(1).alias("__kind"), F.col("words").alias("__words"))
     added = StructType.fromDDL("removed array<struct<start:bigint,end:bigint>>, n_removed bigint")
     schema = StructType([*(StructField(n, f.dataType, True) for f, n in zip(kept, names)), *added.fields])
     mine = next(n for f, n in zip(kept, names) if f.name == text)
-    rows = rows.union(met).repartition("__doc").sortWithinPartitions("__doc", "__kind")
+    # rows without an id meet nobody: they go by their text
+    rows = rows.union(met).repartition(F.coalesce("__doc", F.xxhash64("__words"))).sortWithinPartitions("__doc", "__kind")
     out = rows.mapInArrow(_delete(names, mine), schema)
     return out.select(*[F.col(n).alias(f.name) for f, n in zip(kept, names)], "removed", "n_removed")

@@ -461,7 +461,10 @@ def test_line_dedup(spark):
         seen.update(windows)
 
 
-def test_line_dedup_meets_every_holder(spark, monkeypatch):
+@pytest.mark.parametrize("salt, bits", [(256, 1 << 27), (2, 1 << 27), (2, 64)])
+def test_line_dedup_meets_every_holder(spark, monkeypatch, salt, bits):
+    monkeypatch.setattr(linededup, "SALT", salt)
+    monkeypatch.setattr(linededup, "FILTER_BITS", bits)
     rng = np.random.default_rng(18)
     texts = []
     for _ in range(6):
@@ -470,16 +473,14 @@ def test_line_dedup_meets_every_holder(spark, monkeypatch):
         for q in [1, 0, 2, 1, 3, 1, 0, 2, 3, 0, 1]:
             texts.append(" ".join([prose(rng, 30, 1 << 40), *quotes[q], prose(rng, 30, 1 << 40)]))
     texts += [texts[4], texts[1], texts[4] + " end"]
-    for holders in (linededup.HOLDERS, 2):
-        monkeypatch.setattr(linededup, "HOLDERS", holders)
-        got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, texts)).collect()}
-        seen = set()
-        for i, t in enumerate(texts):
-            w = words(t)
-            windows = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
-            repeated = {k + j for k, x in enumerate(windows) if x in seen for j in range(50)}
-            assert {k for r in got[i]["removed"] for k in range(r["start"], r["end"])} == repeated, i
-            seen.update(windows)
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        w = words(t)
+        windows = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        repeated = {k + j for k, x in enumerate(windows) if x in seen for j in range(50)}
+        assert {k for r in got[i]["removed"] for k in range(r["start"], r["end"])} == repeated, i
+        seen.update(windows)
 
 
 def test_blocks_that_overlap_in_the_later_text():
