@@ -5,10 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 from sketchloom import schemas
+from sketchloom.functions import report
 from sketchloom.plans import jobs
 from sketchloom.session import build_session
+from sketchloom.sources.files import run_id, write_json
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,6 +21,8 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--max-partition-bytes")
     top.add_argument("--driver-memory")
     top.add_argument("--executor-memory")
+    top.add_argument("--summary", action="store_true", help="also say in words, on standard error, what came out")
+    top.add_argument("--log-dir", help="folder that gets a JSON file about each run")
     commands = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, text: str, *required: str) -> argparse.ArgumentParser:
@@ -28,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     p = command("top-minhashes", "counts by hash, top N, and their samples", "input", "out")
-    p.add_argument("--stage", choices=["all", "counts", "topn", "ids"], default="all")
+    p.add_argument("--stage", nargs="+", choices=["all", "counts", "topn", "ids"], default=["all"], help="one or more stages, which run in that order")
     p.add_argument("--topN", type=int, default=100)
     p.add_argument("--num-buckets", type=int, default=512)
     p.add_argument("--ksize", type=int)
@@ -77,6 +82,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--map-out")
     p.add_argument("--ksize", type=int, default=schemas.KSIZE)
     p.add_argument("--pairs-shards", type=int, default=128)
+    p.add_argument("--pairs-file-prefix", help="name shards <prefix>0000.parquet and so on; otherwise they are folders shard=N")
     p.add_argument("--pairs-row-group-size", type=int, default=1_000_000)
     p.add_argument("--pairs-shard-key", choices=["hash", "sample"], default="hash")
     p.add_argument("--pairs-as-lists", action="store_true")
@@ -109,6 +115,7 @@ def parser() -> argparse.ArgumentParser:
     p = command("build-index", "a sharded index of hashes", "parquet", "index-root")
     p.add_argument("--shard-bits", type=int, default=schemas.SHARD_BITS)
     p.add_argument("--column", default="min_hash")
+    p.add_argument("--distinct", action="store_true", help="each hash once")
 
     p = command("annotate", "novel k-mers of contigs", "index-root", "out")
     p.add_argument("--contigs-url", help="address of an accession's contigs, with {acc}")
@@ -133,7 +140,7 @@ def check(args: argparse.Namespace, fail) -> None:
 def run(spark, a: argparse.Namespace):
     c = a.command
     if c == "top-minhashes":
-        stages = ("counts", "topn", "ids") if a.stage == "all" else (a.stage,)
+        stages = tuple(s for s in ("counts", "topn", "ids") if "all" in a.stage or s in a.stage)
         return jobs.top_minhashes(spark, a.input, a.out, stages=stages, n=a.topN, buckets=a.num_buckets, ksize=a.ksize, fraction=a.sample_fraction, file_limit=a.file_limit, seed=a.seed, compress=a.compress_json, json_parts=a.coalesce_json, tag=a.run_tag, skip_distinct=a.skip_distinct_pairs_in_ids, rename=not a.no_cleanup, keep_markers=a.keep_success, overwrite=a.overwrite)
     if c == "left-minus-rights":
         return jobs.left_minus_rights(spark, a.manifest, a.out_dir, ksize=a.ksize, filter_left=a.filter_left, distinct_left=a.distinct_left, fraction=a.sample_fraction, buckets=a.buckets, single_file=a.single_file, overwrite=a.overwrite)
@@ -145,7 +152,7 @@ def run(spark, a: argparse.Namespace):
         return jobs.compute_counts(spark, a.hashes, a.signatures, a.ksize, a.out_dir, materialize_pairs=a.materialize_pairs, pairs_out=a.pairs_out, overwrite=a.overwrite)
     if c == "percentiles":
         cuts = None if a.percentiles else (a.low_cut, a.high_cut)
-        return jobs.percentiles(spark, a.counts_source, a.out_dir, counts_path=a.counts_path, percentiles=tuple(a.percentiles) if a.percentiles else None, cuts=cuts, signatures=a.signatures, map_out=a.map_out, ksize=a.ksize, shards=a.pairs_shards, shard_key=a.pairs_shard_key, row_group_rows=a.pairs_row_group_size, as_lists=a.pairs_as_lists, sort_lists=a.pairs_sort_lists, distinct_pairs=not a.repeated_pairs, sample_list_out=a.sample_list_out, overwrite=a.overwrite)
+        return jobs.percentiles(spark, a.counts_source, a.out_dir, counts_path=a.counts_path, percentiles=tuple(a.percentiles) if a.percentiles else None, cuts=cuts, signatures=a.signatures, map_out=a.map_out, ksize=a.ksize, shards=a.pairs_shards, shard_key=a.pairs_shard_key, row_group_rows=a.pairs_row_group_size, prefix=a.pairs_file_prefix, as_lists=a.pairs_as_lists, sort_lists=a.pairs_sort_lists, distinct_pairs=not a.repeated_pairs, sample_list_out=a.sample_list_out, overwrite=a.overwrite)
     if c == "inspect":
         return jobs.inspect(spark, a.hashes, a.signatures, a.ksize)
     if c == "remove-set":
@@ -157,7 +164,7 @@ def run(spark, a: argparse.Namespace):
     if c == "histogram":
         return jobs.histogram_job(spark, a.input, a.output, column=a.column, bins=a.bins, max_value=a.max_value, picture=a.picture, overwrite=a.overwrite)
     if c == "build-index":
-        return jobs.build_index_job(spark, a.parquet, a.index_root, bits=a.shard_bits, column=a.column, overwrite=a.overwrite)
+        return jobs.build_index_job(spark, a.parquet, a.index_root, bits=a.shard_bits, column=a.column, distinct=a.distinct, overwrite=a.overwrite)
     jobs.annotate(spark, a.index_root, a.out, a.accessions, url=a.contigs_url, contigs=a.contigs, matches=a.matches, overwrite=a.overwrite)
     return {"out": a.out}
 
@@ -167,12 +174,20 @@ def main(argv: list[str] | None = None) -> int:
     args = top.parse_args(argv)
     check(args, top.error)
     spark = build_session(master=args.master, shuffle_partitions=args.shuffle_partitions, max_partition_bytes=args.max_partition_bytes, driver_memory=args.driver_memory, executor_memory=args.executor_memory)
+    began, error, result = time.time(), None, None
     try:
-        print(json.dumps(run(spark, args), default=str))
+        result = run(spark, args)
+        print(json.dumps(result, default=str))
     except (ValueError, OSError) as e:
+        error = str(e)
         print(f"{args.command}: {e}", file=sys.stderr)
-        return 2
-    return 0
+    seconds = time.time() - began
+    if args.summary and error is None:
+        print("\n".join(report.summary(args.command, result, seconds)), file=sys.stderr)
+    if args.log_dir:
+        at = run_id()
+        write_json(spark, f"{args.log_dir}/{args.command}-{at}.json", {"command": args.command, "options": {k: v for k, v in vars(args).items() if k != "command"}, "ended": at, "seconds": round(seconds, 3), "result": json.loads(json.dumps(result, default=str)), "error": error})
+    return 0 if error is None else 2
 
 
 if __name__ == "__main__":

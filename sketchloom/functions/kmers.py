@@ -77,6 +77,7 @@ def md5_60(text: Column) -> Column:
 def md5_sketch(df: DataFrame, key: str, text: str, k: int = KSIZE, most: int = (1 << 60) // 100) -> DataFrame:
     """(key, hash) of each k-mer whose md5 hash is under ``most``; repeats kept."""
     parts = df.select(key, F.explode(pieces(F.col(text), k)).alias("piece"))
-    digits = parts.select(key, F.explode(F.transform(windows(F.col("piece"), k), lambda x: F.substring(F.md5(x.cast("binary")), 1, 15))).alias("digits"))
-    # hex digits of one length compare as the numbers do: few are left to be converted
-    return digits.filter(F.col("digits") < f"{most:015x}").select(key, F.conv("digits", 16, 10).cast("bigint").alias("hash"))
+    hashed = F.transform(windows(F.col("piece"), k), lambda x: F.md5(x.cast("binary")))
+    # hex digits of one length compare as the numbers do: the gate is applied inside the array, and few leave it
+    kept = F.filter(hashed, lambda x: x < f"{most:015x}")
+    return parts.select(key, F.explode(kept).alias("digits")).select(key, F.conv(F.substring("digits", 1, 15), 16, 10).cast("bigint").alias("hash"))

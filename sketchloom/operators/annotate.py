@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.functions.kmers import murmur_sketch
-from sketchloom.operators.index import probe
+from sketchloom.operators.index import Index, probe
 from sketchloom.schemas import KSIZE, MAX_HASH, SEED
 
 
@@ -16,14 +16,15 @@ def contig_hashes(contigs: DataFrame, *, k: int = KSIZE, most: int = MAX_HASH, s
     return contigs.select("accession", "contig", F.explode(sketch("sequence")).alias("hash"))
 
 
-def annotate(hashes: DataFrame, index: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
-    """(accession, contig, contig_length, candidate_hashes, novel_hashes, frac_novel).
+def annotate(hashes: DataFrame, index: DataFrame | Index, contigs: DataFrame | None = None) -> DataFrame:
+    """(accession, contig, contig_length, candidate_hashes, novel_hashes, frac_novel); ``index`` is one that was built, or its hashes.
 
     With ``contigs`` each contig has a row, also without candidates, and its
     length, repeated ids being merged (lengths added); without them only contigs
     with candidates do, and lengths are -1.
     """
-    hits = probe(hashes.withColumnRenamed("hash", "min_hash"), index.select(F.col(index.columns[0]).alias("min_hash")))
+    asked = hashes.withColumnRenamed("hash", "min_hash")
+    hits = index.probe(asked) if isinstance(index, Index) else probe(asked, index.select(F.col(index.columns[0]).alias("min_hash")))
     counted = hits.groupBy("accession", "contig").agg(F.count("*").alias("candidate_hashes"), F.sum(F.col("hit").cast("bigint")).alias("novel_hashes"))
     if contigs is None:
         rows = counted.withColumn("contig_length", F.lit(-1))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions.hashing import modulo, remainder
 
+#: Rows of a top list up to which tasks keep heaps of it.
+HEAP_ROWS = 1_000_000
 #: Rows up to which selected keys are small enough to be sent to every task (16 MB).
 BROADCAST_KEYS = 1_000_000
 
@@ -46,13 +48,40 @@ def bucket_counts(signatures: DataFrame, buckets: int = 512) -> DataFrame:
     return pairs.groupBy("min_hash").agg(F.count("*").alias("n_samples")).withColumn("bucket", modulo(F.col("min_hash"), buckets))
 
 
-def top(counts: DataFrame, n: int = 100) -> DataFrame:
-    """The hashes in most samples; of equal ones the smaller hash first. Huge ``n`` sorts instead of keeping a heap."""
-    session = counts.sparkSession
-    ordered = counts.select("min_hash", "n_samples").orderBy(F.desc("n_samples"), F.asc("min_hash"))
-    if n > 1_000_000:
-        session.conf.set("spark.sql.execution.topKSortFallbackThreshold", "1000000")
-    return ordered.limit(n)
+def _smallest(hashes: DataFrame, k: int) -> int:
+    """The k-th smallest of distinct hashes, 16 bits at a time: each round counts at most 65536 values."""
+    plain = F.col("min_hash").bitwiseXOR(F.lit(-(1 << 63)))  # in order as an unsigned number
+    prefix = 0
+    for shift in (48, 32, 16, 0):
+        part = F.shiftrightunsigned(plain, shift).bitwiseAND(F.lit(0xFFFF))
+        rows = hashes if shift == 48 else hashes.filter(F.shiftrightunsigned(plain, shift + 16) == F.lit(prefix))
+        for value, n in sorted(tuple(r) for r in rows.groupBy(part.alias("part")).count().collect()):
+            if k <= n:
+                break
+            k -= n
+        prefix = prefix << 16 | value
+    return prefix - (1 << 63)
+
+
+def top(counts: DataFrame, n: int = 100, *, heap: int = HEAP_ROWS) -> DataFrame:
+    """The hashes in most samples, in order; of equal ones the smaller hash first. Hashes are distinct, as counts have them.
+
+    Up to ``heap`` rows are kept in heaps. More are cut off where the n-th row is, which is found from the frequencies of
+    the counts, and sorted in ranges, so that no task holds them all.
+    """
+    rows = counts.select("min_hash", "n_samples")
+    order = F.desc("n_samples"), F.asc("min_hash")
+    if n <= heap:
+        return rows.orderBy(*order).limit(n)
+    above = 0
+    for value, size in sorted((tuple(r) for r in rows.groupBy("n_samples").count().collect()), reverse=True):
+        if above + size > n:
+            ties = rows.filter(F.col("n_samples") == value)
+            last = F.lit(False) if above == n else F.col("min_hash") <= F.lit(_smallest(ties, n - above))
+            rows = rows.filter((F.col("n_samples") > value) | (F.col("n_samples") == value) & last)
+            break
+        above += size
+    return rows.orderBy(*order)
 
 
 def sample_lists_of(signatures: DataFrame, selected: DataFrame, *, distinct: bool = True, n_keys: int | None = None) -> DataFrame:

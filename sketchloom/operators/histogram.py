@@ -9,52 +9,43 @@ from pyspark.sql import functions as F
 OVERFLOW = -1
 
 
-def bin_edges(low: float, high: float, bins: int) -> list[float]:
-    return np.linspace(low, high, bins + 1).tolist()
-
-
-def bin_column(value: Column, edges: list[float]) -> Column:
-    """The bin of a value from edges[0] to edges[-1]; bins are half open, the last one is closed.
+def bin_column(value: Column, edges: Column, bins: int) -> Column:
+    """The bin of a value from edges[0] to edges[bins]; bins are half open, the last one is closed.
 
     A division finds the bin up to rounding and the edges themselves decide, so
     that values on an edge fall as a binary search over the edges has them.
     """
-    bins, low, high = len(edges) - 1, edges[0], edges[-1]
-    if low == high:
-        return F.lit(bins - 1)
-    table = F.array(*[F.lit(float(e)) for e in edges])
-    guess = F.least(F.greatest(F.floor((value - F.lit(low)) * F.lit(float(bins)) / F.lit(high - low)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    down = F.when(value < F.get(table, guess), guess - 1).when((guess < bins - 1) & (value >= F.get(table, guess + 1)), guess + 1).otherwise(guess)
-    return down.cast("int")
+    low, high = F.get(edges, F.lit(0)), F.get(edges, F.lit(bins))
+    guess = F.least(F.greatest(F.floor((value - low) * F.lit(float(bins)) / (high - low)), F.lit(0)), F.lit(bins - 1)).cast("int")
+    down = F.when(value < F.get(edges, guess), guess - 1).when((guess < bins - 1) & (value >= F.get(edges, guess + 1)), guess + 1).otherwise(guess)
+    return F.when(low == high, F.lit(bins - 1)).otherwise(down).cast("int")
 
 
 def histogram(counts: DataFrame, *, column: str = "sample_count", bins: int = 100, max_value: float | None = None) -> DataFrame:
     """(bin, low_edge, high_edge, n): every bin, also empty ones, and bin -1 for values of ``max_value`` or more.
 
-    Two numbers reach the driver. Without values there are no rows; if all of
-    them overflow there is only the overflow bar.
+    The input is read once and grouped by value; the ends, the edges and the
+    bins are all taken from those groups, in one plan. Without values there are
+    no rows; if all of them overflow there is only the overflow bar.
     """
-    spark = counts.sparkSession
-    rows = counts.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    low, high = rows.agg(F.min("v"), F.max("v")).first()
-    schema = "bin int, low_edge double, high_edge double"
-    if low is None:
-        return spark.createDataFrame([], schema + ", n bigint")
-    top = high if max_value is None else min(high, float(max_value))
-    frame = []
-    if max_value is not None:
-        frame.append((OVERFLOW, float(max_value), None))
-    inside = rows if max_value is None else rows.filter(F.col("v") < float(max_value))
-    parts = []
-    if low <= top and not (max_value is not None and low >= max_value):
-        edges = bin_edges(low, top, bins)
-        frame += [(i, edges[i], edges[i + 1]) for i in range(bins)]
-        parts.append(inside.select(bin_column(F.col("v"), edges).alias("bin")))
+    values = counts.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    over = F.lit(False) if max_value is None else F.col("v") >= float(max_value)
+    top = F.max("v") if max_value is None else F.least(F.max("v"), F.lit(float(max_value)))
+    ends = values.agg(F.min("v").alias("low"), top.alias("top")).filter("low IS NOT NULL")
     if max_value is not None:
-        parts.append(rows.filter(F.col("v") >= float(max_value)).select(F.lit(OVERFLOW).alias("bin")))
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    n = found.groupBy("bin").agg(F.count("*").alias("n"))
-    return spark.createDataFrame(frame, schema).join(n, "bin", "left").select("bin", "low_edge", "high_edge", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).orderBy("bin")
+        ends = ends.withColumn("top", F.when(F.col("low") < float(max_value), F.col("top")))  # null: nothing is in range
+    steps = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.when(i == bins, F.col("top")).otherwise(F.col("low") + i * ((F.col("top") - F.col("low")) / bins)))
+    edges = ends.select(steps.alias("edges"))
+    number = F.when(over, F.lit(OVERFLOW)).otherwise(bin_column(F.col("v"), edges.scalar(), bins))
+    n = values.select(number.alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("n"))
+    first = 0 if max_value is None else OVERFLOW
+    frame = edges.select("edges", F.explode(F.sequence(F.lit(first), F.lit(bins - 1))).alias("bin"))
+    bar = F.col("bin") == OVERFLOW
+    frame = frame.filter(bar | F.get("edges", F.lit(0)).isNotNull() & F.get("edges", F.lit(bins)).isNotNull())
+    place = F.greatest(F.col("bin"), F.lit(0))
+    low_edge = F.when(bar, F.lit(None if max_value is None else float(max_value))).otherwise(F.get("edges", place))
+    frame = frame.select("bin", low_edge.alias("low_edge"), F.when(~bar, F.get("edges", place + 1)).alias("high_edge"))
+    return frame.join(n, "bin", "left").select("bin", "low_edge", "high_edge", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).orderBy("bin")
 
 
 def bin_statistics(counts: DataFrame, *, column: str = "sample_count", bins: int = 100, max_value: float | None = None) -> dict:

@@ -20,15 +20,18 @@ def shard_column(h, bits: int, strategy: str = LOW_BITS):
     return low_bits(h, 1 << bits) if strategy == LOW_BITS else high_bits(h, bits)
 
 
-def build_index(hashes: DataFrame, path: str, *, column: str = "min_hash", bits: int = SHARD_BITS, strategy: str = LOW_BITS, overwrite: bool = False, source: str = "") -> dict:
-    """Write the shards, each sorted and in one file, repeats kept; returns what meta.json says."""
+def build_index(hashes: DataFrame, path: str, *, column: str = "min_hash", bits: int = SHARD_BITS, strategy: str = LOW_BITS, distinct: bool = False, overwrite: bool = False, source: str = "") -> dict:
+    """Write the shards, each sorted and in one file; repeats stay unless ``distinct``. Returns what meta.json says."""
     spark = hashes.sparkSession
     guard(spark, path, overwrite)
     rows = hashes.select(F.col(column).cast("bigint").alias("min_hash")).filter("min_hash IS NOT NULL")
-    rows = rows.withColumn("shard", shard_column(F.col("min_hash"), bits, strategy)).repartition(1 << bits, "shard").sortWithinPartitions("shard", "min_hash")
+    if distinct:
+        rows = rows.distinct()
+    # a shard is a partition: every task has one
+    rows = rows.withColumn("shard", shard_column(F.col("min_hash"), bits, strategy)).repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", "min_hash")
     rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/shards")
     total = spark.read.schema("min_hash bigint, shard int").parquet(f"{path}/shards").count()
-    meta = {"parquet_path": source, "total_rows": total, "shard_bits": bits, "shards": 1 << bits, "dtype": "int64", "version": VERSION, "shard_strategy": strategy}
+    meta = {"parquet_path": source, "total_rows": total, "shard_bits": bits, "shards": 1 << bits, "dtype": "int64", "version": VERSION, "shard_strategy": strategy, "distinct": distinct}
     write_json(spark, f"{path}/meta.json", meta)
     return meta
 
@@ -48,14 +51,17 @@ class Index:
 
 
 def probe(queries: DataFrame, hashes: DataFrame, column: str = "min_hash", shard=None) -> DataFrame:
-    """``queries`` with a boolean ``hit``: whether the hash is in the index; null hashes are not."""
+    """``queries`` with a boolean ``hit``: whether the hash is in the index; null hashes are not.
+
+    The index is cut down to the hashes asked for first, by a semi join, and only what is left of it is made distinct.
+    """
     keys = ["min_hash"] if shard is None else ["shard", "min_hash"]
-    known = hashes.select(*keys).distinct().withColumn("__in", F.lit(True))
-    rows = queries.withColumn("__h", F.col(column))
-    on = F.col("__h") == F.col("__k.min_hash")
+    wanted = queries.select(F.col(f"`{column}`").alias("min_hash")).filter("min_hash IS NOT NULL").distinct()
     if shard is not None:
-        on &= shard(F.col("__h")) == F.col("__k.shard")
-    return rows.join(known.alias("__k"), on, "left").select(*[F.col(f"`{c}`") for c in queries.columns if c not in ("min_hash", "shard")], *([F.col("__h").alias("min_hash")] if "min_hash" in queries.columns else []), F.coalesce("__in", F.lit(False)).alias("hit"))
+        wanted = wanted.select(shard(F.col("min_hash")).alias("shard"), "min_hash")
+    known = hashes.select(*keys).join(wanted, keys, "left_semi").select(F.col("min_hash").alias("__k")).distinct()
+    rows = queries.join(known, F.col(f"`{column}`") == F.col("__k"), "left")
+    return rows.select(*[F.col(f"`{c}`") for c in queries.columns], F.col("__k").isNotNull().alias("hit"))
 
 
 def shard_statistics(hashes: DataFrame, *, column: str = "min_hash", bits: int = SHARD_BITS, strategy: str = LOW_BITS) -> DataFrame:

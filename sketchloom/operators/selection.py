@@ -48,6 +48,12 @@ def cutpoints(counts: DataFrame, source: str, *, percentiles: tuple[float, float
     return Cutpoints(source, *percentiles, row["low_cut"], row["high_cut"])
 
 
+def between_percentiles(counts: DataFrame, low: float, high: float, column: str) -> DataFrame:
+    """Rows whose count lies between two percentiles, in one plan: the counts are made once."""
+    cuts = cutpoint_row(counts, low, high, column)
+    return counts.filter(F.col(column).between(cuts.select("low_cut").scalar(), cuts.select("high_cut").scalar()))
+
+
 def between(counts: DataFrame, low: float, high: float, column: str) -> DataFrame:
     """Rows with low <= count <= high."""
     return counts.filter(F.col(column).between(F.lit(low), F.lit(high)))

@@ -13,9 +13,9 @@ from sketchloom.operators import counts, histogram, selection, setops
 from sketchloom.operators.index import Index, build_index
 from sketchloom.sources import contigs as contig_sources
 from sketchloom.sources import sinks
-from sketchloom.sources.datasets import read_counts, read_hive_hashes, read_plain, read_signatures
-from sketchloom.sources.files import exists, guard, latest_run, read_json, run_id, write_json
-from sketchloom.sources.manifest import HashSet, ManifestError, load_manifest, split_table
+from sketchloom.sources.datasets import read_counts, read_hive_hashes, read_plain, read_signatures, union_all
+from sketchloom.sources.files import exists, guard, latest_run, read_json, remove, run_id, write_json
+from sketchloom.sources.manifest import HashSet, ManifestError, load_manifest
 
 
 def _sides(spark: SparkSession, manifest, one_left: bool) -> list[HashSet]:
@@ -78,7 +78,7 @@ def compute_counts(spark: SparkSession, hashes: str, signatures: str, ksize: int
 
 def percentiles(
     spark: SparkSession, source: str, out: str, *, counts_path: str | None = None, percentiles: tuple[float, float] | None = None, cuts: tuple[float, float] | None = None,
-    signatures: str | None = None, map_out: str | None = None, ksize: int = schemas.KSIZE, shards: int = 128, shard_key: str = "hash", row_group_rows: int = 1_000_000, as_lists: bool = True, sort_lists: bool = True, distinct_pairs: bool = True, sample_list_out: str | None = None, overwrite: bool = False,
+    signatures: str | None = None, map_out: str | None = None, ksize: int = schemas.KSIZE, shards: int = 128, shard_key: str = "hash", row_group_rows: int = 1_000_000, as_lists: bool = True, sort_lists: bool = True, distinct_pairs: bool = True, sample_list_out: str | None = None, prefix: str | None = None, overwrite: bool = False,
 ) -> dict:
     """Cutpoints of counts as JSON; and for what lies between them hash-to-sample lists or pairs, in shards, or the list of samples."""
     if map_out and (source != "hash" or not signatures):
@@ -100,7 +100,7 @@ def percentiles(
             made = counts.sample_lists(rows, kept, distinct=distinct_pairs, sort=sort_lists)
         else:
             made = counts.select_hashes(rows, kept).select("min_hash", "sample_id").distinct()
-        sinks.write_shards(made, map_out, shards, "min_hash" if shard_key == "hash" else "sample_id", overwrite=overwrite, row_group_rows=row_group_rows)
+        sinks.write_shards(made, map_out, shards, "min_hash" if shard_key == "hash" else "sample_id", overwrite=overwrite, row_group_rows=row_group_rows, prefix=prefix)
     if sample_list_out:
         sinks.write_single(kept.select("sample_id"), sample_list_out, overwrite=overwrite)
     return cut.to_dict()
@@ -190,8 +190,8 @@ def top_minhashes(
     return made
 
 
-def build_index_job(spark: SparkSession, source: str, path: str, *, bits: int = schemas.SHARD_BITS, column: str = "min_hash", overwrite: bool = False) -> dict:
-    return build_index(spark.read.parquet(source), path, column=column, bits=bits, overwrite=overwrite, source=source)
+def build_index_job(spark: SparkSession, source: str, path: str, *, bits: int = schemas.SHARD_BITS, column: str = "min_hash", distinct: bool = False, overwrite: bool = False) -> dict:
+    return build_index(spark.read.parquet(source), path, column=column, bits=bits, distinct=distinct, overwrite=overwrite, source=source)
 
 
 def annotate(
@@ -200,47 +200,65 @@ def annotate(
 ) -> DataFrame:
     """Annotate contigs of accessions; what an accession came to is in ``status`` beside the result.
 
-    ``matches`` (k-mer CSVs of another tool) take the place of hashing; contigs
-    then only give lengths. An accession that can't be fetched or read doesn't
-    stop the others.
+    Each accession has its own way: where ``matches`` (k-mer CSVs of another
+    tool, named by accession) has one, that takes the place of hashing, and
+    contigs only give lengths; the others' contigs are hashed. An accession that
+    can't be fetched, found, unpacked or read has that as its status and no
+    result, and doesn't stop the others.
     """
     guard(spark, out, overwrite)
-    paths: dict[str, str] = {p.rsplit("/", 1)[-1].split(".")[0]: p for p in contigs or ()}
+    name = lambda p: p.rsplit("/", 1)[-1].split(".")[0]
+    paths: dict[str, str] = {name(p): p for p in contigs or ()}
+    csvs: dict[str, str] = {name(p): p for p in matches or ()}
     status: dict[str, str] = {}
+    notes: dict[str, str] = {}
     for acc in dict.fromkeys(accessions):
         if acc in paths:
             continue
         if not url:
-            status[acc] = "no contigs and no address to fetch them from"
+            if acc not in csvs:
+                status[acc] = "no contigs and no address to fetch them from"
             continue
         try:
-            paths.update(contig_sources.contig_paths([acc], url, fetch))
+            paths[acc] = contig_sources.contig_path(acc, url, fetch)
         except Exception as e:  # one accession's failure is its own
             status[acc] = f"fetch failed: {e}"
-    good = {}
-    for acc, path in paths.items():
-        try:
-            if exists(spark, path):
-                good[acc] = path
-            else:
-                status[acc] = f"no file {path}"
-        except Exception as e:
-            status[acc] = f"not readable: {str(e).splitlines()[0][:200]}"
-    idx = Index(spark, index).rows
-    texts = contig_sources.read_fasta(spark, *good.values()) if good else None
-    if matches:
-        hashes = contig_sources.read_matches(spark, *matches, most=most)
-        made = annotation.annotate(hashes, idx.select("min_hash"), texts)
-    elif texts is not None:
-        made = annotation.annotate(annotation.contig_hashes(texts, k=k, most=most), idx.select("min_hash"), texts)
-    else:
-        made = spark.createDataFrame([], schemas.CONTIG_COUNTS)
+    good: dict[str, dict[str, str]] = {"contigs": {}, "matches": {}}
+    for kind, given in (("contigs", paths), ("matches", csvs)):
+        for acc, path in given.items():
+            try:
+                if not exists(spark, path):
+                    status[acc] = f"no file {path}"
+                    continue
+                if kind == "matches" and (bad := contig_sources.left_out(spark, path)):
+                    notes[acc] = f", {sum(bad.values())} rows left out"
+                good[kind][acc] = path
+            except Exception as e:
+                status[acc] = f"not readable: {str(e).splitlines()[0][:200]}"
+    idx = Index(spark, index)
+    texts, by_match = None, [a for a in good["matches"] if a not in status]
+    if good["contigs"]:
+        # unpacked once, and what went wrong is known before anything is counted
+        contig_sources.read_fasta(spark, *good["contigs"].values(), problems=True).write.parquet(f"{out}/_contigs")
+        texts = spark.read.schema(schemas.CONTIGS + ", problem string").parquet(f"{out}/_contigs")
+        for acc, problem in texts.filter("problem IS NOT NULL").groupBy("accession").agg(F.min("problem")).collect():
+            status[acc] = f"not readable: {problem}"
+        by_match = [a for a in by_match if a not in status]
+        texts = texts.filter(~F.col("accession").isin(list(status)) & F.col("problem").isNull())
+    found = []
+    if by_match:
+        hashes = contig_sources.read_matches(spark, *(csvs[a] for a in by_match), most=most)
+        known = [a for a in by_match if a in good["contigs"]]
+        if known:
+            found.append(annotation.annotate(hashes.filter(F.col("accession").isin(known)), idx, texts.filter(F.col("accession").isin(known))))
+        found.append(annotation.annotate(hashes.filter(~F.col("accession").isin(known)), idx))
+    if texts is not None:
+        hashed = texts.filter(~F.col("accession").isin(by_match))
+        found.append(annotation.annotate(annotation.contig_hashes(hashed, k=k, most=most), idx, hashed))
+    made = union_all(found, spark.createDataFrame([], schemas.CONTIG_COUNTS))
     sinks.write_partitioned(made, f"{out}/counts", "accession", overwrite=overwrite)
-    rows = [(a, status.get(a, "done")) for a in dict.fromkeys([*accessions, *paths])]
+    if texts is not None:
+        remove(spark, f"{out}/_contigs")
+    rows = [(a, status.get(a, "done" + notes.get(a, ""))) for a in dict.fromkeys([*accessions, *paths, *csvs])]
     spark.createDataFrame(rows or [("", "")], "accession string, status string").coalesce(1).write.mode("overwrite").parquet(f"{out}/status")
     return spark.read.schema(schemas.CONTIG_COUNTS).parquet(f"{out}/counts") if exists(spark, f"{out}/counts") else made
-
-
-def table_name(name: str) -> str:
-    """schema.table of a dotted name."""
-    return ".".join(split_table(name))

@@ -129,9 +129,7 @@ def quantile_cutpoints(spark, d):
 
 
 def hashes_in_percentile(spark, d):
-    found = all_counts(spark, d)
-    cuts = selection.cutpoints(found, "hash", percentiles=(0.75, 0.9))
-    return selection.between(found, cuts.low_cut, cuts.high_cut, "sample_count")
+    return selection.between_percentiles(all_counts(spark, d), 0.75, 0.9, "sample_count")
 
 
 def hashes_in_cutoff(spark, d):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import gzip
+import io
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions.hashing import gate
 from sketchloom.schemas import MAX_HASH
+from sketchloom.sources.datasets import named, union_all
 
 #: Header names of k-mer match files, in order of preference (fixed values).
 SEQUENCE_NAMES = ("sequence_name", "name", "sequence", "seqname")
@@ -18,69 +21,133 @@ HASH_NAMES = ("hashval", "hash")
 _FILE = r"([^/]+?)(\.contigs)?\.(fasta|fa|fna)(\.zst|\.gz)?$"
 
 
-def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
-    """(accession, contig, sequence, contig_length): a row for each record; the accession is the file's name without its endings."""
-    zst = [p for p in paths if p.endswith(".zst")]
-    rest = [p for p in paths if not p.endswith(".zst")]
+def read_fasta(spark: SparkSession, *paths: str, problems: bool = False) -> DataFrame:
+    """(accession, contig, sequence, contig_length): a row for each record; the accession is the file's name without its endings.
+
+    Compressed files are unpacked one by one. One that can't be unpacked stops the others only if ``problems`` isn't asked
+    for; else it has a row with nothing but its accession and what went wrong in a column ``problem``.
+    """
+    packed = [p for p in paths if p.endswith((".zst", ".gz"))]
+    rest = [p for p in paths if not p.endswith((".zst", ".gz"))]
     frames = []
     if rest:
         text = spark.read.option("lineSep", "\n>").text(list(rest)).select(F.col("value"), F.input_file_name().alias("file"))
         value = F.regexp_replace("value", "^>", "")
         head, body = F.substring_index(value, "\n", 1), F.substring(value, F.length(F.substring_index(value, "\n", 1)) + 2, 2147483647)
-        frames.append(text.filter(F.trim("value") != "").select("file", F.regexp_extract(head, r"^\s*(\S*)", 1).alias("contig"), F.upper(F.regexp_replace(body, r"\s", "")).alias("sequence")))
-    if zst:
-        files = spark.read.format("binaryFile").load(list(zst)).select(F.col("path").alias("file"), "content")
-        frames.append(files.mapInArrow(_unpack, "file string, contig string, sequence string"))
+        frames.append(text.filter(F.trim("value") != "").select("file", F.regexp_extract(head, r"^\s*(\S*)", 1).alias("contig"), F.upper(F.regexp_replace(body, r"\s", "")).alias("sequence"), F.lit(None).cast("string").alias("problem")))
+    if packed:
+        files = spark.read.format("binaryFile").load(list(packed)).select(F.col("path").alias("file"), "content")
+        frames.append(files.mapInArrow(_unpack(problems), "file string, contig string, sequence string, problem string"))
     out = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    return out.select(F.regexp_extract("file", _FILE, 1).alias("accession"), "contig", "sequence", F.length("sequence").alias("contig_length"))
+    return out.select(F.regexp_extract("file", _FILE, 1).alias("accession"), "contig", "sequence", F.length("sequence").alias("contig_length"), *(["problem"] if problems else []))
 
 
-def records(lines: Iterator[bytes]) -> Iterator[tuple[str, str]]:
+def records(lines: Iterable[bytes]) -> Iterator[tuple[str, str]]:
     """(id, sequence in capitals) of FASTA lines."""
     name, parts = None, []
     for line in lines:
         if line.startswith(b">"):
             if name is not None:
-                yield name, b"".join(parts).upper().decode()
-            name, parts = (line[1:].split() or [b""])[0].decode(), []
+                yield name, b"".join(parts).decode("utf-8", "replace").upper()
+            name, parts = (line[1:].split() or [b""])[0].decode("utf-8", "replace"), []
         elif name is not None:
             parts.append(b"".join(line.split()))
     if name is not None:
-        yield name, b"".join(parts).upper().decode()
-
+        yield name, b"".join(parts).decode("utf-8", "replace").upper()
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import io
 
+def _opened(file: str, content: bytes):
+    """A stream of what a compressed file holds; a file that ends too early is an error when its end is reached."""
+    if file.endswith(".gz"):
+        return gzip.GzipFile(fileobj=io.BytesIO(content))
     import zstandard
 
-    for batch in batches:
-        for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-            rows, size = [], 0
-            with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content.as_py())) as plain:
-                for contig, sequence in records(io.BufferedReader(plain, 1 << 20)):
-                    rows.append((file, contig, sequence))
-                    size += len(sequence)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["file", "contig", "sequence"])
-                        rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["file", "contig", "sequence"])
+    plain = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True)
+
+    def parts() -> Iterator[bytes]:
+        for at in range(0, len(content), 1 << 20):
+            yield plain.decompress(content[at : at + (1 << 20)])
+        if content and not plain.eof and not plain.unused_data:
+            raise EOFError("the file ends inside of a frame")
+
+    return _Parts(parts())
+
+
+class _Parts:
+    """Lines of a run of bytes that comes in parts."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts = parts
+
+    def __iter__(self) -> Iterator[bytes]:
+        rest = b""
+        for part in self.parts:
+            *lines, rest = (rest + part).split(b"\n")
+            yield from lines
+        if rest:
+            yield rest
+
+
+def _unpack(problems: bool):
+    names = ["file", "contig", "sequence", "problem"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
+                rows, size = [], 0
+                try:
+                    for contig, sequence in records(_opened(file, content.as_py())):
+                        rows.append((file, contig, sequence, None))
+                        size += len(sequence)
+                        if size > 8 << 20:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+                except Exception as e:  # any decoder's error is this file's own
+                    if not problems:
+                        raise
+                    rows = [(file, None, None, f"{type(e).__name__}: {e}"[:300])]
+                if rows:
+                    yield batch_of(rows)
+
+    return run
+
+
+def _matches(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
+    """(accession, contig, hash) of k-mer match CSVs; what isn't a number is null."""
+    frames = []
+    for path in paths:  # each file has a header of its own
+        df = spark.read.option("header", "true").csv(path)
+        lower = {c.lower(): c for c in df.columns}
+        name = next((lower[n] for n in SEQUENCE_NAMES if n in lower), None)
+        value = next((lower[n] for n in HASH_NAMES if n in lower), None)
+        if name is None or value is None:
+            raise ValueError(f"no sequence or hash column among {df.columns}")
+        accession = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^/]*)?$", 1)
+        frames.append(df.select(accession.alias("accession"), named(name).alias("contig"), F.trim(named(value)).try_cast("bigint").alias("hash")))
+    return union_all(frames, spark.createDataFrame([], "accession string, contig string, hash bigint"))
 
 
 def read_matches(spark: SparkSession, *paths: str, most: int = MAX_HASH) -> DataFrame:
-    """(accession, contig, hash) of k-mer match CSVs; rows without a number as hash, or beyond the gate, are left out."""
-    df = spark.read.option("header", "true").csv(list(paths))
-    lower = {c.lower(): c for c in df.columns}
-    name = next((lower[n] for n in SEQUENCE_NAMES if n in lower), None)
-    value = next((lower[n] for n in HASH_NAMES if n in lower), None)
-    if name is None or value is None:
-        raise ValueError(f"no sequence or hash column among {df.columns}")
-    h = F.expr(f"try_cast(trim(`{value}`) AS bigint)")
-    rows = df.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^/]*)?$", 1).alias("accession"), F.col(f"`{name}`").alias("contig"), h.alias("hash"))
-    return rows.filter(F.col("contig").isNotNull() & F.col("hash").isNotNull() & gate(F.col("hash"), most))
-
-
-def contig_paths(accessions: list[str], url: str, fetch: Callable[[str], str] | None = None) -> dict[str, str]:
-    """A path Spark can read for each accession: ``url`` with {acc} put in. ``fetch`` may bring a file nearer and return where it is."""
-    return {acc: fetch(url.format(acc=acc)) if fetch else url.format(acc=acc) for acc in dict.fromkeys(accessions)}
+    """(accession, contig, hash) of k-mer match CSVs; rows without a number as hash, or beyond the gate, are left out (see :func:`left_out`)."""
+    return _matches(spark, paths).filter(F.col("contig").isNotNull() & F.col("hash").isNotNull() & gate(F.col("hash"), most))
+
+
+def left_out(spark: SparkSession, *paths: str) -> dict[str, int]:
+    """How many rows of each accession's k-mer match CSVs have no contig or no number as hash."""
+    bad = _matches(spark, paths).filter(F.col("contig").isNull() | F.col("hash").isNull())
+    return {r["accession"]: r["count"] for r in bad.groupBy("accession").count().collect()}
+
+
+def contig_path(accession: str, url: str, fetch: Callable[[str], str] | None = None, *, tries: int = 3) -> str:
+    """A path Spark can read: ``url`` with {acc} put in. ``fetch`` may bring the file nearer and return where it is; it is tried some times."""
+    place = url.format(acc=accession)
+    for left in range(tries - 1, -1, -1):
+        try:
+            return fetch(place) if fetch else place
+        except Exception:  # whatever a fetcher raises, the last try's error is the answer
+            if not left:
+                raise
+    raise ValueError("at least one try is needed")

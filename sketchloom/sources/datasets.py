@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.sources.files import exists, files_below
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def read_signatures(spark: SparkSession, path: str, *, ksize: int | None = None, file_limit: int | None = None, sample_fraction: float | None = None, seed: int = 1337, sample_column: str = "sample_id", hash_column: str = "min_hash", ksize_column: str = "ksize") -> DataFrame:
     """(sample_id, min_hash[, ksize]) without nulls in the keys; ``file_limit`` reads the first files by name, keeping partition columns."""
     if file_limit:
@@ -22,9 +27,9 @@ def read_signatures(spark: SparkSession, path: str, *, ksize: int | None = None,
     missing = {sample_column, hash_column} - set(df.columns)
     if missing:
         raise ValueError(f"{path} lacks {sorted(missing)}")
-    columns = [F.col(f"`{sample_column}`").cast("string").alias("sample_id"), F.col(f"`{hash_column}`").cast("bigint").alias("min_hash")]
+    columns = [named(sample_column).cast("string").alias("sample_id"), named(hash_column).cast("bigint").alias("min_hash")]
     if ksize_column in df.columns:
-        columns.append(F.col(f"`{ksize_column}`").cast("int").alias("ksize"))
+        columns.append(named(ksize_column).cast("int").alias("ksize"))
     elif ksize is not None:
         raise ValueError(f"{path} has no {ksize_column} to filter by")
     df = df.select(*columns)
@@ -41,7 +46,7 @@ def read_signatures(spark: SparkSession, path: str, *, ksize: int | None = None,
 
 def read_hive_hashes(spark: SparkSession, root: str, pattern: str = "bucket=*", *, column: str = "hash", name: str = "min_hash") -> DataFrame:
     """One hash column of a Hive-partitioned dataset; the partition columns don't come along."""
-    return spark.read.option("basePath", root).parquet(f"{root}/{pattern}").select(F.col(f"`{column}`").cast("bigint").alias(name))
+    return spark.read.option("basePath", root).parquet(f"{root}/{pattern}").select(named(column).cast("bigint").alias(name))
 
 
 def read_plain(spark: SparkSession, *globs: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
@@ -50,6 +52,23 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"{old} could not be renamed to {new}")
 
 
+def copy(spark: SparkSession, old: str, new: str) -> None:
+    fs, where = _at(spark, old)
+    to_fs, to = _at(spark, new)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, where, to_fs, to, False, spark._jsc.hadoopConfiguration())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local session gets one of its own; a cluster has none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.gettempdir()}/sketchloom-shared"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def guard(spark: SparkSession, path: str, overwrite: bool) -> None:
     """Refuse to write over a file or a folder that isn't empty; clear it if that is allowed."""
     fs, where = _at(spark, path)
@@ -74,16 +93,20 @@ def latest_run(spark: SparkSession, path: str) -> str:
     return runs[-1]
 
 
-def write_json(spark: SparkSession, path: str, value: dict) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file written by the driver."""
     fs, where = _at(spark, path)
     out = fs.create(where, True)
     try:
-        out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
 
 
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    write_bytes(spark, path, json.dumps(value, indent=2, sort_keys=True).encode())
+
+
 def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 

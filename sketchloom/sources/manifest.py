@@ -6,8 +6,8 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from sketchloom.sources.datasets import named
 from sketchloom.sources.files import exists
 
 
@@ -38,8 +38,8 @@ class HashSet:
         """The hashes (column ``hash``), of k-size ``k`` if the entry names a column for it."""
         df = spark.read.parquet(self.location(spark))
         if self.ksize and k is not None:
-            df = df.filter(F.col(f"`{self.ksize}`") == k)
-        return df.select(F.col(f"`{self.column}`").cast("bigint").alias("hash"))
+            df = df.filter(named(self.ksize) == k)
+        return df.select(named(self.column).cast("bigint").alias("hash"))
 
 
 def split_table(name: str) -> tuple[str, str]:
@@ -63,6 +63,8 @@ def load_manifest(spark: SparkSession, source: str | dict, *, one_left: bool = T
         raise ManifestError("'databases' must be a list of entries")
     out: list[HashSet] = []
     for i, entry in enumerate(entries):
+        if not isinstance(entry, dict):
+            raise ManifestError(f"entry {i} must be an object")
         for key in ("alias", "path", "table", "column", "set_id"):
             if not isinstance(entry.get(key), str) or not entry[key].strip():
                 raise ManifestError(f"entry {i}: '{key}' must be a non-empty string")

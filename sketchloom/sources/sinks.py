@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.sources.files import guard, run_id, single_part
+from sketchloom.sources.files import children, copy, guard, remove, rename, run_id, single_part
 
 #: Average bytes of a row of lists or hashes, to turn rows a row group into the bytes that Parquet wants.
 ROW_BYTES = 64
@@ -20,10 +20,9 @@ def write_partitioned(df: DataFrame, path: str, by: str, *, overwrite: bool = Fa
 
 
 def write_single(df: DataFrame, path: str, *, overwrite: bool = False, row_group_rows: int = 1_000_000, sort: list[str] | None = None) -> str:
-    """One Parquet part, sorted if asked; for results small enough for one file."""
+    """One Parquet part, sorted if asked. One task sorts and writes it: for results of one file's size; others have :func:`write_sorted`."""
     guard(df.sparkSession, path, overwrite)
-    # sorted in parallel first; coalesce keeps the order of the ranges
-    df = df.orderBy(*sort).coalesce(1) if sort else df.coalesce(1)
+    df = df.repartition(1).sortWithinPartitions(*sort) if sort else df.repartition(1)
     df.write.option("compression", "zstd").option("parquet.block.size", row_group_rows * ROW_BYTES).parquet(path)
     return path
 
@@ -36,13 +35,32 @@ def write_sorted(df: DataFrame, path: str, *keys: str, overwrite: bool = False,
     return path
 
 
-def write_shards(df: DataFrame, path: str, shards: int, key: str, *, overwrite: bool = False, row_group_rows: int = 1_000_000) -> str:
-    """A fixed number of shards in one pass: shard=0 .. shards-1 by the key's hash (integers: by remainder)."""
-    guard(df.sparkSession, path, overwrite)
+def write_shards(df: DataFrame, path: str, shards: int, key: str, *, overwrite: bool = False, row_group_rows: int = 1_000_000, prefix: str | None = None) -> str:
+    """A fixed number of shards in one pass, by the key's hash (integers: by remainder), a task and a file each: folders shard=0 to shard=N-1.
+
+    With ``prefix`` the files are ``<prefix>0000.parquet`` and so on in ``path`` itself, one for each shard, also for empty ones.
+    """
+    spark = df.sparkSession
+    guard(spark, path, overwrite)
     kind = dict(df.dtypes)[key]
     number = F.pmod(F.col(key) if kind in ("bigint", "int") else F.xxhash64(key), F.lit(shards)).cast("int")
-    out = df.withColumn("shard", number).repartition(shards, "shard")
-    out.write.option("compression", "zstd").option("parquet.block.size", row_group_rows * ROW_BYTES).partitionBy("shard").parquet(path)
+    out = df.withColumn("shard", number).repartitionById(shards, F.col("shard"))
+    where = path if prefix is None else f"{path}/_shards"
+    out.write.option("compression", "zstd").option("parquet.block.size", row_group_rows * ROW_BYTES).partitionBy("shard").parquet(where)
+    if prefix is None:
+        return path
+    spark.createDataFrame([], df.schema).coalesce(1).write.option("compression", "zstd").parquet(f"{path}/_empty")
+    empty = next(p for p in children(spark, f"{path}/_empty") if p.rsplit("/", 1)[-1].startswith("part-"))
+    folders = {int(p.rsplit("=", 1)[1]): p for p in children(spark, where) if "/shard=" in p}
+    for i in range(shards):
+        named = f"{path}/{prefix}{i:04d}.parquet"
+        if i in folders:
+            (part,) = [p for p in children(spark, folders[i]) if p.rsplit("/", 1)[-1].startswith("part-")]
+            rename(spark, part, named)
+        else:
+            copy(spark, empty, named)
+    for folder in (where, f"{path}/_empty"):
+        remove(spark, folder)
     return path
 
 
