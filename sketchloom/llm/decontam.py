@@ -12,26 +12,32 @@ made, so frequent passages cost no more than rare ones.
 
 Scale: one pass over the documents, no shuffle. The benchmark is the bounded
 side: its bytes are summed first, and if they exceed ``block_bytes`` it is cut
-into blocks of about half that size, each of which makes one pass whose hits
-are carried along in a checkpointed table. Long documents are handled in pieces
-that overlap by 12 words.
+into blocks of about half that size. All but the last block make a pass each
+that writes only what it finds, by the text's hash; the last pass joins that
+with the documents, so their texts are rewritten by no block. A block's windows
+are arrays of hashes and places in its text, about 30 bytes a word. Long
+documents are handled in pieces that overlap by 12 words.
 
 Defined cases: null text has no words; an item without words is never hit; a
 null item id counts as the id "" ; repeated item rows are one item; repeated
-document rows give one result each; empty tables give no hits or no rows.
+document rows give one result each; texts of any length are read whole;
+decontaminate() returns its own columns alone and drop_contaminated() all of
+the documents', whatever their names; empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import PIECE_BYTES, Carried, chunks, cut_lineage, pick, raw, split_words, text_of, word_table, words_of
+from sketchloom.llm.tables import written
+from sketchloom.llm.textkit import PIECE_BYTES, Carried, Words, chunks, mix, pick, raw, split_words, spread, word_table, words_of
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 5
@@ -73,48 +79,105 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Lengths:
-    """The benchmark's windows of one length."""
+    """The benchmark's distinct windows of one length, in the order of their hashes."""
 
     words: int
     k: int
     prints: np.ndarray
     windows: np.ndarray
-    text: list[list[bytes]] = field(default_factory=list)
-    group: list[int] = field(default_factory=list)
-
-
-def build_index(items: list[tuple[str, bytes]]) -> tuple[list[Lengths], list[tuple[str, ...]]]:
-    """Windows by length with their fingerprints, and the groups of items that share a window."""
-    seen: dict[int, dict[bytes, set[str]]] = {}
-    for item, text in items:
-        words = split_words(text)
-        n = min(WINDOW_WORDS, len(words))
-        for at in range(len(words) - n + 1 if n else 0):
-            seen.setdefault(n, {}).setdefault(b" ".join(words[at : at + n]), set()).add(item)
-    groups: dict[tuple[str, ...], int] = {}
+    start: np.ndarray  # where the window's words are in Index.text
+    end: np.ndarray
+    first: np.ndarray  # its items are items[first[i] : first[i + 1]]
+    items: np.ndarray
+
+
+@dataclass
+class Index:
+    """A benchmark's windows by length, its words with a space between them, and the items' names."""
+
+    lengths: list[Lengths]
+    text: bytes
+    names: list[str]
+
+    def items(self, found: set[tuple[int, int]]) -> list[str]:
+        """Names of the items of some windows (place in ``lengths``, window), sorted."""
+        held, size = [np.zeros(0, np.int32)], 0
+        for part, i in found:
+            length = self.lengths[part]
+            held.append(length.items[length.first[i] : length.first[i + 1]])
+            size += len(held[-1])
+            if size > 1 << 20:
+                held = [np.unique(np.concatenate(held))]
+                size = 0
+        return sorted(self.names[i] for i in np.unique(np.concatenate(held)).tolist())
+
+
+def _spaced(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words of ``data``, each with a space after it, and where they start there."""
+    length = words.end - words.start
+    start = np.cumsum(length + 1) - length - 1
+    out = np.full(int((length + 1).sum()), 32, np.uint8)
+    out[spread(start, length)] = _TABLE[data[spread(words.start, length)]]
+    return out, start
+
+
+def build_index(items: pa.Table) -> Index:
+    """The index of a table (item, text)."""
+    names = items.column("item").combine_chunks().dictionary_encode()
+    text, start, length, hashes, row, bytes_, at = [], [], [], [], [], 0, 0
+    for part in chunks(items.select(["text"]).to_batches()):
+        data, offsets = raw(part.column("text"))
+        w = words_of(data, offsets, _TABLE)
+        spaced, first = _spaced(data, w)
+        text.append(spaced.tobytes())
+        start.append(first + bytes_)
+        length.append((w.end - w.start).astype(np.int32))
+        hashes.append(w.hash)
+        row.append((w.row + at).astype(np.int32))
+        bytes_, at = bytes_ + len(spaced), at + part.num_rows
+    if not bytes_:
+        return Index([], b"", names.dictionary.to_pylist())
+    start, length, hashes, row = (np.concatenate(x) for x in (start, length, hashes, row))
+    kind = np.uint32 if bytes_ < 1 << 32 else np.int64
+    start, end = start.astype(kind), (start + length).astype(kind)
+    del length
+    count = np.bincount(row, minlength=at)
+    first = np.cumsum(count) - count
+    other = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))  # windows are told apart by 128 bits here
+    item = names.indices.to_numpy()
     out = []
-    for n, windows in sorted(seen.items()):
+    for n in np.unique(np.minimum(count[count > 0], WINDOW_WORDS)).tolist():
+        if n < WINDOW_WORDS:
+            place = first[count == n]
+        else:
+            place = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
         k = min(GRAM_WORDS, n)
-        texts = list(windows)
-        joined = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        h = words_of(joined, offsets, _TABLE).hash.reshape(len(texts), n)
-        grams = np.stack([gram_hashes(row, k) for row in h]) if len(h) else np.zeros((0, 1), np.uint64)
-        whole = np.concatenate([gram_hashes(row, n) for row in h])
-        order = np.argsort(whole, kind="stable")
-        out.append(Lengths(n, k, np.unique(grams.min(axis=1)), whole[order], [texts[i].split() for i in order], [groups.setdefault(tuple(sorted(windows[texts[i]])), len(groups)) for i in order]))
-    return out, list(groups)
-
-
-def _search(data: np.ndarray, offsets: np.ndarray, index: list[Lengths]) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """Words per row, and the occurrences (row, first word, number of words, group)."""
+        least = gram_hashes_at(hashes, place, k)
+        for j in range(1, n - k + 1):
+            np.minimum(least, gram_hashes_at(hashes, place + j, k), out=least)
+        prints = np.unique(least)
+        whole, more, of = gram_hashes_at(hashes, place, n), gram_hashes_at(other, place, n), item[row[place]]
+        order = np.lexsort((of, more, whole))
+        place, whole, more, of = place[order], whole[order], more[order], of[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (whole[1:] != whole[:-1]) | (more[1:] != more[:-1])
+        entry = new.copy()
+        entry[1:] |= of[1:] != of[:-1]
+        distinct = place[new]
+        bounds = np.append(np.flatnonzero(new[entry]), int(entry.sum()))
+        out.append(Lengths(n, k, prints, whole[new], start[distinct], end[distinct + n - 1], bounds.astype(np.int64 if len(place) >> 31 else np.int32), of[entry].astype(np.int32)))
+    return Index(out, b"".join(text), names.dictionary.to_pylist())
+
+
+def _search(data: np.ndarray, offsets: np.ndarray, index: Index) -> tuple[np.ndarray, list[tuple[int, int, int, tuple[int, int]]]]:
+    """Words per row, and the occurrences (row, first word, number of words, window)."""
     words = words_of(data, offsets, _TABLE)
     rows = len(offsets) - 1
     count = np.bincount(words.row, minlength=rows)
     first = np.cumsum(count) - count
     found = []
     grams: dict[int, np.ndarray] = {}
-    for part in index:
+    for number, part in enumerate(index.lengths):
         if part.k not in grams:
             g = gram_hashes(words.hash, part.k)
             if len(g):
@@ -134,25 +197,25 @@ def _search(data: np.ndarray, offsets: np.ndarray, index: list[Lengths]) -> tupl
         whole = gram_hashes_at(words.hash, start, part.words)
         slot = np.minimum(np.searchsorted(part.windows, whole), len(part.windows) - 1)
         for s, i, h in zip(*(x[part.windows[slot] == whole].tolist() for x in (start, slot, whole))):
-            text = data[words.start[s] : words.end[s + part.words - 1]].tobytes()
-            got = split_words(text)
+            text = b" ".join(split_words(data[words.start[s] : words.end[s + part.words - 1]].tobytes()))
             while i < len(part.windows) and int(part.windows[i]) == h:
-                if got == part.text[i]:
+                if text == index.text[part.start[i] : part.end[i]]:
                     row = int(words.row[s])
-                    found.append((row, s - int(first[row]), part.words, part.group[i]))
+                    found.append((row, s - int(first[row]), part.words, (number, i)))
                     break
                 i += 1
     return count, found
 
 
 def gram_hashes_at(words: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """As gram_hashes, for some positions."""
     total = np.zeros(len(start), np.uint64)
     for j in range(k):
         total += words[start + j] * _SCALE[j]
     return total ^ (total >> np.uint64(29))
 
 
-def _pieces(data: np.ndarray, index: list[Lengths], piece: int) -> tuple[int, list[tuple[int, int, int, int]]]:
+def _pieces(data: np.ndarray, index: Index, piece: int) -> tuple[int, list[tuple[int, int, int, tuple[int, int]]]]:
     """As _search for one long text, piece after piece with 12 words of overlap."""
     at, base, found = 0, 0, []
     while True:
@@ -188,44 +251,56 @@ def _union(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_SCHEMA = "doc_id bigint, text string, n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<string>"
+_SCHEMA = "doc_id bigint, n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<string>"
 _HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(index, piece: int, keep_text: bool):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, groups = index.value
+def _found(text: pa.Array, index: Index, piece: int) -> tuple[np.ndarray, list[set[tuple[int, int]]], list[set[tuple[int, int]]]]:
+    """Words, hit spans, and windows hit, of each text."""
+    data, offsets = raw(text)
+    rows = len(offsets) - 1
+    if rows == 1 and len(data) > piece:
+        n, found = _pieces(data, index, piece)
+        count = np.array([n])
+    else:
+        count, found = _search(data, offsets, index)
+    spans, windows = [set() for _ in range(rows)], [set() for _ in range(rows)]
+    for row, start, n, window in found:
+        spans[row].add((start, start + n))
+        windows[row].add(window)
+    return count, spans, windows
+
+
+def _arrays(spans: list[set[tuple[int, int]]], items: list[list[str]]) -> list[pa.Array]:
+    return [pa.array([[{"start": a, "end": b} for a, b in _union(x)] for x in spans], _HITS), pa.array(items, pa.list_(pa.string()))]
+
+
+def _hits(index, piece: int):
+    """Of (node, text), the rows with hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            _, spans, windows = _found(batch.column("text"), index.value, piece)
+            some = [i for i, x in enumerate(spans) if x]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(some, pa.int64())), *_arrays([spans[i] for i in some], [index.value.items(windows[i]) for i in some])], ["node", "hits", "items"])
+
+    return run
+
+
+def _scan(index, piece: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            data, offsets = raw(batch.column("text"))
-            rows = batch.num_rows
+            count, spans, windows = _found(batch.column("text"), index.value, piece)
+            items = [index.value.items(x) if x else [] for x in windows]
+            if "hits" in batch.schema.names:  # of the other blocks
+                for i, (hits, names) in enumerate(zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist())):
+                    if hits:
+                        spans[i].update((x["start"], x["end"]) for x in hits)
+                        items[i] = sorted({*items[i], *names})
             more = [c for c in batch.schema.names if c.startswith("__c")]
-            if rows == 1 and len(data) > piece:
-                n, found = _pieces(data, lengths, piece)
-                count = np.array([n])
-            else:
-                count, found = _search(data, offsets, lengths)
-            before = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist()) if "hits" in batch.schema.names else ((None, None) for _ in range(rows))
-            spans, items = [], []
-            for hits, names in before:
-                spans.append({(x["start"], x["end"]) for x in hits or ()})
-                items.append(set(names or ()))
-            for row, group in {(row, group) for row, _, _, group in found}:
-                items[row].update(groups[group])
-            for row, start, n, _ in found:
-                spans[row].add((start, start + n))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("text") if keep_text else pa.nulls(rows, pa.string()),
-                    pa.array(count, pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in _union(x)] for x in spans], _HITS),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                    *(batch.column(c) for c in more),
-                ],
-                ["doc_id", "text", "n_words", "hits", "items", *more],
-            )
-
-    return scan
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), *_arrays(spans, items), *(batch.column(c) for c in more)], ["doc_id", "n_words", "hits", "items", *more])
+
+    return run
 
 
 def _run(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int, piece_bytes: int, ddl: str = "") -> DataFrame:
@@ -234,15 +309,14 @@ def _run(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, bl
     items = pick(benchmark, item=item_id, text=item_text).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("size")).first()["size"]
     blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)
-    out = rows
-    for block in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(build_index([(r["item"], text_of(r["text"])) for r in part.collect()]))
-        last = block == blocks - 1
-        out = out.mapInArrow(_scan(index, piece_bytes, not last), _SCHEMA + ddl)
-        if not last:
-            out = cut_lineage(out)
-    return out.drop("text").withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("bigint"), lambda total, x: total + x["end"] - x["start"])).withColumn("n_items", F.size("items").cast("bigint"))
+    index = lambda i: spark.sparkContext.broadcast(build_index((items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)).toArrow()))
+    if blocks > 1:
+        rows = rows.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+        tables = [written(rows.select("node", "text").mapInArrow(_hits(index(i), piece_bytes), "node binary, " + _SCHEMA.split(", ", 2)[2]), "hits")[0] for i in range(1, blocks)]
+        merged = reduce(DataFrame.union, tables).groupBy("node").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        rows = rows.join(merged, "node", "left").drop("node")
+    out = rows.mapInArrow(_scan(index(0), piece_bytes), _SCHEMA + ddl)
+    return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("bigint"), lambda total, x: total + x["end"] - x["start"])).withColumn("n_items", F.size("items").cast("bigint"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:

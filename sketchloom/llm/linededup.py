@@ -435,7 +435,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL").withColumn("rank", _rank("text"))
     pairs, _, copies, _ = find_pairs(base)
     salts = pairs.groupBy("owner").agg(F.ceil(F.count("*") / SALT).cast("bigint").alias("salts"))
-    hot = salts.filter("salts > 1")
+    hot, _ = written(salts.filter("salts > 1"), "hot")  # so that its size is known where the joins are planned
     words = _marked(salts.select(F.col("owner").alias("doc")), base, "doc").mapInArrow(_words, "doc bigint, rank binary, words binary")
     words = words.groupBy("doc").agg(F.min_by("words", "rank").alias("words")).withColumnRenamed("doc", "owner")
     words = words.join(hot, "owner", "left").select("owner", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts") - 1, F.lit(0)))).alias("salt"))

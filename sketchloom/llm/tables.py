@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import shared_dir
+from sketchloom.sources.files import remove, shared_dir
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -20,8 +20,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a written table by the file system of its path."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, path)
 
 
 def components(edges: DataFrame, most: int = 100) -> tuple[DataFrame, str]:

@@ -183,22 +183,3 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
     return np.repeat(starts - first, lengths) + np.arange(total)
-
-
-def shared_dir(spark) -> str:
-    """The shared folder for written intermediate tables: spark.checkpoint.dir, or our own where that is unset (local tests only)."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/sketchloom-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder; unlike a local checkpoint it survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()

@@ -45,8 +45,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import chunks, pick, shared_dir
+from sketchloom.llm.textkit import chunks, pick
 from sketchloom.llm.tokens import encoder
+from sketchloom.sources.files import shared_dir
 
 MAGIC, END = b"LOOMIDS1", b"LOOMEND1"
 #: The dictionary is trained on this many documents at most, the first by a hash of id and text, of each on this many characters at most.
