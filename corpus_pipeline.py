@@ -1,8 +1,18 @@
 """From raw documents to packed sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
-predecessor kept; the next one reads its result from Parquet. All but the last
-return the columns of ``documents``.
+predecessor kept; the next one reads its result from Parquet, and what has been
+read is deleted. All but the last return the columns of ``documents``, further
+columns and clashing names included.
+
+Defined cases, stage by stage: a null or empty text, or one without a letter,
+has no language, so its row goes (language); of the other stages, each alone: a
+null text stays null, and rows with a null id are cut by nobody (lines); null
+and empty texts are copies of each other, of which one stays, as of repeated
+rows (near_duplicates); a text without words isn't contaminated, and repeated
+rows go or stay together (benchmark); null texts are packed as an end id, and
+repeated rows each (sequences). Ties go to the smallest id. Texts of any length
+are read whole. An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
@@ -13,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm import decontam, langid, linededup, packing, queries, simhash
-from sketchloom.llm.textkit import shared_dir
+from sketchloom.sources.files import remove, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +62,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        path = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
