@@ -7,7 +7,7 @@ for contigs, and k-mers of ``benchmark`` for the index.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.hashing import bit_sample, modulo
@@ -193,10 +193,14 @@ def contig_annotation(spark, d):
     return annotate.annotate(hashes, known, docs)
 
 
+def dna(text: Column) -> Column:
+    """A sequence of a text's letters."""
+    return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+
+
 def murmur_kmers(spark, d):
     """K-mers of texts, with the letters that aren't DNA taken as A, C, G or T by their code, so that the native hash has work."""
-    dna = F.translate(F.regexp_replace(F.upper("text"), "[^A-Z]", ""), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
-    contigs = _table(spark, d, "documents").select(F.lit("all").alias("accession"), F.col("doc_id").cast("string").alias("contig"), dna.alias("sequence"))
+    contigs = _table(spark, d, "documents").select(F.lit("all").alias("accession"), F.col("doc_id").cast("string").alias("contig"), dna(F.col("text")).alias("sequence"))
     return annotate.contig_hashes(contigs)
 
 

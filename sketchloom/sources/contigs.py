@@ -62,12 +62,17 @@ def _opened(file: str, content: bytes):
         return gzip.GzipFile(fileobj=io.BytesIO(content))
     import zstandard
 
-    plain = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True)
-
     def parts() -> Iterator[bytes]:
+        plain = None
         for at in range(0, len(content), 1 << 20):
-            yield plain.decompress(content[at : at + (1 << 20)])
-        if content and not plain.eof and not plain.unused_data:
+            left = content[at : at + (1 << 20)]
+            while left:
+                plain = plain or zstandard.ZstdDecompressor().decompressobj()
+                yield plain.decompress(left)
+                left = plain.unused_data if plain.eof else b""
+                if plain.eof:  # another frame may follow
+                    plain = None
+        if plain:
             raise EOFError("the file ends inside of a frame")
 
     return _Parts(parts())

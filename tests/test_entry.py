@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sketchloom.plans import proxies
+from sketchloom.plans import proxies, roundtrips
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
@@ -26,10 +26,13 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(proxies.oracle_sql()))
+SQL = proxies.oracle_sql() | roundtrips.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, db, name):
-    df = proxies.queries()[name](spark, DATA)
-    found = db.execute(proxies.oracle_sql()[name])
+    df = entry.queries()[name](spark, DATA)
+    found = db.execute(SQL[name])
     columns = [d[0] for d in found.description]
     assert sorted(columns) == sorted(df.columns)
     assert _rows(df.columns, map(tuple, df.collect())) == _rows(columns, found.fetchall())

@@ -2,9 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
 
 from sketchloom import cli
+from sketchloom.functions import report
 from sketchloom.plans import jobs
 from sketchloom.sources import contigs, files, manifest, sinks
 from sketchloom.sources.datasets import read_hive_hashes, read_signatures
@@ -46,6 +48,17 @@ def test_alias_vs_others(spark, at, sets):
         jobs.alias_vs_others(spark, sets, "nobody")
 
 
+def test_manifest_of_other_things(spark):
+    for bad in ({"databases": ["x"]}, {"databases": []}, {"databases": {}}, {}, []):
+        with pytest.raises(manifest.ManifestError):
+            manifest.load_manifest(spark, bad)
+
+
+def test_stages_of_the_command_line():
+    args = cli.parser().parse_args(["top-minhashes", "--input", "a", "--out", "b", "--stage", "topn", "ids"])
+    assert args.stage == ["topn", "ids"]
+
+
 @pytest.mark.parametrize("change", [{"alias": ""}, {"set_id": "middle"}, {"path": "file:///nowhere"}, {"alias": "known1"}, {"set_id": "right"}])
 def test_bad_manifest(spark, sets, change):
     sets["databases"][0] |= change
@@ -153,10 +166,63 @@ def test_fasta_and_annotation(spark, at, tmp_path):
     assert status["acc1"] == status["acc2"] == "done" and status["gone"].startswith("no file")
 
 
+def test_one_bad_file_does_not_stop_the_others(spark, at, tmp_path):
+    import gzip
+
+    import zstandard
+
+    packed, rng = zstandard.compress(FASTA.encode() * 50), "".join(np.random.default_rng(0).choice(list("ACGT"), 3000))
+    (tmp_path / "good.contigs.fa.zst").write_bytes(packed + packed)
+    (tmp_path / "cut.contigs.fa.zst").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "junk.contigs.fa.zst").write_bytes(b"junk" * 30)
+    (tmp_path / "zip.fa.gz").write_bytes(gzip.compress(f">z\n{rng}\n".encode()))
+    (tmp_path / "badzip.fa.gz").write_bytes(gzip.compress(f">z\n{rng}\n".encode())[:200])
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "both.csv").write_text("name,hashval\nc1,5\nc1,x\n,4\nc9,7\n")
+    (tmp_path / "both.fa").write_text(">c1\nACGT\n>c2\nAC\n")
+    (tmp_path / "alone.csv").write_text("sequence,hash\nc1,5\nc1,6\n")
+    spark.createDataFrame([(5,), (5,)], "min_hash bigint").write.parquet(f"{at}/five")
+    jobs.build_index_job(spark, f"{at}/five", f"{at}/index5", bits=2, distinct=True)
+    tried = []
+
+    def fetch(place):
+        tried.append(place)
+        if "far" in place:
+            raise OSError("no network")
+        return place
+
+    made = jobs.annotate(
+        spark, f"{at}/index5", f"{at}/ann5", ["good", "cut", "junk", "far"], url=f"{at}/{{acc}}.contigs.fa.zst", fetch=fetch,
+        contigs=[f"{at}/zip.fa.gz", f"{at}/badzip.fa.gz", f"{at}/both.fa"], matches=[f"{at}/both.csv", f"{at}/alone.csv", f"{at}/bad.csv"],
+    )
+    got = {(r["accession"], r["contig"]): (r["contig_length"], r["candidate_hashes"], r["novel_hashes"]) for r in made.collect()}
+    assert {a for a, _ in got} == {"good", "zip", "both", "alone"}
+    assert got["both", "c1"] == (4, 1, 1) and got["both", "c2"] == (2, 0, 0) and got["alone", "c1"] == (-1, 2, 1) and got["good", "c1"][0] == 42 * 100 and got["zip", "z"][0] == 3000
+    status = {r["accession"]: r["status"] for r in spark.read.parquet(f"{at}/ann5/status").collect()}
+    assert [status[a] for a in ("good", "zip", "both", "alone")] == ["done", "done", "done, 2 rows left out", "done"]
+    assert all(status[a].startswith("not readable") for a in ("cut", "junk", "badzip", "bad")) and status["far"].startswith("fetch failed") and sum("far" in t for t in tried) == 3
+    with pytest.raises(Exception, match="frame|Zstd|zstd"):
+        contigs.read_fasta(spark, f"{at}/cut.contigs.fa.zst").count()
+
+
+def test_named_shards(spark, at):
+    df = spark.createDataFrame([(1, "a"), (9, "b"), (2, "c")], "min_hash bigint, sample_id string")
+    sinks.write_shards(df, f"{at}/named", 4, "min_hash", prefix="lists_")
+    assert [p.rsplit("/", 1)[-1] for p in files.children(spark, f"{at}/named") if not p.endswith("_SUCCESS")] == [f"lists_{i:04d}.parquet" for i in range(4)]
+    got = {(r[0], r[1].rsplit("_", 1)[1][:4]) for r in spark.read.parquet(f"{at}/named/lists_*.parquet").selectExpr("min_hash", "input_file_name()").collect()}
+    assert got == {(1, "0001"), (9, "0001"), (2, "0002")} and spark.read.parquet(f"{at}/named/lists_0003.parquet").columns == df.columns
+
+
+def test_reports():
+    assert [report.number(1234567), report.number(0.25), report.duration(3.25), report.duration(75), report.duration(3725.4), report.size(10), report.size(1536), report.size(1 << 60)] == ["1,234,567", "0.25", "3.2 s", "1 min 15 s", "1 h 2 min 5 s", "10 B", "1.5 KiB", "1024.0 PiB"]
+    assert report.summary("count", {"rows_read": 2000, "warning": ""}, 1) == ["rows read: 2,000", "count took 1.0 s"]
+
+
 def test_matches(spark, at, tmp_path):
     (tmp_path / "acc1.csv").write_text("name,hash,more\nc1,5,x\nc1,bad,x\nc2,-1,x\n,7,x\nc2,6,x\n")
     got = contigs.read_matches(spark, f"{at}/acc1.csv")
     assert {tuple(r) for r in got.collect()} == {("acc1", "c1", 5), ("acc1", "c2", 6)}
+    assert contigs.left_out(spark, f"{at}/acc1.csv") == {"acc1": 2}
     (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         contigs.read_matches(spark, f"{at}/bad.csv")
@@ -175,7 +241,9 @@ def test_cli(spark, at, sets, tmp_path, capsys):
     (tmp_path / "m.json").write_text(json.dumps(sets))
     assert cli.main(["left-minus-rights", "--manifest", f"{at}/m.json", "--out-dir", f"{at}/cli"]) == 0
     assert cli.main(["left-minus-rights", "--manifest", f"{at}/m.json", "--out-dir", f"{at}/cli"]) == 2
-    assert cli.main(["count", "--input", f"{at}/cli"]) == 0
+    assert cli.main(["--log-dir", f"{at}/logs", "--summary", "count", "--input", f"{at}/cli"]) == 0
+    (log,) = [p for p in files.children(spark, f"{at}/logs") if p.endswith(".json")]
+    assert files.read_json(spark, log)["result"] == 3
     assert capsys.readouterr().out.strip().splitlines()[-1] == "3"
     for bad in (["--percentiles", "0.1", "0.2", "--low-cut", "1"], [], ["--low-cut", "1"]):
         with pytest.raises(SystemExit):

@@ -99,6 +99,14 @@ def test_top_breaks_ties_by_hash(spark):
     assert [tuple(r) for r in counts.top(df, 3).collect()] == [(1, 9), (4, 3), (5, 3)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 6, 7, 40, 99, 100, 200])
+def test_long_top_lists(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(int(h), int(c)) for h, c in zip(rng.permutation(np.arange(-50, 50)) * (1 << 56) + 7, rng.integers(1, 4, 100))]
+    df = spark.createDataFrame(rows, "min_hash bigint, n_samples bigint")
+    assert [tuple(r) for r in counts.top(df, n, heap=0).collect()] == sorted(rows, key=lambda r: (-r[1], r[0]))[:n]
+
+
 def test_lists(sig, spark):
     chosen = hashes(spark, [7], "min_hash")
     assert [tuple(r) for r in counts.sample_lists(sig, chosen, ksize=31).collect()] == [(7, 2, ["s1", "s2"])]
@@ -155,6 +163,17 @@ def test_bin_statistics(spark):
     assert histogram.bin_statistics(numbers(spark, []))["total"] == 0
 
 
+def test_between_percentiles(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([1, 2, 4, 10])], "min_hash bigint, sample_count bigint")
+    assert sorted(r[1] for r in selection.between_percentiles(df, 0.25, 0.75, "sample_count").collect()) == [2, 4]
+
+
+def test_probe_of_columns_of_clashing_names(spark):
+    asked = spark.createDataFrame([(3, "x", 1), (None, "y", 2), (3, "z", 3)], "`a.b` bigint, shard string, __k2 int")
+    got = index.probe(asked, hashes(spark, [3, 3], "min_hash"), "a.b")
+    assert got.columns == ["a.b", "shard", "__k2", "hit"] and sorted(r["hit"] for r in got.collect()) == [False, True, True]
+
+
 def test_index(spark, tmp_path):
     rows = hashes(spark, [3, 3, 259, 7, None], "min_hash")
     meta = index.build_index(rows, f"file://{tmp_path}/i", bits=8)
