@@ -11,12 +11,16 @@ proportion in the set, the score that proportion.
 
 Scale: two passes over the texts. Counts are summed per partition before the
 exchange; the model that reaches the driver has at most ``BINS`` numbers a
-language, however many documents there are.
+language, however many documents there are. More than ``MOST_LANGS`` languages
+(a column that isn't clean) are an error rather than a model without bounds.
 
 Defined cases: texts that are null or without any letter are ``und`` with score
-0, as are all texts when there is nothing to learn from; rows with a null
-language or text teach nothing; ties go to the language that sorts first;
-repeated rows count each; an empty table gives no rows.
+0, as are all texts when there is nothing to learn from; texts of any length are
+read whole, in pieces, of which only a number a word and language is kept; rows
+with a null language or text teach nothing; ties go to the language that sorts
+first; repeated rows count each; identify() returns its own columns alone and
+keep_known() all of the documents', whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import CHUNK_BYTES, Carried, chunks, pick, raw
+from sketchloom.llm.textkit import CHUNK_BYTES, Carried, chunks, cuts, pick, raw
 
 BINS = 1 << 16
 #: Added to each count.
 SMOOTHING = 0.1
 ROUNDS = 8
 PENALTY = 2.0
+#: Languages that a model has at most; it takes a quarter of a MB for each.
+MOST_LANGS = 1000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.zeros(256, bool)
@@ -77,6 +83,15 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return bins, at, np.searchsorted(offsets, start, "right") - 1
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """grams() of some texts; of a long one, a piece at a time."""
+    if len(offsets) > 2:
+        yield grams(data, offsets)
+    else:
+        for a, b in cuts(data, _TABLE):
+            yield grams(data[a:b], np.array([0, b - a]))
+
+
 @dataclass
 class Model:
     """Languages in order, and their log-probabilities (bins x languages)."""
@@ -95,18 +110,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in chunks(batches):
-        data, offsets = raw(batch.column("text"))
-        bins, at, row = grams(data, offsets)
         langs = batch.column("lang").to_pylist()
-        first = np.searchsorted(row, np.arange(len(langs) + 1))
-        ends = np.append(at, len(bins))[first]
-        for i, lang in enumerate(langs):
-            if ends[i + 1] > ends[i]:
-                if lang not in held:
-                    held[lang] = np.zeros(BINS, np.int64)
-                held[lang] += np.bincount(bins[ends[i] : ends[i + 1]], minlength=BINS) if ends[i + 1] - ends[i] > BINS // 8 else 0
-                if ends[i + 1] - ends[i] <= BINS // 8:
-                    np.add.at(held[lang], bins[ends[i] : ends[i + 1]], 1)
+        for bins, at, row in _parts(*raw(batch.column("text"))):
+            first = np.searchsorted(row, np.arange(len(langs) + 1))
+            ends = np.append(at, len(bins))[first]
+            for i, lang in enumerate(langs):
+                if ends[i + 1] > ends[i]:
+                    if lang not in held:
+                        held[lang] = np.zeros(BINS, np.int64)
+                    if ends[i + 1] - ends[i] > BINS // 8:
+                        held[lang] += np.bincount(bins[ends[i] : ends[i + 1]], minlength=BINS)
+                    else:
+                        np.add.at(held[lang], bins[ends[i] : ends[i + 1]], 1)
         if len(held) > 256:
             yield from out()
     yield from out()
@@ -115,6 +130,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
     """Learn from every row that has a language and a text."""
     rows = pick(docs, lang=lang, text=text).filter("lang IS NOT NULL AND text IS NOT NULL")
+    found = rows.select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if found > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     counts = rows.mapInArrow(_count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     names = counts.column("lang").to_numpy(zero_copy_only=False)
     langs = sorted(set(names.tolist()))
@@ -138,10 +156,15 @@ def infer(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     """For each text: proportions of the languages (0 outside the selected set), and whether it has any word."""
     rows = len(offsets) - 1
     out = np.zeros((rows, len(model.langs)))
-    bins, at, row = grams(data, offsets)
-    if not len(at) or not model.langs:
+    sums, places = [], []
+    for bins, at, row in _parts(data, offsets):
+        if len(at) and model.langs:
+            sums.append(np.add.reduceat(model.logp[bins], at, axis=0))
+        places.append(row)
+    row = np.concatenate(places)
+    if not len(row) or not model.langs:
         return out, np.bincount(row, minlength=rows) > 0
-    logp = np.add.reduceat(model.logp[bins], at, axis=0)
+    logp = np.concatenate(sums)
     best = logp.max(axis=1, keepdims=True)
     p = np.maximum(np.exp(logp - best), 1e-30)
     texts, first = np.unique(row, return_index=True)

@@ -10,10 +10,11 @@ side half of its way to 1.
 
 Scale: one pass, no shuffle, memory of one chunk of texts.
 
-Defined cases: null and empty texts have no words, labels "" and score 0;
-repeated rows give equal results each; a broken expression is read as far as it
-is valid, missing closing parentheses are added, and a tag without any id gives
-nothing.
+Defined cases: null and empty texts have no words, labels "" and score 0; texts
+of any length are read whole; repeated rows give equal results each; phrases
+that overlap all count; a broken expression is read as far as it is valid,
+missing closing parentheses are added, and a tag without any id gives nothing;
+further columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,22 +40,48 @@ NOTICES = {
     "bsd 2 clause": "bsd-2-clause",
     "bsd 3 clause": "bsd-3-clause",
     "isc license": "isc",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission is hereby granted free of charge": "mit",
+    "permission to use copy modify and or distribute this software": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "zlib license": "zlib",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "python software foundation license": "psf",
+    "gnu gpl": "gpl",
+    "gnu lgpl": "lgpl",
+    "gnu agpl": "agpl",
     "lesser general public license": "lgpl",
+    "library general public license": "lgpl",
     "affero general public license": "agpl",
     "mozilla public license": "mpl",
     "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "open database license": "odbl",
+    "sil open font license": "ofl",
+    "gnu free documentation license": "gfdl",
     "cc by sa": "cc-by-sa",
     "cc by nc": "cc-by-nc",
     "cc by nd": "cc-by-nd",
     "cc0": "cc0",
     "public domain": "public-domain",
     "creative commons": "cc",
+    "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons zero": "cc0",
+    "proprietary and confidential": "proprietary",
+    "unauthorized copying": "proprietary",
+    "no part of this publication may be reproduced": "reserved",
 }
-TAGS = ("spdx-license-identifier:", "license-expression:", "licence-expression:")
+TAGS = ("spdx-license-identifier:", "spdx-licence-identifier:", "license-expression:", "licence-expression:", "license-id:", "packagelicensedeclared:", "packagelicenseconcluded:", "licenseinfoinfile:")
 #: How freely works under a licence may be reused; ids are matched by their longest prefix here.
 FREEDOM = {
     "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "zlib": 1.0, "unlicense": 1.0, "0bsd": 1.0, "cc0": 1.0, "public-domain": 1.0, "cc-by": 0.9, "cc": 0.6, "cc-by-sa": 0.6, "mpl": 0.6, "epl": 0.6, "lgpl": 0.6,
-    "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "reserved": 0.0,
+    "bsl": 1.0, "artistic": 0.9, "psf": 1.0, "ofl": 0.9, "odbl": 0.6, "eupl": 0.5, "cddl": 0.6, "gfdl": 0.4, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "busl": 0.2, "sspl": 0.2, "proprietary": 0.0, "reserved": 0.0,
 }
 UNKNOWN = 0.5
 

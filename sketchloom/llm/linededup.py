@@ -49,7 +49,7 @@ from pyspark.sql.types import StructField, StructType
 
 from sketchloom.llm.decontam import winnow
 from sketchloom.llm.tables import drop, written
-from sketchloom.llm.textkit import PIECE_BYTES, chunks, limit_batches, mix, raw, rolling, text_of, word_table, words_of
+from sketchloom.llm.textkit import PIECE_BYTES, chunks, cuts, limit_batches, mix, raw, rolling, text_of, word_table, words_of
 
 SPAN = 50
 HEAD = 20
@@ -78,21 +78,11 @@ def line_hashes(words: np.ndarray, row: np.ndarray | None = None, span: int = SP
 
 def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """32-bit hashes of the words of one text, and where they start and end."""
-    parts, at = [], 0
-    while True:
-        to = at + PIECE_BYTES
-        while to < len(text):
-            stop = np.flatnonzero(_TABLE[text[to : to + PIECE_BYTES]] == 0)
-            if len(stop):
-                to += int(stop[0])
-                break
-            to += PIECE_BYTES
-        to = min(to, len(text))
+    parts = []
+    for at, to in cuts(text, _TABLE, PIECE_BYTES):
         w = words_of(text[at:to], np.array([0, to - at]), _TABLE)
         parts.append((w.hash.astype(np.uint32), w.start + at, w.end + at))
-        if to >= len(text):
-            return tuple(np.concatenate(x) for x in zip(*parts))
-        at = to
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _same(a: np.ndarray, i: int, b: np.ndarray, j: int, step: int) -> int:

@@ -12,7 +12,9 @@ Scale: a row at a time, no shuffle; memory is a few times the largest text.
 
 Defined cases: null text is empty (one frame of padding); null media has no
 packets; a file that ends or breaks in the middle gives the packets before that
-and ``complete`` false; repeated rows give equal results each.
+and ``complete`` false; texts of any length are one file, within what a row may
+hold; repeated rows give equal results each; further columns are left out; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

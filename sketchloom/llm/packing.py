@@ -1,49 +1,63 @@
 """Packing by lexical retrieval: a sharded BM25 index fills windows with neighbours.
 
-Documents are dealt to shards by a hash of id and text; a shard's inverted index
-maps words to postings with BM25 weights, whose document frequencies and
-mean length are those of all documents. A seed document starts a window; the
-rest of the window is filled with the unused documents that all of its words
-rank highest, or the next unused ones where none shares a word. What doesn't fit
-is cut, and the remainder starts the next window as its seed. Only the last
-window of a shard is not full.
-
-Scale: one counting pass, whose result is bounded by ``TERMS`` numbers, and one
-exchange of the texts. A shard is about ``SHARD_BYTES`` of text; whatever lands
-in one is worked off in blocks of at most four times that, so memory is bounded
-even if equal rows pile up. The longest single text is the one thing that must
-fit.
+Documents are dealt to shards by content: by the word with the smallest hash,
+which two documents share as often as they share words (a min-hash), so that
+lexical neighbours meet. A shard's inverted index maps words to postings with
+BM25 weights, whose document frequencies and mean length are those of all
+documents. A seed document starts a window; the rest of the window is filled
+with the unused documents that all of its words rank highest, or the next unused
+ones where none shares a word. What doesn't fit is cut, and the remainder starts
+the next window as its seed. Only the last window of a shard is not full.
+
+Shards: the bytes of documents with each smallest hash are counted in ``KEYS``
+bins, and whole bins, in order, make up shards of about ``SHARD_BYTES``. A bin
+of more than that has shards of its own, among which a second min-hash deals;
+and a pair of both bins that is still too much (copies without end) is spread by
+id and text, so no shard is hot.
+
+Scale: one counting pass, whose result is bounded by ``TERMS`` and ``KEYS``
+numbers, one pass that deals, and one exchange of the texts. Whatever lands in a
+shard is worked off in blocks of at most four times its size, so memory is
+bounded even if equal rows pile up. The longest single text is the one thing
+that must fit. Document frequencies are counted in ``TERMS`` bins of words'
+hashes, so a rare word's is at most that of all words of its bin.
 
 Defined cases: null text is empty, an empty document is its end id; null ids and
-repeated rows are packed like any other; an empty table gives no rows.
+repeated rows are packed like any other; documents without words go by id alone;
+of neighbours of equal score the first in the shard's order is taken; further
+columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import chunks, pick, raw, spread, word_table, words_of
-from sketchloom.llm.tokens import encoder
+from sketchloom.llm.textkit import chunks, mix, pick, raw, spread, word_table, words_of
+from sketchloom.llm.tokens import collector_off, encoder
 
 WINDOW = 1024
-TERMS = 1 << 18
+TERMS = 1 << 22
+#: Bins of the smallest word hashes.
+KEYS = 1 << 18
 K1, B = 1.2, 0.75
 SHARD_BYTES = 6 << 20
 #: Words that at least one in so many documents of a block has are scored by whole rows instead of postings.
 DENSE = 8
+#: Scores by frequent words are made for all pairs of a block at once, where these are not more than this.
+PAIRS = 1 << 24
 
 _TABLE = word_table()
 
 
-def _bin(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(46)).astype(np.int64)
+def _bin(hashes: np.ndarray, bins: int = TERMS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - (bins.bit_length() - 1))).astype(np.int64)
 
 
 def _counted(row: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,34 +67,106 @@ def _counted(row: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray,
     return key[at] // terms, key[at] % terms, np.diff(np.append(at, len(key)))
 
 
-def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, terms (each once a row, by row) and counts; words of each row."""
-    w = words_of(data, offsets, _TABLE)
-    return *_counted(w.row, _bin(w.hash), TERMS), np.bincount(w.row, minlength=len(offsets) - 1)
+def least_words(hash_: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the smallest of its words' hashes under two orders; without words the largest number there is."""
+    out = []
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    for seed in (0x243F6A8885A308D3, 0x13198A2E03707344):
+        least = np.full(rows, np.iinfo(np.uint64).max, np.uint64)
+        if len(row):
+            least[row[first]] = np.minimum.reduceat(mix(hash_ ^ np.uint64(seed)), first)
+        out.append(least)
+    return tuple(out)
+
+
+def key_bins(least: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins of the first smallest hash, of the second, and of both."""
+    one, two = (mix(x + np.uint64(1)) for x in least)  # smallest hashes crowd near zero: hashed again
+    return _bin(one, KEYS), _bin(two, KEYS), _bin(mix(one ^ mix(two)), KEYS)
+
+
+#: What the counting pass counts, beside documents by word: documents, words, bytes; bytes by first bin and by both.
+_WORD, _TOTAL, _FIRST, _BOTH = range(4)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, docs, words, size = np.zeros(TERMS, np.int64), 0, 0, 0
+    total = np.zeros(TERMS, np.int32)
+    first, both, sums = np.zeros(KEYS, np.int64), np.zeros(KEYS, np.int64), np.zeros(3, np.int64)
     for batch in chunks(batches):
         data, offsets = raw(batch.column("text"))
-        _, terms, _, length = terms_of(data, offsets)
-        total += np.bincount(terms, minlength=TERMS)
-        docs += batch.num_rows
-        size += len(data)
-        words += int(length.sum())
-    if docs:
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2, -3], at]).astype(np.int32)), pa.array(np.concatenate([[docs, words, size], total[at]]))], ["term", "n"])
-
-
-def statistics(docs: DataFrame, *, text: str = "text") -> tuple[np.ndarray, float, int]:
-    """Inverse document frequency of each hashed term, mean number of words, and bytes, over all documents."""
-    rows = pick(docs, text=text).mapInArrow(_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    term, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
-    count, words = int(n[term == -1].sum()), int(n[term == -2].sum())
-    df = np.zeros(TERMS)
-    df[term[term >= 0]] = n[term >= 0]
-    return np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32), max(1.0, words / max(1, count)), int(n[term == -3].sum())
+        w = words_of(data, offsets, _TABLE)
+        np.add.at(total, _counted(w.row, _bin(w.hash), TERMS)[1], 1)
+        size = np.diff(offsets)
+        one, _, pair = key_bins(least_words(w.hash, w.row, batch.num_rows))
+        np.add.at(first, one, size)
+        np.add.at(both, pair, size)
+        sums += (batch.num_rows, len(w.hash), len(data))
+    if sums[0]:
+        kinds = [(_WORD, total), (_TOTAL, sums), (_FIRST, first), (_BOTH, both)]
+        at = [np.flatnonzero(x) for _, x in kinds]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([k for k, _ in kinds], [len(x) for x in at]).astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate([x[i].astype(np.int64) for (_, x), i in zip(kinds, at)]))], ["kind", "bin", "n"])
+
+
+@dataclass
+class Statistics:
+    """Of all documents: inverse document frequencies by word bin, mean number of words, bytes, and bytes by key bins."""
+
+    idf: np.ndarray
+    mean: float
+    size: int
+    first: np.ndarray
+    both: np.ndarray
+
+
+def statistics(docs: DataFrame, *, text: str = "text") -> Statistics:
+    """One counting pass; what reaches the driver has at most a number a bin."""
+    rows = pick(docs, text=text).mapInArrow(_frequencies, "kind int, bin int, n bigint").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toArrow()
+    kind, at, n = (rows.column(c).to_numpy() for c in ("kind", "bin", "n"))
+
+    def filled(which: int, size: int) -> np.ndarray:
+        out = np.zeros(size, np.int64)
+        out[at[kind == which]] = n[kind == which]
+        return out
+
+    count, words, size = filled(_TOTAL, 3).tolist()
+    df = filled(_WORD, TERMS)
+    return Statistics(np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32), max(1.0, words / max(1, count)), size, filled(_FIRST, KEYS), filled(_BOTH, KEYS))
+
+
+@dataclass
+class Dealer:
+    """Which shard a document goes to: the first of its bin, how many of them the bin has, and over how many a pair of bins is spread."""
+
+    start: np.ndarray
+    shards: np.ndarray
+    spread: np.ndarray
+    count: int
+
+    @classmethod
+    def of(cls, stats: Statistics, shard_bytes: int) -> Dealer:
+        own = np.where(stats.first >= shard_bytes, -(-stats.first // shard_bytes), 0)
+        small = np.where(own > 0, 0, stats.first)
+        # shards of small bins are numbered first, by the bytes before each bin
+        start = (np.cumsum(small) - small) // shard_bytes
+        common = int(start.max()) + 1
+        start[own > 0] = common + (np.cumsum(own) - own)[own > 0]
+        return cls(start.astype(np.int64), np.maximum(own, 1), np.maximum(1, -(-stats.both // shard_bytes)), common + int(own.sum()))
+
+    def shard(self, least: tuple[np.ndarray, np.ndarray], tie: np.ndarray) -> np.ndarray:
+        one, two, both = key_bins(least)
+        return self.start[one] + (two + tie % self.spread[both]) % self.shards[one]
+
+
+def _deal(dealer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            data, offsets = raw(batch.column("text"))
+            w = words_of(data, offsets, _TABLE)
+            tie = batch.column("tie").to_numpy().view(np.uint64) >> np.uint64(1)
+            shard = dealer.value.shard(least_words(w.hash, w.row, batch.num_rows), tie.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("tie"), pa.array(shard)], ["doc_id", "text", "tie", "shard"])
+
+    return run
 
 
 class Shard:
@@ -89,7 +175,8 @@ class Shard:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, mean: float):
         w = words_of(data, offsets, _TABLE)
         self.n = n = len(offsets) - 1
-        real, word = np.unique(w.hash, return_inverse=True)
+        coded = pa.array(w.hash).dictionary_encode()
+        real, word = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         length, idf = np.bincount(w.row, minlength=n), idf[_bin(real)]
         row, term, tf = _counted(w.row, word, max(1, len(real)))
         weight = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))).astype(np.float32) * idf[term]
@@ -109,6 +196,7 @@ class Shard:
         self.dense[wide] = np.arange(len(wide))
         places = spread(at[wide], size[wide])
         self.whole[np.repeat(np.arange(len(wide)), size[wide]), self.doc[places]] = self.weight[places]
+        self.pairs = (self.whole > 0).astype(np.float32).T @ self.whole if n * n <= PAIRS else None
         self.used = np.zeros(n, bool)
         self.free = 0
 
@@ -119,7 +207,7 @@ class Shard:
             dense = self.dense[slots]
             few = slots[dense < 0]
             at = spread(self.at[few], self.size[few])
-            score = np.bincount(self.doc[at], self.weight[at], self.n) + self.whole[dense[dense >= 0]].sum(axis=0)
+            score = np.bincount(self.doc[at], self.weight[at], self.n) + (self.whole[dense[dense >= 0]].sum(axis=0) if self.pairs is None else self.pairs[seed])
             score[self.used] = 0
             while score[best := int(score.argmax())] > 0:  # the first of equal ones
                 score[best] = 0
@@ -157,6 +245,10 @@ def _pack(tokenizer: str, end_id: int, stats, window: int, most: int, keep_ids:
     kinds = [pa.int64()] * 7 + [pa.binary()]
 
     def block(shard_id: int, first: int, batches: list[pa.RecordBatch]) -> tuple[int, pa.RecordBatch]:
+        with collector_off():  # what piles up here, ids and tuples, holds no cycles
+            return packed(shard_id, first, batches)
+
+    def packed(shard_id: int, first: int, batches: list[pa.RecordBatch]) -> tuple[int, pa.RecordBatch]:
         table = pa.Table.from_batches(batches).combine_chunks()
         batches.clear()
         column, ids_of = table.column("text").combine_chunks(), table.column("doc_id").to_pylist()
@@ -182,7 +274,6 @@ def _pack(tokenizer: str, end_id: int, stats, window: int, most: int, keep_ids:
         return last + 1, pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # what piles up here, ids and tuples, holds no cycles
         held: list[pa.RecordBatch] = []
         size, current, first = 0, None, 0
         for batch in batches:
@@ -216,12 +307,12 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids as little-endian uint32]."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    idf, mean, size = statistics(docs)
-    shards = max(1, -(-size // shard_bytes))
-    stats = spark.sparkContext.broadcast((idf, mean))
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    parts = min(shards, 100_000)
-    dealt = dealt.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
+    found = statistics(docs)
+    dealer = Dealer.of(found, shard_bytes)
+    stats = spark.sparkContext.broadcast((found.idf, found.mean))
+    dealt = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie")).mapInArrow(_deal(spark.sparkContext.broadcast(dealer)), "doc_id bigint, text string, tie bigint, shard bigint")
+    parts = min(dealer.count, 100_000)
+    dealt = dealt.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "doc_id", "tie")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
     out = dealt.mapInArrow(_pack(tokenizer, end_id, stats, window, shard_bytes, keep_ids), schema)
     return out if keep_ids else out.drop("ids")

@@ -10,10 +10,13 @@ labelled rows, those with the smallest hash of their id; it is broadcast as ids
 and trained on in one task, which returns a model of fixed size. Every text is
 scored whole, in one pass without a shuffle.
 
-Defined cases: null and empty texts get the model's bias; without any label all
+Defined cases: null and empty texts get the model's bias; texts of any length
+are read whole, in pieces; without any label, or any text that has one, all
 scores are 0.5; with labels of one class only the score is that class's share,
 smoothed; rows of ``labels`` with a null id or label teach nothing; of several
-labels of an id each counts; repeated rows get equal scores each.
+labels of an id each counts; ties in the sample's order go by label and number
+of features; repeated rows get equal scores each; further columns are left out;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import chunks, pick, raw, word_table, words_of
+from sketchloom.llm.textkit import CHUNK_BYTES, chunks, cuts, pick, raw, word_table, words_of
 
 BITS = 18
 DIMENSION = 16
@@ -33,6 +36,8 @@ TRAINING_ROWS = 6000
 EPOCHS = 6
 RATE = 0.5
 SEED = 7
+#: Bytes of the longest n-gram.
+LONGEST = 5
 
 _TABLE = word_table()
 
@@ -43,11 +48,21 @@ def _bits(h: np.ndarray) -> np.ndarray:
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bins, rows), both in the order of the rows, of each kind of feature."""
+    if len(offsets) == 2 and len(data) > CHUNK_BYTES:  # a long text, a piece at a time; n-grams reach into the next one
+        for a, b in cuts(data, _TABLE):
+            yield from _some(data[a:b], np.array([0, b - a]), data[b : b + LONGEST - 1])
+    else:
+        yield from _some(data, offsets)
+
+
+def _some(data: np.ndarray, offsets: np.ndarray, after: np.ndarray = np.zeros(0, np.uint8)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     words = words_of(data, offsets, _TABLE)
     yield _bits(words.hash * np.uint64(0x9E3779B97F4A7C15)), words.row
-    x = data.astype(np.uint64)
-    for n, scale in ((3, 0xD6E8FEB86659FD93), (5, 0xA0761D6478BD642F)):
-        count = len(x) - n + 1
+    begin, x = len(data), np.concatenate([data, after]).astype(np.uint64)
+    if len(after):
+        offsets = np.array([0, len(x)])
+    for n, scale in ((3, 0xD6E8FEB86659FD93), (LONGEST, 0xA0761D6478BD642F)):
+        count = min(len(x) - n + 1, begin)
         if count <= 0:
             continue
         code = np.zeros(count, np.uint64)

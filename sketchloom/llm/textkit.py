@@ -101,6 +101,24 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
+def cuts(data: np.ndarray, table: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``most`` bytes that cover a text and begin at separators (0 in ``table``), so that no word is cut."""
+    at = 0
+    while True:
+        to = at + most
+        while to < len(data):
+            stop = np.flatnonzero(table[data[to : to + most]] == 0)
+            if len(stop):
+                to += int(stop[0])
+                break
+            to += most
+        to = min(to, len(data))
+        yield at, to
+        if to >= len(data):
+            return
+        at = to
+
+
 @dataclass
 class Words:
     """Word spans of a run of texts; ``row`` is each word's row."""
@@ -142,11 +160,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
         both = np.unique(both)
         start, end = np.sort(np.concatenate([start, both])), np.sort(np.concatenate([end, both]))
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    return Words(start, end, row, span_hashes(folded, start, end))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of some spans."""
     if not len(start):
-        return Words(start, end, row, np.zeros(0, np.uint64))
+        return np.zeros(0, np.uint64)
     length = end - start
-    # eight bytes of each word at a time, read at any offset
-    eights = np.ndarray((n,), "<u8", np.concatenate([folded, np.zeros(8, np.uint8)]), strides=(1,))
+    # eight bytes of each span at a time, read at any offset
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     h = length.astype(np.uint64) * _P
     h = _round(h, eights[start] & _MASK[np.minimum(length, 8)])
     at, most = np.flatnonzero(length > 8), 8
@@ -155,8 +178,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
         most += 8
         at = at[length[at] > most]
     for i in at.tolist():
-        h[i] = xxhash.xxh64_intdigest(folded[start[i] : end[i]].tobytes())
-    return Words(start, end, row, mix(h))
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
+    return mix(h)
 
 
 def _round(h: np.ndarray, eight: np.ndarray) -> np.ndarray:

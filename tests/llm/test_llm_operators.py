@@ -1,9 +1,15 @@
 """The training-data operators against brute force, on small frames with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
+import math
+import os
 import re
 import struct
+import subprocess
+import sys
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sketchloom.llm import decontam, langid, licenses, linededup, matroska, packing, quality, secrets, simhash, tokenfile
-from sketchloom.llm.textkit import raw, split_words, text_of, word_table, words_of
+from sketchloom.llm.textkit import cuts, raw, split_words, text_of, word_table, words_of
 from sketchloom.llm.tokens import Encoder
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -134,6 +140,25 @@ def test_decontamination(spark, vocabulary, blocks, piece):
     assert {r["doc_id"] for r in kept.collect()} == expected
 
 
+def test_a_full_block_of_a_benchmark_is_small():
+    """16 MiB of items take well under 500 MB to index, measured in a process of its own."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from sketchloom.llm import decontam
+rng = np.random.default_rng(0)
+vocabulary = np.array(["".join(rng.choice(list("abcdefghij"), int(n))) for n in rng.integers(2, 9, 20000)])
+items = [" ".join(rng.choice(vocabulary, 150)) for _ in range(decontam.BLOCK_BYTES // 950)]
+table = pa.table({"item": [str(i) for i in range(len(items))], "text": items})
+del items
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+index = decontam.build_index(table)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024, sum(len(x.windows) for x in index.lengths))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    mb, windows = out.stdout.split()
+    assert float(mb) < 500 and int(windows) > 2_000_000
+
+
 def test_decontamination_of_nothing(spark):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert all(r["n_hit"] == 0 and r["items"] == [] for r in decontam.decontaminate(frame(spark, ODD), empty).collect())
@@ -184,6 +209,70 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(frame(spark, texts), nothing).collect()} == {"und"}
 
 
+def plain_mixture(model, text):
+    """Expectation-maximisation word by word, with nested sets, as plain loops."""
+    found = []
+    for word in re.findall(rb"[a-z\x80-\xff]+", lower(text).encode()):
+        sums = [0.0] * len(model.langs)
+        for i in range(len(word)):
+            code = sum(b << 8 * k for k, b in enumerate(reversed(word[max(0, i - 3) : i + 1])))
+            for j in range(len(sums)):
+                sums[j] += float(model.logp[(code * 2654435761 % (1 << 32)) >> 16, j])
+        found.append(sums)
+    if not found or not model.langs:
+        return {}
+    n, k = len(found), len(model.langs)
+    top = [max(x) for x in found]
+    p = [[max(math.exp(v - m), 1e-30) for v in x] for x, m in zip(found, top)]
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            parts = [[a * b for a, b in zip(x, share)] for x in p]
+            share = [sum(x[j] / sum(x) for x in parts) / n for j in range(k)]
+        return share
+
+    share = em([1 / k] * k, langid.ROUNDS)
+    order = sorted(range(k), key=lambda j: -share[j])
+    alone = [sum(x[j] for x in found) for j in range(k)]
+    best = max(range(k), key=lambda j: alone[j])
+    value, chosen = alone[best], {best: 1.0}
+    cost = langid.PENALTY * math.log(n + 1)
+    for size in range(2, k + 1):
+        start = [max(share[j], 1e-6) if j in order[:size] else 0.0 for j in range(k)]
+        got = em([x / sum(start) for x in start], langid.ROUNDS // 2)
+        new = sum(top) + sum(math.log(max(sum(a * b for a, b in zip(x, got)), 1e-37)) for x in p) - (size - 1) * cost
+        if new > value:
+            value, chosen = new, {j: got[j] for j in range(k) if got[j]}
+    return {model.langs[j]: v for j, v in chosen.items()}
+
+
+def test_mixtures_are_those_of_plain_em(spark):
+    rng = np.random.default_rng(11)
+    train = spark.createDataFrame([(language_texts(rng, 30, lang), lang) for lang in LANGS for _ in range(6)], "text string, lang string")
+    model = langid.train(train)
+    texts = [*ODD[2:]] + [" ".join(language_texts(rng, int(n), lang) for lang, n in zip(LANGS, rng.integers(0, 40, 3))) for _ in range(30)]
+    got = {r["doc_id"]: {m["lang"]: m["share"] for m in r["mixture"]} for r in langid.identify(frame(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        if any(c.isalpha() for c in text):
+            assert got[i] == pytest.approx(plain_mixture(model, text), abs=2e-3), text
+
+
+def test_long_texts_repeats_and_ties_of_language(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(language_texts(rng, 30, lang), lang) for lang in LANGS for _ in range(6)] + [("zz same", "dd"), ("zz same", "ee")]
+    model = langid.train(spark.createDataFrame([*rows, *rows], "text string, lang string"))
+    texts = [language_texts(rng, 9000, "aa") + " " + language_texts(rng, 3000, "bb"), "zz same", "zz same", "a" * 100_000]
+    whole = [tuple(r) for r in langid.identify(frame(spark, texts).limit(4), model).orderBy("doc_id").collect()]
+    assert [r[1] for r in whole[:3]] == ["aa", "dd", "dd"]  # a tie goes to the one that sorts first
+    few = langid.infer(model, *raw(pa.array(texts[:1])))[0]
+    monkeypatch.setattr(langid, "cuts", lambda data, table: cuts(data, table, 1000))
+    assert np.allclose(langid.infer(model, *raw(pa.array(texts[:1])))[0], few, atol=1e-6)
+    assert langid.identify(frame(spark, texts).limit(0), model).count() == 0
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame(rows, "text string, lang string"))
+
+
 def test_grams_are_each_words_own():
     whole = langid.grams(*raw(pa.array(["abc de", None, "f, ABCD"])))
     alone = [langid.grams(*raw(pa.array([w])))[0].tolist() for w in ("abc", "de", "f", "abcd")]
@@ -215,9 +304,84 @@ def test_quality(spark):
     assert all(r["score"] > 0.9 for r in quality.score(docs, one).collect())
 
 
+def test_quality_is_plain_sgd():
+    """The same steps, a feature at a time."""
+    rng = np.random.default_rng(13)
+    texts = [prose(rng, 12, 9) + ("!" if i % 2 else " bad bad") for i in range(12)]
+    rows = []
+    for i, t in enumerate(texts):
+        counts = Counter(int(b) for bins, _ in quality.features(*raw(pa.array([t]))) for b in bins)
+        at = sorted(counts)
+        rows.append((np.array(at, np.int32), np.array([counts[b] / counts.total() for b in at], np.float32), i % 2))
+    weights, bias = quality.fit(rows, epochs=2)
+    order = np.random.default_rng(quality.SEED)
+    vectors = order.uniform(-1 / quality.DIMENSION, 1 / quality.DIMENSION, (1 << quality.BITS, quality.DIMENSION)).astype(np.float32)
+    out, b, d = [[0.0] * quality.DIMENSION for _ in range(2)], [0.0, 0.0], quality.DIMENSION
+    table, done = {int(k): [float(x) for x in vectors[k]] for at, _, _ in rows for k in at}, 0
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            at, share, y = rows[i]
+            step = quality.RATE * (1 - done / (2 * len(rows)))
+            done += 1
+            hidden = [sum(float(s) * table[int(k)][j] for k, s in zip(at, share)) for j in range(d)]
+            z = [sum(out[c][j] * hidden[j] for j in range(d)) + b[c] for c in range(2)]
+            e = [math.exp(x - max(z)) for x in z]
+            p = [x / sum(e) - (c == y) for c, x in enumerate(e)]
+            back = [sum(p[c] * out[c][j] for c in range(2)) for j in range(d)]
+            for c in range(2):
+                out[c] = [out[c][j] - step * p[c] * hidden[j] for j in range(d)]
+                b[c] -= step * 0.1 * p[c]
+            for k, s in zip(at, share):
+                table[int(k)] = [v - step * 50 * float(s) * g for v, g in zip(table[int(k)], back)]
+    assert bias == pytest.approx(b[1] - b[0], abs=1e-3)
+    for k, v in table.items():
+        assert weights[k] == pytest.approx(sum(x * (q - r) for x, q, r in zip(v, out[1], out[0])), abs=2e-3)
+
+
+def test_quality_of_long_and_repeated_texts(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    text = prose(rng, 4000, 500) + ", Ünï. " + "x" * 3000
+    of = lambda: sorted(int(b) for bins, _ in quality.features(*raw(pa.array([text]))) for b in bins)
+    whole = of()
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 100)
+    monkeypatch.setattr(quality, "cuts", lambda data, table: cuts(data, table, 100))
+    assert of() == whole
+    docs = frame(spark, ["good good", "bad bad"] * 6 + ["good good"])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(12)] * 2, "doc_id bigint, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    assert len({got[i] for i in (0, 2, 4, 12)}) == 1 and got[0] > got[1]
+    assert quality.score(docs.limit(0), (np.zeros(1 << quality.BITS, np.float32), 0.0)).count() == 0
+    assert {r["score"] for r in quality.score(docs, quality.train(docs.limit(0), labels)).collect()} == {0.5}
+
+
 # Matroska
 
 
+def test_empty_tables_repeats_and_clashing_names(spark):
+    """The operators that go row by row: nothing comes of nothing, equal rows give equal results, further columns are left out."""
+    docs = spark.createDataFrame([(1, "spdx-license-identifier: MIT password=abcdefghijklm"), (1, "spdx-license-identifier: MIT password=abcdefghijklm"), (None, None)], "doc_id bigint, text string").withColumns({c: F.lit("x") for c in ("score", "found", "matches", "media", "tie", "shard", "fp", "a.b")})
+    for run in (licenses.scan_licenses, secrets.scan_secrets, matroska.store_payloads, simhash.near_duplicates, lambda df: packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"))):
+        rows = run(docs).collect()
+        assert len(rows) == 3 and sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "None"]
+        same = [tuple(v for k, v in r.asDict().items() if k not in ("sequence_id", "offset")) for r in rows if r["doc_id"] == 1]
+        assert same[0] == same[1]
+        assert run(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A text of a few MB with what each operator looks for at its end."""
+    text = "plain words and more " * 150_000 + "All rights reserved. token = abcdefghijklmnop"
+    docs = frame(spark, [text, "short"], parts=1)
+    r = licenses.scan_licenses(docs).orderBy("doc_id").first()
+    assert (r["n_words"], r["matches"][0]["label"], r["matches"][0]["word"]) == (600_000 + 5, "reserved", 600_000)
+    found = secrets.scan_secrets(docs).orderBy("doc_id").first()["found"]
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in found if s["kind"] == "assign"] == [("assign", "token = abcdefghijklmnop")]
+    assert simhash.near_duplicates(docs).orderBy("doc_id").first()["fingerprint"] == f"{brute_print(text):016x}"
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False).collect()
+    check_packing([r for r in pieces if r["doc_id"] == 0], {}, None, 1024)
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 0) == len(Encoder(public_tokenizers.path("byte_bpe_50k.json")).tokenizer.encode(text, add_special_tokens=False).ids) + 1
+
+
 def test_store(spark):
     texts = [*ODD, "x" * 575, "x" * 576, "x" * 577, "é" * 400_000]
     got = {r["doc_id"]: r for r in matroska.store_payloads(frame(spark, texts)).collect()}
@@ -325,6 +489,21 @@ def test_literals(text, literals):
     assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == literals
 
 
+def test_secrets_of_long_texts():
+    key = "".join(chr(33 + i * 7 % 90) for i in range(12_000)).replace('"', "x")
+    text = f'x = "short"\nx = "{key}"\npassword = x\n'
+    assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == [key]
+    parts = "".join(f'part{i} = "{chr(65 + i % 26)}{i}"\nall = all + part{i}\n' for i in range(3000))
+    assert len(secrets.literal_spans(parts + "secret = all\n")) == 3001
+    doubling = 'x = "Zq8#kLm2pW9$xYt4"\n' + "x = x + x\n" * 3000 + "token = x\n"
+    assert [doubling[a:b] for _, a, b in secrets.literal_spans(doubling)] == ["Zq8#kLm2pW9$xYt4"]
+    for long_ in ("a" * 1_000_000 + " x=1", "a1." * 350_000 + ":", "0" * 1_000_000 + "=", "token " * 150_000 + "=", "a='" * 300_000):
+        start = time.process_time()
+        secrets.literal_spans(long_)
+        secrets.base_spans(long_)
+        assert time.process_time() - start < 5
+
+
 # SimHash
 
 
@@ -360,6 +539,37 @@ def test_simhash(spark, split):
     assert [got[i]["component_id"] for i in range(len(texts))] == label
 
 
+@pytest.mark.parametrize("count, radius", [(10, 3), (600, 3), (100_000, 3), (1 << 31, 3), (1 << 45, 3), (5000, 2), (5000, 7)])
+def test_codes_within_the_radius_share_a_bucket(count, radius):
+    rng = np.random.default_rng(count % 97)
+    choices = simhash.bands(count, radius)
+    for _ in range(300):
+        a = int(rng.integers(0, 1 << 63)) * 2 + int(rng.integers(0, 2))
+        b = a
+        for bit in rng.permutation(64)[: int(rng.integers(0, radius + 1))]:
+            b ^= 1 << int(bit)
+        assert any(all((a ^ b) >> lo & (1 << hi - lo) - 1 == 0 for lo, hi in ranges) for ranges in choices)
+
+
+@pytest.mark.parametrize("split", [1 << 17, 300])
+def test_links_of_thousands_of_codes(spark, monkeypatch, split):
+    """Several bands, buckets of hundreds, one band of which all codes share the bits."""
+    monkeypatch.setattr(simhash, "BUCKET", 64)
+    rng = np.random.default_rng(split)
+    base = rng.integers(0, 1 << 48, 250, dtype=np.uint64)
+    codes = base[rng.integers(0, 250, 4000)]
+    for _ in range(4):
+        codes = codes ^ (np.uint64(1) << rng.integers(0, 48, 4000).astype(np.uint64)) * (rng.random(4000) < 0.6)
+    codes = np.unique(codes)
+    df = spark.createDataFrame([(int(x),) for x in codes.astype(np.int64).tolist()], "fp bigint")
+    found = simhash.links(df, len(codes), split=split).collect()
+    at = {int(c): i for i, c in enumerate(codes.tolist())}
+    assert all((r["a"] ^ r["b"]) >= 0 for r in found)
+    got = simhash.merge(np.arange(len(codes)), np.array([at[r["a"]] for r in found]), np.array([at[r["b"]] for r in found]))
+    i, j = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3)
+    assert np.array_equal(got, simhash.merge(np.arange(len(codes)), i, j))
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(frame(spark, ["a"]).limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "z")], "doc_id bigint, text string")
@@ -543,6 +753,35 @@ def test_encoder_is_exact(name):
             at += n
 
 
+@pytest.mark.parametrize("name", TOKENIZERS)
+def test_units_of_equal_hashes(monkeypatch, name):
+    from sketchloom.llm import tokens
+
+    plain = tokens.span_hashes
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, start, end: plain(data, start, end) % np.uint64(3))
+    coder = Encoder(public_tokenizers.path(name), most=50)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        texts = [prose(rng, int(n), 60) for n in rng.integers(0, 30, 10)]
+        flat, count = coder.encode(texts)
+        expected = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert flat.tolist() == [i for ids in expected for i in ids] and count.tolist() == [len(ids) for ids in expected]
+
+
+def test_ids_of_a_large_vocabulary(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)} | {"?": 70_000}, unk_token="?"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "large.json"))
+    texts = ["w1 w65535 w65536 w69999", "what", "w4464"]
+    where = tokenfile.write_tokens(frame(spark, texts), str(tmp_path / "large.json"), end_id=3)
+    got = {r["doc_id"]: r["ids_crc32"] for r in tokenfile.read_tokens(spark, where).collect()}
+    assert got == {i: zlib.crc32(np.array(ids, "<u4").tobytes()) for i, ids in enumerate([[1, 65535, 65536, 69999, 3], [70_000, 3], [4464, 3]])}
+    boxes, dictionary = tokenfile.open_dataset(spark, where)
+    assert tokenfile.Container(bytes(boxes.first()["container"]), dictionary).width == 4
+
+
 def test_token_files(spark):
     rng = np.random.default_rng(9)
     texts = [*ODD] + [prose(rng, int(n), 500) for n in rng.integers(0, 200, 60)]
@@ -623,7 +862,7 @@ def test_all_words_of_a_seed_count():
     rare, plain = [f"rare{i}" for i in range(20)], [f"plain{i}" for i in range(10)]
     texts = [" ".join(rare + plain), "none", " ".join(plain), " ".join(rare)]
     idf = np.ones(packing.TERMS, np.float32)
-    idf[packing.terms_of(*raw(pa.array([" ".join(rare)])))[1]] = 5
+    idf[packing._bin(words_of(*raw(pa.array([" ".join(rare)])), word_table()).hash)] = 5
     for more in ([], ["other"] * 40):  # words of whole rows, and of postings
         shard = packing.Shard(*raw(pa.array([*texts, *more])), idf, 20.0)
         shard.used[0] = True
@@ -631,6 +870,58 @@ def test_all_words_of_a_seed_count():
         assert [next(near) for _ in range(3)] == [3, 2, 1]
 
 
+def bm25(texts, k1=1.2, b=0.75):
+    """Scores of all texts for each one, by all of its distinct words that another has, too."""
+    bags = [Counter(words(t)) for t in texts]
+    df = Counter(w for bag in bags for w in bag)
+    mean = max(1.0, sum(sum(bag.values()) for bag in bags) / max(1, len(bags)))
+    idf = {w: math.log1p((len(bags) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    weight = lambda w, bag: idf[w] * bag[w] * (k1 + 1) / (bag[w] + k1 * (1 - b + b * sum(bag.values()) / mean))
+    return [[sum(weight(w, bag) for w in mine if df[w] > 1 and w in bag) for bag in bags] for mine in bags]
+
+
+@pytest.mark.parametrize("pairs", [1 << 24, 0])
+def test_neighbours_are_those_of_bm25(spark, monkeypatch, pairs):
+    monkeypatch.setattr(packing, "PAIRS", pairs)
+    rng = np.random.default_rng(20)
+    texts = [*ODD] + [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, int(n)) if x < 10**9) for n in rng.integers(1, 200, 120)]
+    texts += [texts[20] + " more", texts[30], texts[31] + " " + texts[32]]
+    found = packing.statistics(frame(spark, texts))
+    assert found.size == sum(len(text_of(t)) for t in texts) and found.mean == pytest.approx(sum(len(words(t)) for t in texts) / len(texts))
+    scores = bm25(texts)
+    for seed in range(len(texts)):
+        shard = packing.Shard(*raw(pa.array(texts, pa.string())), found.idf, found.mean)
+        shard.used[seed] = True
+        near = list(shard.neighbours(seed))
+        assert sorted([*near, seed]) == list(range(len(texts)))
+        got = [scores[seed][i] for i in near]
+        assert got == pytest.approx(sorted(got, reverse=True), rel=1e-4, abs=1e-4)
+
+
+def test_dealing_by_content(spark):
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(150):  # pairs that share half of their words
+        common = [f"c{int(x)}" for x in rng.integers(0, 1 << 40, 40)]
+        texts += [" ".join([*common, *(f"o{int(x)}" for x in rng.integers(0, 1 << 40, 20))]) for _ in range(2)]
+    texts += ["the same text of a third of all rows " * 3] * 150 + ["", None, "!!"]
+    stats = packing.statistics(frame(spark, texts))
+    dealer = packing.Dealer.of(stats, 2000)
+    w = words_of(*raw(pa.array(texts, pa.string())), word_table())
+    least = packing.least_words(w.hash, w.row, len(texts))
+    shard = dealer.shard(least, rng.integers(0, 1 << 62, len(texts)))
+    assert shard.min() >= 0 and shard.max() < dealer.count and dealer.count <= 2 * sum(len(text_of(t)) for t in texts) // 2000 + 2
+    size = np.bincount(shard, [len(text_of(t)) for t in texts])
+    assert size.max() < 5 * 2000  # copies are spread
+    met = np.mean([shard[i] == shard[i + 1] for i in range(0, 300, 2)])
+    assert met > 0.4 and 1 / dealer.count < 0.05  # similarity is a half
+    deeper = packing.Dealer.of(stats, 50)
+    again = deeper.shard(least, rng.integers(0, 1 << 62, len(texts)))
+    assert again.max() < deeper.count and np.bincount(again).max() < 20  # shards smaller than a text: pairs of bins are spread
+    empty = packing.Dealer.of(packing.statistics(frame(spark, ["a"]).limit(0)), 2000)
+    assert empty.count == 1
+
+
 def test_repeated_rows_are_packed_each(spark):
     rows = spark.createDataFrame([(1, "same text")] * 50 + [(None, "other")], "doc_id bigint, text string")
     got = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.json"), shard_bytes=64).collect()
