@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 OVERFLOW = -1
@@ -49,8 +49,12 @@ def histogram(counts: DataFrame, *, column: str = "sample_count", bins: int = 10
 
 
 def bin_statistics(counts: DataFrame, *, column: str = "sample_count", bins: int = 100, max_value: float | None = None) -> dict:
+    """The figures of a histogram's bins."""
+    return figures(histogram(counts, column=column, bins=bins, max_value=max_value).collect())
+
+
+def figures(rows: list[Row]) -> dict:
     """Figures of the bins: totals and shares, means, median and modal bin. ``approx_mean_ref`` divides the in-range sum by all values, ``approx_mean`` by those in range."""
-    rows = histogram(counts, column=column, bins=bins, max_value=max_value).collect()
     inside = [r for r in rows if r["bin"] != OVERFLOW]
     over = sum(r["n"] for r in rows if r["bin"] == OVERFLOW)
     n = np.array([r["n"] for r in inside], np.int64)
@@ -64,14 +68,13 @@ def bin_statistics(counts: DataFrame, *, column: str = "sample_count", bins: int
     return out | {"min_edge": inside[0]["low_edge"], "max_edge": inside[-1]["high_edge"], "approx_mean": weighted / in_range if in_range else None, "approx_mean_ref": weighted / total, "median_bin": median, "modal_bin": int(n.argmax())}
 
 
-def plot(counts: DataFrame, path: str, *, column: str = "sample_count", bins: int = 100, max_value: float | None = None, log: bool = False) -> str:
-    """A picture of the bins; needs matplotlib, which is optional."""
+def plot(rows: list[Row], path: str, *, column: str = "sample_count", log: bool = False) -> str:
+    """A picture of a histogram's rows; needs matplotlib, which is optional."""
     import matplotlib
 
     matplotlib.use("Agg")
     from matplotlib import pyplot
 
-    rows = histogram(counts, column=column, bins=bins, max_value=max_value).collect()
     inside = [r for r in rows if r["bin"] != OVERFLOW]
     figure, axes = pyplot.subplots(figsize=(10, 6))
     axes.bar([r["low_edge"] for r in inside], [r["n"] for r in inside], width=[r["high_edge"] - r["low_edge"] or 1 for r in inside], align="edge")

@@ -145,13 +145,14 @@ def sorted_copy(spark: SparkSession, root: str, out: str, *, column: str = "hash
 
 def histogram_job(spark: SparkSession, path: str, out: str, *, column: str = "sample_count", bins: int = 100, max_value: float | None = None, picture: str | None = None, overwrite: bool = False) -> dict:
     """The histogram as CSV and its figures as JSON; pictures, linear and logarithmic, if matplotlib is there."""
-    df = read_counts(spark, path, column)
-    sinks.write_csv(histogram.histogram(df, column=column, bins=bins, max_value=max_value), f"{out}/bins", overwrite=overwrite)
-    stats = histogram.bin_statistics(df, column=column, bins=bins, max_value=max_value)
+    made = histogram.histogram(read_counts(spark, path, column), column=column, bins=bins, max_value=max_value)
+    rows = made.collect()  # a row for each bin: the counts are read once for all that follows
+    sinks.write_csv(spark.createDataFrame(rows, made.schema), f"{out}/bins", overwrite=overwrite)
+    stats = histogram.figures(rows)
     write_json(spark, f"{out}/statistics.json", stats)
     if picture:
         for log in (False, True):
-            histogram.plot(df, f"{picture}{'_log' if log else ''}.png", column=column, bins=bins, max_value=max_value, log=log)
+            histogram.plot(rows, f"{picture}{'_log' if log else ''}.png", column=column, log=log)
     return stats
 
 
