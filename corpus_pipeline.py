@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm import decontam, langid, linededup, packing, queries, simhash
+from sketchloom.llm.textkit import Carried
 from sketchloom.sources.files import remove, shared_dir
 
 
@@ -33,8 +34,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out of later ones."""
-    cut = linededup.dedup_lines(docs)
-    return cut.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    carried = Carried(docs)
+    name = lambda column: f"__c{docs.columns.index(column)}"
+    cut = linededup.dedup_lines(docs.select(*carried.columns), doc_id=name("doc_id"), text=name("text"))
+    if "n_chars" in docs.columns:
+        n, kind = name("n_chars"), docs.schema["n_chars"].dataType
+        cut = cut.withColumn(n, F.when(F.col("n_removed") > 0, F.length(name("text")).cast(kind)).otherwise(F.col(n)))
+    return carried.back(cut)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
