@@ -17,7 +17,7 @@ import corpus_pipeline
 from sketchloom.llm import licenses, linededup, queries
 from sketchloom.llm.tokens import Encoder
 
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
 
 
@@ -88,14 +88,16 @@ def test_op3(spark, documents):
     assert np.mean([got[i]["lang_pred"] == lang[i] for i in held]) > 0.97
 
 
-def test_op4(spark, documents):
-    got = by_id(result(spark, "op4_quality"), documents)
-    label = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{DATA}/labels.parquet'").fetchall())
-    for i in documents:
-        assert got[i]["held_out"] == (remainder(i, 5) == 0) and 0 <= got[i]["score"] <= 1 and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+@pytest.mark.parametrize("data", [DATA, LARGER])
+def test_op4(spark, data):
+    got = {r["doc_id"]: r for r in entry.queries()["op4_quality"](spark, data).collect()}
+    label = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{data}/labels.parquet'").fetchall())
+    assert set(got) == {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{data}/documents.parquet'").fetchall()}
+    for i, r in got.items():
+        assert r["held_out"] == (remainder(i, 5) == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
     held = [(got[i]["score"], label[i]) for i in label if i in got and got[i]["held_out"]]
-    pairs = [(a > b) + 0.5 * (a == b) for a, x in held for b, y in held if x > y]
-    assert not pairs or np.mean(pairs) > 0.9
+    if data == LARGER:  # the smallest tables hold out a handful of labels
+        assert np.mean([(a > b) + 0.5 * (a == b) for a, x in held for b, y in held if x > y]) > 0.95
 
 
 def test_op5(spark, documents):
@@ -194,7 +196,7 @@ def test_stages_on_odd_tables(spark):
     """Nulls in any column, repeated rows, empty and long texts, clashing names, and no rows, through each stage alone."""
     long_text = "a longer text of many words " * 20_000
     rows = [(1, None, None, "s", None), (None, "some words here", "en", None, 3), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, long_text, "en", "s", 1), (3, long_text, "en", "s", 1), (4, "123 !!", "de", "s", 6)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit("x") for c in ("node", "root", "hits", "removed2", "__c0", "a.b", "shard")})
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit("x") for c in ("node", "root", "hits", "removed", "n_removed", "__c0", "a.b", "shard")})
     expected = defaultdict(set, {"language": {None, 3}, "lines": {None, 1, 2, 3, 4}, "near_duplicates": {None, 1, 3, 4}, "benchmark": {None, 1, 2, 3, 4}, "sequences": {None, 1, 2, 3, 4}})
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DATA)
