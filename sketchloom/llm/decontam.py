@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.tables import written
-from sketchloom.llm.textkit import PIECE_BYTES, Carried, Words, chunks, mix, pick, raw, split_words, spread, word_table, words_of
+from sketchloom.llm.textkit import PIECE_BYTES, Carried, Words, chunks, mix, pick, raw, split_words, spread, tidy, word_table, words_of
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 5
@@ -312,10 +312,10 @@ def _run(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, bl
     index = lambda i: spark.sparkContext.broadcast(build_index((items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)).toArrow()))
     if blocks > 1:
         rows = rows.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-        tables = [written(rows.select("node", "text").mapInArrow(_hits(index(i), piece_bytes), "node binary, " + _SCHEMA.split(", ", 2)[2]), "hits")[0] for i in range(1, blocks)]
+        tables = [written(rows.select("node", "text").mapInArrow(tidy(_hits(index(i), piece_bytes)), "node binary, " + _SCHEMA.split(", ", 2)[2]), "hits")[0] for i in range(1, blocks)]
         merged = reduce(DataFrame.union, tables).groupBy("node").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
         rows = rows.join(merged, "node", "left").drop("node")
-    out = rows.mapInArrow(_scan(index(0), piece_bytes), _SCHEMA + ddl)
+    out = rows.mapInArrow(tidy(_scan(index(0), piece_bytes)), _SCHEMA + ddl)
     return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("bigint"), lambda total, x: total + x["end"] - x["start"])).withColumn("n_items", F.size("items").cast("bigint"))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import CHUNK_BYTES, Carried, chunks, cuts, pick, raw
+from sketchloom.llm.textkit import CHUNK_BYTES, Carried, chunks, cuts, pick, raw, tidy
 
 BINS = 1 << 16
 #: Added to each count.
@@ -133,7 +133,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
     found = rows.select("lang").distinct().limit(MOST_LANGS + 1).count()
     if found > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
-    counts = rows.mapInArrow(_count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.mapInArrow(tidy(_count), "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     names = counts.column("lang").to_numpy(zero_copy_only=False)
     langs = sorted(set(names.tolist()))
     total = np.full((BINS, len(langs)), SMOOTHING)
@@ -229,7 +229,7 @@ _SCHEMA = "lang_pred string, score double, mixture array<struct<lang:string,shar
 def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score, mixture (the selected languages and their proportions)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return pick(docs, doc_id=doc_id, text=text).mapInArrow(_predict(shared), "doc_id bigint, " + _SCHEMA)
+    return pick(docs, doc_id=doc_id, text=text).mapInArrow(tidy(_predict(shared)), "doc_id bigint, " + _SCHEMA)
 
 
 def keep_known(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -237,4 +237,4 @@ def keep_known(docs: DataFrame, model: Model, *, text: str = "text") -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = Carried(docs)
     rows = docs.select(F.lit(0).cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), *carried.columns)
-    return carried.back(rows.mapInArrow(_predict(shared), "doc_id bigint" + carried.ddl + ", " + _SCHEMA).filter(F.col("lang_pred") != UNKNOWN))
+    return carried.back(rows.mapInArrow(tidy(_predict(shared)), "doc_id bigint" + carried.ddl + ", " + _SCHEMA).filter(F.col("lang_pred") != UNKNOWN))

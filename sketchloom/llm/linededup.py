@@ -49,7 +49,7 @@ from pyspark.sql.types import StructField, StructType
 
 from sketchloom.llm.decontam import winnow
 from sketchloom.llm.tables import drop, written
-from sketchloom.llm.textkit import PIECE_BYTES, chunks, cuts, limit_batches, mix, raw, rolling, text_of, word_table, words_of
+from sketchloom.llm.textkit import PIECE_BYTES, chunks, cuts, limit_batches, mix, raw, rolling, text_of, tidy, word_table, words_of
 
 SPAN = 50
 HEAD = 20
@@ -396,7 +396,7 @@ def _marked(ids: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 def find_pairs(base: DataFrame) -> tuple[DataFrame, str, DataFrame, str]:
     """Of rows (doc, text, rank): pairs (doc, owner), and texts (doc, rank) that are copies of earlier ones; each with its path."""
     spark = base.sparkSession
-    lines, lines_at = written(base.select("doc", "text").mapInArrow(_lines, "doc bigint, line bigint"), "lines")
+    lines, lines_at = written(base.select("doc", "text").mapInArrow(tidy(_lines), "doc bigint, line bigint"), "lines")
     counted = lines.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.bit_xor("doc").alias("odd"), F.count("*").alias("n")).filter("first < last")
     # of two or three documents, the one in the middle is what is left of the sum without carries
     rare = counted.filter("n <= 3").withColumn("middle", F.expr("odd ^ first ^ last")).withColumn("middle", F.expr("if(n = 3, middle, first)"))
@@ -410,7 +410,7 @@ def find_pairs(base: DataFrame) -> tuple[DataFrame, str, DataFrame, str]:
     gone = copies.groupBy("doc").agg(F.collect_set("rank").alias("gone"))
     about, about_at = written(frequent.join(settled, "doc", "left_anti").join(shown.select("doc", "shown"), "doc").join(gone, "doc", "left"), "frequent")
     ranked = _marked(about.select("doc"), base, "doc").join(about, "doc").filter("gone IS NULL OR NOT array_contains(gone, rank)")
-    spans, spans_at = written(ranked.select("doc", "text", F.expr("rank = shown").alias("own"), "frequent").mapInArrow(_spans, "doc bigint, own boolean, span bigint"), "spans")
+    spans, spans_at = written(ranked.select("doc", "text", F.expr("rank = shown").alias("own"), "frequent").mapInArrow(tidy(_spans), "doc bigint, own boolean, span bigint"), "spans")
     first = spans.groupBy("span").agg(F.min(F.when(F.col("own"), F.col("doc"))).alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("span", "owner")
     exact = spans.join(first, "span").filter("owner < doc").select("doc", "owner")
     pairs, pairs_at = written(rare.join(settled, "doc", "left_anti").union(exact).distinct(), "pairs")
@@ -426,7 +426,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     pairs, _, copies, _ = find_pairs(base)
     salts = pairs.groupBy("owner").agg(F.ceil(F.count("*") / SALT).cast("bigint").alias("salts"))
     hot, _ = written(salts.filter("salts > 1"), "hot")  # so that its size is known where the joins are planned
-    words = _marked(salts.select(F.col("owner").alias("doc")), base, "doc").mapInArrow(_words, "doc bigint, rank binary, words binary")
+    words = _marked(salts.select(F.col("owner").alias("doc")), base, "doc").mapInArrow(tidy(_words), "doc bigint, rank binary, words binary")
     words = words.groupBy("doc").agg(F.min_by("words", "rank").alias("words")).withColumnRenamed("doc", "owner")
     words = words.join(hot, "owner", "left").select("owner", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts") - 1, F.lit(0)))).alias("salt"))
     dealt = pairs.join(hot, "owner", "left").select("owner", "doc", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).alias("salt"))
@@ -440,5 +440,5 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     mine = next(n for f, n in zip(kept, names) if f.name == text)
     # rows without an id meet nobody: they go by their text
     rows = rows.union(met).repartition(F.coalesce("__doc", F.xxhash64("__words"))).sortWithinPartitions("__doc", "__kind")
-    out = rows.mapInArrow(_delete(names, mine), schema)
+    out = rows.mapInArrow(tidy(_delete(names, mine)), schema)
     return out.select(*[F.col(n).alias(f.name) for f, n in zip(kept, names)], "removed", "n_removed")

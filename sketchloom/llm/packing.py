@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import chunks, mix, pick, raw, spread, word_table, words_of
+from sketchloom.llm.textkit import chunks, mix, pick, raw, spread, tidy, word_table, words_of
 from sketchloom.llm.tokens import collector_off, encoder
 
 WINDOW = 1024
@@ -120,7 +120,7 @@ class Statistics:
 
 def statistics(docs: DataFrame, *, text: str = "text") -> Statistics:
     """One counting pass; what reaches the driver has at most a number a bin."""
-    rows = pick(docs, text=text).mapInArrow(_frequencies, "kind int, bin int, n bigint").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toArrow()
+    rows = pick(docs, text=text).mapInArrow(tidy(_frequencies), "kind int, bin int, n bigint").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toArrow()
     kind, at, n = (rows.column(c).to_numpy() for c in ("kind", "bin", "n"))
 
     def filled(which: int, size: int) -> np.ndarray:
@@ -310,9 +310,9 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     found = statistics(docs)
     dealer = Dealer.of(found, shard_bytes)
     stats = spark.sparkContext.broadcast((found.idf, found.mean))
-    dealt = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie")).mapInArrow(_deal(spark.sparkContext.broadcast(dealer)), "doc_id bigint, text string, tie bigint, shard bigint")
+    dealt = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie")).mapInArrow(tidy(_deal(spark.sparkContext.broadcast(dealer))), "doc_id bigint, text string, tie bigint, shard bigint")
     parts = min(dealer.count, 100_000)
     dealt = dealt.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "doc_id", "tie")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    out = dealt.mapInArrow(_pack(tokenizer, end_id, stats, window, shard_bytes, keep_ids), schema)
+    out = dealt.mapInArrow(tidy(_pack(tokenizer, end_id, stats, window, shard_bytes, keep_ids), keep=True), schema)
     return out if keep_ids else out.drop("ids")

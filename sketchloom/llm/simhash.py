@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.tables import components, drop, written
-from sketchloom.llm.textkit import Carried, Words, chunks, limit_batches, mix, pick, raw, rolling, text_of, words_of
+from sketchloom.llm.textkit import Carried, Words, chunks, limit_batches, mix, pick, raw, rolling, text_of, tidy, words_of
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 LEAF, FAN = 16, 8
@@ -209,7 +209,7 @@ def _prints(shingle: int, seed: int, key: str = "doc_id"):
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """Per row: doc_id, fp (the fingerprint's bits as a signed long)."""
-    return pick(docs, doc_id=doc_id, text=text).mapInArrow(_prints(shingle, seed), "doc_id bigint, fp bigint")
+    return pick(docs, doc_id=doc_id, text=text).mapInArrow(tidy(_prints(shingle, seed)), "doc_id bigint, fp bigint")
 
 
 def bands(count: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -236,7 +236,7 @@ def links(codes: DataFrame, count: int, radius: int = RADIUS, split: int = SPLIT
     dealt = spread.join(hot, "band", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))))
     others = F.expr("CASE WHEN salts IS NULL THEN array(0L) ELSE transform(sequence(0L, salts - 1), q -> least(salt, q) * salts + greatest(salt, q)) END")
     dealt = dealt.select("fp", "band", F.explode(others).alias("block")).select("fp", F.xxhash64("band", "block").alias("bucket"))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(radius), "a bigint, b bigint")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_links(radius)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
@@ -418,8 +418,8 @@ def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHING
     """
     limit_batches(docs.sparkSession)
     texts, texts_at = written(docs.select(_node(text).alias("node"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).dropDuplicates(["node"]), "texts")
-    keys, keys_at = written(texts.mapInArrow(_band_keys(shingle, MINIMA_BANDS, MINIMA_ROWS), "node binary, same binary, size bigint, keys array<bigint>"), "minima")
-    prints = texts.mapInArrow(_prints(shingle, SEED, "node"), "node binary, fp bigint")
+    keys, keys_at = written(texts.mapInArrow(tidy(_band_keys(shingle, MINIMA_BANDS, MINIMA_ROWS)), "node binary, same binary, size bigint, keys array<bigint>"), "minima")
+    prints = texts.mapInArrow(tidy(_prints(shingle, SEED, "node")), "node binary, fp bigint")
     firsts = keys.groupBy("same").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
     equal, equal_at = written(keys.select("node", "same").join(firsts, "same").filter("node <> first").select("node", "first"), "equal")
     by_minima = keys.join(equal, "node", "left_anti").select("node", F.explode("keys").alias("bucket"))
@@ -437,7 +437,7 @@ def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHING
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     found, found_at = written(texts.join(wanted, "node", "left_semi"), "texts")
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    stars, stars_at = components(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a binary, b binary").union(equal))
+    stars, stars_at = components(both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_similar(shingle, similarity)), "a binary, b binary").union(equal))
     # What only an end of a bucket was compared with so far, and isn't linked: all of it is compared.
     inner = _labelled(buckets.join(ends.filter("n > 3"), "bucket").filter("node <> low AND node <> high").select("bucket", "node"), stars)
     open_ = inner.join(keys.select("node", "size"), "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("size")).filter("low < high")
@@ -446,7 +446,7 @@ def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHING
     blocks = F.expr("transform(sequence(0L, salts - 1), q -> least(salt, q) * salts + greatest(salt, q))")
     members, members_at = written(dealt.select("node", "label", "salt", "bucket", F.explode(blocks).alias("block")).select("node", "label", "salt", F.xxhash64("bucket", "block").alias("block")), "members")
     rest = members.join(found, "node").repartition("block").sortWithinPartitions("block")
-    last, _ = components(stars.select("a", "b").union(rest.mapInArrow(_compared(shingle, similarity), "a binary, b binary")))
+    last, _ = components(stars.select("a", "b").union(rest.mapInArrow(tidy(_compared(shingle, similarity)), "a binary, b binary")))
     for path in (texts_at, keys_at, equal_at, codes_at, heads_at, forest_at, buckets_at, ends_at, pairs_at, found_at, stars_at, members_at):
         drop(docs.sparkSession, path)
     return last.select(F.col("a").alias("node"), F.col("b").alias("root")).union(last.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

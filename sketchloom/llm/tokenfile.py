@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import chunks, pick
+from sketchloom.llm.textkit import chunks, pick, tidy
 from sketchloom.llm.tokens import encoder
 from sketchloom.sources.files import shared_dir
 
@@ -176,7 +176,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *, do
     plain = train([flat[b - n : b].astype(f"<u{width}").tobytes() for b, n in zip(ends, length) if n])
     spark.createDataFrame([(hashlib.sha256(plain).hexdigest(), bytearray(plain))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     parts = docs.repartitionByRange("doc_id", order).sortWithinPartitions("doc_id", order)
-    parts.mapInArrow(_writer(tokenizer, end_id, width, spark.sparkContext.broadcast(plain)), _ROWS).write.parquet(f"{path}/containers")
+    parts.mapInArrow(tidy(_writer(tokenizer, end_id, width, spark.sparkContext.broadcast(plain)), keep=True), _ROWS).write.parquet(f"{path}/containers")
     return path
 
 
@@ -208,4 +208,4 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     base, total = {}, 0
     for part, n in sorted(boxes.groupBy("part").agg(F.sum("tokens")).collect()):
         base[part], total = total, total + n
-    return boxes.select("part", "start", "container").mapInArrow(_reader(spark.sparkContext.broadcast(plain), base), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return boxes.select("part", "start", "container").mapInArrow(tidy(_reader(spark.sparkContext.broadcast(plain), base)), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -26,7 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from sketchloom.llm.textkit import raw, span_hashes, spread
+from sketchloom.llm.textkit import CACHES, raw, span_hashes, spread
 
 
 def _kind(spec: dict) -> str:
@@ -129,7 +129,7 @@ class Units:
         self.table = np.full(1 << max(4, (2 * most - 1).bit_length()), -1, np.int32)
         self.count = 0
         self.hash = np.zeros(1 << 12, np.uint64)
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.length = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.bytes, self.used = np.zeros(1 << 16, np.uint8), 0
 
     def find(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -143,7 +143,7 @@ class Units:
             out[left[same]] = slot[same]
             left = left[~same]
             at[left] = (at[left] + 1) & (len(self.table) - 1)
-        found = np.flatnonzero(out >= 0)
+        found = np.flatnonzero(out >= 0)  # by hash: the bytes decide
         equal = self.length[out[found]] == length[found]
         out[found[~equal]] = -1
         found = found[equal]
@@ -174,13 +174,13 @@ class Units:
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     """``x`` with space for n values."""
-    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, len(x) + len(x) // 2) - len(x), x.dtype)])
 
 
 class Encoder:
     """Ids of texts by a tokenizer file; ``most`` bounds the units that are kept."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -200,8 +200,8 @@ class Encoder:
         self.units = Units(self.most)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
+        self.start = np.zeros(1 << 16, np.int32)
+        self.length = np.zeros(1 << 16, np.int32)
 
     def largest_id(self) -> int:
         return max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
@@ -262,7 +262,7 @@ class Encoder:
         h = span_hashes(plain, start, ends[1:])
         at = self.units.find(h, plain, start, size)
         new = np.flatnonzero(at < 0)
-        if self.units.count + len(new) > self.units.most:
+        if self.units.count + len(new) > self.units.most or self.units.used + int(size[new].sum()) >> 31:
             self._clear()
             at, new = np.full(len(h), -1), np.arange(len(h))
             self.units = Units(max(self.most, len(new)))
@@ -272,13 +272,14 @@ class Encoder:
                 self._add(units.dictionary.take(pa.array(new)).to_pylist(), self.units.count)
             self.units.add(h[new], plain, start[new], size[new])
         at = at[units.indices.to_numpy()]
-        length = self.length[at]
+        length = self.length[at].astype(np.int64)
         first = np.concatenate([[0], np.cumsum(length)])
         flat = self.ids[np.repeat(self.start[at] - first[:-1], length) + np.arange(first[-1])]
         return flat, np.diff(first[np.searchsorted(bounds, offsets)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:
