@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import decontam, langid, licenses, linededup, matroska, packing, quality, secrets, simhash, tokenfile
+from sketchloom.llm import decontam, langid, licenses, linededup, matroska, nearest, packing, quality, secrets, simhash, tokenfile
 
 #: Folder of the public tokenizer files; None: as the installed package names it.
 TOKENIZERS: str | None = None
@@ -112,6 +112,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -124,6 +128,7 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_token_output": op9_token_output,
         "op10_packing": op10_packing,
+        "op11_nearest": op11_nearest,
     }
 
 
