@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import decontam, langid, licenses, linededup, matroska, nearest, packing, quality, secrets, simhash, tokenfile
+from sketchloom.llm import decontam, langid, licenses, linededup, matroska, nearest, packing, periods, quality, secrets, simhash, tokenfile
 
 #: Folder of the public tokenizer files; None: as the installed package names it.
 TOKENIZERS: str | None = None
@@ -116,6 +116,25 @@ def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of about every tenth document the words from a place on are replaced by repetitions of the first few of these."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).cast("bigint").alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    chosen = chosen.withColumn("n", F.size("w").cast("bigint")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    left, places = F.col("n") - F.col("a"), lambda c: c.cast("int")
+    chosen = chosen.withColumn("p", F.floor(left / (3 + F.col("g") % 8)) + 1)
+    again = F.flatten(F.array_repeat(F.slice("w", places(F.col("a") + 1), places(F.least("p", left))), places(F.ceil(left / F.col("p")))))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), places(F.col("a"))), F.slice(again, F.lit(1), places(left))), " ")
+    return chosen.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse_runs(repeated_tails(_table(spark, sf_dir, "documents")), keep_text=False)
+    found = found.withColumn("best", periods.longest()).select("*", F.col("best.start").alias("start"), (-F.col("best.n")).alias("length"), F.col("best.period").alias("period"))
+    exponent = F.expr("1000 * length div period")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "start", "length", "period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -129,6 +148,7 @@ def queries() -> dict:
         "op9_token_output": op9_token_output,
         "op10_packing": op10_packing,
         "op11_nearest": op11_nearest,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
