@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import decontam, langid, licenses, linededup, matroska, nearest, packing, periods, quality, secrets, simhash, tokenfile
+from sketchloom.llm import decontam, langid, licenses, linededup, matroska, nearest, packing, periods, quality, secrets, simhash, tables, tokenfile, trie
 
 #: Folder of the public tokenizer files; None: as the installed package names it.
 TOKENIZERS: str | None = None
@@ -116,6 +116,22 @@ def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def rebuilt(convs: DataFrame) -> DataFrame:
+    """Conversations (conv_id, turns) that begin with up to five turns of the hundred's first one."""
+    c, h = F.col("conv_id"), F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(6)).cast("int")
+    bases = convs.filter(c % 100 == 0).select(c.alias("base"), F.slice("turns", 1, 5).alias("head"))
+    both = convs.withColumn("base", c - c % 100).join(bases, "base", "left")
+    head = F.when(F.col("head").isNull(), F.slice("turns", F.lit(1), F.lit(0))).otherwise(F.slice("head", F.lit(1), h))
+    return both.select("conv_id", F.concat(head, F.slice("turns", h + 1, F.greatest(F.size("turns"), F.lit(1)))).alias("turns"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs, path = tables.written(trie.conversations(_table(spark, sf_dir, "conversations")), "conversations")
+    found = trie.prefix_trie(rebuilt(convs))
+    tables.drop(spark, path)
+    return found
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text): of about every tenth document the words from a place on are replaced by repetitions of the first few of these."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -148,6 +164,7 @@ def queries() -> dict:
         "op9_token_output": op9_token_output,
         "op10_packing": op10_packing,
         "op11_nearest": op11_nearest,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
