@@ -74,10 +74,14 @@ def md5_60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
+def md5_hashes(text: Column, k: int = KSIZE, most: int = (1 << 60) // 100) -> Column:
+    """The md5 hashes under ``most`` of a text's k-mers, in order; repeats kept."""
+    hashed = lambda piece: F.transform(windows(piece, k), lambda x: F.md5(x.cast("binary")))
+    # hex digits of one length compare as the numbers do: the gate is applied inside the array, and few leave it
+    kept = F.flatten(F.transform(pieces(text, k), lambda piece: F.filter(hashed(piece), lambda x: x < f"{most:015x}")))
+    return F.transform(kept, lambda digits: F.conv(F.substring(digits, 1, 15), 16, 10).cast("bigint"))
+
+
 def md5_sketch(df: DataFrame, key: str, text: str, k: int = KSIZE, most: int = (1 << 60) // 100) -> DataFrame:
     """(key, hash) of each k-mer whose md5 hash is under ``most``; repeats kept."""
-    parts = df.select(key, F.explode(pieces(F.col(text), k)).alias("piece"))
-    hashed = F.transform(windows(F.col("piece"), k), lambda x: F.md5(x.cast("binary")))
-    # hex digits of one length compare as the numbers do: the gate is applied inside the array, and few leave it
-    kept = F.filter(hashed, lambda x: x < f"{most:015x}")
-    return parts.select(key, F.explode(kept).alias("digits")).select(key, F.conv(F.substring("digits", 1, 15), 16, 10).cast("bigint").alias("hash"))
+    return df.select(key, F.explode(md5_hashes(F.col(text), k, most)).alias("hash"))

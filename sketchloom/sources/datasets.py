@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.sources.files import exists, files_below
+from sketchloom.sources.streams import open_address
 
 
 def named(column: str) -> Column:
@@ -54,6 +58,36 @@ def read_plain(spark: SparkSession, *globs: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(*globs)
 
 
+def footer_statistics(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """One row: n_rows and the least and the largest value (``<column>_min``, ``<column>_max``) of columns, from the footers alone.
+
+    The aggregates are pushed into the scan, so no column is read. That takes settings of its own, hence a session of its
+    own beside ``spark``.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    ends = [f(named(c)).alias(f"{c}_{end}") for c in columns for end, f in (("min", F.min), ("max", F.max))]
+    return own.read.parquet(path).agg(F.count("*").alias("n_rows"), *ends)
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_group, n_rows) as the footers of all Parquet files below ``path`` have them; each task opens some of the files."""
+    files = files_below(spark, path)
+    if not files:
+        return spark.createDataFrame([], "file string, row_group int, n_rows bigint")
+    return spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 256)).mapInArrow(_footers, "file string, row_group int, n_rows bigint")
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file in batch.column("file").to_pylist():
+            with open_address(file) as source:
+                meta = parquet.read_metadata(source)
+            n = meta.num_row_groups
+            yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([meta.row_group(i).num_rows for i in range(n)], pa.int64())], ["file", "row_group", "n_rows"])
+
+
 def read_counts(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     if not exists(spark, path):
         raise FileNotFoundError(f"no counts in {path}")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class OutputExists(FileExistsError):
@@ -69,16 +73,67 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def guard(spark: SparkSession, path: str, overwrite: bool) -> None:
-    """Refuse to write over a file or a folder that isn't empty; clear it if that is allowed."""
+def _occupied(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file, or a folder that isn't empty."""
     fs, where = _at(spark, path)
-    if not fs.exists(where):
-        return
-    if fs.getFileStatus(where).isDirectory() and not children(spark, path):
-        return
-    if not overwrite:
+    return fs.exists(where) and not (fs.getFileStatus(where).isDirectory() and not children(spark, path))
+
+
+def guard(spark: SparkSession, path: str, overwrite: bool) -> None:
+    """Refuse an output that is there already, unless it may be replaced. Nothing is deleted: see :func:`replacing`."""
+    if not overwrite and _occupied(spark, path):
         raise OutputExists(f"{path} exists; allow overwriting or choose another path")
-    fs.delete(where, True)
+
+
+@contextmanager
+def replacing(spark: SparkSession, path: str, overwrite: bool = False) -> Iterator[str]:
+    """A folder to write an output into, which takes the place of ``path`` when the block ends well.
+
+    Until then the old output stays, can be read by the plan that makes the new one, and is what is left if that fails.
+    The new folder stands beside the old one under a name that readers skip and is put in by renaming; if that fails the
+    old one is put back. A folder that Spark wrote counts as complete only with its marker, where it writes one.
+    """
+    guard(spark, path, overwrite)
+    root, name = path.rstrip("/").rsplit("/", 1)
+    mark = uuid.uuid4().hex
+    staged, old = f"{root}/_staged-{name}-{mark}", f"{root}/_old-{name}-{mark}"
+    try:
+        yield staged
+        if not exists(spark, staged):
+            raise FileNotFoundError(f"nothing was written for {path}")
+        guard(spark, path, overwrite)  # another job may have written it meanwhile
+        there = exists(spark, path)
+        if there:
+            rename(spark, path, old)
+        try:
+            rename(spark, staged, path)
+        except OSError:
+            if there:
+                rename(spark, old, path)
+            raise
+        if there:
+            remove(spark, old)
+    finally:
+        if exists(spark, staged):
+            remove(spark, staged)
+
+
+def materialised(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written into the shared folder and read again, so that it is made once; and its path, to be removed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files at or below a path, by which a change is noticed."""
+    fs, where = _at(spark, path)
+    found, it = [], fs.listFiles(where, True)
+    while it.hasNext():
+        s = it.next()
+        found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return hashlib.sha256(json.dumps(sorted(found)).encode()).hexdigest()
 
 
 def run_id(tag: str | None = None) -> str:

@@ -2,65 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.sources.files import children, copy, guard, remove, rename, run_id, single_part
+from sketchloom.sources.files import children, copy, remove, rename, replacing, run_id, single_part
 
-#: Average bytes of a row of lists or hashes, to turn rows a row group into the bytes that Parquet wants.
-ROW_BYTES = 64
+#: Rows of a row group where nothing else is asked.
+ROW_GROUP_ROWS = 1_000_000
 
 
-def write_partitioned(df: DataFrame, path: str, by: str, *, overwrite: bool = False, sort: list[str] | None = None, files: int | None = None) -> str:
-    """Parquet partitioned by a column; each value is written by one task, so it has one file."""
-    guard(df.sparkSession, path, overwrite)
-    df = df.repartition(files, by) if files else df.repartition(by)
-    df.sortWithinPartitions(by, *(sort or ())).write.option("compression", "zstd").partitionBy(by).parquet(path)
+def parquet(df: DataFrame, row_group_rows: int | None = None):
+    """A writer of compressed Parquet; every row group but a file's last has exactly so many rows."""
+    writer = df.write.option("compression", "zstd")
+    if row_group_rows is None:
+        return writer
+    if row_group_rows < 1:
+        raise ValueError("a row group has a row at least")
+    # the limit in rows decides, so the one in bytes and the next check of it are put out of reach
+    return writer.option("parquet.block.row.count.limit", row_group_rows).option("parquet.block.size", (1 << 31) - 1)
+
+
+def write_partitioned(df: DataFrame, path: str, by: str, *, overwrite: bool = False, sort: list[str] | None = None, files: int | None = None, values: int | None = None, spread: Column | None = None, row_group_rows: int | None = None) -> str:
+    """Parquet partitioned by a column.
+
+    Each value is written by one task, so it has one file. ``values``: the column holds numbers from 0 to that; each
+    value is then a task of its own instead of what hashing of the numbers makes of them. ``files``: so many files for
+    each such value, among which rows are dealt by ``spread`` (a hash of them), for values too large for one task.
+    """
+    if files and (values is None or spread is None):
+        raise ValueError("several files for a value need the number of values and what rows are dealt by")
+    if values is None:
+        df = df.repartition(by)
+    elif files and files > 1:
+        df = df.repartitionById(values * files, F.col(by).cast("int") * files + F.pmod(spread, F.lit(files)).cast("int"))
+    else:
+        df = df.repartitionById(values, F.col(by).cast("int"))
+    with replacing(df.sparkSession, path, overwrite) as at:
+        parquet(df.sortWithinPartitions(by, *(sort or ())), row_group_rows).partitionBy(by).parquet(at)
     return path
 
 
-def write_single(df: DataFrame, path: str, *, overwrite: bool = False, row_group_rows: int = 1_000_000, sort: list[str] | None = None) -> str:
+def write_plain(df: DataFrame, path: str, *, overwrite: bool = False) -> str:
+    """Parquet as the plan deals it out."""
+    with replacing(df.sparkSession, path, overwrite) as at:
+        parquet(df).parquet(at)
+    return path
+
+
+def write_single(df: DataFrame, path: str, *, overwrite: bool = False, row_group_rows: int = ROW_GROUP_ROWS, sort: list[str] | None = None) -> str:
     """One Parquet part, sorted if asked. One task sorts and writes it: for results of one file's size; others have :func:`write_sorted`."""
-    guard(df.sparkSession, path, overwrite)
     df = df.repartition(1).sortWithinPartitions(*sort) if sort else df.repartition(1)
-    df.write.option("compression", "zstd").option("parquet.block.size", row_group_rows * ROW_BYTES).parquet(path)
+    with replacing(df.sparkSession, path, overwrite) as at:
+        parquet(df, row_group_rows).parquet(at)
     return path
 
 
-def write_sorted(df: DataFrame, path: str, *keys: str, overwrite: bool = False, parts: int | None = None) -> str:
+def write_sorted(df: DataFrame, path: str, *keys: str, overwrite: bool = False, parts: int | None = None, row_group_rows: int | None = None) -> str:
     """Globally sorted Parquet: range-partitioned parts whose names are in order."""
-    guard(df.sparkSession, path, overwrite)
     df = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
-    df.sortWithinPartitions(*keys).write.option("compression", "zstd").parquet(path)
+    with replacing(df.sparkSession, path, overwrite) as at:
+        parquet(df.sortWithinPartitions(*keys), row_group_rows).parquet(at)
     return path
 
 
-def write_shards(df: DataFrame, path: str, shards: int, key: str, *, overwrite: bool = False, row_group_rows: int = 1_000_000, prefix: str | None = None) -> str:
+def write_shards(df: DataFrame, path: str, shards: int, key: str, *, overwrite: bool = False, row_group_rows: int = ROW_GROUP_ROWS, prefix: str | None = None) -> str:
     """A fixed number of shards in one pass, by the key's hash (integers: by remainder), a task and a file each: folders shard=0 to shard=N-1.
 
     With ``prefix`` the files are ``<prefix>0000.parquet`` and so on in ``path`` itself, one for each shard, also for empty ones.
     """
     spark = df.sparkSession
-    guard(spark, path, overwrite)
     kind = dict(df.dtypes)[key]
     number = F.pmod(F.col(key) if kind in ("bigint", "int") else F.xxhash64(key), F.lit(shards)).cast("int")
     out = df.withColumn("shard", number).repartitionById(shards, F.col("shard"))
-    where = path if prefix is None else f"{path}/_shards"
-    out.write.option("compression", "zstd").option("parquet.block.size", row_group_rows * ROW_BYTES).partitionBy("shard").parquet(where)
-    if prefix is None:
-        return path
-    spark.createDataFrame([], df.schema).coalesce(1).write.option("compression", "zstd").parquet(f"{path}/_empty")
-    empty = next(p for p in children(spark, f"{path}/_empty") if p.rsplit("/", 1)[-1].startswith("part-"))
-    folders = {int(p.rsplit("=", 1)[1]): p for p in children(spark, where) if "/shard=" in p}
-    for i in range(shards):
-        named = f"{path}/{prefix}{i:04d}.parquet"
-        if i in folders:
-            (part,) = [p for p in children(spark, folders[i]) if p.rsplit("/", 1)[-1].startswith("part-")]
-            rename(spark, part, named)
-        else:
-            copy(spark, empty, named)
-    for folder in (where, f"{path}/_empty"):
-        remove(spark, folder)
+    with replacing(spark, path, overwrite) as at:
+        where = at if prefix is None else f"{at}/_shards"
+        parquet(out, row_group_rows).partitionBy("shard").parquet(where)
+        if prefix is None:
+            return path
+        parquet(spark.createDataFrame([], df.schema).coalesce(1)).parquet(f"{at}/_empty")
+        empty = next(p for p in children(spark, f"{at}/_empty") if p.rsplit("/", 1)[-1].startswith("part-"))
+        folders = {int(p.rsplit("=", 1)[1]): p for p in children(spark, where) if "/shard=" in p}
+        for i in range(shards):
+            named = f"{at}/{prefix}{i:04d}.parquet"
+            if i in folders:
+                (part,) = [p for p in children(spark, folders[i]) if p.rsplit("/", 1)[-1].startswith("part-")]
+                rename(spark, part, named)
+            else:
+                copy(spark, empty, named)
+        for folder in (where, f"{at}/_empty"):
+            remove(spark, folder)
     return path
 
 
@@ -72,23 +102,24 @@ def write_table(df: DataFrame, name: str, *keys: str, overwrite: bool = False) -
 
 def write_json_lines(df: DataFrame, path: str, *, overwrite: bool = False, compress: bool = False, parts: int = 1, name: str | None = None, keep_markers: bool = False) -> str:
     """NDJSON; a single part can be given a name."""
-    guard(df.sparkSession, path, overwrite)
+    spark, named = df.sparkSession, None
     writer = df.coalesce(parts).write
-    (writer.option("compression", "gzip") if compress else writer).json(path)
-    if name and parts == 1:
-        return single_part(df.sparkSession, path, name, keep_markers)
-    return path
+    with replacing(spark, path, overwrite) as at:
+        (writer.option("compression", "gzip") if compress else writer).json(at)
+        if name and parts == 1:
+            named = single_part(spark, at, name, keep_markers).rsplit("/", 1)[-1]
+    return f"{path}/{named}" if named else path
 
 
 def write_csv(df: DataFrame, path: str, *, overwrite: bool = False) -> str:
-    guard(df.sparkSession, path, overwrite)
-    df.coalesce(1).write.option("header", "true").csv(path)
+    with replacing(df.sparkSession, path, overwrite) as at:
+        df.coalesce(1).write.option("header", "true").csv(at)
     return path
 
 
 def write_preview(df: DataFrame, path: str, rows: int = 10, *, overwrite: bool = False) -> str:
-    guard(df.sparkSession, path, overwrite)
-    df.limit(rows).coalesce(1).write.parquet(path)
+    with replacing(df.sparkSession, path, overwrite) as at:
+        df.limit(rows).coalesce(1).write.parquet(at)
     return path
 
 
