@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.functions.hashing import modulo, remainder
+from sketchloom.sources.files import materialised
 
-#: Rows of a top list up to which tasks keep heaps of it.
-HEAP_ROWS = 1_000_000
+#: Rows of a top list up to which tasks keep heaps of it; one task merges what all of these hold.
+HEAP_ROWS = 10_000
 #: Rows up to which selected keys are small enough to be sent to every task (16 MB).
 BROADCAST_KEYS = 1_000_000
 
@@ -67,12 +68,14 @@ def top(counts: DataFrame, n: int = 100, *, heap: int = HEAP_ROWS) -> DataFrame:
     """The hashes in most samples, in order; of equal ones the smaller hash first. Hashes are distinct, as counts have them.
 
     Up to ``heap`` rows are kept in heaps. More are cut off where the n-th row is, which is found from the frequencies of
-    the counts, and sorted in ranges, so that no task holds them all.
+    the counts and, among ties, 16 bits of the hash at a time. The counts are made once for that, in the shared folder.
+    What is left is sorted in ranges, so that no task holds it all.
     """
     rows = counts.select("min_hash", "n_samples")
     order = F.desc("n_samples"), F.asc("min_hash")
     if n <= heap:
         return rows.orderBy(*order).limit(n)
+    rows, _ = materialised(rows, "counts")
     above = 0
     for value, size in sorted((tuple(r) for r in rows.groupBy("n_samples").count().collect()), reverse=True):
         if above + size > n:

@@ -20,12 +20,17 @@ def sampled(df: DataFrame, fraction: float, buckets: int, column: str = "hash")
     return df if fraction >= 1 else df.filter(bit_sample(F.col(column), fraction, power_of_two(buckets).bit_length() - 1))
 
 
-def difference(left: DataFrame, rights: list[DataFrame], *, distinct_left: bool = False, fraction: float = 1.0, buckets: int = 256) -> DataFrame:
-    """(hash, bucket) of LEFT that no RIGHT has. Nulls of LEFT go; its repeats stay unless ``distinct_left``; no RIGHT at all gives LEFT."""
+def difference(left: DataFrame, rights: list[DataFrame], *, distinct_left: bool = False, fraction: float = 1.0, buckets: int = 256, negatives: DataFrame | None = None) -> DataFrame:
+    """(hash, bucket) of LEFT that no RIGHT has. Nulls of LEFT go; its repeats stay unless ``distinct_left``; no RIGHT at all gives LEFT.
+
+    ``negatives``, if given, takes the place of RIGHTs: all their hashes once, sampled alike, as :mod:`sketchloom.operators.negatives` keeps them.
+    """
     left = sampled(left.select("hash").filter("hash IS NOT NULL"), fraction, buckets)
     if distinct_left:
         left = left.distinct()
-    if rights:
+    if negatives is not None:
+        left = left.join(negatives.select("hash"), "hash", "left_anti")
+    elif rights:
         # an anti join needs no distinct right side, but a repeated hash would be shuffled as often as it occurs
         left = left.join(union_distinct([sampled(r, fraction, buckets) for r in rights]), "hash", "left_anti")
     return left.select("hash", low_bits(F.col("hash"), buckets).alias("bucket"))
