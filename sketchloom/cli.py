@@ -11,6 +11,7 @@ from sketchloom import schemas
 from sketchloom.functions import report
 from sketchloom.plans import jobs
 from sketchloom.session import build_session
+from sketchloom.sources.contigs import accession_of
 from sketchloom.sources.files import run_id, write_json
 
 
@@ -53,6 +54,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--buckets", type=int, default=256)
     p.add_argument("--single-file", action="store_true")
     p.add_argument("--distinct-left", action="store_true")
+    p.add_argument("--negatives", help="where the hashes of all right sets are kept")
+    p.add_argument("--skip-build-neg", action="store_true", help="use the negative set that is there, if it was built from the same sets alike")
+    p.add_argument("--files-per-bucket", type=int, help="several files for a bucket that is too large for one task")
     p.add_argument("--sample-fraction", type=float, default=1.0)
 
     p = command("alias-vs-others", "Venn counts of one set against the others", "manifest", "target-alias")
@@ -116,17 +120,32 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--shard-bits", type=int, default=schemas.SHARD_BITS)
     p.add_argument("--column", default="min_hash")
     p.add_argument("--distinct", action="store_true", help="each hash once")
+    p.add_argument("--layout", choices=["buckets", "shards"], default="buckets", help="a bucketed table, which look-ups read in place, or folders by bits of the hash")
 
     p = command("annotate", "novel k-mers of contigs", "index-root", "out")
     p.add_argument("--contigs-url", help="address of an accession's contigs, with {acc}")
-    p.add_argument("--contigs", nargs="*")
-    p.add_argument("--matches", nargs="*")
+    p.add_argument("--contigs", nargs="*", metavar="[ACC=]PATH", help="FASTA by accession, which is else taken from the file's name")
+    p.add_argument("--matches", nargs="*", metavar="[ACC=]PATH", help="k-mer CSVs by accession")
+    p.add_argument("--accession-table", help="Parquet with a column accession, beside those given here")
     p.add_argument("accessions", nargs="*")
     return top
 
 
+def by_accession(given: list[str] | None) -> dict[str, list[str]]:
+    """Paths by accession, which stands before an equals sign or is part of the path."""
+    found: dict[str, list[str]] = {}
+    for item in given or []:
+        name, sign, path = item.partition("=")
+        if not sign or "/" in name:
+            name, path = accession_of(item), item
+        found.setdefault(name, []).append(path)
+    return found
+
+
 def check(args: argparse.Namespace, fail) -> None:
     """Rules between options."""
+    if args.command == "left-minus-rights" and args.skip_build_neg and not args.negatives:
+        fail("--skip-build-neg needs --negatives")
     if args.command == "percentiles":
         manual = args.low_cut is not None or args.high_cut is not None
         if manual == bool(args.percentiles):
@@ -143,7 +162,7 @@ def run(spark, a: argparse.Namespace):
         stages = tuple(s for s in ("counts", "topn", "ids") if "all" in a.stage or s in a.stage)
         return jobs.top_minhashes(spark, a.input, a.out, stages=stages, n=a.topN, buckets=a.num_buckets, ksize=a.ksize, fraction=a.sample_fraction, file_limit=a.file_limit, seed=a.seed, compress=a.compress_json, json_parts=a.coalesce_json, tag=a.run_tag, skip_distinct=a.skip_distinct_pairs_in_ids, rename=not a.no_cleanup, keep_markers=a.keep_success, overwrite=a.overwrite)
     if c == "left-minus-rights":
-        return jobs.left_minus_rights(spark, a.manifest, a.out_dir, ksize=a.ksize, filter_left=a.filter_left, distinct_left=a.distinct_left, fraction=a.sample_fraction, buckets=a.buckets, single_file=a.single_file, overwrite=a.overwrite)
+        return jobs.left_minus_rights(spark, a.manifest, a.out_dir, ksize=a.ksize, filter_left=a.filter_left, distinct_left=a.distinct_left, fraction=a.sample_fraction, buckets=a.buckets, single_file=a.single_file, files=a.files_per_bucket, negatives=a.negatives, skip_build=a.skip_build_neg, overwrite=a.overwrite)
     if c == "alias-vs-others":
         return jobs.alias_vs_others(spark, a.manifest, a.target_alias, out=a.out, ksize=a.ksize, fraction=a.sample_fraction, buckets=a.buckets, overwrite=a.overwrite)
     if c == "prepare-hashes":
@@ -164,8 +183,11 @@ def run(spark, a: argparse.Namespace):
     if c == "histogram":
         return jobs.histogram_job(spark, a.input, a.output, column=a.column, bins=a.bins, max_value=a.max_value, picture=a.picture, overwrite=a.overwrite)
     if c == "build-index":
-        return jobs.build_index_job(spark, a.parquet, a.index_root, bits=a.shard_bits, column=a.column, distinct=a.distinct, overwrite=a.overwrite)
-    jobs.annotate(spark, a.index_root, a.out, a.accessions, url=a.contigs_url, contigs=a.contigs, matches=a.matches, overwrite=a.overwrite)
+        return jobs.build_index_job(spark, a.parquet, a.index_root, bits=a.shard_bits, column=a.column, layout=a.layout, distinct=a.distinct, overwrite=a.overwrite)
+    asked = a.accessions
+    if a.accession_table:
+        asked = spark.read.parquet(a.accession_table).select("accession").union(spark.createDataFrame([(x,) for x in a.accessions], "accession string"))
+    jobs.annotate(spark, a.index_root, a.out, asked, url=a.contigs_url, contigs=by_accession(a.contigs), matches=by_accession(a.matches), overwrite=a.overwrite)
     return {"out": a.out}
 
 

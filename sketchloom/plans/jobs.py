@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom import schemas
+from sketchloom.functions.kmers import murmur_sketch
 from sketchloom.operators import annotate as annotation
 from sketchloom.operators import counts, histogram, selection, setops
-from sketchloom.operators.index import Index, build_index
+from sketchloom.operators import negatives as negative_sets
+from sketchloom.operators.index import BUCKETS, Index, build_index
 from sketchloom.sources import contigs as contig_sources
 from sketchloom.sources import sinks
-from sketchloom.sources.datasets import read_counts, read_hive_hashes, read_plain, read_signatures, union_all
-from sketchloom.sources.files import exists, guard, latest_run, read_json, remove, run_id, write_json
+from sketchloom.sources.datasets import footer_statistics, read_counts, read_hive_hashes, read_plain, read_signatures, union_all
+from sketchloom.sources.files import exists, guard, latest_run, materialised, read_json, remove, replacing, run_id, write_json
 from sketchloom.sources.manifest import HashSet, ManifestError, load_manifest
 
 
@@ -22,14 +26,31 @@ def _sides(spark: SparkSession, manifest, one_left: bool) -> list[HashSet]:
     return load_manifest(spark, manifest, one_left=one_left)
 
 
-def left_minus_rights(spark: SparkSession, manifest: str | dict, out: str, *, ksize: int = schemas.KSIZE, filter_left: bool = False, distinct_left: bool = False, fraction: float = 1.0, buckets: int = 256, single_file: bool = False, overwrite: bool = False) -> str:
-    """Write LEFT without all RIGHTs: by bucket, or as one sorted file. LEFT is only filtered by k-size if asked."""
+def left_minus_rights(
+    spark: SparkSession, manifest: str | dict, out: str, *, ksize: int = schemas.KSIZE, filter_left: bool = False, distinct_left: bool = False, fraction: float = 1.0, buckets: int = 256, single_file: bool = False, files: int | None = None,
+    negatives: str | None = None, skip_build: bool = False, overwrite: bool = False,
+) -> str:
+    """Write LEFT without all RIGHTs: by bucket, in one file each or in ``files``, or as one sorted file. LEFT is only filtered by k-size if asked.
+
+    ``negatives`` keeps the hashes of all RIGHTs in a table there; with ``skip_build`` the one that is there is used, which
+    must have been built from the same sets, as they are now, and with the same parameters.
+    """
+    if skip_build and not negatives:
+        raise ValueError("there is no negative set to use")
     sets = _sides(spark, manifest, True)
-    left = next(s for s in sets if s.set_id == "left")
-    found = setops.difference(left.read(spark, ksize if filter_left else None), [s.read(spark, ksize) for s in sets if s.set_id == "right"], distinct_left=distinct_left, fraction=fraction, buckets=buckets)
+    for item in sets:
+        item.check(spark)
+    left, rights = next(s for s in sets if s.set_id == "left"), [s for s in sets if s.set_id == "right"]
+    guard(spark, out, overwrite)
+    kept = None
+    if negatives:
+        same = {"ksize": ksize, "fraction": fraction, "buckets": buckets}
+        kept = negative_sets.reuse(spark, rights, negatives, **same) if skip_build else negative_sets.build(spark, rights, negatives, **same, overwrite=True)
+    frames = [] if negatives else [s.read(spark, ksize) for s in rights]
+    found = setops.difference(left.read(spark, ksize if filter_left else None), frames, distinct_left=distinct_left, fraction=fraction, buckets=buckets, negatives=kept)
     if single_file:
         return sinks.write_single(found.select("hash"), out, overwrite=overwrite, sort=["hash"])
-    return sinks.write_partitioned(found, out, "bucket", overwrite=overwrite, sort=["hash"])
+    return sinks.write_partitioned(found, out, "bucket", overwrite=overwrite, sort=["hash"], values=buckets, files=files, spread=F.xxhash64("hash"))
 
 
 def alias_vs_others(spark: SparkSession, manifest: str | dict, alias: str, *, out: str | None = None, ksize: int = schemas.KSIZE, fraction: float = 1.0, buckets: int = 256, overwrite: bool = False) -> dict:
@@ -63,16 +84,17 @@ def compute_counts(spark: SparkSession, hashes: str, signatures: str, ksize: int
     paths = {"hash": f"{out}/hash_counts.parquet", "sample": f"{out}/sample_counts.parquet"}
     for path in paths.values():
         guard(spark, path, overwrite)
+    stored = None
     if materialize_pairs:
         paths["pairs"] = pairs_out or f"{out}/pairs"
         sinks.write_partitioned(pairs, paths["pairs"], "part", overwrite=overwrite)
         pairs = spark.read.parquet(paths["pairs"])
     else:
-        pairs = pairs.select("sample_id", "min_hash").persist()
-    by_hash, by_sample = counts.counts_from_pairs(pairs)
-    by_hash.write.option("compression", "zstd").parquet(paths["hash"])
-    by_sample.write.option("compression", "zstd").parquet(paths["sample"])
-    pairs.unpersist()
+        pairs, stored = materialised(pairs.select("sample_id", "min_hash"), "pairs")
+    for df, name in zip(counts.counts_from_pairs(pairs), ("hash", "sample")):
+        sinks.write_plain(df, paths[name], overwrite=overwrite)
+    if stored:
+        remove(spark, stored)
     return paths
 
 
@@ -113,28 +135,26 @@ def inspect(spark: SparkSession, hashes: str, signatures: str, ksize: int) -> di
         try:
             df = read()
             found[name] = {"rows": df.count(), "head": [r.asDict() for r in df.limit(5).collect()]}
-        except Exception as e:  # any reader's error is the answer here
+        except (PySparkException, Py4JJavaError, ValueError, OSError) as e:  # a reader's error is the answer here
             found[name] = {"error": str(e).splitlines()[0][:300]}
     return found
 
 
 def remove_set(spark: SparkSession, lists: str, exclude: str, out: str, *, table: str = "unique_hashes", ksize: int = schemas.KSIZE, hash_column: str = "hash", ksize_column: str = "ksize", overwrite: bool = False) -> dict:
     """List shards without the hashes of one more set, as one dataset; warns if that set is empty."""
-    place = HashSet("exclude", exclude, table, hash_column, "right").location(spark)
-    known = spark.read.parquet(place)
+    known = HashSet("exclude", exclude, table, hash_column, "right").relation(spark)
     if ksize_column in known.columns:
         known = known.filter(F.col(ksize_column) == ksize)
     n = known.count()
     guard(spark, out, overwrite)
     rows = read_plain(spark, lists)
-    setops.exclude(rows, known, "min_hash", hash_column).write.option("compression", "zstd").parquet(out)
+    sinks.write_plain(setops.exclude(rows, known, "min_hash", hash_column), out, overwrite=overwrite)
     return {"excluded_set": n, "rows": spark.read.parquet(out).count(), "warning": "" if n else "the set to exclude is empty"}
 
 
 def row_counts(spark: SparkSession, path: str, column: str = "hash", distinct: bool = False) -> int:
-    """Rows, or distinct hashes, of a dataset."""
-    df = spark.read.parquet(path)
-    return counts.distinct_count(df, column).first()[0] if distinct else df.count()
+    """Rows, as the footers have them, or distinct hashes, of a dataset."""
+    return counts.distinct_count(spark.read.parquet(path), column).first()[0] if distinct else footer_statistics(spark, path).first()["n_rows"]
 
 
 def sorted_copy(spark: SparkSession, root: str, out: str, *, column: str = "hash", table: str | None = None, overwrite: bool = False) -> str:
@@ -170,7 +190,7 @@ def top_minhashes(
     path, note = f"{out}/counts_parquet", f"{out}/counts_parameters.json"
     used = {"input": source, "ksize": ksize, "fraction": fraction, "file_limit": file_limit, "seed": seed, "buckets": buckets}
     if "counts" in stages:
-        made["counts"] = sinks.write_partitioned(counts.bucket_counts(raw(), buckets), path, "bucket", overwrite=overwrite)
+        made["counts"] = sinks.write_partitioned(counts.bucket_counts(raw(), buckets), path, "bucket", overwrite=overwrite, values=buckets)
         write_json(spark, note, used)
     elif exists(spark, note) and (have := read_json(spark, note)) != used:
         raise ValueError(f"{path} was made with {have}, not {used}")
@@ -179,8 +199,7 @@ def top_minhashes(
     if "topn" in stages:
         best = counts.top(read_counts(spark, path), n)
         made["topn"] = f"{top_root}/run={run}"
-        guard(spark, made["topn"], overwrite)
-        best.write.parquet(made["topn"])
+        sinks.write_plain(best, made["topn"], overwrite=overwrite)
         ordered = spark.read.parquet(made["topn"]).orderBy(F.desc("n_samples"), "min_hash")
         made["topn_json"] = sinks.write_json_lines(ordered, f"{out}/topn_json/topN={n}/run={run}", overwrite=overwrite, compress=compress, name=f"top{n}" if rename else None, keep_markers=keep_markers)
     if "ids" in stages:
@@ -191,75 +210,59 @@ def top_minhashes(
     return made
 
 
-def build_index_job(spark: SparkSession, source: str, path: str, *, bits: int = schemas.SHARD_BITS, column: str = "min_hash", distinct: bool = False, overwrite: bool = False) -> dict:
-    return build_index(spark.read.parquet(source), path, column=column, bits=bits, distinct=distinct, overwrite=overwrite, source=source)
+def build_index_job(spark: SparkSession, source: str, path: str, *, bits: int = schemas.SHARD_BITS, column: str = "min_hash", layout: str = BUCKETS, distinct: bool = False, overwrite: bool = False) -> dict:
+    return build_index(spark.read.parquet(source), path, column=column, bits=bits, layout=layout, distinct=distinct, overwrite=overwrite, source=source)
 
 
 def annotate(
-    spark: SparkSession, index: str, out: str, accessions: list[str], *, url: str | None = None, fetch: Callable[[str], str] | None = None, contigs: list[str] | None = None, matches: list[str] | None = None,
-    k: int = schemas.KSIZE, most: int = schemas.MAX_HASH, overwrite: bool = False,
+    spark: SparkSession, index: str, out: str, accessions: list[str] | DataFrame = (), *, url: str | None = None, opener: Callable[[str], object] | None = None, contigs: list[str] | dict[str, str] | DataFrame | None = None,
+    matches: list[str] | dict[str, str] | DataFrame | None = None, k: int = schemas.KSIZE, most: int = schemas.MAX_HASH, overwrite: bool = False,
 ) -> DataFrame:
     """Annotate contigs of accessions; what an accession came to is in ``status`` beside the result.
 
-    Each accession has its own way: where ``matches`` (k-mer CSVs of another
-    tool, named by accession) has one, that takes the place of hashing, and
-    contigs only give lengths; the others' contigs are hashed. An accession that
-    can't be fetched, found, unpacked or read has that as its status and no
-    result, and doesn't stop the others.
+    Accessions, contigs and matches (k-mer CSVs of another tool) are lists, or
+    tables of accessions or of (accession, address), of any length; paths
+    without an accession are named by it. Contigs of accessions that have none
+    are fetched from ``url`` with {acc} in it. Each accession has its own way:
+    where it has matches, these take the place of hashing, and contigs only give
+    lengths. Files are opened and read by the tasks. An accession that can't be
+    fetched, found, unpacked or read has that as its status and no result, and
+    doesn't stop the others. The number of Spark jobs doesn't depend on that of
+    the accessions.
     """
     guard(spark, out, overwrite)
-    name = lambda p: p.rsplit("/", 1)[-1].split(".")[0]
-    paths: dict[str, str] = {name(p): p for p in contigs or ()}
-    csvs: dict[str, str] = {name(p): p for p in matches or ()}
-    status: dict[str, str] = {}
-    notes: dict[str, str] = {}
-    for acc in dict.fromkeys(accessions):
-        if acc in paths:
-            continue
-        if not url:
-            if acc not in csvs:
-                status[acc] = "no contigs and no address to fetch them from"
-            continue
-        try:
-            paths[acc] = contig_sources.contig_path(acc, url, fetch)
-        except Exception as e:  # one accession's failure is its own
-            status[acc] = f"fetch failed: {e}"
-    good: dict[str, dict[str, str]] = {"contigs": {}, "matches": {}}
-    for kind, given in (("contigs", paths), ("matches", csvs)):
-        for acc, path in given.items():
-            try:
-                if not exists(spark, path):
-                    status[acc] = f"no file {path}"
-                    continue
-                if kind == "matches" and (bad := contig_sources.left_out(spark, path)):
-                    notes[acc] = f", {sum(bad.values())} rows left out"
-                good[kind][acc] = path
-            except Exception as e:
-                status[acc] = f"not readable: {str(e).splitlines()[0][:200]}"
+    table = lambda given: given if isinstance(given, DataFrame) else contig_sources.addresses(spark, given or [])
+    asked = accessions if isinstance(accessions, DataFrame) else spark.createDataFrame([(a,) for a in accessions], "accession string")
+    asked = asked.select("accession").distinct()
+    fasta, csvs = table(contigs), table(matches)
+    missing = asked.join(fasta, "accession", "left_anti")
+    if url:
+        fasta = fasta.unionByName(contig_sources.templated(missing, url))
+        missing = missing.limit(0)
+    missing = missing.join(csvs, "accession", "left_anti").select("accession", F.lit("no contigs and no address to fetch them from").alias("problem"))
+    everyone = asked.union(fasta.select("accession")).union(csvs.select("accession")).distinct()
     idx = Index(spark, index)
-    texts, by_match = None, [a for a in good["matches"] if a not in status]
-    if good["contigs"]:
-        # unpacked once, and what went wrong is known before anything is counted
-        contig_sources.read_fasta(spark, *good["contigs"].values(), problems=True).write.parquet(f"{out}/_contigs")
-        texts = spark.read.schema(schemas.CONTIGS + ", problem string").parquet(f"{out}/_contigs")
-        for acc, problem in texts.filter("problem IS NOT NULL").groupBy("accession").agg(F.min("problem")).collect():
-            status[acc] = f"not readable: {problem}"
-        by_match = [a for a in by_match if a not in status]
-        texts = texts.filter(~F.col("accession").isin(list(status)) & F.col("problem").isNull())
-    found = []
-    if by_match:
-        hashes = contig_sources.read_matches(spark, *(csvs[a] for a in by_match), most=most)
-        known = [a for a in by_match if a in good["contigs"]]
-        if known:
-            found.append(annotation.annotate(hashes.filter(F.col("accession").isin(known)), idx, texts.filter(F.col("accession").isin(known))))
-        found.append(annotation.annotate(hashes.filter(~F.col("accession").isin(known)), idx))
-    if texts is not None:
-        hashed = texts.filter(~F.col("accession").isin(by_match))
-        found.append(annotation.annotate(annotation.contig_hashes(hashed, k=k, most=most), idx, hashed))
-    made = union_all(found, spark.createDataFrame([], schemas.CONTIG_COUNTS))
-    sinks.write_partitioned(made, f"{out}/counts", "accession", overwrite=overwrite)
-    if texts is not None:
-        remove(spark, f"{out}/_contigs")
-    rows = [(a, status.get(a, "done" + notes.get(a, ""))) for a in dict.fromkeys([*accessions, *paths, *csvs])]
-    spark.createDataFrame(rows or [("", "")], "accession string, status string").coalesce(1).write.mode("overwrite").parquet(f"{out}/status")
-    return spark.read.schema(schemas.CONTIG_COUNTS).parquet(f"{out}/counts") if exists(spark, f"{out}/counts") else made
+    with replacing(spark, out, overwrite) as at:
+        # read once, so that what went wrong is known before anything is counted
+        contig_sources.read_contigs(fasta, opener=opener).join(csvs.select("accession").distinct().withColumn("matched", F.lit(True)), "accession", "left").withColumn(
+            "hashes", F.when(F.col("matched").isNull(), murmur_sketch(k, most)(F.when(F.col("matched").isNull(), F.col("sequence"))))
+        ).drop("sequence").write.parquet(f"{at}/_contigs")
+        contig_sources.read_match_rows(csvs, opener=opener).write.parquet(f"{at}/_matches")
+        texts, hits = (spark.read.parquet(f"{at}/{name}") for name in ("_contigs", "_matches"))
+        problems = texts.select("accession", "problem").union(hits.filter(F.col("problem") != contig_sources.LEFT_OUT).select("accession", "problem")).filter("problem IS NOT NULL").union(missing)
+        problems = problems.groupBy("accession").agg(F.min("problem").alias("problem"))
+        status = everyone.join(problems, "accession", "left").join(contig_sources.left_out(hits), "accession", "left")
+        noted = F.when(F.col("n_left_out") > 0, F.concat(F.lit("done, "), F.col("n_left_out"), F.lit(" rows left out"))).otherwise(F.lit("done"))
+        status.select("accession", F.coalesce("problem", noted).alias("status")).coalesce(1).write.parquet(f"{at}/status")
+        failed = problems.select("accession")
+        texts, hits = texts.join(failed, "accession", "left_anti"), contig_sources.usable(hits, most).join(failed, "accession", "left_anti")
+        with_contigs = texts.filter("matched").select("accession").distinct()
+        made = [
+            annotation.annotate_sketched(texts.filter("matched IS NULL"), idx),
+            annotation.annotate(hits.join(with_contigs, "accession", "left_semi"), idx, texts.filter("matched")),
+            annotation.annotate(hits.join(with_contigs, "accession", "left_anti"), idx),
+        ]
+        sinks.write_partitioned(union_all(made, made[0]), f"{at}/counts", "accession")
+        for name in ("_contigs", "_matches"):
+            remove(spark, f"{at}/{name}")
+    return spark.read.schema(schemas.CONTIG_COUNTS).parquet(f"{out}/counts")

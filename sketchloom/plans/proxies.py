@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.hashing import bit_sample, modulo
-from sketchloom.functions.kmers import md5_sketch
+from sketchloom.functions.kmers import md5_hashes, md5_sketch
 from sketchloom.operators import annotate, counts, histogram, index, selection, setops
 
 SIG_SQL = "SELECT CAST(l_orderkey AS VARCHAR) AS sample_id, l_partkey AS min_hash, l_linenumber AS ksize FROM lineitem"
@@ -19,6 +19,8 @@ TARGET_SQL = "SELECT p_partkey AS min_hash FROM part WHERE p_size <= 10"
 RIGHT_SQL = "SELECT p_partkey AS hash FROM part WHERE p_size <= 10 UNION SELECT s_suppkey AS hash FROM supplier"
 COUNT_SQL = f"SELECT min_hash, count(DISTINCT sample_id) AS sample_count FROM ({SIG_SQL}) GROUP BY min_hash"
 K = 31
+#: An odd factor that carries small keys over the bits of a hash.
+SPREAD = 1_000_000_007_000_003
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +87,14 @@ def left_minus_rights_distinct(spark, d):
     return setops.difference(left(spark, d), rights(spark, d), distinct_left=True)
 
 
+def spread(h: Column) -> Column:
+    """A hash over all 64 bits, negative ones included, of which samples by bits keep about what they should."""
+    return h * F.lit(SPREAD) - F.lit(1 << 62)
+
+
 def left_minus_rights_sampled(spark, d):
-    return setops.difference(left(spark, d), rights(spark, d), fraction=0.25, buckets=4)
+    wide = lambda df: df.select(spread(F.col("hash")).alias("hash"))
+    return setops.difference(wide(left(spark, d)), [wide(r) for r in rights(spark, d)], fraction=0.25, buckets=4)
 
 
 def union_distinct(spark, d):
@@ -107,8 +115,7 @@ def venn_counts(spark, d):
 
 
 def bit_sample_hashes(spark, d):
-    h = F.col("hash")
-    return left(spark, d).filter(bit_sample(h, 0.3, 2))
+    return left(spark, d).select(spread(F.col("hash")).alias("hash")).filter(bit_sample(F.col("hash"), 0.3, 2))
 
 
 def bucket_hash_counts(spark, d):
@@ -166,7 +173,16 @@ def histogram_counts(spark, d):
 def histogram_stats(spark, d):
     stats = histogram.bin_statistics(all_counts(spark, d), bins=20, max_value=40)
     kinds = {"total": "bigint", "in_range": "bigint", "overflow": "bigint", "median_bin": "int", "modal_bin": "int"}
-    return spark.createDataFrame([tuple(stats[k] for k in stats)], ", ".join(f"{k} {kinds.get(k, 'double')}" for k in stats)).select(*kinds)
+    shown = spark.createDataFrame([tuple(stats[k] for k in stats)], ", ".join(f"{k} {kinds.get(k, 'double')}" for k in stats))
+    # sums of products of doubles depend on their order
+    return shown.select(*[F.round(c, 9).alias(c) if kinds.get(c) is None else F.col(c) for c in shown.columns])
+
+
+def topn_sample_lists_repeated(spark, d):
+    """Lists of the top hashes from pairs that occur several times, without making them distinct first."""
+    sig = signatures(spark, d)
+    best = counts.top(bucket_hash_counts(spark, d), 20)
+    return _joined(counts.sample_lists_of(sig.unionByName(sig), best, distinct=False, n_keys=20))
 
 
 def bucket_sorted_table(spark, d):
@@ -187,10 +203,9 @@ def kmer_sketch(spark, d):
 
 
 def contig_annotation(spark, d):
-    docs = _table(spark, d, "documents").select(F.lit("all").alias("accession"), F.col("doc_id").cast("string").alias("contig"), "text", F.length("text").alias("contig_length"))
-    hashes = md5_sketch(docs, "contig", "text", K).select(F.lit("all").alias("accession"), "contig", "hash")
+    docs = _table(spark, d, "documents").select(F.lit("all").alias("accession"), F.col("doc_id").cast("string").alias("contig"), F.length("text").alias("contig_length"), md5_hashes(F.col("text"), K).alias("hashes"))
     known = md5_sketch(_table(spark, d, "benchmark"), "item_id", "text", K).select("hash")
-    return annotate.annotate(hashes, known, docs)
+    return annotate.annotate_sketched(docs, known)
 
 
 def dna(text: Column) -> Column:
@@ -208,7 +223,7 @@ def queries() -> dict:
     names = [
         flagship, scan_project_filter, hash_sample_counts, sample_hash_counts, distinct_pairs, pairs_hash_counts, pairs_sample_counts, left_minus_rights, left_minus_rights_distinct, left_minus_rights_sampled, union_distinct,
         anti_exclude_lists, venn_counts, bit_sample_hashes, bucket_hash_counts, topn_hashes, topn_sample_lists, quantile_cutpoints, hashes_in_percentile, hashes_in_cutoff, samples_in_range, hash_sample_lists_sharded,
-        sample_pairs_flat, count_rows, count_distinct_hashes, histogram_counts, histogram_stats, bucket_sorted_table, index_shard_stats, index_probe, kmer_sketch, contig_annotation, murmur_kmers,
+        sample_pairs_flat, count_rows, count_distinct_hashes, histogram_counts, histogram_stats, topn_sample_lists_repeated, bucket_sorted_table, index_shard_stats, index_probe, kmer_sketch, contig_annotation, murmur_kmers,
     ]
     return {f.__name__: f for f in names}
 
@@ -220,6 +235,10 @@ def _md5(table: str, key: str) -> str:
     )
 
 
+#: ``spread`` as SQL.
+WIDE = f"(CAST(%s AS BIGINT) * {SPREAD} - {1 << 62})"
+
+
 def oracle_sql() -> dict[str, str]:
     sig, lists = SIG_SQL, "count(*) AS sample_count, array_to_string(list_sort(list(sample_id)), ',') AS sample_ids"
     diff = f"SELECT l_partkey AS hash, CAST(l_partkey & 255 AS INTEGER) AS bucket FROM lineitem LEFT JOIN (SELECT hash AS known FROM ({RIGHT_SQL})) ON l_partkey = known WHERE known IS NULL AND l_partkey IS NOT NULL"
@@ -241,11 +260,11 @@ def oracle_sql() -> dict[str, str]:
         "pairs_sample_counts": f"SELECT sample_id, count(*) AS matched_hash_count FROM (SELECT DISTINCT sample_id, min_hash FROM ({sig}) JOIN ({TARGET_SQL}) USING (min_hash)) GROUP BY sample_id",
         "left_minus_rights": diff,
         "left_minus_rights_distinct": f"SELECT DISTINCT hash, bucket FROM ({diff})",
-        "left_minus_rights_sampled": f"SELECT hash, CAST(hash & 3 AS INTEGER) AS bucket FROM ({diff}) WHERE ((hash >> 2) & 1048575) < {quarter}",
+        "left_minus_rights_sampled": f"SELECT hash, CAST(hash & 3 AS INTEGER) AS bucket FROM (SELECT {WIDE % 'hash'} AS hash FROM ({diff})) WHERE ((hash >> 2) & 1048575) < {quarter}",
         "union_distinct": RIGHT_SQL,
         "anti_exclude_lists": f"SELECT min_hash, {lists} FROM (SELECT DISTINCT min_hash, sample_id FROM ({sig}) WHERE ksize = 1) ANTI JOIN ({t}) r ON min_hash = r.hash GROUP BY min_hash",
         "venn_counts": f"SELECT only_t AS target_only, both_ AS intersection, only_o AS others_only, nt AS target_total, no_ AS others_total, nt = only_t + both_ AS sanity_target, no_ = only_o + both_ AS sanity_others FROM (SELECT (SELECT count(*) FROM ({t}) a ANTI JOIN ({o}) b ON a.hash = b.hash) AS only_t, (SELECT count(*) FROM ({t}) a JOIN ({o}) b ON a.hash = b.hash) AS both_, (SELECT count(*) FROM ({o}) a ANTI JOIN ({t}) b ON a.hash = b.hash) AS only_o, (SELECT count(*) FROM ({t})) AS nt, (SELECT count(*) FROM ({o})) AS no_)",
-        "bit_sample_hashes": f"SELECT l_partkey AS hash FROM lineitem WHERE ((l_partkey >> 2) & 1048575) < {threshold}",
+        "bit_sample_hashes": f"SELECT hash FROM (SELECT {WIDE % 'l_partkey'} AS hash FROM lineitem) WHERE ((hash >> 2) & 1048575) < {threshold}",
         "bucket_hash_counts": f"SELECT min_hash, count(DISTINCT sample_id) AS n_samples, CAST(min_hash % 512 AS INTEGER) AS bucket FROM ({sig}) GROUP BY min_hash",
         "topn_hashes": f"{top} LIMIT 100",
         "topn_sample_lists": f"SELECT min_hash, any_value(n_samples) AS n_samples, array_to_string(list_sort(list(DISTINCT sample_id)), ',') AS sample_ids, count(DISTINCT sample_id) AS n_samples_exact FROM ({top} LIMIT 20) JOIN ({sig}) USING (min_hash) GROUP BY min_hash",
@@ -258,7 +277,8 @@ def oracle_sql() -> dict[str, str]:
         "count_rows": f"SELECT count(*) AS n_rows FROM ({diff})",
         "count_distinct_hashes": f"SELECT count(DISTINCT hash) AS n_distinct FROM ({diff})",
         "histogram_counts": bars,
-        "histogram_stats": f"WITH bars AS ({bars}), acc AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS so_far FROM bars WHERE bin >= 0) SELECT CAST((SELECT sum(n) FROM bars) AS BIGINT) AS total, CAST((SELECT sum(n) FROM acc) AS BIGINT) AS in_range, CAST((SELECT n FROM bars WHERE bin = -1) AS BIGINT) AS overflow, CAST(least(19, (SELECT count(*) FROM acc WHERE so_far < (SELECT sum(n) FROM bars) / 2.0)) AS INTEGER) AS median_bin, (SELECT bin FROM acc ORDER BY n DESC, bin LIMIT 1) AS modal_bin",
+        "histogram_stats": f"WITH bars AS ({bars}), e AS ({edges}), acc AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS so_far, lo + (bin + 0.5) * (hi - lo) / 20.0 AS middle FROM bars, e WHERE bin >= 0), t AS (SELECT CAST((SELECT sum(n) FROM bars) AS BIGINT) AS total, CAST((SELECT sum(n) FROM acc) AS BIGINT) AS in_range, CAST((SELECT n FROM bars WHERE bin = -1) AS BIGINT) AS overflow, CAST(least(19, (SELECT count(*) FROM acc WHERE so_far < (SELECT sum(n) FROM bars) / 2.0)) AS INTEGER) AS median_bin, (SELECT bin FROM acc ORDER BY n DESC, bin LIMIT 1) AS modal_bin, CAST((SELECT sum(n * middle) FROM acc) AS DOUBLE) AS weighted) SELECT total, in_range, overflow, round(CAST(in_range AS DOUBLE) / total, 9) AS in_range_share, round(CAST(overflow AS DOUBLE) / total, 9) AS overflow_share, (SELECT CAST(lo AS DOUBLE) FROM e) AS min_edge, (SELECT CAST(hi AS DOUBLE) FROM e) AS max_edge, round(weighted / in_range, 9) AS approx_mean, round(weighted / total, 9) AS approx_mean_ref, median_bin, modal_bin FROM t",
+        "topn_sample_lists_repeated": f"SELECT min_hash, any_value(n_samples) AS n_samples, array_to_string(list_sort(list(DISTINCT sample_id)), ',') AS sample_ids, count(DISTINCT sample_id) AS n_samples_exact FROM ({top} LIMIT 20) JOIN ({sig}) USING (min_hash) GROUP BY min_hash",
         "bucket_sorted_table": "SELECT DISTINCT l_partkey AS hash, CAST(l_partkey % 16 AS INTEGER) AS bucket FROM lineitem",
         "index_shard_stats": "WITH s AS (SELECT l_partkey & 15 AS shard, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total_rows, sum(n) / 16.0 AS mean_rows, min(n) AS min_rows, max(n) AS max_rows, (SELECT string_agg(shard || ':' || n, ',' ORDER BY n DESC, shard) FROM (SELECT * FROM s ORDER BY n DESC, shard LIMIT 5)) AS heaviest FROM s",
         "index_probe": f"SELECT DISTINCT l_partkey AS min_hash, l_partkey IN ({TARGET_SQL}) AS hit FROM lineitem",

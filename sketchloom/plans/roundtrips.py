@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sketchloom.functions.hashing import high_bits
-from sketchloom.functions.kmers import sketch_bytes
 from sketchloom.operators import annotate, counts, selection, setops
-from sketchloom.operators.index import TOP_BITS, Index, build_index, shard_statistics
+from sketchloom.operators.index import BUCKETS, SHARDS, TOP_BITS, Index, build_index, shard_statistics
 from sketchloom.plans import jobs, proxies
-from sketchloom.schemas import MAX_HASH
-from sketchloom.sources import contigs, sinks
-from sketchloom.sources.datasets import read_hive_hashes, read_plain, read_signatures
+from sketchloom.schemas import CONTIG_COUNTS, MAX_HASH
+from sketchloom.sources import contigs, sinks, streams
+from sketchloom.sources.datasets import footer_statistics, read_hive_hashes, read_plain, read_signatures, row_groups
 from sketchloom.sources.files import shared_dir, write_bytes, write_json
 from sketchloom.sources.manifest import load_manifest, register
 from sketchloom.streaming.increments import current_counts, follow_signatures
@@ -208,17 +208,85 @@ def index_built_probe(spark, d):
     return Index(spark, path).probe(proxies.left(spark, d).distinct().select(F.col("hash").alias("min_hash")))
 
 
-def _spread(h):
-    """A hash over all 64 bits, negative ones included."""
-    return h * F.lit(1_000_000_007_000_003) - F.lit(1 << 62)
+def index_bucketed_probe(spark, d):
+    """An index in buckets, which stays where it is, asked for all hashes and some that are null."""
+    path = _folder(spark)
+    build_index(proxies.target(spark, d).union(proxies.target(spark, d)), path, bits=3, layout=BUCKETS)
+    asked = proxies.left(spark, d).distinct().select(F.col("hash").alias("min_hash")).union(spark.createDataFrame([(None,), (None,)], "min_hash bigint"))
+    return Index(spark, path).probe(asked)
+
+
+def index_lookup(spark, d):
+    """A few hashes, those of the nations' keys, looked up by the scan's filters in both layouts."""
+    asked = [r[0] for r in proxies._table(spark, d, "nation").select("n_nationkey").collect()]  # a fixed number of rows at every size
+    found = []
+    for layout in (SHARDS, BUCKETS):
+        path = _folder(spark)
+        build_index(proxies.target(spark, d), path, bits=3, layout=layout, row_group_rows=50)
+        found.append(Index(spark, path).lookup(asked).select(F.lit(layout).alias("layout"), "min_hash", "hit"))
+    return found[0].union(found[1])
+
+
+def difference_reused(spark, d):
+    """A second difference with the negative set that the first one has kept."""
+    at = _folder(spark)
+    manifest = _manifest(spark, d)
+    jobs.left_minus_rights(spark, manifest, f"{at}/first", negatives=f"{at}/negatives", buckets=16)
+    return spark.read.parquet(jobs.left_minus_rights(spark, manifest, f"{at}/second", negatives=f"{at}/negatives", skip_build=True, distinct_left=True, buckets=16)).select("hash", "bucket")
+
+
+def catalog_difference(spark, d):
+    """A difference between a view, and tables of databases of the catalog by their names."""
+    mark = uuid.uuid4().hex
+    proxies.signatures(spark, d).createOrReplaceTempView(f"signatures_{mark}")
+    spark.sql(f"CREATE DATABASE known_{mark}")
+    proxies.target(spark, d).write.saveAsTable(f"known_{mark}.parts")
+    proxies.rights(spark, d)[1].write.saveAsTable(f"known_{mark}.suppliers")
+    entries = [("query", "catalog", f"signatures_{mark}", "min_hash", "left"), ("parts", "catalog", f"spark_catalog.known_{mark}.parts", "min_hash", "right"), ("suppliers", f"catalog:known_{mark}", "suppliers", "hash", "right")]
+    manifest = {"databases": [dict(zip(("alias", "path", "table", "column", "set_id"), e)) for e in entries]}
+    return spark.read.parquet(jobs.left_minus_rights(spark, manifest, _folder(spark), buckets=256)).select("hash", "bucket")
+
+
+def footer_counts(spark, d):
+    """Rows and ends of a dataset by its footers alone."""
+    return footer_statistics(spark, sinks.write_partitioned(proxies.left_minus_rights(spark, d), _folder(spark), "bucket", values=256), "hash")
+
+
+def row_group_sizes(spark, d):
+    """Rows of each row group of shards with 100 rows a row group."""
+    path = sinks.write_shards(proxies.distinct_pairs(spark, d).select("min_hash", "sample_id"), _folder(spark), 16, "min_hash", row_group_rows=100)
+    return row_groups(spark, path).select(F.regexp_extract("file", r"shard=(\d+)", 1).cast("int").alias("shard"), "row_group", "n_rows")
+
+
+def split_buckets(spark, d):
+    """A difference in four files a bucket, with the number of files of each."""
+    path = sinks.write_partitioned(proxies.left_minus_rights(spark, d).withColumn("bucket", F.col("hash").bitwiseAND(F.lit(3)).cast("int")), _folder(spark), "bucket", values=4, files=4, spread=F.xxhash64("hash"))
+    rows = spark.read.parquet(path)
+    return rows.groupBy("bucket").agg(F.count("*").alias("n_rows"), (F.countDistinct("_metadata.file_path") > 1).alias("several"))
+
+
+def replaced_output(spark, d):
+    """What stands at an output's place after a job that replaces it has failed, and after one that hasn't."""
+    at = _folder(spark)
+    rows = proxies.target(spark, d)
+    sinks.write_plain(rows, at)
+    broken = rows.withColumn("min_hash", F.when(F.col("min_hash") > 0, F.raise_error(F.lit("broken on purpose")).cast("bigint")))
+    try:
+        sinks.write_plain(broken, at, overwrite=True)
+    except PySparkException:
+        kept = spark.read.parquet(at).agg(F.count("*").alias("n"), F.sum("min_hash").alias("total")).select(F.lit("failed").alias("after"), "n", "total").collect()  # one row
+    # an output can be made from the one that it replaces
+    sinks.write_plain(spark.read.parquet(at).select(F.col("min_hash") + 1), at, overwrite=True)
+    new = spark.read.parquet(at).toDF("min_hash").agg(F.count("*").alias("n"), F.sum("min_hash").alias("total")).select(F.lit("replaced").alias("after"), "n", "total")
+    return spark.createDataFrame(kept, new.schema).union(new)
 
 
 def index_top_bits_probe(spark, d):
     """As old indexes have it: shards by the top bits, and no strategy in the metadata."""
     path = _folder(spark)
-    meta = build_index(proxies.target(spark, d).select(_spread(F.col("min_hash")).alias("min_hash")), path, bits=6, strategy=TOP_BITS)
+    meta = build_index(proxies.target(spark, d).select(proxies.spread(F.col("min_hash")).alias("min_hash")), path, bits=6, strategy=TOP_BITS)
     write_json(spark, f"{path}/meta.json", {k: v for k, v in meta.items() if k != "shard_strategy"})
-    return Index(spark, path).probe(proxies.left(spark, d).distinct().select("hash", _spread(F.col("hash")).alias("asked")), "asked").select("hash", "hit")
+    return Index(spark, path).probe(proxies.left(spark, d).distinct().select("hash", proxies.spread(F.col("hash")).alias("asked")), "asked").select("hash", "hit")
 
 
 def index_file_stats(spark, d):
@@ -230,64 +298,121 @@ def index_file_stats(spark, d):
 
 def top_bit_shards(spark, d):
     """Rows by the top bits of the unsigned hash."""
-    return proxies.left(spark, d).groupBy(high_bits(_spread(F.col("hash")), 8).alias("shard")).agg(F.count("*").alias("n"))
+    return proxies.left(spark, d).groupBy(high_bits(proxies.spread(F.col("hash")), 8).alias("shard")).agg(F.count("*").alias("n"))
+
+
+def _items(spark, d) -> DataFrame:
+    """The benchmark's items as sequences."""
+    return proxies._table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("contig"), proxies.dna(F.coalesce("text", F.lit(""))).alias("sequence"))
+
 
+def _fasta(rows: DataFrame, width: int) -> DataFrame:
+    """Records with lines of a width."""
+    body = F.regexp_replace("sequence", f"(.{{{width}}})", "$1\n")
+    return rows.select(F.concat(F.lit(">"), "contig", F.lit(" item\n"), body).alias("value"))
 
-def _items(spark, d) -> list:
-    """The benchmark's items as sequences; a small table, as files of contigs are made by other tools."""
-    return proxies._table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("contig"), proxies.dna(F.coalesce("text", F.lit(""))).alias("sequence")).orderBy("contig").collect()
 
+def _packed(path: str):
+    """Each partition's text as a zstd file of a shared folder."""
 
-def _fasta(rows, width: int) -> bytes:
-    return "".join(f">{r['contig']} item\n" + "".join(f"{r['sequence'][i : i + width]}\n" for i in range(0, len(r["sequence"]), width)) for r in rows).encode()
+    def run(batches):
+        import os
 
+        import pyarrow as pa
+        import zstandard
+        from pyspark import TaskContext
 
-def _contig_files(spark, d) -> list[str]:
-    import gzip
+        folder = streams.local(path)
+        os.makedirs(folder, exist_ok=True)
+        text = "\n".join(t for b in batches for t in b.column(0).to_pylist())
+        if text:
+            with open(f"{folder}/{TaskContext.get().partitionId()}.contigs.fa.zst", "wb") as f:
+                f.write(zstandard.compress(text.lower().encode()))
+        yield pa.RecordBatch.from_arrays([pa.array([len(text)])], ["n"])
 
-    import zstandard
+    return run
 
-    at, rows = _folder(spark), _items(spark, d)
-    write_bytes(spark, f"{at}/plain.fa", _fasta(rows, 70))
-    write_bytes(spark, f"{at}/packed.contigs.fa.zst", zstandard.compress(_fasta(rows, 60).lower()))
-    write_bytes(spark, f"{at}/zipped.fasta.gz", gzip.compress(_fasta(rows, 80)))
-    return [f"{at}/plain.fa", f"{at}/packed.contigs.fa.zst", f"{at}/zipped.fasta.gz"]
+
+def _contig_folders(spark, d) -> dict[str, str]:
+    """Folders of FASTA by accession, in some files each: plain, in gzip and in zstd."""
+    at, rows = _folder(spark), _items(spark, d).repartition(4, "contig")
+    _fasta(rows, 70).write.text(f"{at}/plain")
+    _fasta(rows, 80).write.option("compression", "gzip").text(f"{at}/zipped")
+    _fasta(rows, 60).mapInArrow(_packed(f"{at}/packed"), "n bigint").agg(F.sum("n")).collect()
+    return {"plain": f"{at}/plain", "zipped": f"{at}/zipped", "packed": f"{at}/packed"}
 
 
 def fasta_contigs(spark, d):
     """Contigs of plain and compressed files."""
-    return contigs.read_fasta(spark, *_contig_files(spark, d))
+    return contigs.checked(contigs.read_contigs(contigs.addresses(spark, _contig_folders(spark, d))))
 
 
-def _match_files(spark, d) -> list[str]:
-    """K-mer matches of another tool, some rows without a number, a name, or within the gate."""
+def _match_folders(spark, d) -> dict[str, str]:
+    """K-mer matches of another tool in many files, two kinds of header, some rows without a number, a name, or within the gate."""
     at = _folder(spark)
     rows = proxies.signatures(spark, d).select(F.concat(F.lit("c"), F.pmod("min_hash", F.lit(7))).alias("name"), F.when(F.col("ksize") == 7, F.lit("none")).when(F.col("ksize") == 6, F.lit("-5")).otherwise(F.col("min_hash").cast("string")).alias("hashval"))
-    rows.coalesce(1).write.option("header", "true").csv(f"{at}/first")
-    rows.select(F.col("hashval").alias("HASH"), F.col("name").alias("sequence")).filter("name <> 'c0'").coalesce(1).write.option("header", "true").csv(f"{at}/second")
-    return [f"{at}/first", f"{at}/second"]
+    rows.repartition(5).write.option("header", "true").csv(f"{at}/first")
+    rows.select(F.col("hashval").alias("HASH"), F.lit("x,y").alias("note"), F.col("name").alias("sequence")).filter("name <> 'c0'").repartition(3).write.option("header", "true").csv(f"{at}/second")
+    return {"first": f"{at}/first", "second": f"{at}/second"}
 
 
 def kmer_matches(spark, d):
-    """Matches by contig of two files with headers of their own."""
-    return contigs.read_matches(spark, *_match_files(spark, d)).select("contig", "hash")
+    """Matches by accession and contig of two folders whose files have headers of their own."""
+    return contigs.usable(contigs.read_match_rows(contigs.addresses(spark, _match_folders(spark, d))))
+
+
+def matches_left_out(spark, d):
+    """Rows of the match files that have no number, by accession."""
+    return contigs.left_out(contigs.read_match_rows(contigs.addresses(spark, _match_folders(spark, d))))
 
 
 def annotation_of_matches(spark, d):
     """Contigs annotated from matches against a written index."""
     at = _folder(spark)
-    build_index(proxies.target(spark, d), at, bits=4)
-    found = annotate.annotate(contigs.read_matches(spark, *_match_files(spark, d)).withColumn("accession", F.lit("all")), Index(spark, at))
-    return found
+    build_index(proxies.target(spark, d), at, bits=4, layout=BUCKETS)
+    found = contigs.usable(contigs.read_match_rows(contigs.addresses(spark, _match_folders(spark, d))))
+    return annotate.annotate(found.withColumn("accession", F.lit("all")), Index(spark, at))
+
+
+def _item_index(spark, d, at: str) -> str:
+    """An index of every third hash of the items."""
+    hashes = annotate.contig_hashes(_items(spark, d).withColumn("accession", F.lit("")), k=K, most=1 << 62).select("hash").distinct()
+    third = hashes.withColumn("r", F.row_number().over(Window.orderBy("hash"))).filter("r % 3 = 1")  # of the benchmark alone, which is small
+    third.select(F.col("hash").alias("min_hash")).write.parquet(f"{at}/hashes")
+    jobs.build_index_job(spark, f"{at}/hashes", f"{at}/index", bits=3)
+    return f"{at}/index"
 
 
 def annotation_job(spark, d):
-    """Three accessions' files annotated by the whole job: the index holds every third hash of the first file's."""
-    at, files = _folder(spark), _contig_files(spark, d)
-    hashes = sorted({int(h) for r in _items(spark, d) for h in sketch_bytes(r["sequence"], K, 1 << 62).tolist()})[::3]
-    spark.createDataFrame([(h,) for h in hashes], "min_hash bigint").write.parquet(f"{at}/hashes")
-    jobs.build_index_job(spark, f"{at}/hashes", f"{at}/index", bits=3, distinct=True)
-    return jobs.annotate(spark, f"{at}/index", f"{at}/out", [], contigs=files, most=1 << 62)
+    """Three accessions' folders annotated by the whole job: the index holds every third hash."""
+    at = _folder(spark)
+    return jobs.annotate(spark, _item_index(spark, d, at), f"{at}/out", contigs=_contig_folders(spark, d), most=1 << 62)
+
+
+def _accessions(spark, d) -> str:
+    """The whole job over accessions whose files share a name, whose names have dots, that are given by matches, broken, or missing; a table of accessions with a template of addresses."""
+    at, rows = _folder(spark), _items(spark, d).repartition(1)
+    few = rows.filter("pmod(cast(contig AS bigint), 2) = 0")
+    for name, part in (("A1", rows), ("B2", few), ("S1.v2", few)):
+        _fasta(part, 70).write.text(f"{at}/in/{name}/contigs.fa")
+    write_bytes(spark, f"{at}/in/broken/contigs.fa.gz", b"\x1f\x8b\x08 and no more")
+    write_bytes(spark, f"{at}/in/odd.csv", b"a,b\n1,2\n")
+    asked = spark.createDataFrame([("A1",), ("B2",), ("S1.v2",), ("gone",), ("A1",)], "accession string")
+    matches = {**_match_folders(spark, d), "odd": f"{at}/in/odd.csv"}
+    jobs.annotate(spark, _item_index(spark, d, at), f"{at}/out", asked, url=f"{at}/in/{{acc}}/contigs.fa", contigs={"broken": f"{at}/in/broken/contigs.fa.gz"}, matches=matches, most=1 << 62)
+    return f"{at}/out"
+
+
+def annotation_accessions(spark, d):
+    """Figures by accession: contigs, their lengths and hashes."""
+    rows = spark.read.schema(CONTIG_COUNTS).parquet(f"{_accessions(spark, d)}/counts")
+    return rows.groupBy("accession").agg(F.count("*").alias("n_contigs"), F.sum("contig_length").alias("length"), F.sum("candidate_hashes").alias("candidates"), F.sum("novel_hashes").alias("novel"))
+
+
+def annotation_status(spark, d):
+    """What each accession came to, up to the first colon or the address."""
+    rows = spark.read.parquet(f"{_accessions(spark, d)}/status")
+    return rows.select("accession", F.regexp_replace("status", "^(no file|not readable).*", "$1").alias("status"))
 
 
 def murmur_items(spark, d):
@@ -316,7 +441,8 @@ def flat_lists(spark, d):
 def queries() -> dict:
     found = [
         hive_dataset, sorted_single_file, sorted_parts, shard_files, sample_shards, pair_parts, manifest_difference, manifest_views, venn_csv, limited_scan, bernoulli_sample, topn_json, topn_ids_json, top_in_ranges, percentile_job, sample_list, remove_set_job,
-        histogram_csv, sorted_table, preview, set_comparisons, index_built_probe, index_top_bits_probe, index_file_stats, top_bit_shards, fasta_contigs, kmer_matches, annotation_of_matches, annotation_job, murmur_items, streamed_counts, flat_lists,
+        histogram_csv, sorted_table, preview, set_comparisons, index_built_probe, index_top_bits_probe, index_file_stats, top_bit_shards, fasta_contigs, kmer_matches, matches_left_out, annotation_of_matches, annotation_job, annotation_accessions, annotation_status, murmur_items,
+        index_bucketed_probe, index_lookup, difference_reused, catalog_difference, footer_counts, row_group_sizes, split_buckets, replaced_output, streamed_counts, flat_lists,
     ]
     return {f.__name__: f for f in found}
 
@@ -358,10 +484,13 @@ def oracle_sql() -> dict[str, str]:
     sampled = f"SELECT min_hash, count(DISTINCT sample_id) AS n_samples FROM ({sig}) %s GROUP BY min_hash ORDER BY n_samples DESC, min_hash LIMIT "
     counted = base["hash_sample_counts"]
     low, high = (f"(SELECT quantile_cont(sample_count, {p}) FROM ({counted}))" for p in (0.5, 0.9))
-    spread = "(CAST(%s AS BIGINT) * 1000000007000003 - 4611686018427387904)"
+    spread = proxies.WIDE
     items = f"SELECT CAST(item_id AS VARCHAR) AS contig, {_DNA} AS sequence FROM benchmark"
-    matches = "SELECT 'c' || (min_hash % 7) AS contig, min_hash AS hash FROM (" + sig + ") WHERE ksize NOT IN (6, 7)"
-    both = f"SELECT contig, hash FROM ({matches}) UNION ALL SELECT contig, hash FROM ({matches}) WHERE contig <> 'c0'"
+    all_matches = "SELECT 'c' || (min_hash % 7) AS contig, min_hash AS hash, ksize FROM (" + sig + ")"
+    matches = f"SELECT contig, hash FROM ({all_matches}) WHERE ksize NOT IN (6, 7)"
+    both = f"SELECT 'first' AS accession, contig, hash FROM ({matches}) UNION ALL SELECT 'second', contig, hash FROM ({matches}) WHERE contig <> 'c0'"
+    third = "SELECT hash FROM (SELECT hash, row_number() OVER (ORDER BY hash) AS r FROM (SELECT DISTINCT hash FROM m)) WHERE r % 3 = 1"
+    pairs = base["distinct_pairs"]
     of = lambda rows: f"SELECT contig, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT contig, substr(sequence, i, {K}) AS kmer FROM (SELECT contig, sequence, unnest(range(1, length(sequence) - {K - 2})) AS i FROM ({rows}) WHERE length(sequence) >= {K}))"
     kmers = of(items)
     murmur = f"SELECT contig, CAST(h AS BIGINT) AS hash FROM ({_murmur_sql(kmers)}) WHERE h < {1 << 62}::UHUGEINT"
@@ -393,8 +522,19 @@ def oracle_sql() -> dict[str, str]:
         "top_bit_shards": f"SELECT CAST(floor(h / 72057594037927936.0) + CASE WHEN h < 0 THEN 256 ELSE 0 END AS INTEGER) AS shard, count(*) AS n FROM (SELECT {spread % 'l_partkey'} AS h FROM lineitem) GROUP BY 1",
         "fasta_contigs": f"SELECT accession, contig, sequence, CAST(length(sequence) AS INTEGER) AS contig_length FROM ({items}), (VALUES ('plain'), ('packed'), ('zipped')) AS v(accession)",
         "kmer_matches": both,
+        "matches_left_out": f"SELECT 'first' AS accession, count(*) AS n_left_out FROM ({all_matches}) WHERE ksize = 7 UNION ALL SELECT 'second', count(*) FROM ({all_matches}) WHERE ksize = 7 AND contig <> 'c0'",
+        "index_bucketed_probe": f"SELECT min_hash, hit FROM ({base['index_probe']}) UNION ALL SELECT NULL, false FROM range(2)",
+        "index_lookup": f"SELECT layout, CAST(n_nationkey AS BIGINT) AS min_hash, n_nationkey IN (SELECT min_hash FROM ({target})) AS hit FROM nation, (VALUES ('shards'), ('buckets')) AS v(layout)",
+        "difference_reused": f"SELECT DISTINCT hash, CAST(hash & 15 AS INTEGER) AS bucket FROM ({diff})",
+        "catalog_difference": diff,
+        "footer_counts": f"SELECT count(*) AS n_rows, min(hash) AS hash_min, max(hash) AS hash_max FROM ({diff})",
+        "row_group_sizes": f"WITH s AS (SELECT CAST(min_hash % 16 AS INTEGER) AS shard, count(*) AS n FROM ({pairs}) GROUP BY 1) SELECT shard, CAST(g AS INTEGER) AS row_group, least(100, n - 100 * g) AS n_rows FROM (SELECT shard, n, unnest(range(0, (n + 99) // 100)) AS g FROM s)",
+        "split_buckets": f"SELECT CAST(hash & 3 AS INTEGER) AS bucket, count(*) AS n_rows, true AS several FROM ({diff}) GROUP BY 1",
+        "replaced_output": f"SELECT 'failed' AS after, count(*) AS n, CAST(sum(min_hash) AS BIGINT) AS total FROM ({target}) UNION ALL SELECT 'replaced', count(*), CAST(sum(min_hash + 1) AS BIGINT) FROM ({target})",
+        "annotation_accessions": f"WITH m AS ({murmur}), x AS ({third}), c AS (SELECT contig, count(*) AS cand, count(*) FILTER (WHERE hash IN (SELECT hash FROM x)) AS hits FROM m GROUP BY contig), i AS (SELECT contig, length(sequence) AS n, coalesce(cand, 0) AS cand, coalesce(hits, 0) AS hits FROM ({items}) LEFT JOIN c USING (contig)) SELECT accession, count(*) AS n_contigs, CAST(sum(n) AS BIGINT) AS length, CAST(sum(cand) AS BIGINT) AS candidates, CAST(sum(hits) AS BIGINT) AS novel FROM i, (VALUES ('A1', 1), ('B2', 2), ('S1.v2', 2)) AS v(accession, step) WHERE CAST(contig AS BIGINT) % step = 0 GROUP BY accession UNION ALL SELECT accession, count(DISTINCT contig), CAST(-count(DISTINCT contig) AS BIGINT), count(*), count(*) FILTER (WHERE hash IN (SELECT hash FROM x)) FROM ({both}) GROUP BY accession",
+        "annotation_status": f"SELECT * FROM (VALUES ('A1', 'done'), ('B2', 'done'), ('S1.v2', 'done'), ('gone', 'no file'), ('broken', 'not readable'), ('odd', 'not readable')) AS v(accession, status) UNION ALL SELECT 'first', 'done, ' || count(*) || ' rows left out' FROM ({all_matches}) WHERE ksize = 7 UNION ALL SELECT 'second', 'done, ' || count(*) || ' rows left out' FROM ({all_matches}) WHERE ksize = 7 AND contig <> 'c0'",
         "annotation_of_matches": f"SELECT 'all' AS accession, contig, CAST(-1 AS INTEGER) AS contig_length, count(*) AS candidate_hashes, count(*) FILTER (WHERE hash IN (SELECT min_hash FROM ({target}))) AS novel_hashes, count(*) FILTER (WHERE hash IN (SELECT min_hash FROM ({target}))) / count(*) AS frac_novel FROM ({both}) GROUP BY contig",
-        "annotation_job": f"WITH m AS ({murmur}), x AS (SELECT hash FROM (SELECT hash, row_number() OVER (ORDER BY hash) AS r FROM (SELECT DISTINCT hash FROM m)) WHERE r % 3 = 1), c AS (SELECT contig, count(*) AS cand, count(*) FILTER (WHERE hash IN (SELECT hash FROM x)) AS hits FROM m GROUP BY contig) SELECT accession, contig, CAST(length(sequence) AS INTEGER) AS contig_length, coalesce(cand, 0) AS candidate_hashes, coalesce(hits, 0) AS novel_hashes, CASE WHEN coalesce(cand, 0) > 0 THEN hits / cand ELSE 0.0 END AS frac_novel FROM ({items}) LEFT JOIN c USING (contig), (VALUES ('plain'), ('packed'), ('zipped')) AS v(accession)",
+        "annotation_job": f"WITH m AS ({murmur}), x AS ({third}), c AS (SELECT contig, count(*) AS cand, count(*) FILTER (WHERE hash IN (SELECT hash FROM x)) AS hits FROM m GROUP BY contig) SELECT accession, contig, CAST(length(sequence) AS INTEGER) AS contig_length, coalesce(cand, 0) AS candidate_hashes, coalesce(hits, 0) AS novel_hashes, CASE WHEN coalesce(cand, 0) > 0 THEN hits / cand ELSE 0.0 END AS frac_novel FROM ({items}) LEFT JOIN c USING (contig), (VALUES ('plain'), ('packed'), ('zipped')) AS v(accession)",
         "murmur_items": murmur,
         "murmur_kmers": f"SELECT 'all' AS accession, contig, CAST(h AS BIGINT) AS hash FROM ({_murmur_sql(of(f'SELECT CAST(doc_id AS VARCHAR) AS contig, {_DNA} AS sequence FROM documents'))}) WHERE h < {MAX_HASH}::UHUGEINT",
         "streamed_counts": f"SELECT min_hash, count(DISTINCT sample_id) AS sample_count FROM ({sig}) WHERE ksize = 2 GROUP BY min_hash",

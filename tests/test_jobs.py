@@ -158,12 +158,51 @@ def test_fasta_and_annotation(spark, at, tmp_path):
 
     h = sketch_bytes("ACGT" * 9 + "AAACCC", 31, most)
     spark.createDataFrame([(int(x),) for x in set(h.tolist())][:3], "min_hash bigint").write.parquet(f"{at}/novel")
-    jobs.build_index_job(spark, f"{at}/novel", f"{at}/index", bits=2)
-    made = jobs.annotate(spark, f"{at}/index", f"{at}/ann", ["acc1", "acc2", "gone"], contigs=[f"{at}/acc1.fa"], url=f"{at}/{{acc}}.contigs.fa.zst", most=most)
-    counted = {(r["accession"], r["contig"]): (r["contig_length"], r["candidate_hashes"]) for r in made.collect()}
-    assert counted["acc1", "c1"] == counted["acc2", "c1"] == (42, len(h)) and counted["acc1", "c2"] == (3, 0)
-    status = {r["accession"]: r["status"] for r in spark.read.parquet(f"{at}/ann/status").collect()}
-    assert status["acc1"] == status["acc2"] == "done" and status["gone"].startswith("no file")
+    known = {r[0] for r in spark.read.parquet(f"{at}/novel").collect()}
+    for layout in ("buckets", "shards"):
+        jobs.build_index_job(spark, f"{at}/novel", f"{at}/index", bits=2, layout=layout, overwrite=True)
+        made = jobs.annotate(spark, f"{at}/index", f"{at}/ann", ["acc1", "acc2", "gone"], contigs=[f"{at}/acc1.fa"], url=f"{at}/{{acc}}.contigs.fa.zst", most=most, overwrite=True)
+        counted = {(r["accession"], r["contig"]): (r["contig_length"], r["candidate_hashes"], r["novel_hashes"]) for r in made.collect()}
+        assert counted["acc1", "c1"] == counted["acc2", "c1"] == (42, len(h), sum(int(x) in known for x in h.tolist())) and counted["acc1", "c2"] == (3, 0, 0)
+        status = {r["accession"]: r["status"] for r in spark.read.parquet(f"{at}/ann/status").collect()}
+        assert status["acc1"] == status["acc2"] == "done" and status["gone"].startswith("no file")
+
+
+def test_accessions_stay_apart(spark, at, tmp_path):
+    for name, text in (("A1", ">c1\nACGT\n"), ("B2", ">c1\nAC\n>c2\nA\n"), ("S1.v2", ">c1\nACGTA\n")):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "contigs.fa").write_text(text)
+    (tmp_path / "S1.v3.contigs.fa").write_text(">c9\nA\n")
+    (tmp_path / "S1.v4.contigs.fa.gz").write_bytes(b"junk")
+    spark.createDataFrame([("c7", 5), ("c7", 6)], "name string, hashval bigint").repartition(2).write.option("header", True).csv(f"{at}/M1.kmer-matches.csv")
+    spark.createDataFrame([(5,)], "min_hash bigint").write.parquet(f"{at}/five")
+    jobs.build_index_job(spark, f"{at}/five", f"{at}/index", bits=1)
+    asked = spark.createDataFrame([("A1",), ("B2",), ("S1.v2",), ("A1",)], "accession string")
+    made = jobs.annotate(spark, f"{at}/index", f"{at}/out", asked, url=f"{at}/in/{{acc}}/contigs.fa", contigs=[f"{at}/S1.v3.contigs.fa", f"{at}/S1.v4.contigs.fa.gz"], matches=[f"{at}/M1.kmer-matches.csv"])
+    got = sorted(tuple(r)[:5] for r in made.select("accession", "contig", "contig_length", "candidate_hashes", "novel_hashes").collect())
+    assert got == [("A1", "c1", 4, 0, 0), ("B2", "c1", 2, 0, 0), ("B2", "c2", 1, 0, 0), ("M1", "c7", -1, 2, 1), ("S1.v2", "c1", 5, 0, 0), ("S1.v3", "c9", 1, 0, 0)]
+    status = {r["accession"]: r["status"].split(":")[0] for r in spark.read.parquet(f"{at}/out/status").collect()}
+    assert status == {"A1": "done", "B2": "done", "S1.v2": "done", "S1.v3": "done", "S1.v4": "not readable", "M1": "done"}
+
+
+def test_names_of_accessions():
+    for path, name in {"/x/acc1.fa": "acc1", "s3://b/acc2.contigs.fa.zst": "acc2", "S1.v2.contigs.fa": "S1.v2", "a.b.csv": "a.b", "M.kmer-matches.csv/": "M", "plain": "plain", "q.fasta.gz": "q", ".fa": ".fa"}.items():
+        assert contigs.accession_of(path) == name
+    assert cli.by_accession(["A=/x/y.fa", "A=/x/z.fa", "/d=1/B.fa"]) == {"A": ["/x/y.fa", "/x/z.fa"], "B": ["/d=1/B.fa"]}
+
+
+def test_jobs_do_not_grow_with_files(spark, at):
+    counts = []
+    for n in (2, 12):
+        for i in range(n):
+            spark.createDataFrame([(f"c{i}", 5)], "name string, hashval bigint").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{at}/m{n}/a{i}")
+        group = f"files-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = contigs.read_match_rows(contigs.addresses(spark, [f"{at}/m{n}/a{i}" for i in range(n)])).collect()
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        assert {(r["accession"], r["contig"], r["hash"]) for r in rows} == {(f"a{i}", f"c{i}", 5) for i in range(n)}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1]
 
 
 def test_one_bad_file_does_not_stop_the_others(spark, at, tmp_path):
@@ -183,16 +222,16 @@ def test_one_bad_file_does_not_stop_the_others(spark, at, tmp_path):
     (tmp_path / "alone.csv").write_text("sequence,hash\nc1,5\nc1,6\n")
     spark.createDataFrame([(5,), (5,)], "min_hash bigint").write.parquet(f"{at}/five")
     jobs.build_index_job(spark, f"{at}/five", f"{at}/index5", bits=2, distinct=True)
-    tried = []
 
-    def fetch(place):
-        tried.append(place)
-        if "far" in place:
+    def opener(address, tried=str(tmp_path / "tried")):
+        with open(tried, "a") as f:
+            f.write(f"{address}\n")
+        if "far" in address:
             raise OSError("no network")
-        return place
+        return open(address.removeprefix("file://"), "rb")
 
     made = jobs.annotate(
-        spark, f"{at}/index5", f"{at}/ann5", ["good", "cut", "junk", "far"], url=f"{at}/{{acc}}.contigs.fa.zst", fetch=fetch,
+        spark, f"{at}/index5", f"{at}/ann5", ["good", "cut", "junk", "far", "nothing"], url=f"{at}/{{acc}}.contigs.fa.zst", opener=opener,
         contigs=[f"{at}/zip.fa.gz", f"{at}/badzip.fa.gz", f"{at}/both.fa"], matches=[f"{at}/both.csv", f"{at}/alone.csv", f"{at}/bad.csv"],
     )
     got = {(r["accession"], r["contig"]): (r["contig_length"], r["candidate_hashes"], r["novel_hashes"]) for r in made.collect()}
@@ -200,11 +239,65 @@ def test_one_bad_file_does_not_stop_the_others(spark, at, tmp_path):
     assert got["both", "c1"] == (4, 1, 1) and got["both", "c2"] == (2, 0, 0) and got["alone", "c1"] == (-1, 2, 1) and got["good", "c1"][0] == 42 * 100 and got["zip", "z"][0] == 3000
     status = {r["accession"]: r["status"] for r in spark.read.parquet(f"{at}/ann5/status").collect()}
     assert [status[a] for a in ("good", "zip", "both", "alone")] == ["done", "done", "done, 2 rows left out", "done"]
-    assert all(status[a].startswith("not readable") for a in ("cut", "junk", "badzip", "bad")) and status["far"].startswith("fetch failed") and sum("far" in t for t in tried) == 3
+    assert all(status[a].startswith("not readable") for a in ("cut", "junk", "badzip", "bad")) and status["far"].startswith("fetch failed") and status["nothing"].startswith("no file")
+    assert sum("far" in line for line in (tmp_path / "tried").read_text().splitlines()) == 3
+    none = jobs.annotate(spark, f"{at}/index5", f"{at}/ann6", ["nowhere"])
+    assert none.count() == 0 and spark.read.parquet(f"{at}/ann6/status").first()["status"].startswith("no contigs")
     with pytest.raises(Exception, match="frame|Zstd|zstd"):
         contigs.read_fasta(spark, f"{at}/cut.contigs.fa.zst").count()
 
 
+def test_stream_that_breaks_off_goes_on(tmp_path):
+    import io
+
+    import pyarrow as pa
+
+    whole, opened = FASTA.encode() * 40_000, []
+
+    class Breaking(io.BytesIO):
+        def read(self, n=-1):
+            if len(opened) == 1 and self.tell() > 2 << 20:
+                raise OSError("reset")
+            return super().read(n)
+
+    def opener(address):
+        opened.append(address)
+        return Breaking(whole)
+
+    kinds = [("accession", pa.string()), ("contig", pa.string()), ("sequence", pa.string()), ("problem", pa.string())]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array(["x.fa"])], ["accession", "address"])
+    rows = pa.Table.from_batches(contigs._read(contigs._contigs, kinds, opener, 3)(iter([batch])))
+    assert len(opened) == 2 and rows.num_rows == 120_000 and rows["problem"].null_count == 120_000
+
+
+def test_large_files_in_bounded_memory(tmp_path):
+    """A file that unpacks to over 2 GB is read in batches of a few MB."""
+    import subprocess
+    import sys
+    import textwrap
+    from pathlib import Path
+
+    import zstandard
+
+    path = tmp_path / "large.contigs.fa.zst"
+    unit = b"".join(b">c%d\n" % i + b"ACGT" * 262_144 + b"\n" for i in range(64))
+    with open(path, "wb") as f:
+        for _ in range(34):
+            f.write(zstandard.compress(unit, 1))
+    assert len(unit) * 34 > 1 << 31
+    code = f"""
+        import resource
+        import pyarrow as pa
+        from sketchloom.sources import contigs, streams
+        kinds = [(n, pa.string()) for n in ("accession", "contig", "sequence", "problem")]
+        batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([{str(path)!r}])], ["accession", "address"])
+        n = sum(b.num_rows - b["problem"].is_valid().sum().as_py() for b in contigs._read(contigs._contigs, kinds, streams.open_address, 1)(iter([batch])))
+        print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+    """
+    out = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1], check=True).stdout.split()
+    assert int(out[-2]) == 34 * 64 and int(out[-1]) < 700
+
+
 def test_named_shards(spark, at):
     df = spark.createDataFrame([(1, "a"), (9, "b"), (2, "c")], "min_hash bigint, sample_id string")
     sinks.write_shards(df, f"{at}/named", 4, "min_hash", prefix="lists_")
@@ -222,10 +315,14 @@ def test_matches(spark, at, tmp_path):
     (tmp_path / "acc1.csv").write_text("name,hash,more\nc1,5,x\nc1,bad,x\nc2,-1,x\n,7,x\nc2,6,x\n")
     got = contigs.read_matches(spark, f"{at}/acc1.csv")
     assert {tuple(r) for r in got.collect()} == {("acc1", "c1", 5), ("acc1", "c2", 6)}
-    assert contigs.left_out(spark, f"{at}/acc1.csv") == {"acc1": 2}
+    rows = contigs.read_match_rows(contigs.addresses(spark, [f"{at}/acc1.csv"]))
+    assert [tuple(r) for r in contigs.left_out(rows).collect()] == [("acc1", 2)]
     (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
-    with pytest.raises(ValueError):
-        contigs.read_matches(spark, f"{at}/bad.csv")
+    with pytest.raises(Exception, match="no sequence or hash column"):
+        contigs.read_matches(spark, f"{at}/bad.csv").collect()
+    (tmp_path / "wide.csv").write_text(f"name,hash\n\"a,\"\"b\",{(1 << 64) - 1}\nc,{1 << 64}\n")
+    wide = contigs.read_match_rows(contigs.addresses(spark, {"w": f"{at}/wide.csv"})).collect()
+    assert [(r["contig"], r["hash"], r["problem"]) for r in wide] == [('a,"b', -1, None), (None, None, contigs.LEFT_OUT)]
 
 
 def test_increments(spark, at, signatures):
