@@ -1,10 +1,11 @@
-"""Wall seconds of the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; one JSON line."""
+"""Wall seconds of the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS], and DuckDB's on the same SQL; one JSON line."""
 
 from __future__ import annotations
 
 import json
 import os
 import time
+from pathlib import Path
 
 from sketchloom.plans import proxies
 from sketchloom.session import build_session
@@ -12,6 +13,25 @@ from sketchloom.session import build_session
 HEADLINE = ["flagship", "hash_sample_counts", "sample_hash_counts", "left_minus_rights", "venn_counts", "topn_sample_lists", "hashes_in_percentile", "hash_sample_lists_sharded", "histogram_counts", "index_probe", "kmer_sketch", "contig_annotation", "murmur_kmers"]
 
 
+def yardstick(folder: str, cpus: str) -> dict[str, float]:
+    """DuckDB's seconds for the SQL of the queries that have it, on as many threads."""
+    try:
+        import duckdb
+    except ImportError:
+        return {}
+    c = duckdb.connect(config={"threads": int(cpus)} if cpus.isdigit() else {})
+    for path in sorted(Path(folder).glob("*.parquet")):
+        source = f"{path}/*.parquet" if path.is_dir() else str(path)
+        c.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{source}'")
+    sql, times = proxies.oracle_sql(), {}
+    for name in HEADLINE:
+        if name in sql:
+            start = time.perf_counter()
+            c.execute(f"CREATE OR REPLACE TEMP TABLE found AS {sql[name]}")
+            times[name] = round(time.perf_counter() - start, 3)
+    return times
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -23,8 +43,8 @@ def main() -> None:
         start = time.perf_counter()
         proxies.queries()[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "headline_queries_wall", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
     spark.stop()
+    print(json.dumps({"metric": "headline_queries_wall", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "duckdb": yardstick(folder, cpus), "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
 
 
 if __name__ == "__main__":

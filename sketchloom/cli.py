@@ -114,7 +114,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-b", "--bins", type=int, default=100)
     p.add_argument("-m", "--max-value", type=float)
     p.add_argument("--column", default="sample_count")
-    p.add_argument("--picture")
+    p.add_argument("--picture", help="also draw it, as <picture>.svg and <picture>_log.svg")
 
     p = command("build-index", "a sharded index of hashes", "parquet", "index-root")
     p.add_argument("--shard-bits", type=int, default=schemas.SHARD_BITS)

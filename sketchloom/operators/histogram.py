@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -68,24 +71,32 @@ def figures(rows: list[Row]) -> dict:
     return out | {"min_edge": inside[0]["low_edge"], "max_edge": inside[-1]["high_edge"], "approx_mean": weighted / in_range if in_range else None, "approx_mean_ref": weighted / total, "median_bin": median, "modal_bin": int(n.argmax())}
 
 
-def plot(rows: list[Row], path: str, *, column: str = "sample_count", log: bool = False) -> str:
-    """A picture of a histogram's rows; needs matplotlib, which is optional."""
-    import matplotlib
-
-    matplotlib.use("Agg")
-    from matplotlib import pyplot
-
+def picture(rows: list[Row], *, column: str = "sample_count", log: bool = False, width: int = 1000, height: int = 600) -> str:
+    """A histogram's rows as an SVG picture, linear or logarithmic: a bar for each bin, and a red one, apart, for what overflows."""
     inside = [r for r in rows if r["bin"] != OVERFLOW]
-    figure, axes = pyplot.subplots(figsize=(10, 6))
-    axes.bar([r["low_edge"] for r in inside], [r["n"] for r in inside], width=[r["high_edge"] - r["low_edge"] or 1 for r in inside], align="edge")
-    for r in rows:
-        if r["bin"] == OVERFLOW and r["n"]:
-            axes.bar([r["low_edge"]], [r["n"]], width=(inside[0]["high_edge"] - inside[0]["low_edge"]) if inside else 1, align="edge", color="tab:red", label=f">= {r['low_edge']:g}")
-            axes.legend()
-    axes.set_xlabel(column)
-    axes.set_ylabel("values")
-    if log:
-        axes.set_yscale("log")
-    figure.savefig(path)
-    pyplot.close(figure)
-    return path
+    over = next((r for r in rows if r["bin"] == OVERFLOW), None)
+    left, bottom, top, right = 90, 60, 40, 20
+    slots = len(inside) + (2 if over else 0)  # a gap before the overflow bar
+    step = (width - left - right) / max(slots, 1)
+    most = max((r["n"] for r in rows), default=0)
+    scale = math.log10(most + 1) if log else float(most)
+    tall = lambda n: (math.log10(n + 1) if log else n) / scale * (height - top - bottom) if scale else 0.0
+    bar = lambda slot, r, color, title: f'<rect x="{left + slot * step:.2f}" y="{height - bottom - tall(r["n"]):.2f}" width="{step * 0.95:.2f}" height="{tall(r["n"]):.2f}" fill="{color}"><title>{title}: {r["n"]}</title></rect>'
+    text = lambda x, y, words, more="": f'<text x="{x:.2f}" y="{y:.2f}" font-family="sans-serif" font-size="13" {more}>{html.escape(words)}</text>'
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}">', f'<rect width="{width}" height="{height}" fill="white"/>']
+    out += [bar(i, r, "steelblue", f"{r['low_edge']:g} to {r['high_edge']:g}") for i, r in enumerate(inside)]
+    if over:
+        out.append(bar(len(inside) + 1, over, "firebrick", f">= {over['low_edge']:g}"))
+        out.append(text(width - right, height - bottom + 20, f">= {over['low_edge']:g}", 'text-anchor="end" fill="firebrick"'))
+    marks = [10**i for i in range(int(scale) + 1)] if log else [most * i / 4 for i in range(5)]
+    for n in marks if most else []:
+        y = height - bottom - tall(n)
+        out.append(f'<line x1="{left - 5}" x2="{width - right}" y1="{y:.2f}" y2="{y:.2f}" stroke="lightgray"/>')
+        out.append(text(left - 8, y + 4, f"{n:,.0f}", 'text-anchor="end"'))
+    out.append(f'<line x1="{left}" x2="{width - right}" y1="{height - bottom}" y2="{height - bottom}" stroke="black"/>')
+    for i in sorted({0, len(inside) // 2, len(inside)}) if inside else []:
+        edge = inside[i]["low_edge"] if i < len(inside) else inside[-1]["high_edge"]
+        out.append(text(left + i * step, height - bottom + 20, f"{edge:g}", 'text-anchor="middle"'))
+    out.append(text(width / 2, height - 12, column, 'text-anchor="middle"'))
+    out.append(text(left, top - 15, "values (logarithmic)" if log else "values"))
+    return "\n".join([*out, "</svg>"])

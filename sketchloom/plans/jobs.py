@@ -18,7 +18,7 @@ from sketchloom.operators.index import BUCKETS, Index, build_index
 from sketchloom.sources import contigs as contig_sources
 from sketchloom.sources import sinks
 from sketchloom.sources.datasets import footer_statistics, read_counts, read_hive_hashes, read_plain, read_signatures, union_all
-from sketchloom.sources.files import exists, guard, latest_run, materialised, read_json, remove, replacing, run_id, write_json
+from sketchloom.sources.files import exists, guard, latest_run, materialised, read_json, remove, replacing, run_id, write_bytes, write_json
 from sketchloom.sources.manifest import HashSet, ManifestError, load_manifest
 
 
@@ -164,7 +164,7 @@ def sorted_copy(spark: SparkSession, root: str, out: str, *, column: str = "hash
 
 
 def histogram_job(spark: SparkSession, path: str, out: str, *, column: str = "sample_count", bins: int = 100, max_value: float | None = None, picture: str | None = None, overwrite: bool = False) -> dict:
-    """The histogram as CSV and its figures as JSON; pictures, linear and logarithmic, if matplotlib is there."""
+    """The histogram as CSV and its figures as JSON; if asked pictures, linear and logarithmic: ``picture``.svg and ``picture``_log.svg."""
     made = histogram.histogram(read_counts(spark, path, column), column=column, bins=bins, max_value=max_value)
     rows = made.collect()  # a row for each bin: the counts are read once for all that follows
     sinks.write_csv(spark.createDataFrame(rows, made.schema), f"{out}/bins", overwrite=overwrite)
@@ -172,7 +172,9 @@ def histogram_job(spark: SparkSession, path: str, out: str, *, column: str = "sa
     write_json(spark, f"{out}/statistics.json", stats)
     if picture:
         for log in (False, True):
-            histogram.plot(rows, f"{picture}{'_log' if log else ''}.png", column=column, log=log)
+            place = f"{picture.removesuffix('.svg')}{'_log' if log else ''}.svg"
+            guard(spark, place, overwrite)
+            write_bytes(spark, place, histogram.picture(rows, column=column, log=log).encode())
     return stats
 
 

@@ -180,6 +180,15 @@ def histogram_csv(spark, d):
     return spark.read.option("header", "true").csv(f"{at}/out/bins", schema="bin int, low_edge double, high_edge double, n bigint").select("bin", "n")
 
 
+def histogram_picture(spark, d):
+    """The bars of the job's two pictures, as their titles say: bins and what overflows."""
+    at = _folder(spark)
+    proxies.all_counts(spark, d).write.parquet(f"{at}/counts")
+    jobs.histogram_job(spark, f"{at}/counts", f"{at}/out", bins=20, max_value=40, picture=f"{at}/bars")
+    found = [spark.read.text(f"{at}/{name}.svg").select(F.lit(name).alias("picture"), F.regexp_extract("value", r'fill="(\w+)"><title>(>=)? ?(\d+)[^:]*: (\d+)', 4).alias("n"), F.regexp_extract("value", r'fill="(\w+)"><title>', 1).alias("color")) for name in ("bars", "bars_log")]
+    return found[0].union(found[1]).filter("n <> ''").groupBy("picture", "color").agg(F.count("*").alias("n_bars"), F.sum(F.col("n").cast("bigint")).alias("n_values"))
+
+
 def sorted_table(spark, d):
     """A managed table in key order."""
     name = f"sorted_{uuid.uuid4().hex}"
@@ -441,7 +450,7 @@ def flat_lists(spark, d):
 def queries() -> dict:
     found = [
         hive_dataset, sorted_single_file, sorted_parts, shard_files, sample_shards, pair_parts, manifest_difference, manifest_views, venn_csv, limited_scan, bernoulli_sample, topn_json, topn_ids_json, top_in_ranges, percentile_job, sample_list, remove_set_job,
-        histogram_csv, sorted_table, preview, set_comparisons, index_built_probe, index_top_bits_probe, index_file_stats, top_bit_shards, fasta_contigs, kmer_matches, matches_left_out, annotation_of_matches, annotation_job, annotation_accessions, annotation_status, murmur_items,
+        histogram_csv, histogram_picture, sorted_table, preview, set_comparisons, index_built_probe, index_top_bits_probe, index_file_stats, top_bit_shards, fasta_contigs, kmer_matches, matches_left_out, annotation_of_matches, annotation_job, annotation_accessions, annotation_status, murmur_items,
         index_bucketed_probe, index_lookup, difference_reused, catalog_difference, footer_counts, row_group_sizes, split_buckets, replaced_output, streamed_counts, flat_lists,
     ]
     return {f.__name__: f for f in found}
@@ -513,6 +522,7 @@ def oracle_sql() -> dict[str, str]:
         "sample_list": f"SELECT sample_id FROM ({sig}) JOIN (SELECT DISTINCT min_hash FROM ({target})) USING (min_hash) WHERE ksize = 2 GROUP BY sample_id HAVING count(DISTINCT min_hash) BETWEEN 2 AND 4",
         "remove_set_job": f"SELECT min_hash, sample_count, sample_ids FROM ({lists}) WHERE min_hash NOT IN (SELECT min_hash FROM ({target}))",
         "histogram_csv": base["histogram_counts"],
+        "histogram_picture": f"SELECT picture, CASE WHEN bin < 0 THEN 'firebrick' ELSE 'steelblue' END AS color, count(*) AS n_bars, CAST(sum(n) AS BIGINT) AS n_values FROM ({base['histogram_counts']}), (VALUES ('bars'), ('bars_log')) AS v(picture) GROUP BY 1, 2",
         "sorted_table": f"SELECT DISTINCT hash, bucket FROM ({diff})",
         "preview": "SELECT CAST(10 AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS strangers",
         "set_comparisons": f"SELECT true AS part, NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey NOT IN (SELECT min_hash FROM ({target}))) AS whole, true AS same",

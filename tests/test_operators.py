@@ -163,6 +163,21 @@ def test_bin_statistics(spark):
     assert histogram.bin_statistics(numbers(spark, []))["total"] == 0
 
 
+def test_pictures(spark):
+    import xml.etree.ElementTree as tree
+
+    rows = histogram.histogram(numbers(spark, [0, 1, 1, 2, 9, 100, 200]), bins=4, max_value=10).collect()
+    for log in (False, True):
+        svg = tree.fromstring(histogram.picture(rows, column="a<b", log=log))
+        bars = [e for e in svg.iter("{http://www.w3.org/2000/svg}rect") if len(e)]
+        titles = [b[0].text for b in bars]
+        assert titles == ["0 to 2.5: 4", "2.5 to 5: 0", "5 to 7.5: 0", "7.5 to 10: 1", ">= 10: 2"]
+        heights = [float(b.get("height")) for b in bars]
+        assert [b.get("fill") for b in bars] == ["steelblue"] * 4 + ["firebrick"] and max(heights) == pytest.approx(500) and heights[1] == 0 and 0 < heights[4] < heights[0]
+        assert heights[4] / heights[0] == pytest.approx(np.log10(3) / np.log10(5) if log else 0.5, abs=1e-3)
+    assert "<svg" in histogram.picture([]) and "<svg" in histogram.picture(histogram.histogram(numbers(spark, [100]), bins=2, max_value=10).collect())
+
+
 def test_between_percentiles(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([1, 2, 4, 10])], "min_hash bigint, sample_count bigint")
     assert sorted(r[1] for r in selection.between_percentiles(df, 0.25, 0.75, "sample_count").collect()) == [2, 4]
