@@ -474,6 +474,53 @@ def test_secrets(spark):
         assert got[i] == sorted(got[i])
 
 
+def written_statements(rnd):
+    """A random text of assignments in many forms, with the values that reach sensitive names, in order."""
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    value = lambda: "".join(rnd.sample(letters, 20))
+    sensitive = ["db_password", "API_KEY", "clientSecret", "auth.token", "PRIVATE-KEY", "userPwd", "credentials"]
+    plain = ["name", "author", "monkey", "tokenizer", "secretary", "passenger", "saltine", "width"]
+    forms = ['{n} = "{v}"', "{n}: '{v}'", "export {n}={v}", '{n} := "{v}";', '"{n}": "{v}",', "'{n}' => '{v}',", 'env["{n}"] = "{v}"', 'const {n}: &str = "{v}";', "{n} = load('{v}')", "{n} = (\n  '{v}'\n)", '{n} = """{v}"""', "<{n}>{v}</{n}>", "<item {n}='{v}'/>", "# {n} = '{v}'", "{n} = f'{v}'", "{n} = `{v}`"]
+    text, want = "", []
+    for k in range(rnd.randrange(1, 9)):
+        name, v = rnd.choice(sensitive + plain), value()
+        if rnd.random() < 0.25:  # by way of a constant
+            constant = f"part{k}{rnd.choice('xyz')}"
+            text += f'{constant} = "{v}"\n'
+            if name in sensitive:
+                want.append(v)
+            text += rnd.choice(["{n} = {c}", "{n}: {c}", "{n} = read({c})", "{n}=${{{c}}}"]).format(n=name, c=constant)
+        else:
+            form = rnd.choice(forms)
+            if "<{n}>" in form or "const" in form or "<item" in form:
+                name = name.replace(".", "_")
+            text += form.format(n=name, v=v)
+            if name.replace("_token", ".token") in sensitive or name in sensitive:
+                want.append(v)
+        text += rnd.choice(["\n", "\n\n", "\n  // it's fine\n", "\nelse if (x == y) { run(); }\n"])
+    return text, want
+
+
+def test_statements_of_many_forms():
+    import random
+
+    for seed in range(600):
+        text, want = written_statements(random.Random(seed))
+        assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == want, text
+
+
+def test_lexer_is_linear():
+    import time
+
+    for unit in ("password=(", '"a', "'", 'secret="b"+', "<a ", '"""x\'', "a:b key", "${a", "token=x+", "[", "]", "key=b.c(", 'r"', 'r#"', "a: pwd ", "<p>", '\\"', "`", "</a>", "token:"):
+        took = []
+        for n in (4000, 16000):
+            begin = time.process_time()
+            secrets.literal_spans("key = " + unit * n)
+            took.append(time.process_time() - begin)
+        assert took[1] < 8 * took[0] + 0.3, unit
+
+
 @pytest.mark.parametrize(
     "text, literals",
     [
@@ -483,6 +530,24 @@ def test_secrets(spark):
         ('name = "Zq8#kLm2pW9$xYt4"', []),
         ('password = "aaaaaaaaaaaaaaaaaa"', []),
         ("password == other and token => 'Zq8#kLm2pW9$xYt4'", ["Zq8#kLm2pW9$xYt4"]),
+        (r'''db_password = "ab\"cd1234efgh5678"''', [r'''ab\"cd1234efgh5678''']),
+        ('password = (\n  "Zq8#kLm2"\n  "pW9$xYt4"\n)', ["Zq8#kLm2", "pW9$xYt4"]),
+        ('secret = """Zq8#kLm2pW9$xYt4"""', ["Zq8#kLm2pW9$xYt4"]),
+        ('const API_KEY: &str = "Zq8#kLm2pW9$xYt4";', ["Zq8#kLm2pW9$xYt4"]),
+        ("BASE=Zq8kLm2\nexport TOKEN=${BASE}abc123XYZ987", ["Zq8kLm2", "abc123XYZ987"]),
+        ("<password>Zq8#kLm2pW9$xYt4</password>", ["Zq8#kLm2pW9$xYt4"]),
+        ('author = "Jane.Doe.Smith.1975"', []),
+        ('os.environ["DB_PASSWORD"] = "Zq8#kLm2pW9$xYt4"', ["Zq8#kLm2pW9$xYt4"]),
+        ('{"apiKey": "Zq8#kLm2pW9$xYt4", "n": 3}', ["Zq8#kLm2pW9$xYt4"]),
+        ("<conn user='x' password='Zq8#kLm2pW9$xYt4'/>", ["Zq8#kLm2pW9$xYt4"]),
+        ('token = load("Zq8#kLm2pW9$xYt4")', ["Zq8#kLm2pW9$xYt4"]),
+        ("secret = token = Zq8kLm2pW9xYt4", ["Zq8kLm2pW9xYt4"]),
+        ('let secret = "Zq8#kLm2pW9$xYt4".to_string();', ["Zq8#kLm2pW9$xYt4"]),
+        ('  # password = "Zq8#kLm2pW9$xYt4"', ["Zq8#kLm2pW9$xYt4"]),
+        ("clientSecret := `Zq8#kLm2\npW9$xYt4`", []),  # white space is no part of a key
+        ('monkey_tokenizer = "Zq8#kLm2pW9$xYt4"', []),
+        ('password = r#"Zq8"kLm2pW9xYt4"#', ['Zq8"kLm2pW9xYt4']),
+        ("it's a token: the first don't matter", []),
     ],
 )
 def test_literals(text, literals):
