@@ -373,8 +373,8 @@ def _delete(names: list[str], text: str):
 
 #: A document with more pairs than this is dealt out, with its words, in parts of about this size.
 SALT = 256
-#: Bits of the map that says which texts may be partners; it is broadcast as at most a 64th as many rows.
-FILTER_BITS = 1 << 27
+#: Bits of the map that says which texts may be partners, and words of 64 bits of it in a row: broadcast as 4096 rows of 5 KB at most.
+FILTER_BITS, _LINE = 1 << 27, 512
 #: Bytes of a text's hash.
 _RANK = 16
 
@@ -388,9 +388,15 @@ def _marked(ids: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """The rows whose ``column`` may be among the distinct ``ids`` (one column, doc): by a bit map over hashes, whose size is bounded."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     at = ids.select(place("doc").alias("at"))
-    bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    placed = rows.withColumn("at", place(column)).withColumn("word", F.shiftright("at", 6))
-    return placed.join(F.broadcast(bits), "word").filter(F.expr("shiftright(bits, cast(at & 63 as int)) & 1 = 1")).select(*rows.columns)
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    # some hundred words of 64 bits a row: few rows, and little beside the bits
+    listed = F.array_sort(F.collect_list(F.struct(F.expr(f"cast(word % {_LINE} as smallint)").alias("at"), "bits")))
+    lines = words.groupBy(F.expr(f"word div {_LINE}").alias("line")).agg(listed.alias("w"))
+    lines = lines.select("line", F.col("w.at").alias("places"), F.col("w.bits").alias("bits"))
+    placed = rows.withColumn("at", place(column)).withColumn("line", F.expr(f"shiftright(at, 6) div {_LINE}"))
+    word = F.expr(f"get(bits, cast(array_position(places, cast(shiftright(at, 6) % {_LINE} as smallint)) as int) - 1)")
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    return placed.join(F.broadcast(lines), "line").filter(F.coalesce(word.bitwiseAND(bit) != 0, F.lit(False))).select(*rows.columns)
 
 
 def find_pairs(base: DataFrame) -> tuple[DataFrame, str, DataFrame, str]:

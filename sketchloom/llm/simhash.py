@@ -31,6 +31,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -400,6 +401,60 @@ def _compared(shingle: int, least: float):
     return run
 
 
+#: Bins that tell rare shingles from frequent ones; any order of shingles gives right results.
+RARITY_BINS = 1 << 18
+
+
+def _bins(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> np.uint64(46)).astype(np.int64)
+
+
+def _tallied(shingle: int):
+    """How many of the texts' shingles are in each bin, a row for each bin that has some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(RARITY_BINS, np.int64)
+        for batch in chunks(batches):
+            for one in _sets(*shingles(*raw(batch.column("text")), shingle), batch.num_rows):
+                n += np.bincount(_bins(one), minlength=RARITY_BINS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bin", "n"])
+
+    return run
+
+
+def _rarest(shingle: int, least: float, frequency: np.ndarray):
+    """(node, token): of each text the rarest shingles, so many that a similar text has one of its own rarest among them; without those that no other text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            tokens, counts = [], []
+            for one in _sets(*shingles(*raw(batch.column("text")), shingle), batch.num_rows):
+                often = frequency[_bins(one)]
+                order = np.lexsort((one, often))[: len(one) - math.ceil(least * len(one) - 1e-9) + 1]
+                order = order[often[order] > 1]
+                tokens.append(one[order])
+                counts.append(len(order))
+            rows = np.repeat(np.arange(batch.num_rows), counts)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), pa.array(np.concatenate(tokens).view(np.int64))], ["node", "token"])
+
+    return run
+
+
+def _kin(texts: DataFrame, shingle: int, least: float) -> tuple[DataFrame, str]:
+    """(node, bucket) of texts that are connected by rare shingles with another one; bucket is the smallest of those."""
+    texts = texts.select("node", "text")
+    tally = texts.mapInArrow(tidy(_tallied(shingle)), "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
+    frequency = np.zeros(RARITY_BINS, np.int64)
+    for r in tally.collect():  # a row for each bin
+        frequency[r["bin"]] = r["n"]
+    rare, rare_at = written(texts.mapInArrow(tidy(_rarest(shingle, least, frequency)), "node binary, token bigint"), "rare")
+    firsts = rare.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("token", "first")
+    joined, path = components(rare.join(firsts, "token").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    drop(texts.sparkSession, rare_at)
+    return joined.select(F.col("a").alias("node"), F.col("b").alias("bucket")).union(joined.select(F.col("b").alias("node"), F.col("b").alias("bucket")).distinct()), path
+
+
 def _labelled(nodes: DataFrame, stars: DataFrame) -> DataFrame:
     return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -413,8 +468,10 @@ def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHING
     """Groups of near-duplicate texts: (node, root), node the md5 of a text, for each text but those that stand alone.
 
     Copies are put together first, before any exchange; then texts of equal shingle sets are one. Each bucket's members are
-    first compared with its smallest and largest; where that leaves other members in more than one component, all of these
-    are compared with each other, in blocks of pairs of salts.
+    first compared with its smallest and largest. What that leaves in more than one component of a bucket goes on: two texts
+    that are similar enough share one of the rarest shingles of each (prefix filter), so only texts that are connected by
+    these are compared with each other, in blocks of pairs of salts. Unlike texts in one bucket so cost as much as they are
+    long, however many; texts that share most of their shingles without being similar enough are compared all with all.
     """
     limit_batches(docs.sparkSession)
     texts, texts_at = written(docs.select(_node(text).alias("node"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).dropDuplicates(["node"]), "texts")
@@ -438,16 +495,20 @@ def near_texts(docs: DataFrame, *, text: str = "text", shingle: int = TEXT_SHING
     found, found_at = written(texts.join(wanted, "node", "left_semi"), "texts")
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     stars, stars_at = components(both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_similar(shingle, similarity)), "a binary, b binary").union(equal))
-    # What only an end of a bucket was compared with so far, and isn't linked: all of it is compared.
+    # What only an end of a bucket was compared with so far, and isn't linked: all of it that shares rare shingles is compared.
     inner = _labelled(buckets.join(ends.filter("n > 3"), "bucket").filter("node <> low AND node <> high").select("bucket", "node"), stars)
-    open_ = inner.join(keys.select("node", "size"), "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("size")).filter("low < high")
+    apart = inner.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    left, left_at = written(inner.join(apart, "bucket").select("node", "label").distinct().join(found, "node"), "left")
+    kin, kin_at = _kin(left, shingle, similarity)
+    members = left.select("node", "label").join(kin, "node").join(keys.select("node", "size"), "node")
+    open_ = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("size")).filter("low < high")
     open_ = open_.select("bucket", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("bigint").alias("salts"))
-    dealt = inner.join(open_, "bucket").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("salts")))
+    dealt = members.select("node", "label", "bucket").join(open_, "bucket").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("salts")))
     blocks = F.expr("transform(sequence(0L, salts - 1), q -> least(salt, q) * salts + greatest(salt, q))")
     members, members_at = written(dealt.select("node", "label", "salt", "bucket", F.explode(blocks).alias("block")).select("node", "label", "salt", F.xxhash64("bucket", "block").alias("block")), "members")
-    rest = members.join(found, "node").repartition("block").sortWithinPartitions("block")
+    rest = members.join(left.select("node", "text"), "node").repartition("block").sortWithinPartitions("block")
     last, _ = components(stars.select("a", "b").union(rest.mapInArrow(tidy(_compared(shingle, similarity)), "a binary, b binary")))
-    for path in (texts_at, keys_at, equal_at, codes_at, heads_at, forest_at, buckets_at, ends_at, pairs_at, found_at, stars_at, members_at):
+    for path in (texts_at, keys_at, equal_at, codes_at, heads_at, forest_at, buckets_at, ends_at, pairs_at, found_at, stars_at, left_at, kin_at, members_at):
         drop(docs.sparkSession, path)
     return last.select(F.col("a").alias("node"), F.col("b").alias("root")).union(last.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

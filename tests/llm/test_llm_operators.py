@@ -685,6 +685,47 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] is None, r["text"]) for r in simhash.keep_one(repeated).collect()) == [(False, "a b c d e f"), (True, "q")]
 
 
+def test_bit_map_of_partners(spark):
+    ids = spark.range(0, 200_000, 3).select(F.col("id").alias("doc"))
+    rows = spark.range(60_000).select(F.col("id").alias("doc"), F.lit("x").alias("line"), F.lit(1).alias("bits"))
+    kept = linededup._marked(ids, rows.select("doc"), "doc")
+    got = {r[0] for r in kept.collect()}
+    assert got >= set(range(0, 60_000, 3)) and len(got) < 20_000 + 200
+    # 20 million ids fill the map: it is a few thousand rows of a few KB
+    many = linededup._marked(spark.range(20_000_000).select((F.col("id") * 7).alias("doc")), rows.select("doc"), "doc")
+    assert many.count() >= 60_000 // 7
+    todo, sizes = [many._jdf.queryExecution().executedPlan()], []
+    many.collect()
+    while todo:
+        node = todo.pop()
+        todo += [node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else [node.plan()] if "QueryStage" in node.getClass().getSimpleName() else []
+        if node.nodeName().startswith("BroadcastExchange"):
+            sizes.append((node.metrics().apply("dataSize").value(), node.metrics().apply("numOutputRows").value()))
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert sizes and all(size < 36 << 20 and rows_ <= 4096 for size, rows_ in sizes)
+
+
+def test_unlike_texts_of_one_bucket_are_not_dealt_out(spark, monkeypatch):
+    """A bucket of many texts that share a third of their words costs as much as they are long; a similar pair among them is still found."""
+    rng, sizes = np.random.default_rng(8), {}
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [common + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(700)]
+    texts += [texts[350] + " tail", texts[123] + " end"]
+    monkeypatch.setattr(simhash, "MINIMA_BANDS", 2)
+    monkeypatch.setattr(simhash, "MINIMA_ROWS", 1)
+    real = simhash.written
+
+    def counted(df, name):
+        made, path = real(df, name)
+        sizes[name] = sizes.get(name, 0) + made.count()
+        return made, path
+
+    monkeypatch.setattr(simhash, "written", counted)
+    groups = simhash.near_texts(frame(spark, texts), block=16).collect()
+    assert len(groups) == 4 and len({bytes(r["root"]) for r in groups}) == 2
+    assert sizes["left"] > 100 and sizes["members"] <= 8 and sizes["rare"] <= 2000
+
+
 @pytest.mark.parametrize("block, radius", [(simhash.BLOCK, 3), (40, 3), (40, 20)])
 def test_near_texts_of_a_hub(spark, monkeypatch, block, radius):
     if radius > 3:  # by fingerprints alone: minima of which all must be equal find nothing
