@@ -382,6 +382,18 @@ def test_very_long_texts(spark):
     assert sum(r["length"] for r in pieces if r["doc_id"] == 0) == len(Encoder(public_tokenizers.path("byte_bpe_50k.json")).tokenizer.encode(text, add_special_tokens=False).ids) + 1
 
 
+def test_long_texts_and_clashing_names_of_token_files_and_quality(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "plain words and more " * 100_000 + "end"
+    docs = frame(spark, [text, "short", None], parts=1).withColumns({c: F.lit("x") for c in ("ids", "start", "n_tokens", "frame", "label", "score", "a.b", "quality")})
+    rows = {r["doc_id"]: r for r in tokenfile.read_tokens(spark, tokenfile.write_tokens(docs, path, end_id=2)).collect()}
+    ids = [*Encoder(path).tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert (rows[0]["start"], rows[0]["n_tokens"], rows[0]["ids_crc32"]) == (0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and rows[1]["start"] == len(ids) and rows[2]["n_tokens"] == 1
+    labels = spark.createDataFrame([(0, 1, "x"), (1, 0, "x")], "doc_id bigint, quality int, text string")
+    scored = quality.score(docs, quality.train(docs, labels))
+    assert sorted(r["doc_id"] for r in scored.collect()) == [0, 1, 2] and all(0 <= r["score"] <= 1 for r in scored.collect())
+
+
 def test_store(spark):
     texts = [*ODD, "x" * 575, "x" * 576, "x" * 577, "é" * 400_000]
     got = {r["doc_id"]: r for r in matroska.store_payloads(frame(spark, texts)).collect()}
