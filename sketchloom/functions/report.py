@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def number(value: float) -> str:
     """1234567 as 1,234,567; fractions with up to four digits."""
@@ -26,6 +29,27 @@ def size(count: float) -> str:
     return f"{count:.1f} PiB"
 
 
+def number_column(value: Column) -> Column:
+    """:func:`number` of whole numbers, over a table."""
+    return F.format_number(value.cast("bigint"), 0)
+
+
+def duration_column(seconds: Column) -> Column:
+    """:func:`duration` over a table."""
+    whole = F.rint(seconds).cast("bigint")
+    hours, minutes, rest = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
+    parts = F.concat_ws(" ", F.when(hours > 0, F.concat(hours, F.lit(" h"))), F.concat(minutes, F.lit(" min")), F.concat(rest, F.lit(" s")))
+    return F.when(seconds < 60, F.concat(F.format_number(seconds, 1), F.lit(" s"))).otherwise(parts)
+
+
+def size_column(count: Column) -> Column:
+    """:func:`size` over a table."""
+    shown = F.concat(F.format_string("%.1f", count / (1 << 50)), F.lit(" PiB"))
+    for power, unit in ((40, "TiB"), (30, "GiB"), (20, "MiB"), (10, "KiB")):
+        shown = F.when(F.abs(count) < 1 << power + 10, F.concat(F.format_string("%.1f", count / (1 << power)), F.lit(f" {unit}"))).otherwise(shown)
+    return F.when(F.abs(count) < 1024, F.concat(count.cast("bigint"), F.lit(" B"))).otherwise(shown)
+
+
 def summary(command: str, result: object, seconds: float) -> list[str]:
     """A line for each figure of a job's result, and how long it took."""
     lines = []

@@ -87,7 +87,7 @@ def compute_counts(spark: SparkSession, hashes: str, signatures: str, ksize: int
     stored = None
     if materialize_pairs:
         paths["pairs"] = pairs_out or f"{out}/pairs"
-        sinks.write_partitioned(pairs, paths["pairs"], "part", overwrite=overwrite)
+        sinks.write_partitioned(pairs, paths["pairs"], "part", overwrite=overwrite, values=1024)
         pairs = spark.read.parquet(paths["pairs"])
     else:
         pairs, stored = materialised(pairs.select("sample_id", "min_hash"), "pairs")

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sketchloom import cli
 from sketchloom.functions import report
@@ -306,6 +307,13 @@ def test_named_shards(spark, at):
     assert got == {(1, "0001"), (9, "0001"), (2, "0002")} and spark.read.parquet(f"{at}/named/lists_0003.parquet").columns == df.columns
 
 
+def test_report_columns(spark):
+    numbers = [0, 5, 59, 60, 61, 1023, 1024, 1536, 3599, 3600, 3725, 1234567, 1 << 33, 1 << 45, 1 << 52]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", report.number_column(F.col("n")), report.size_column(F.col("n")), report.duration_column(F.col("n").cast("double"))).collect()
+    for n, *shown in rows:
+        assert shown[:2] == [report.number(n), report.size(n)] and shown[2].replace(",", "") == report.duration(n)
+
+
 def test_reports():
     assert [report.number(1234567), report.number(0.25), report.duration(3.25), report.duration(75), report.duration(3725.4), report.size(10), report.size(1536), report.size(1 << 60)] == ["1,234,567", "0.25", "3.2 s", "1 min 15 s", "1 h 2 min 5 s", "10 B", "1.5 KiB", "1024.0 PiB"]
     assert report.summary("count", {"rows_read": 2000, "warning": ""}, 1) == ["rows read: 2,000", "count took 1.0 s"]
