@@ -287,7 +287,7 @@ def oracle_sql() -> dict[str, str]:
         "histogram_counts": bars,
         "histogram_stats": f"WITH bars AS ({bars}), e AS ({edges}), acc AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS so_far, lo + (bin + 0.5) * (hi - lo) / 20.0 AS middle FROM bars, e WHERE bin >= 0), t AS (SELECT CAST((SELECT sum(n) FROM bars) AS BIGINT) AS total, CAST((SELECT sum(n) FROM acc) AS BIGINT) AS in_range, CAST((SELECT n FROM bars WHERE bin = -1) AS BIGINT) AS overflow, CAST(least(19, (SELECT count(*) FROM acc WHERE so_far < (SELECT sum(n) FROM bars) / 2.0)) AS INTEGER) AS median_bin, (SELECT bin FROM acc ORDER BY n DESC, bin LIMIT 1) AS modal_bin, CAST((SELECT sum(n * middle) FROM acc) AS DOUBLE) AS weighted) SELECT total, in_range, overflow, round(CAST(in_range AS DOUBLE) / total, 9) AS in_range_share, round(CAST(overflow AS DOUBLE) / total, 9) AS overflow_share, (SELECT CAST(lo AS DOUBLE) FROM e) AS min_edge, (SELECT CAST(hi AS DOUBLE) FROM e) AS max_edge, round(weighted / in_range, 9) AS approx_mean, round(weighted / total, 9) AS approx_mean_ref, median_bin, modal_bin FROM t",
         "topn_sample_lists_repeated": f"SELECT min_hash, any_value(n_samples) AS n_samples, array_to_string(list_sort(list(DISTINCT sample_id)), ',') AS sample_ids, count(DISTINCT sample_id) AS n_samples_exact FROM ({top} LIMIT 20) JOIN ({sig}) USING (min_hash) GROUP BY min_hash",
-        "shown_figures": "WITH s AS (SELECT bucket, CAST(times AS INTEGER) AS times, n * times AS n FROM (SELECT CAST(l_partkey % 16 AS INTEGER) AS bucket, count(*) AS n FROM lineitem GROUP BY 1), (VALUES (1), (7), (1000)) AS v(times)) SELECT bucket, times, format('{:,}', n) AS rows, CASE WHEN n < 1024 THEN printf('%.1f KiB', n) WHEN n < 1048576 THEN printf('%.1f MiB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f GiB', n / 1048576.0) ELSE printf('%.1f TiB', n / 1073741824.0) END AS bytes, CASE WHEN n < 60 THEN printf('%.1f s', CAST(n AS DOUBLE)) WHEN n < 3600 THEN printf('%d min %d s', n // 60, n % 60) ELSE printf('%d h %d min %d s', n // 3600, n % 3600 // 60, n % 60) END AS time FROM s",
+        "shown_figures": "WITH s AS (SELECT bucket, CAST(times AS INTEGER) AS times, n * times AS n FROM (SELECT CAST(l_partkey % 16 AS INTEGER) AS bucket, count(*) AS n FROM lineitem GROUP BY 1), (VALUES (1), (7), (1000)) AS v(times)) SELECT bucket, times, format('{:,}', n) AS rows, CASE WHEN n < 1024 THEN printf('%.1f KiB', CAST(n AS DOUBLE)) WHEN n < 1048576 THEN printf('%.1f MiB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f GiB', n / 1048576.0) ELSE printf('%.1f TiB', n / 1073741824.0) END AS bytes, CASE WHEN n < 60 THEN printf('%.1f s', CAST(n AS DOUBLE)) WHEN n < 3600 THEN printf('%d min %d s', n // 60, n % 60) ELSE printf('%d h %d min %d s', n // 3600, n % 3600 // 60, n % 60) END AS time FROM s",
         "bucket_sorted_table": "SELECT DISTINCT l_partkey AS hash, CAST(l_partkey % 16 AS INTEGER) AS bucket FROM lineitem",
         "index_shard_stats": "WITH s AS (SELECT l_partkey & 15 AS shard, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total_rows, sum(n) / 16.0 AS mean_rows, min(n) AS min_rows, max(n) AS max_rows, (SELECT string_agg(shard || ':' || n, ',' ORDER BY n DESC, shard) FROM (SELECT * FROM s ORDER BY n DESC, shard LIMIT 5)) AS heaviest FROM s",
         "index_probe": f"SELECT DISTINCT l_partkey AS min_hash, l_partkey IN ({TARGET_SQL}) AS hit FROM lineitem",
