@@ -10,13 +10,14 @@ its own node, visits the best nodes that it hasn't visited, keeps the best of
 what is listed there, and goes on until its beam has no unvisited node. What is
 in the beam at last is scored in double precision on the original vectors.
 
-Scale. Graph and walk use vectors of one byte a component, relative to the largest
-one of all, at most DEGREE lists
-a node (the nearest ones; rows beyond are dropped before the exchange by the
-limit of a ranked window), bounded lists and beams, so no group grows with the
-data; nothing but row counts reaches the driver. The walk joins beams with
-packed lists by plain equi-joins, whose large partitions adaptive execution can
-split. Rounds are written to the shared folder and older ones deleted.
+Scale. Graph and walk use vectors of one byte a component, relative to the
+largest one of all, and a bounded number of lists a node (the nearest ones; rows
+beyond are dropped before the exchange by the limit of a ranked window), of
+entries a list and of nodes a beam, which grow as the logarithm of the number of
+vectors; so no group grows with the data, and nothing but counts and one number
+reach the driver. The walk joins beams with packed lists by plain equi-joins,
+whose large partitions adaptive execution can split. Rounds are written to the
+shared folder and older ones deleted.
 
 Defined cases. Vectors that are null, of no component, zero, or that hold a null
 or non-finite component take no part, neither do null ids and vectors of another
@@ -30,6 +31,7 @@ candidates, gives no rows. Further columns are never looked at.
 from __future__ import annotations
 
 import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,8 @@ from sketchloom.llm.textkit import limit_batches, tidy
 
 #: Neighbours that a node keeps, and nodes that one is told of in a round.
 LISTED, DEGREE = 48, 64
+#: Lists that suffice for so many vectors don't for more: they get so many entries more for each doubling, others in proportion.
+ENOUGH, MORE = 1 << 16, 6
 #: Of the nodes that one is told of, so many are sent on to each other one.
 SENT = 6
 #: Random buckets that every node is in at first, and their size.
@@ -230,6 +234,12 @@ def _joined(nodes: DataFrame, pairs: DataFrame, listed: int) -> DataFrame:
     return both.repartition("a").sortWithinPartitions("a").mapInArrow(tidy(_merged(listed)), _NODE)
 
 
+def sizes(count: int) -> dict[str, int]:
+    """``listed``, ``degree`` and ``beam`` for so many vectors: up to ENOUGH the same, then growing as the logarithm does, so that recall needn't fall."""
+    listed = LISTED + (MORE * math.ceil(math.log2(count / ENOUGH)) if count > ENOUGH else 0)
+    return {"listed": listed, "degree": DEGREE * listed // LISTED, "beam": BEAM * listed // LISTED}
+
+
 class _Table:
     """A written table that replaces the one before it, whose files and exchanges are let go."""
 
@@ -374,8 +384,10 @@ def nearest(df: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embeddin
     codes, codes_at = written(vectors.select("id", "vector").mapInArrow(tidy(_codes(peak)), "id bigint, code binary"), "codes")
     queries = rows.filter(is_query).select(F.col("id").alias("query_id"), "h", "g").join(classes.select("h", "g", F.col("node").alias("a")), ["h", "g"]).select("query_id", "a")
     queries, queries_at = written(queries, "queries")
-    graph = build_graph(codes, codes.count())
-    beams = walk(graph.df, queries.select(F.col("a").alias("id")).distinct())
+    count = codes.count()
+    size = sizes(count)
+    graph = build_graph(codes, count, listed=size["listed"], degree=size["degree"])
+    beams = walk(graph.df, queries.select(F.col("a").alias("id")).distinct(), **size)
     # the query's own node is a candidate of other queries with that vector
     pairs = beams.df.select("a", F.explode(F.concat(F.array("a"), "ids")).alias("id"))
     both = pairs.join(vectors, "id").join(vectors.select(F.col("id").alias("a"), F.col("vector").alias("asked")), "a")

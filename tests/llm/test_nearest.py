@@ -46,6 +46,11 @@ def test_copies_ties_and_sizes(spark):
     same(nearest.nearest(df, F.col("id") % 20 == 0).collect(), brute(vectors, [i for i in vectors if i % 20 == 0]))
 
 
+def test_lists_grow_with_the_logarithm():
+    assert nearest.sizes(1) == nearest.sizes(1 << 16) == {"listed": 48, "degree": 64, "beam": 112}
+    assert [nearest.sizes(n)["listed"] for n in ((1 << 16) + 1, 1 << 17, 1 << 26)] == [54, 54, 108]
+
+
 def test_hub_is_told_of_few(spark):
     nodes = spark.createDataFrame([(i, bytes(5), [0], [float(i)]) for i in range(1, 400)] + [(0, bytes(5), [], [])], "id bigint, code binary, ids array<bigint>, scores array<float>")
     told = nearest._told(nodes, 48, 64).groupBy("at").count().collect()
