@@ -140,6 +140,37 @@ def test_decontamination(spark, vocabulary, blocks, piece):
     assert {r["doc_id"] for r in kept.collect()} == expected
 
 
+def test_decontamination_by_a_join(spark):
+    """A benchmark that doesn't go to every task: a window that all documents share, copies, items in pieces, and few of its rows in what is read twice."""
+    rng = np.random.default_rng(5)
+    shared = prose(rng, 40, 400)
+    items = [(str(i), prose(rng, 60, 400)) for i in range(20)] + [("a", shared), ("b", f"{shared} {prose(rng, 3000, 400)}"), ("c", "the " * 5000), ("d", "two words"), ("e", None)]
+    texts = [f"{prose(rng, int(rng.integers(0, 60)), 400)} {shared} two  WORDS" for _ in range(300)] + [shared] * 50 + ["the " * 3000, prose(rng, 20000, 400), *ODD]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    df = decontam.decontaminate(frame(spark, texts), bench, block_bytes=100, piece_bytes=2000)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    whole = {r["doc_id"]: r for r in df.collect()}
+    assert len(whole) == len(texts)
+    for i, r in whole.items():
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(texts[i], items)
+    for r in decontam.decontaminate(frame(spark, texts), bench).collect():
+        assert r == whole[r["doc_id"]]
+
+
+def test_sieve(spark):
+    """Every window and fingerprint passes, few others do, and its size is that of the windows."""
+    rng = np.random.default_rng(6)
+    items = spark.createDataFrame([(str(i), prose(rng, 200, 5000)) for i in range(100)], "item string, text string")
+    windows = items.mapInArrow(decontam._windows(1 << 20), decontam._WINDOWS)
+    sieve = decontam._sieve(windows)
+    have = windows.toArrow()
+    for column in ("whole", "seed"):
+        assert sieve.has(have.column(column).to_numpy().view(np.uint64)).all()
+    assert sieve.has(rng.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2)).mean() < 0.1
+    assert sieve.sizes == [13] and have.num_rows * 8 < 1 << sieve.log <= have.num_rows * 32
+
+
 def test_a_full_block_of_a_benchmark_is_small():
     """16 MiB of items take well under 500 MB to index, measured in a process of its own."""
     code = """
