@@ -24,7 +24,8 @@ salted, so no task joins more than about ``SALT`` of its pairs. Which texts are
 hashed for that is decided by a bit map of ``FILTER_BITS`` bits over hashes of
 their ids, the same at any size, which may let more texts pass but loses none.
 Documents and what they are aligned with meet once, in id order, one document
-and one partner in memory at a time.
+and one partner in memory at a time. Rows with a null id meet nobody and aren't
+moved, so any number of them may be alike.
 
 Defined cases: words are those of lower-cased letters and digits, so case and
 punctuation don't hide a repeat; null text stays null; shorter texts and rows
@@ -444,7 +445,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     added = StructType.fromDDL("removed array<struct<start:bigint,end:bigint>>, n_removed bigint")
     schema = StructType([*(StructField(n, f.dataType, True) for f, n in zip(kept, names)), *added.fields])
     mine = next(n for f, n in zip(kept, names) if f.name == text)
-    # rows without an id meet nobody: they go by their text
-    rows = rows.union(met).repartition(F.coalesce("__doc", F.xxhash64("__words"))).sortWithinPartitions("__doc", "__kind")
-    out = rows.mapInArrow(tidy(_delete(names, mine)), schema)
+    # rows without an id meet nobody: they stay where they are, however many they are
+    apart = rows.filter("__doc IS NULL").select(*names, F.array().cast(added["removed"].dataType).alias("removed"), F.lit(0).cast("bigint").alias("n_removed"))
+    rows = rows.filter("__doc IS NOT NULL").union(met).repartition("__doc").sortWithinPartitions("__doc", "__kind")
+    out = rows.mapInArrow(tidy(_delete(names, mine)), schema).union(apart)
     return out.select(*[F.col(n).alias(f.name) for f, n in zip(kept, names)], "removed", "n_removed")
