@@ -25,14 +25,15 @@ def parquet(df: DataFrame, row_group_rows: int | None = None):
 def write_partitioned(df: DataFrame, path: str, by: str, *, overwrite: bool = False, sort: list[str] | None = None, files: int | None = None, values: int | None = None, spread: Column | None = None, row_group_rows: int | None = None) -> str:
     """Parquet partitioned by a column.
 
-    Each value is written by one task, so it has one file. ``values``: the column holds remainders by that number; each
-    is then a task of its own instead of what hashing of the numbers makes of them. ``files``: so many files for
-    each such value, among which rows are dealt by ``spread`` (a hash of them), for values too large for one task.
+    Each value is written by one task, so it has one file, but for large ones, which adaptive execution splits into several.
+    ``values``: the column holds remainders by that number; each is then a task of its own instead of what hashing of the
+    numbers makes of them. ``files``: so many files for each such value, among which rows are dealt by ``spread`` (a hash
+    of them), for values too large for one task.
     """
     if files and (values is None or spread is None):
         raise ValueError("several files for a value need the number of values and what rows are dealt by")
     if values is None:
-        df = df.repartition(by)
+        df = df.hint("rebalance", by)
     else:
         number, each = F.pmod(F.col(by), F.lit(values)).cast("int"), files or 1
         df = df.repartitionById(values * each, number * each + F.pmod(spread, F.lit(each)).cast("int") if each > 1 else number)

@@ -250,3 +250,19 @@ def test_several_files_for_a_bucket(spark, at):
     assert {r["b"]: r["files"] for r in found} == {0: 3, 1: 3} and sum(r["n"] for r in found) == 1000
     with pytest.raises(ValueError):
         sinks.write_partitioned(rows, f"{at}/q", "b", files=3)
+
+
+def test_a_hot_value_is_split(spark, tmp_path):
+    """A value that holds nearly all rows is written by several tasks, a small one by one."""
+    at = f"file://{tmp_path}"
+    rows = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") < 199_000, F.lit(0)).otherwise(F.lit(1)).alias("b"), F.xxhash64("id").alias("h"))
+    had = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        sinks.write_partitioned(rows, f"{at}/p", "b")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", had)
+    files = {v: len([p for p in (tmp_path / "p" / f"b={v}").iterdir() if p.name.endswith(".parquet")]) for v in (0, 1)}
+    assert files[0] > 2 and files[1] <= 2
+    back = spark.read.parquet(f"{at}/p")
+    assert back.count() == 200_000 and back.select("b", "h").exceptAll(rows).count() == 0
