@@ -865,15 +865,6 @@ def test_line_dedup_of_odd_rows(spark):
     assert sorted(((r["doc_id"] or 0), r["n_removed"], r["__doc"], r["a b.c"]) for r in out.collect()) == [(*x, "x", "x") for x in got]
 
 
-def test_line_dedup_leaves_rows_without_an_id_where_they_are(spark):
-    t = " ".join(f"u{i}" for i in range(80))
-    rows = spark.range(0, 2000, 1, 4).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 4 != 1, F.lit(t)).alias("text"))
-    out = linededup.dedup_lines(rows)
-    got = out.groupBy(F.col("doc_id").isNull().alias("none"), "text", "removed", "n_removed").count().collect()
-    assert sorted((r["none"], r["text"], [tuple(x) for x in r["removed"]], r["n_removed"], r["count"]) for r in got if r["text"] is not None) == [(False, "", [(0, 80)], 80, 999), (False, t, [], 0, 1), (True, t, [], 0, 500)]
-    assert [(r["none"], r["removed"], r["n_removed"], r["count"]) for r in got if r["text"] is None] == [(True, [], 0, 500)]
-
-
 def test_long_texts_have_the_same_lines():
     rng = np.random.default_rng(8)
     text = prose(rng, 4000, 100).encode()
