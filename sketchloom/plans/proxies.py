@@ -89,8 +89,14 @@ def left_minus_rights_distinct(spark, d):
 
 
 def spread(h: Column) -> Column:
-    """A hash over all 64 bits, negative ones included, of which samples by bits keep about what they should."""
-    return h * F.lit(SPREAD) - F.lit(1 << 62)
+    """A hash over all 64 bits, negative ones included, of which samples by bits keep about what they should.
+
+    The product is cut to 64 bits, as a hash's is, and so stays one to one for keys of any size; checked 64-bit arithmetic,
+    which its SQL has, ends at key 9223.
+    """
+    shifted = h.cast("decimal(19,0)") * F.lit(SPREAD).cast("decimal(16,0)") + F.lit(1 << 62).cast("decimal(19,0)")
+    # 2^63 is in it already, so that the remainder, less 2^63, is the signed number
+    return (F.pmod(shifted, F.lit(str(1 << 64)).cast("decimal(20,0)")) - F.lit(str(1 << 63)).cast("decimal(19,0)")).cast("bigint")
 
 
 def left_minus_rights_sampled(spark, d):

@@ -2,6 +2,7 @@
 
 import glob
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -41,3 +42,19 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_spread_keys_of_any_size(spark, tmp_path):
+    """Keys whose product doesn't fit into 64 bits; the SQL ends at key 9223."""
+    keys = [0, 3, 9223, 9224, 19_999, 1_199_999, 9224, (1 << 63) - 1, -(1 << 63), -5]
+    parts, suppliers = [3, 9224, 1_199_999], [-5, 77]
+    spark.createDataFrame([(k,) for k in keys], "l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 1) for k in parts], "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k,) for k in suppliers], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    wide = {k: (k * proxies.SPREAD - (1 << 62) + (1 << 63)) % (1 << 64) - (1 << 63) for k in keys}
+    got = lambda name: sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    inside = lambda h, fraction: (h >> 2) % (1 << 20) < round(fraction * (1 << 20))
+    assert got("bit_sample_hashes") == sorted((wide[k],) for k in keys if inside(wide[k], 0.3))
+    assert got("left_minus_rights_sampled") == sorted((wide[k], wide[k] & 3) for k in keys if k not in parts + suppliers and inside(wide[k], 0.25))
+    assert got("top_bit_shards") == sorted(Counter((wide[k] % (1 << 64)) >> 56 for k in keys).items())
+    assert got("index_top_bits_probe") == sorted((k, k in parts) for k in set(keys))
