@@ -1,10 +1,11 @@
-"""K-mers: extraction, canonical form, and sketches by MurmurHash3 or, in plain SQL functions, by md5."""
+"""K-mers: extraction, canonical form, and sketches by MurmurHash3 or by md5, which SQL has, too."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,37 +50,128 @@ def murmur_sketch(k: int = KSIZE, most: int = MAX_HASH, seed: int = SEED):
     return sketch
 
 
-#: Characters of a text from which k-mers are cut at a time: a position in a string is found by walking there.
-_PIECE = 256
-
-
-def pieces(text: Column, k: int) -> Column:
-    """Overlapping pieces of a text that hold each substring of length k once."""
-    count = F.length(text) - (k - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.floor((count - 1) / _PIECE).cast("int")), lambda i: F.substring(text, i * _PIECE + 1, F.lit(_PIECE + k - 1)))).otherwise(F.array().cast("array<string>"))
-
-
-def windows(text: Column, k: int) -> Column:
-    """All substrings of length k, in order; for texts of moderate length, else of each of their pieces."""
-    return F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-
 def canonical_column(kmer: Column) -> Column:
     """The smaller of a k-mer and its reverse complement."""
     return F.least(kmer, F.reverse(F.translate(kmer, "ACGT", "TGCA")))
 
 
-def md5_60(text: Column) -> Column:
-    """A 60-bit hash that any SQL engine can compute: the first 15 hex digits of md5."""
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+# Constants of the public MD5.
+_SINES = [int(abs(np.sin(np.float64(i + 1))) * (1 << 32)) for i in range(64)]
+_TURNS = [t[i % 4] for t in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for i in range(16)]
+_PLACES = [i if i < 16 else (5 * i + 1) % 16 if i < 32 else (3 * i + 5) % 16 if i < 48 else 7 * i % 16 for i in range(64)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_M32 = (1 << 32) - 1
+#: K-mers that are hashed at a time, so that what is worked on stays in a core's cache; bytes of text that are.
+_MD5_STEP, _MD5_BYTES = 1 << 14, 1 << 20
+
+
+def _md5_blocks(n: int, words: list[np.ndarray | int]) -> tuple[np.ndarray, np.ndarray]:
+    """First two words of the MD5 of n padded messages, whose words (16 a block) are arrays or the same for all."""
+    state = [np.full(n, v, np.uint32) for v in _START]
+    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for at in range(0, len(words), 16):
+        a, b, c, d = (x.copy() for x in state)
+        for i in range(64):
+            if i < 16:
+                np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+            elif i < 32:
+                np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+            elif i < 48:
+                np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+            else:
+                np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+            word, more = words[at + _PLACES[i]], _SINES[i]
+            np.add(a, f, out=a)
+            if isinstance(word, int):
+                more = (more + word) & _M32
+            else:
+                np.add(a, word, out=a)
+            np.add(a, np.uint32(more), out=a)
+            np.left_shift(a, np.uint32(_TURNS[i]), out=t), np.right_shift(a, np.uint32(32 - _TURNS[i]), out=a)
+            np.bitwise_or(a, t, out=a), np.add(a, b, out=a)
+            a, b, c, d = d, a, b, c
+        state = [x + y for x, y in zip(state, (a, b, c, d))]
+    return state[0], state[1]
+
+
+def _md5_kept(fours: np.ndarray, start: np.ndarray, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes under ``most`` of substrings of one size; ``fours`` has the four bytes from each place on."""
+    together = int(start[-1]) - int(start[0]) == len(start) - 1
+    at = lambda i: fours[start[0] + i : start[0] + i + len(start)] if together else fours[start + i]
+    full, rest = divmod(size, 4)
+    words: list = [at(4 * i) for i in range(full)]
+    end = 0x80 << 8 * rest
+    words.append((at(4 * full) & np.uint32((1 << 8 * rest) - 1)) | np.uint32(end) if rest else end)
+    words += [0] * (-(len(words) + 2) % 16) + [8 * size & _M32, 8 * size >> 32]
+    a, b = (x.byteswap() for x in _md5_blocks(len(start), words))
+    place = np.flatnonzero(a <= np.uint32(min(most >> 28, _M32)))
+    h = (a[place].astype(np.uint64) << np.uint64(32) | b[place]) >> np.uint64(4)
+    good = h < np.uint64(most)
+    return place[good], h[good].view(np.int64)
+
+
+def _text_pieces(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Texts as (first row, ends of rows) of some together; one that is long in pieces, which share k - 1 characters."""
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        at, end = int(offsets[row]), int(offsets[row + 1])
+        if end - at <= _MD5_BYTES:
+            to = int(np.searchsorted(offsets, at + _MD5_BYTES, "right")) - 1
+            yield row, offsets[row : to + 1]
+            row = to
+            continue
+        while at < end:
+            to = min(at + _MD5_BYTES, end)
+            while to < end and data[to] & 0xC0 == 0x80:
+                to += 1
+            more = np.flatnonzero(data[to : min(end, to + 4 * k)] & 0xC0 != 0x80)
+            yield row, np.array([at, to + int(more[k - 1]) if len(more) >= k else end])
+            at = to
+        row += 1
+
+
+def md5_bytes(data: np.ndarray, offsets: np.ndarray, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and md5 hash, in order, of each substring of k characters of UTF-8 texts whose hash is under ``most``."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for row, ends in _text_pieces(data, offsets, k):
+        low = int(ends[0])
+        part = np.concatenate([data[low : int(ends[-1])], np.zeros(4, np.uint8)])
+        fours = np.ndarray((len(part) - 3,), "<u4", part, strides=(1,)).copy()
+        chars = np.flatnonzero(part[:-4] & 0xC0 != 0x80)
+        first = np.searchsorted(chars, ends - low)
+        count = np.maximum(np.diff(first) - (k - 1), 0)
+        which = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        start = chars[which]
+        size = np.append(chars, len(part) - 4)[which + k] - start
+        # substrings of one size at a time; where all is ASCII, in order and without gathering
+        order = np.argsort(size, kind="stable") if len(size) and size.max() > k else np.arange(len(size))
+        edges = [0, *(np.flatnonzero(np.diff(size[order])) + 1).tolist(), len(order)]
+        places, hashes = [], []
+        for a, z in zip(edges, edges[1:]):
+            for i in range(a, z, _MD5_STEP):
+                some = order[i : min(z, i + _MD5_STEP)]
+                place, h = _md5_kept(fours, start[some], int(size[some[0]]), most)
+                places.append(some[place])
+                hashes.append(h)
+        if places:
+            place, h = np.concatenate(places), np.concatenate(hashes)
+            by = np.argsort(place)
+            found.append((row + np.searchsorted(np.cumsum(count), place[by], "right"), h[by]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def md5_hashes(text: Column, k: int = KSIZE, most: int = (1 << 60) // 100) -> Column:
-    """The md5 hashes under ``most`` of a text's k-mers, in order; repeats kept."""
-    hashed = lambda piece: F.transform(windows(piece, k), lambda x: F.md5(x.cast("binary")))
-    # hex digits of one length compare as the numbers do: the gate is applied inside the array, and few leave it
-    kept = F.flatten(F.transform(pieces(text, k), lambda piece: F.filter(hashed(piece), lambda x: x < f"{most:015x}")))
-    return F.transform(kept, lambda digits: F.conv(F.substring(digits, 1, 15), 16, 10).cast("bigint"))
+    """The md5 hashes under ``most`` of a text's k-mers, in order; repeats kept. A hash is 60 bits, the first 15 hex digits, as any SQL engine can compute it."""
+
+    @F.arrow_udf("array<bigint>")
+    def hashed(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        content = texts.buffers()[2]
+        row, h = md5_bytes(np.frombuffer(content, np.uint8) if content else np.zeros(0, np.uint8), ends, k, most)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32()), pa.array(h, pa.int64()))
+
+    return hashed(text)
 
 
 def md5_sketch(df: DataFrame, key: str, text: str, k: int = KSIZE, most: int = (1 << 60) // 100) -> DataFrame:

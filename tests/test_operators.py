@@ -1,5 +1,8 @@
 """Operators on hand-written frames: nulls, repeats, empty sides, negative hashes, ties and edges."""
 
+import hashlib
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +247,24 @@ def test_annotate(spark):
     got = {r["contig"]: tuple(r)[2:] for r in annotate.annotate(found, known, contigs).collect()}
     assert got == {"c1": (42, 3, 2, 2 / 3), "c2": (5, 0, 0, 0.0)}
     assert {tuple(r)[1:] for r in annotate.annotate(found, known).collect()} == {("c1", -1, 3, 2, 2 / 3)}
+
+
+@pytest.mark.parametrize("step, size", [(1 << 14, 1 << 20), (7, 50)])
+@pytest.mark.parametrize("k, most", [(1, 1 << 60), (31, 1 << 60), (31, (1 << 60) // 10), (60, 1 << 60)])
+def test_md5_of_many_kmers_at_once(monkeypatch, step, size, k, most):
+    """Characters of one to four bytes, so messages of up to five blocks, in texts that are cut into pieces or not."""
+    monkeypatch.setattr(kmers, "_MD5_STEP", step)
+    monkeypatch.setattr(kmers, "_MD5_BYTES", size)
+    pick = random.Random(k)
+    texts = ["", "a", "x" * 31, "é" * 31, "😀" * 70, *("".join(pick.choices("abcd \néßñ中文😀"[: pick.choice([4, 9, 12])], k=pick.randint(0, 200))) for _ in range(20)), ""]
+    content = [t.encode() for t in texts]
+    row, h = kmers.md5_bytes(np.frombuffer(b"".join(content), np.uint8), np.cumsum([0, *map(len, content)]), k, most)
+    of = lambda kmer: int(hashlib.md5(kmer.encode()).hexdigest()[:15], 16)
+    assert list(zip(row.tolist(), h.tolist())) == [(i, x) for i, t in enumerate(texts) for j in range(len(t) - k + 1) if (x := of(t[j : j + k])) < most]
+
+
+def test_md5_sketch_hashes_in_batches(spark):
+    rows = [(1, None), (2, "short"), (3, "é" + "abc" * 20), (4, "")]
+    docs = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    assert "md5(" not in kmers.md5_sketch(docs, "id", "text")._jdf.queryExecution().toString()
+    assert {r[0]: len(r[1]) for r in docs.select("id", kmers.md5_hashes(F.col("text"), 31, 1 << 60)).collect()} == {1: 0, 2: 0, 3: 31, 4: 0}
