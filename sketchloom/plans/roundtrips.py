@@ -356,12 +356,17 @@ def fasta_contigs(spark, d):
     return contigs.checked(contigs.read_contigs(contigs.addresses(spark, _contig_folders(spark, d))))
 
 
+#: Rows of a file of matches, about: the number of files grows with the table, so that no task writes or reads more the larger it is.
+FILE_ROWS = 200_000
+
+
 def _match_folders(spark, d) -> dict[str, str]:
     """K-mer matches of another tool in many files, two kinds of header, some rows without a number, a name, or within the gate."""
     at = _folder(spark)
     rows = proxies.signatures(spark, d).select(F.concat(F.lit("c"), F.pmod("min_hash", F.lit(7))).alias("name"), F.when(F.col("ksize") == 7, F.lit("none")).when(F.col("ksize") == 6, F.lit("-5")).otherwise(F.col("min_hash").cast("string")).alias("hashval"))
-    rows.repartition(5).write.option("header", "true").csv(f"{at}/first")
-    rows.select(F.col("hashval").alias("HASH"), F.lit("x,y").alias("note"), F.col("name").alias("sequence")).filter("name <> 'c0'").repartition(3).write.option("header", "true").csv(f"{at}/second")
+    files = -(-rows.count() // FILE_ROWS)  # by the footers
+    rows.repartition(max(5, files)).write.option("header", "true").csv(f"{at}/first")
+    rows.select(F.col("hashval").alias("HASH"), F.lit("x,y").alias("note"), F.col("name").alias("sequence")).filter("name <> 'c0'").repartition(max(3, files)).write.option("header", "true").csv(f"{at}/second")
     return {"first": f"{at}/first", "second": f"{at}/second"}
 
 

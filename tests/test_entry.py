@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sketchloom.plans import proxies, roundtrips
@@ -58,3 +59,11 @@ def test_spread_keys_of_any_size(spark, tmp_path):
     assert got("left_minus_rights_sampled") == sorted((wide[k], wide[k] & 3) for k in keys if k not in parts + suppliers and inside(wide[k], 0.25))
     assert got("top_bit_shards") == sorted(Counter((wide[k] % (1 << 64)) >> 56 for k in keys).items())
     assert got("index_top_bits_probe") == sorted((k, k in parts) for k in set(keys))
+
+
+def test_match_files_grow_in_number(spark, monkeypatch):
+    """No file of matches, and so no task that writes or reads it, holds more of a larger table."""
+    monkeypatch.setattr(roundtrips, "FILE_ROWS", 500)
+    for folder in roundtrips._match_folders(spark, DATA).values():
+        sizes = [r[0] for r in spark.read.option("header", "true").csv(folder).groupBy(F.input_file_name()).count().select("count").collect()]
+        assert len(sizes) == 12 and max(sizes) <= 600
