@@ -12,6 +12,8 @@ from sketchloom.sources.files import materialised
 HEAP_ROWS = 10_000
 #: Rows up to which selected keys are small enough to be sent to every task (16 MB).
 BROADCAST_KEYS = 1_000_000
+#: Pairs that a task makes distinct in memory, where their number is known.
+TASK_ROWS = 500_000
 
 
 def select_hashes(signatures: DataFrame, hashes: DataFrame, column: str = "min_hash") -> DataFrame:
@@ -19,18 +21,30 @@ def select_hashes(signatures: DataFrame, hashes: DataFrame, column: str = "min_h
     return signatures.join(hashes.select(F.col(column).alias("min_hash")), "min_hash", "left_semi")
 
 
-def distinct_pairs(signatures: DataFrame, hashes: DataFrame | None = None, *, ksize: int | None = None, parts: int = 1024) -> DataFrame:
-    """(sample_id, min_hash, part): each pair once; part is the truncating remainder of the hash."""
+def tasks_for(signatures: DataFrame) -> int:
+    """How many tasks pairs of signatures are dealt to, so that none holds more of a larger table; their rows are counted, which costs next to nothing for a file that isn't filtered."""
+    return max(signatures.sparkSession.sparkContext.defaultParallelism, -(-signatures.count() // TASK_ROWS))
+
+
+def distinct_pairs(signatures: DataFrame, hashes: DataFrame | None = None, *, ksize: int | None = None, parts: int = 1024, tasks: int | None = None) -> DataFrame:
+    """(sample_id, min_hash, part): each pair once; part is the truncating remainder of the hash.
+
+    ``tasks``: the pairs are made distinct by so many tasks (see :func:`tasks_for`); else adaptive execution decides by
+    shuffled bytes, of which 64 MB are about 1.4 GB in memory.
+    """
     if ksize is not None:
         signatures = signatures.filter(F.col("ksize") == ksize)
     if hashes is not None:
         signatures = select_hashes(signatures, hashes)
-    return signatures.select("sample_id", "min_hash").distinct().withColumn("part", remainder(F.col("min_hash"), parts))
+    pairs = signatures.select("sample_id", "min_hash")
+    if tasks:
+        pairs = pairs.repartition(tasks, "sample_id", "min_hash")
+    return pairs.distinct().withColumn("part", remainder(F.col("min_hash"), parts))
 
 
-def hash_counts(signatures: DataFrame, hashes: DataFrame | None = None, *, ksize: int | None = None) -> DataFrame:
-    """(min_hash, sample_count): in how many samples each hash occurs."""
-    return distinct_pairs(signatures, hashes, ksize=ksize).groupBy("min_hash").agg(F.count("sample_id").alias("sample_count"))
+def hash_counts(signatures: DataFrame, hashes: DataFrame | None = None, *, ksize: int | None = None, tasks: int | None = None) -> DataFrame:
+    """(min_hash, sample_count): in how many samples each hash occurs; ``tasks`` as in :func:`distinct_pairs`."""
+    return distinct_pairs(signatures, hashes, ksize=ksize, tasks=tasks).groupBy("min_hash").agg(F.count("sample_id").alias("sample_count"))
 
 
 def sample_counts(signatures: DataFrame, hashes: DataFrame | None = None, *, ksize: int | None = None) -> DataFrame:

@@ -45,14 +45,15 @@ def rights(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.hash_counts(signatures(spark, sf_dir))
+    sig = signatures(spark, sf_dir)
+    return counts.hash_counts(sig, tasks=counts.tasks_for(sig))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes that no known set has, in 5 to 10000 samples, the most frequent first."""
     sig = signatures(spark, sf_dir)
     novel = setops.difference(left(spark, sf_dir), rights(spark, sf_dir), distinct_left=True).select(F.col("hash").alias("min_hash"))
-    kept = selection.between(counts.hash_counts(sig, novel), 5, 10000, "sample_count")
+    kept = selection.between(counts.hash_counts(sig, novel, tasks=counts.tasks_for(sig)), 5, 10000, "sample_count")
     return kept.orderBy(F.desc("sample_count"), F.asc("min_hash")).limit(100)
 
 

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sketchloom.operators import counts
 from sketchloom.plans import proxies, roundtrips
 
 DATA = "/root/testdata/sf0.001"
@@ -67,3 +69,13 @@ def test_match_files_grow_in_number(spark, monkeypatch):
     for folder in roundtrips._match_folders(spark, DATA).values():
         sizes = [r[0] for r in spark.read.option("header", "true").csv(folder).groupBy(F.input_file_name()).count().select("count").collect()]
         assert len(sizes) == 12 and max(sizes) <= 600
+
+
+def test_flagship_deals_pairs_by_their_number(spark, monkeypatch):
+    """Each task makes distinct about TASK_ROWS pairs, whatever the size of the table."""
+    monkeypatch.setattr(counts, "TASK_ROWS", 500)
+    n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    df = proxies.flagship(spark, DATA)
+    assert re.search(rf"hashpartitioning\(sample_id#\d+, min_hash#\d+L, {n}\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())
+    found = duckdb.sql(SQL["flagship"].replace("FROM lineitem", f"FROM '{DATA}/lineitem.parquet'").replace("FROM part", f"FROM '{DATA}/part.parquet'").replace("FROM supplier", f"FROM '{DATA}/supplier.parquet'"))
+    assert list(map(tuple, df.select(*found.columns).collect())) == found.fetchall()
