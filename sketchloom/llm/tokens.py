@@ -219,9 +219,10 @@ class Encoder:
                     out.append(unit)
                     rest.append(i)
         else:
+            space = table[32]  # of ASCII words, the only character that is written otherwise
             for i, unit in enumerate(units):
                 if _SPACED.fullmatch(unit):
-                    out.append([t.id for t in tokenize(unit.translate(table))])
+                    out.append([t.id for t in tokenize(unit.replace(" ", space) if unit.isascii() else unit.translate(table))])
                 else:
                     out.append(unit)
                     rest.append(i)

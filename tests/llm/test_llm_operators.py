@@ -1076,3 +1076,26 @@ def test_repeated_rows_are_packed_each(spark):
     got = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.json"), shard_bytes=64).collect()
     assert sum(r["length"] for r in got if r["doc_id"] == 1) == 50 * got[0]["doc_tokens"] if got[0]["doc_id"] == 1 else True
     assert sum(r["doc_id"] is None for r in got) == 1
+
+
+def test_ascii_words_are_not_translated_letter_by_letter():
+    looked = []
+
+    class Table(dict):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    coder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    coder.table = Table(coder.table)
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)} naïve" for i in range(200))
+    assert coder.encode([text])[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert looked.count(ord("w")) == 0 and looked.count(ord("ï")) > 0
+
+
+def test_counted_with_any_number_of_terms():
+    rng = np.random.default_rng(3)
+    for terms in (1, 2, 5, 8, packing.TERMS):
+        row, term = np.sort(rng.integers(0, 9, 500)), rng.integers(0, terms, 500)
+        want = sorted(Counter(zip(row.tolist(), term.tolist())).items())
+        assert [((r, t), n) for r, t, n in zip(*(x.tolist() for x in packing._counted(row, term, terms)))] == want
