@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.textkit import chunks, mix, pick, raw, spread, tidy, word_table, words_of
+from sketchloom.llm.textkit import chunks, give_back, mix, pick, raw, spread, tidy, word_table, words_of
 from sketchloom.llm.tokens import collector_off, encoder
 
 WINDOW = 1024
@@ -50,8 +50,10 @@ K1, B = 1.2, 0.75
 SHARD_BYTES = 6 << 20
 #: Words that at least one in so many documents of a block has are scored by whole rows instead of postings.
 DENSE = 8
+#: Postings that are weighted at once.
+STEP = 1 << 18
 #: Scores by frequent words are made for all pairs of a block at once, where these are not more than this.
-PAIRS = 1 << 24
+PAIRS = 1 << 23
 
 _TABLE = word_table()
 
@@ -62,11 +64,14 @@ def _bin(hashes: np.ndarray, bins: int = TERMS) -> np.ndarray:
 
 def _counted(row: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bits = max(1, terms - 1).bit_length()  # shifts cost much less than divisions
-    key = row.astype(np.int64) << bits | term
+    key = row.astype(np.int64)
+    key <<= bits
+    key |= term
     key.sort()
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    one = key[at]
-    return one >> bits, one & ((1 << bits) - 1), np.diff(np.append(at, len(key)))
+    count = np.diff(np.append(at.astype(np.int32), np.int32(len(key))))
+    key = key[at]
+    return (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32), count
 
 
 def least_words(hash_: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,34 +178,73 @@ def _deal(dealer):
     return run
 
 
+def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of some texts, and how many each text has."""
+    w = words_of(data, offsets, _TABLE)
+    return w.hash, np.bincount(w.row, minlength=len(offsets) - 1)
+
+
 class Shard:
     """A BM25 inverted index over the texts of a block; ``neighbours`` ranks unused documents."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, mean: float):
-        w = words_of(data, offsets, _TABLE)
-        self.n = n = len(offsets) - 1
-        coded = pa.array(w.hash).dictionary_encode()
-        real, word = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        length, idf = np.bincount(w.row, minlength=n), idf[_bin(real)]
-        row, term, tf = _counted(w.row, word, max(1, len(real)))
-        weight = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))).astype(np.float32) * idf[term]
-        order = np.sort(term << 32 | np.arange(len(term))) & 0xFFFFFFFF  # by term, then by row
+        hash_, length = hashed(data, offsets)
+        self._fill([hash_], length, idf, mean)
+
+    @classmethod
+    def of(cls, hashes: list[np.ndarray], length: np.ndarray, idf: np.ndarray, mean: float) -> Shard:
+        """From what :func:`hashed` gave for the texts, run after run; ``hashes`` is emptied."""
+        shard = cls.__new__(cls)
+        shard._fill(hashes, length, idf, mean)
+        return shard
+
+    def _fill(self, hashes: list[np.ndarray], length: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        # what isn't needed any more goes at once: a block's words take several times its bytes
+        self.n = n = len(length)
+        coded = pa.chunked_array([pa.array(x) for x in hashes], pa.uint64()).dictionary_encode()
+        hashes.clear()
+        real = coded.chunk(0).dictionary.to_numpy() if coded.num_chunks else np.zeros(0, np.uint64)
+        word = np.concatenate([np.zeros(0, np.int32), *(x.indices.to_numpy() for x in coded.chunks)])
+        idf, terms = idf[_bin(real)], max(1, len(real))
+        coded = real = None
+        give_back()
+        row, term, tf = _counted(np.repeat(np.arange(n, dtype=np.int32), length), word, terms)
+        word = None
+        norm, weight = K1 * (1 - B + B * length / mean), np.empty(len(row), np.float32)
+        for at in range(0, len(row), STEP):
+            part = slice(at, at + STEP)
+            weight[part] = (tf[part] * (K1 + 1) / (tf[part] + norm[row[part]])).astype(np.float32) * idf[term[part]]
+        order = term.astype(np.int64)  # by term, then by row
+        tf = term = None
+        order <<= 32
+        order |= np.arange(len(order))
+        order.sort()
+        ordered = (order >> 32).astype(np.int32)
+        order &= 0xFFFFFFFF
         self.doc, self.weight = row[order], weight[order]
-        ordered = term[order]
+        weight = None
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(order) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(order)))
-        slot = np.empty(len(order), np.int64)
-        slot[order] = np.cumsum(new) - 1
+        at = np.flatnonzero(new).astype(np.int32)
+        size = np.diff(np.append(at, np.int32(len(order))))
+        ordered = np.cumsum(new, dtype=np.int32)
+        ordered -= 1
+        slot = np.empty(len(order), np.int32)
+        slot[order] = ordered
+        order = ordered = None
         shared = size[slot] > 1  # words of one document alone lead nowhere
-        self.row_first = np.searchsorted(row[shared], np.arange(n + 1))
+        self.row_first = np.searchsorted(row[shared], np.arange(n + 1, dtype=np.int32))
         self.slot, self.at, self.size = slot[shared], at, size
-        wide = np.flatnonzero((size > 1) & (size * DENSE >= n))
-        self.dense, self.whole = np.full(len(at), -1), np.zeros((len(wide), n), np.float32)
+        row = slot = shared = None
+        give_back()
+        wide = np.flatnonzero((size > 1) & (size.astype(np.int64) * DENSE >= n))
+        self.dense, self.whole = np.full(len(at), -1, np.int32), np.zeros((len(wide), n), np.float32)
         self.dense[wide] = np.arange(len(wide))
         places = spread(at[wide], size[wide])
         self.whole[np.repeat(np.arange(len(wide)), size[wide]), self.doc[places]] = self.weight[places]
-        self.pairs = (self.whole > 0).astype(np.float32).T @ self.whole if n * n <= PAIRS else None
+        places, self.pairs = None, None
+        if n * n <= PAIRS:
+            self.pairs = (self.whole > 0).astype(np.float32).T @ self.whole
+            self.whole = self.whole[:0]  # the pairs have what it says
         self.used = np.zeros(n, bool)
         self.free = 0
 
@@ -253,26 +297,32 @@ def _pack(tokenizer: str, end_id: int, stats, window: int, most: int, keep_ids:
             return packed(shard_id, first, batches)
 
     def packed(shard_id: int, first: int, batches: list[pa.RecordBatch]) -> tuple[int, pa.RecordBatch]:
-        table = pa.Table.from_batches(batches).combine_chunks()
-        batches.clear()
-        column, ids_of = table.column("text").combine_chunks(), table.column("doc_id").to_pylist()
         coder = encoder(tokenizer)
-        parts, counts = [], []
-        for part in chunks(table.select(["text"]).to_batches(), most=6 << 20):
-            flat, length = coder.encode(part.column("text"))
-            parts.append(flat.astype("<u4"))
-            counts.append(length)
-        flat, counts = np.concatenate(parts), np.concatenate(counts)
+        ids_of, parts, counts, hashes, words = [], [], [], [], []
+        batches.reverse()
+        while batches:  # each goes when it is read
+            for part in chunks([batches.pop()]):
+                ids_of += part.column("doc_id").to_pylist()
+                flat, count = coder.encode(part.column("text"))
+                parts.append(flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.uint32))
+                counts.append(count)
+                hash_, length = hashed(*raw(part.column("text")))
+                hashes.append(hash_)
+                words.append(length)
+        flat, counts, words = np.concatenate(parts), np.concatenate(counts), np.concatenate(words)
+        part = parts = hash_ = None
+        give_back()
         first_id = np.cumsum(counts) - counts
         tail = np.array([end_id], "<u4").tobytes()
         idf, mean = stats.value
-        index = Shard(*raw(column), idf, mean)
+        index = Shard.of(hashes, words, idf, mean)
+        give_back()
         tokens = (counts + 1).tolist()
         rows, last = [], first - 1
         for doc, start, length, sequence, offset in plan(index, tokens, window):
             end = start + length
             a = int(first_id[doc]) + start
-            piece = flat[a : int(first_id[doc]) + min(end, tokens[doc] - 1)].tobytes() + (tail if end == tokens[doc] else b"")
+            piece = flat[a : int(first_id[doc]) + min(end, tokens[doc] - 1)].astype("<u4").tobytes() + (tail if end == tokens[doc] else b"")
             last = first + sequence
             rows.append((ids_of[doc], start, length, zlib.crc32(piece), tokens[doc], shard_id << 32 | last, offset, piece if keep_ids else None))
         return last + 1, pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)

@@ -134,13 +134,18 @@ def tidy(run, keep: bool = False):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Free memory goes from this process to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 @dataclass
 class Words:
     """Word spans of a run of texts; ``row`` is each word's row."""

@@ -8,8 +8,10 @@ import struct
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -1099,3 +1101,28 @@ def test_counted_with_any_number_of_terms():
         row, term = np.sort(rng.integers(0, 9, 500)), rng.integers(0, terms, 500)
         want = sorted(Counter(zip(row.tolist(), term.tolist())).items())
         assert [((r, t), n) for r, t, n in zip(*(x.tolist() for x in packing._counted(row, term, terms)))] == want
+
+
+def test_a_block_takes_a_few_times_its_bytes():
+    rng = np.random.default_rng(22)
+    common, rare = [f"common{i}" for i in range(150)], [f"rare{i}" for i in range(20_000)]
+    texts = [" ".join([*(common[i] for i in rng.integers(0, 150, 250)), *(rare[i] for i in rng.integers(0, 20_000, 250))]) for _ in range(1400)]
+    size = sum(map(len, texts))
+    tokenizer, stats = public_tokenizers.path("byte_bpe_50k.json"), SimpleNamespace(value=(np.ones(packing.TERMS, np.float32), 500.0))
+    run = packing._pack(tokenizer, 0, stats, 1024, size, False)
+
+    def batches():
+        for at in range(0, len(texts), 200):
+            part = texts[at : at + 200]
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(part)), pa.int64()), pa.array(part), pa.array([0] * len(part), pa.int64())], ["doc_id", "text", "shard"])
+
+    rows = [r for out in run(batches()) for r in out.to_pylist()]  # the tokenizer's tables are there now
+    tracemalloc.start()
+    try:
+        again = [out for out in run(batches())]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [r for out in again for r in out.to_pylist()] == rows and len(again) == 1
+    assert sum(r["length"] for r in rows if r["doc_id"] == 7) == len(Encoder(tokenizer).tokenizer.encode(texts[7], add_special_tokens=False).ids) + 1
+    assert size > 4 << 20 and peak < 8 * size, peak / size
